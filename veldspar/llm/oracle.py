@@ -10,17 +10,17 @@ def _quality() -> str:
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
-g AS (SELECT doc_id, list_transform(range(1, len(words) - 6), i -> list_aggregate(words[i:i + 7], 'string_agg', ' ')) AS grams FROM w WHERE len(words) >= 8),
-p AS (SELECT doc_id, unnest(grams) AS gram, generate_subscripts(grams, 1) AS at FROM g),
-r AS (SELECT doc_id, at FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM p) WHERE n > 1),
-c AS (SELECT doc_id, count(DISTINCT at + k) AS n_repeat_words FROM r, (SELECT unnest(range(8)) AS k) GROUP BY doc_id),
-m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, list_transform(range(1, len(words) - 6), lambda i: list_aggregate(words[i:i + 7], 'string_agg', ' ')) AS grams FROM w WHERE len(words) >= 8),
+p AS (SELECT doc_id, unnest(grams) AS gram, generate_subscripts(grams, 1) AS place FROM g),
+r AS (SELECT doc_id, place FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM p) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT place + k) AS n_repeat_words FROM r, (SELECT unnest(range(8)) AS k) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-        len(list_filter(words, x -> lower(x) IN ({stops}))) AS n_stops,
-        len(list_filter(lines, x -> regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis,
-        len(list_filter(lines, x -> regexp_matches(x, '^\s*[-*•]\s'))) AS n_bullets
+        len(list_filter(words, lambda x: lower(x) IN ({stops}))) AS n_stops,
+        len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis,
+        len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-*•]\s'))) AS n_bullets
       FROM w LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -38,7 +38,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN held = page_id THEN 're
   CASE WHEN held <> page_id THEN held END AS refers_to FROM f"""
 
 _TOPK = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank, vec_id, score FROM
