@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veldspar.plans import scalar  # noqa: F401  registers
+from veldspar.plans import retrieval, scalar  # noqa: F401  registers
 from veldspar.plans.registry import QUERIES, SQL
 
 

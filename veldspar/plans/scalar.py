@@ -10,6 +10,7 @@ from veldspar.functions import numbers as N
 from veldspar.functions import text as X
 from veldspar.plans.registry import query, quoted, table, value_rows
 
+_LETTERS_ONLY = r"regexp_replace(lower(text), '[^a-zçğıöşü\s]', ' ', 'g')"
 WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
 
 
@@ -78,7 +79,7 @@ def sentences_before_letters(spark, sf_dir):
 
 @query(rf"""
 SELECT doc_id, len(t) AS n_tokens, list_sort(list_distinct(t))[:5] AS first_terms
-FROM (SELECT doc_id, list_filter({WORDS.format("regexp_replace(lower(text), '[^a-zçğıöşü\s]', ' ', 'g')")}, lambda w: length(w) >= 2) AS t FROM documents)""")
+FROM (SELECT doc_id, list_filter({WORDS.format(_LETTERS_ONLY)}, lambda w: length(w) >= 2) AS t FROM documents)""")
 def tokenize_letters(spark, sf_dir):
     t = F.filter(X.words(F.regexp_replace(F.lower("text"), r"[^a-zçğıöşü\s]", " ")), lambda w: F.length(w) >= 2)
     return _docs(spark, sf_dir).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.slice(F.array_sort(F.array_distinct(t)), 1, 5).alias("first_terms"))
