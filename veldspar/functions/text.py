@@ -54,12 +54,12 @@ def lower_words(c: Column) -> Column:
 
 def paragraphs(c: Column, least: int = 50) -> Column:
     """Blocks between blank lines, of a trimmed length of at least least."""
-    return F.filter(F.transform(F.split(c, "\n\n"), F.trim), lambda p: F.length(p) >= least)
+    return F.filter(F.transform(F.split(c, "\n\n"), lambda x: F.trim(x)), lambda p: F.length(p) >= least)
 
 
 def sentences(c: Column, least: int = 20) -> Column:
     """Split after a final mark and white space; sentences shorter than least are dropped."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: F.length(s) >= least)
 
 
 def sentences_before_letters(c: Column) -> Column:

@@ -154,7 +154,7 @@ def text_by_heading(paragraphs: DataFrame) -> DataFrame:
 def markdown_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, table, headers, rows) of the Markdown tables of a text."""
     found = F.regexp_extract_all(F.col(text_col), F.lit(r"(?m)^(\|[^\n]+\|)\s*\n\|[-:| ]+\|\s*\n((?:\|[^\n]+\|\s*(?:\n|\z))+)"), F.lit(0))
-    cells = lambda line: F.filter(F.transform(F.split(line, r"\|"), F.trim), lambda c: c != "")
+    cells = lambda line: F.filter(F.transform(F.split(line, r"\|"), lambda x: F.trim(x)), lambda c: c != "")
     x = docs.select(id_col, F.posexplode(found).alias("table", "raw"))
     lines = F.filter(F.split("raw", "\n"), lambda s: F.trim(s) != "")
     return x.select(id_col, "table", cells(lines[0]).alias("headers"), F.transform(F.slice(lines, 3, F.size(lines)), cells).alias("rows"))
