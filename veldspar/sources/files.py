@@ -134,11 +134,19 @@ def csv_encoding(spark: SparkSession, path: str) -> str:
     return ENCODINGS[-1]
 
 
+# Where Windows-1254 differs from Latin-1 in letters.
+_LATIN, _TURKISH = "ÐÝÞðýþ", "ĞİŞğış"
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """A CSV file with a header and inferred types."""
-    named = {"utf-8-sig": "UTF-8", "cp1254": "windows-1254", "latin-1": "ISO-8859-1"}
+    """A CSV file with a header and inferred types. Spark reads few encodings, so Windows-1254 is read as
+    Latin-1 and the six letters that differ are replaced."""
     encoding = encoding or csv_encoding(spark, path)
-    return spark.read.csv(path, header=True, inferSchema=True, encoding=named.get(encoding, encoding))
+    df = spark.read.csv(path, header=True, inferSchema=True, encoding="UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1")
+    if encoding != "cp1254":
+        return df
+    letters = str.maketrans(_LATIN, _TURKISH)
+    return df.select(*[(F.translate(c, _LATIN, _TURKISH) if kind == "string" else F.col(c)).alias(c.translate(letters)) for c, kind in df.dtypes])
 
 
 def text_by_heading(paragraphs: DataFrame) -> DataFrame:
