@@ -47,6 +47,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As materialise, laid out in as many buckets of key as a shuffle has partitions, so that grouping by
+    key later moves nothing. The table's name is dropped at once; its files stay for the frame."""
+    spark = df.sparkSession
+    table, path = f"veldspar_{uuid.uuid4().hex}", scratch_path(spark, name)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table).select(*df.columns)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z alone; other letters keep their form."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

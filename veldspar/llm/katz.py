@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.llm._shared import materialise
+from veldspar.llm._shared import materialise, materialise_bucketed
 
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a block.
-BLOCK = 1_500_000
+BLOCK = 1_000_000
 #: Distinct entries that one partition of a table receives, about.
 PART = 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -301,7 +301,7 @@ def _context_tables(packed: DataFrame, answers: DataFrame, unigram: Unigrams, d:
 def learn_and_score(docs: DataFrame, tokens: int = BLOCK) -> DataFrame:
     """docs(key long, text string, train boolean) to (key, train, n_tokens, n_known, train_tokens,
     base_score, score): log10 probabilities of whole texts under the add-one unigram and the Katz model."""
-    packed = materialise(blocks(docs, tokens), "katz-blocks")
+    packed = materialise_bucketed(blocks(docs, tokens), "katz-blocks", "block")
     n_words, n_pairs = (int(x or 0) for x in packed.agg(F.sum("n_words"), F.sum("n_pairs")).first())
     word_bits, pair_bits = _bits(n_words), _bits(n_pairs)
     word_tables, pair_tables = _count_tables(packed, "word", word_bits), _count_tables(packed, "pair", pair_bits)
