@@ -58,6 +58,13 @@ def materialise_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return out
 
 
+def carried(docs: DataFrame, keep: list[str] | None, new) -> list[str]:
+    """The columns that an operator carries along: those asked for (all if None) without its own results,
+    whose names are told apart as Spark does, without regard to case."""
+    own = {n.lower() for n in new}
+    return [c for c in (docs.columns if keep is None else keep) if c.lower() not in own]
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z alone; other letters keep their form."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veldspar.llm._shared import materialise, words_of
+from veldspar.llm._shared import carried, materialise, words_of
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -63,11 +63,13 @@ def uniform(*columns: Column, seed: int = SEED) -> Column:
 def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", key_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
     """docs with size, source_size, target, copies (times the document is taken) and taken (words)."""
     new = ["size", "source_size", "target", "copies", "taken"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    kept = carried(docs, keep, new)
     drawn = uniform(F.col(key_col), F.col(text_col), seed=seed)
 
     def keyed(columns: list[str]) -> DataFrame:
-        return docs.select(*columns, F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size"), drawn.alias("__u"))
+        # Carried columns travel as one, so that no name of theirs clashes with the plan's.
+        row = [F.struct(*columns).alias("__row")] if columns else []
+        return docs.select(*row, F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size"), drawn.alias("__u"))
 
     slim = keep is not None and text_col not in kept
     rows = materialise(keyed(kept), "mix") if slim else keyed(kept)
@@ -104,4 +106,4 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", key
     within = (F.col("slice") < F.col("edge_slice")) | F.col("edge_slice").isNull() | ((F.col("slice") == F.col("edge_slice")) & (F.struct("place", "size") <= F.col("last")))
     extra = F.when(F.col("place").isNotNull() & F.coalesce(within, F.lit(False)), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0).cast("long")
-    return final.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).select(*kept, *new)
+    return final.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).select(*(["__row.*"] if kept else []), *new)
