@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from veldspar.llm._shared import carried, materialise
+
 #: Hash buckets of the n-gram space.
 DIMS = 1 << 13
 #: Labelled rows that the centroids and document frequencies of one language are learned from, at most.
@@ -33,7 +35,7 @@ ITERATIONS = 12
 #: Characters that are turned into features at a time.
 PIECE = 1 << 19
 #: A text is rejected if its cosine is below this share of the lowest cosine in the learning sample.
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.25
 
 _LETTERS: np.ndarray | None = None
 
@@ -161,9 +163,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     rows = labelled.select(F.col(key_col).alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
     order = F.xxhash64(F.col("key"))
     sizes = rows.groupBy("lang").count()
+    # Written first, so that its size is known and the texts are filtered where they are read.
     share = F.least(F.lit(1.0), F.lit(1.5 * per_language + 50) / F.col("count"))
     part = (order.bitwiseAND((1 << 31) - 1) / float(1 << 31)) < F.col("share")
-    sample = rows.join(sizes.select("lang", share.alias("share")), "lang").where(part & F.col("text").isNotNull())
+    shares = materialise(sizes.select("lang", share.alias("share")), "language-shares")
+    sample = rows.join(shares, "lang").where(part & F.col("text").isNotNull())
     first = Window.partitionBy("lang").orderBy(order, "key", "text")
     sample = sample.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).select("lang", "text")
 
@@ -195,7 +199,7 @@ def identify(docs: DataFrame, model: Centroids, text_col: str = "text", keep: li
     """docs with lang_pred, lang_score and lang_rejected; keep names the columns to carry (all if None).
     Columns of docs by those names are replaced."""
     new = {"lang_pred": T.StringType(), "lang_score": T.DoubleType(), "lang_rejected": T.BooleanType()}
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    kept = carried(docs, keep, new)
     source = docs.select(*kept, F.col(text_col).alias("__text"))
     schema = T.StructType([*(f for f in docs.select(*kept).schema.fields), *(T.StructField(n, t) for n, t in new.items())])
 
