@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from veldspar.llm._shared import carried
+
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes of words; every byte of a non-ASCII character is one.
@@ -174,7 +176,7 @@ MATCHES = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.St
 def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = BASE + TEMPLATES, keep: list[str] | None = None) -> DataFrame:
     """docs with counts, places, labels, score, and the matches as (label, first word, words)."""
     new = {"n_words": T.LongType(), "n_base": T.LongType(), "first_word": T.LongType(), "last_word": T.LongType(), "base_labels": T.StringType(), "labels": T.StringType(), "score": T.DoubleType(), "matches": MATCHES}
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    kept = carried(docs, keep, new)
     source = docs.select(*kept, docs[text_col].alias("__text"))
     schema = T.StructType([*docs.select(*kept).schema.fields, *(T.StructField(n, t) for n, t in new.items())])
     matches = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("n", pa.int64())]))

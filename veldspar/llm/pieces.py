@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from veldspar.llm._shared import carried
+
 #: U+2581, which stands for a space in pieces.
 MARK = "▁".encode()
 
@@ -182,7 +184,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[
     new = {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType(), "covered_bytes": T.LongType()}
     if spans:
         new |= {"begins": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.IntegerType())}
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    kept = carried(docs, keep, new)
     source = docs.select(*kept, docs[text_col].alias("__text"))
     schema = T.StructType([*docs.select(*kept).schema.fields, *(T.StructField(n, t) for n, t in new.items())])
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.llm._shared import words_of
+from veldspar.llm._shared import carried, words_of
 
 #: Words of a window whose repeats count.
 WINDOW = 8
@@ -137,7 +137,7 @@ def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
     """docs with the counts, base_failed (a rule of BASE_RULES is broken) and kept."""
     found = measures(F.col("__text"))
     new = [*found, "base_failed", "kept"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    kept = carried(docs, keep, new)
     x = docs.select(*kept, F.col(text_col).alias("__text"), words_of(F.col(text_col)).alias("__words"))
     x = x.select(*kept, *(v.alias(k) for k, v in found.items()))
     x = x.withColumn("base_failed", ~compile_rules(BASE_RULES))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldspar.llm._shared import materialise
+from veldspar.llm._shared import carried, materialise
 
 RADIUS = 4
 SHINGLE = 4
@@ -63,7 +63,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """docs with fp, the fingerprint's bits as a signed long."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c != "fp"]
+    kept = carried(docs, keep, ["fp"])
     source = docs.select(*kept, docs[text_col].alias("__text"))
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("fp", T.LongType())])
 
@@ -236,8 +236,7 @@ def connected(edges: DataFrame) -> DataFrame:
 def components(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS, keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """docs with fingerprint (16 hex digits), component_id (least key reachable) and component (its least
     fingerprint, which tells components apart even where keys are null)."""
-    new = ["fingerprint", "component_id", "component"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new and c != "fp"]
+    kept = carried(docs, keep, ["fingerprint", "component_id", "component", "fp"])
     slim = keep is not None and text_col not in kept
     small = materialise(fingerprints(docs.select(F.col(key_col).alias("__key"), F.col(text_col).alias("__text"), *(kept if slim else [])), "__text", ["__key", *(kept if slim else [])], shingle, seed), "simhash-fp")
     first = materialise(small.groupBy("fp").agg(F.min("__key").alias("least")), "simhash-distinct")

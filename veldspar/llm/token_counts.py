@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from veldspar.llm._shared import carried
+
 BEGIN = "▁"
 _SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words whose counts a worker remembers; more are counted again when they return.
@@ -110,7 +112,7 @@ class _Memory(dict):
 def count_tokens(docs: DataFrame, text_col: str = "text", model_path: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs with n_words and n_tokens."""
     new = ["n_words", "n_tokens"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    kept = carried(docs, keep, new)
     source = docs.select(*kept, docs[text_col].alias("__text"))
     schema = T.StructType([*docs.select(*kept).schema.fields, *(T.StructField(n, T.LongType()) for n in new)])
     path = model_path or default_model()
