@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veldspar.plans import chunks, relational, reports, retrieval, scalar  # noqa: F401  registers
+from veldspar.plans import chunks, data, relational, reports, retrieval, scalar  # noqa: F401  registers
 from veldspar.plans.registry import QUERIES, SQL
 
 
