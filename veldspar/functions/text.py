@@ -75,18 +75,21 @@ def stem_first(c: Column, suffixes: list[str], least: int) -> Column:
     return out
 
 
-def lexical_terms(c: Column) -> Column:
-    """Raw tokens of the lexical index: lower case, marks to spaces, digits to NUM, at least two
-    characters, without stop words. Stems are cut later, see stem_first."""
+def lexical_words(c: Column) -> Column:
+    """Words of the lexical index: lower case, marks to spaces, digits to NUM."""
     c = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " ")
-    c = F.regexp_replace(c, r"\p{Nd}+", " NUM ")
-    return F.filter(words(c), lambda w: (F.length(w) >= 2) & ~w.isin(K.STOP_LEXICAL))
+    return words(F.regexp_replace(c, r"\p{Nd}+", " NUM "))
 
 
-def keyword_terms(c: Column, least: int = 3) -> Column:
-    """Raw tokens of keyword extraction: letters alone, at least three, without stop words."""
-    c = F.regexp_replace(F.lower(c), r"[^a-zçğıöşü\s]", " ")
-    return F.filter(words(c), lambda w: (F.length(w) >= least) & ~w.isin(K.STOP_KEYWORDS))
+def is_term(w: Column, least: int, stop: list[str]) -> Column:
+    """Whether a word is long enough and no stop word. Meant for rows after an explode, where it is
+    generated code with a hash set."""
+    return (F.length(w) >= least) & ~w.isin(stop)
+
+
+def keyword_words(c: Column) -> Column:
+    """Words of keyword extraction: letters alone."""
+    return words(F.regexp_replace(F.lower(c), r"[^a-zçğıöşü\s]", " "))
 
 
 def longest_first(suffixes: list[str]) -> list[str]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,8 +16,9 @@ FETCH = 30
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf): stems of the lexical tokens. Stems are cut after the explode, in generated code."""
-    raw = docs.select(F.col(id_col).alias("id"), F.explode(X.lexical_terms(F.col(text_col))).alias("raw"))
+    """(id, term, tf): stems of words of two characters or more that are no stop words. Words are filtered and
+    stemmed after the explode, in generated code."""
+    raw = docs.select(F.col(id_col).alias("id"), F.explode(X.lexical_words(F.col(text_col))).alias("raw")).where(X.is_term(F.col("raw"), 2, K.STOP_LEXICAL))
     return raw.select("id", X.stem_first(F.col("raw"), K.SUFFIXES_LEXICAL, 2).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -38,41 +39,84 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "doc_id
     terms. A query term that is repeated counts again. Only postings of query terms reach the shuffle by
     document. where filters documents before they are ranked."""
     post = postings(docs, id_col, text_col)
-    frequencies = term_df(post)
+    lengths = post.groupBy("id").agg(F.sum("tf").alias("dl"))
     n = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    tokens = lengths.agg(F.sum("dl").alias("s")).select("s").scalar()
+    kept = post if where is None else post.join(docs.where(where).select(F.col(id_col).alias("id")), "id", "left_semi")
+    return score_bm25(kept, lengths, term_df(post), n, tokens, queries, k)
+
+
+def score_bm25(kept: DataFrame, lengths: DataFrame, frequencies: DataFrame, n: Column, tokens: Column, queries: DataFrame, k: int, mean_idf: Column | None = None) -> DataFrame:
+    """The ranking of bm25 from the tables of an index."""
     idf = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    mean_idf = frequencies.select(F.avg(idf).alias("m")).select("m").scalar()
-    lengths = post.groupBy("id").agg(F.sum("tf").alias("dl"))
-    mean_length = post.agg(F.sum("tf").alias("s")).select("s").scalar() / n
+    mean_idf = frequencies.select(F.avg(idf).alias("m")).select("m").scalar() if mean_idf is None else mean_idf
+    mean_length = tokens / n
     asked = postings(queries, "query_id", "text").select(F.col("id").alias("query_id"), "term", F.col("tf").alias("times"))
     weights = frequencies.withColumn("idf", F.when(idf < 0, FLOOR * mean_idf).otherwise(idf)).select("term", "idf")
     terms = asked.join(weights, "term")
-    kept = post if where is None else post.join(docs.where(where).select(F.col(id_col).alias("id")), "id", "left_semi")
     hit = kept.join(terms, "term").join(lengths, "id")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
     scored = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return best(scored, k, "score").where("score > 0")
 
 
+class LexicalIndex:
+    """An inverted index in a Parquet folder: postings sorted by term, document lengths, document
+    frequencies, and one row of corpus counts. Row groups without a query's terms are skipped when read."""
+
+    #: Query terms up to which the postings' filter is a list that reaches the scan.
+    PUSHED = 1000
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.post, self.lengths, self.frequencies = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms"))
+        self.corpus = spark.read.parquet(f"{path}/corpus").first()
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> LexicalIndex:
+        spark = docs.sparkSession
+        postings(docs, id_col, text_col).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        post = spark.read.parquet(f"{path}/postings")
+        post.groupBy("id").agg(F.sum("tf").alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+        term_df(post).write.mode("overwrite").parquet(f"{path}/terms")
+        n = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+        idf = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        sums = spark.read.parquet(f"{path}/terms").agg(n.alias("n"), F.avg(idf).alias("mean_idf"))
+        tokens = spark.read.parquet(f"{path}/lengths").agg(F.sum("dl").alias("tokens")).select("tokens").scalar()
+        sums.select("n", "mean_idf", tokens.alias("tokens")).write.mode("overwrite").parquet(f"{path}/corpus")
+        return cls(spark, path)
+
+    def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
+        asked = postings(queries, "query_id", "text").select("term").distinct().limit(self.PUSHED + 1).collect()
+        kept = self.post.where(F.col("term").isin([r.term for r in asked])) if len(asked) <= self.PUSHED else self.post
+        c = self.corpus
+        return score_bm25(kept, self.lengths, self.frequencies, F.lit(c.n), F.lit(c.tokens), queries, k, F.lit(c.mean_idf))
+
+
 def best(scored: DataFrame, k: int, by: str, group: str = "query_id", tie: str = "id") -> DataFrame:
     """The k rows of a group with the largest value, with their rank."""
     w = Window.partitionBy(group).orderBy(F.desc(by), tie)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Of two arrays; 0 if either has no length. Extra components are ignored."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.coalesce(p.cast("double") * q.cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
-    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two arrays; extra components are ignored."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.coalesce(p * q, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+
+
+def normed(rows: DataFrame, vector_col: str) -> DataFrame:
+    """rows with the vector as doubles (v) and its length (norm), both computed once a row."""
+    x = rows.withColumn("v", F.col(vector_col).cast("array<double>"))
+    return x.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", min_score: float | None = None) -> DataFrame:
     """(query_id, id, score, rank): exact cosine search of queries(query_id, query_vector) against all vectors.
     The score threshold applies after the cut, so fewer than k rows can remain. The plan joins on no key, so
     queries should be few; Spark broadcasts them if they are below its threshold."""
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(queries)
-    scored = pairs.select("query_id", "id", F.round(cosine(F.col("query_vector"), F.col("v")), 6).alias("score"))
+    asked = normed(queries, "query_vector").select("query_id", F.col("v").alias("qv"), F.col("norm").alias("qn"))
+    pairs = normed(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("x")), "x").select("id", "v", "norm").join(asked)
+    size = F.col("norm") * F.col("qn")
+    scored = pairs.select("query_id", "id", F.round(F.when(size == 0, 0.0).otherwise(dot(F.col("qv"), F.col("v")) / size), 6).alias("score"))
     found = best(scored, k, "score")
     return found if min_score is None else found.where(F.col("score") >= min_score)
 
@@ -130,7 +174,7 @@ def rerank(found: DataFrame, relevance: Column, k: int = 5, min_score: float | N
 
 def keywords(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, score, rank): (1 + ln tf) * ln(N / df), ties in order of the term."""
-    raw = docs.select(F.col(id_col).alias("id"), F.explode(X.keyword_terms(F.col(text_col))).alias("raw"))
+    raw = docs.select(F.col(id_col).alias("id"), F.explode(X.keyword_words(F.col(text_col))).alias("raw")).where(X.is_term(F.col("raw"), 3, K.STOP_KEYWORDS))
     tf = raw.select("id", X.stem_first(F.col("raw"), X.longest_first(K.SUFFIXES_KEYWORDS), 2).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     x = tf.join(term_df(tf), "term").withColumn("score", F.round((1 + F.log("tf")) * F.log(F.greatest(n, F.lit(1)) / F.col("df")), 6))
