@@ -10,6 +10,7 @@ from veldspar.functions import numbers as N
 from veldspar.functions import text as X
 from veldspar.operators import chunking as H
 from veldspar.operators import context as C
+from veldspar.operators import relational as rel
 from veldspar.operators import retrieval as R
 from veldspar.operators import sources as S
 from veldspar.sources import files
@@ -157,6 +158,12 @@ def test_budget_truncates_the_first_that_overflows(spark):
     assert [(r.id, r.used, r.truncated) for r in got] == [(1, 600, False), (2, 300, False), (3, 150, True)]
 
 
+def test_ordinal_over_many_ranges(spark):
+    rows = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("v"))
+    got = rel.ordinal(rows.repartition(7), ["v"]).collect()
+    assert sorted((r.v, r.n) for r in got) == [(i, i + 1) for i in range(1000)]
+
+
 def test_format_context(spark):
     rows = spark.createDataFrame([(1, 1, "s", "a"), (1, 2, None, "b")], "q int, pos int, source string, text string")
     assert C.format_context(rows, "q", "pos").first().context == "[1] s\na\n\n[2] \nb"

@@ -39,6 +39,17 @@ def top_per_group(rows: DataFrame, group: str, order: list[Column], k: int) -> D
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def ordinal(rows: DataFrame, order: list[Column | str], name: str = "n") -> DataFrame:
+    """rows numbered 1, 2, ... in the given total order, without one task seeing them all: rows are split by
+    ranges of the order, numbered within their range, and moved up by the sizes of the ranges before."""
+    split = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
+    sizes = split.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return split.withColumn("__own", own).join(starts, "__part").withColumn(name, F.col("__start") + F.col("__own")).drop("__part", "__own", "__start")
+
+
 def tables(spark, sf_dir: str, names=("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")) -> None:
     """Temporary views of the tables, so that plans can be written as SQL."""
     for n in names:

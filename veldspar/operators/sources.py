@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from veldspar.functions import constants as K
 from veldspar.functions import text as X
+from veldspar.operators.relational import ordinal
 
 
 def merge_by_url(found: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def corroborated(sources: DataFrame, id_col: str, text_col: str, shared: int = 3
 
 def number_citations(citations: DataFrame) -> DataFrame:
     """citations(pos, url, section) with n: 1, 2, ... by first appearance of the URL."""
-    first = citations.groupBy("url").agg(F.min("pos").alias("first")).withColumn("n", F.row_number().over(Window.orderBy("first")))
+    first = ordinal(citations.groupBy("url").agg(F.min("pos").alias("first")), ["first", "url"])
     return citations.join(first.select("url", "n"), "url")
 
 
@@ -78,8 +79,7 @@ def most_cited(citations: DataFrame) -> DataFrame:
 
 def bibliography(sources: DataFrame) -> DataFrame:
     """(n, line) in order of the lowered title."""
-    n = F.row_number().over(Window.orderBy(F.lower("title"), "url"))
-    return sources.select(n.alias("n"), "title", "url").select("n", F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), "title", F.lit(". "), "url").alias("line"))
+    return ordinal(sources.select("title", "url"), [F.lower("title"), F.col("url")]).select("n", F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), "title", F.lit(". "), "url").alias("line"))
 
 
 def insert_markers(text: str, source_id: int) -> str:

@@ -38,7 +38,7 @@ def _citations(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("url"), (F.col("user_id") % 5).alias("section"))
 
 
-@query(f"WITH {_CITE}, f AS (SELECT url, row_number() OVER (ORDER BY min(pos))::INT AS n FROM cite GROUP BY url) SELECT pos, cite.url, section, n FROM cite JOIN f ON f.url = cite.url")
+@query(f"WITH {_CITE}, f AS (SELECT url, row_number() OVER (ORDER BY min(pos)) AS n FROM cite GROUP BY url) SELECT pos, cite.url, section, n FROM cite JOIN f ON f.url = cite.url")
 def citation_numbers(spark, sf_dir):
     return S.number_citations(_citations(spark, sf_dir))
 
@@ -58,7 +58,7 @@ def section_citations(spark, sf_dir):
     return _citations(spark, sf_dir).where("section = 3")
 
 
-@query("WITH a AS (SELECT n_name AS url, n_nationkey AS pos, 'a' AS origin FROM nation WHERE n_nationkey < 15), b AS (SELECT n_name AS url, n_nationkey + 100 AS pos, 'b' AS origin FROM nation WHERE n_nationkey > 9), u AS (SELECT * FROM a UNION ALL SELECT * FROM b), f AS (SELECT url, row_number() OVER (ORDER BY min(pos))::INT AS n FROM u GROUP BY url) SELECT u.pos, u.url, origin, n FROM u JOIN f ON f.url = u.url")
+@query("WITH a AS (SELECT n_name AS url, n_nationkey AS pos, 'a' AS origin FROM nation WHERE n_nationkey < 15), b AS (SELECT n_name AS url, n_nationkey + 100 AS pos, 'b' AS origin FROM nation WHERE n_nationkey > 9), u AS (SELECT * FROM a UNION ALL SELECT * FROM b), f AS (SELECT url, row_number() OVER (ORDER BY min(pos)) AS n FROM u GROUP BY url) SELECT u.pos, u.url, origin, n FROM u JOIN f ON f.url = u.url")
 def citation_merge(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     a = n.where("n_nationkey < 15").select(F.col("n_name").alias("url"), F.col("n_nationkey").alias("pos"), F.lit("a").alias("origin"))
@@ -66,7 +66,7 @@ def citation_merge(spark, sf_dir):
     return S.number_citations(a.unionByName(b))
 
 
-@query(f"WITH {_SRC}, d AS (SELECT url, min_by(title, pos) AS title FROM src GROUP BY url) SELECT n, '[' || n || '] ' || title || '. ' || url AS line FROM (SELECT row_number() OVER (ORDER BY lower(title), url)::INT AS n, title, url FROM d)")
+@query(f"WITH {_SRC}, d AS (SELECT url, min_by(title, pos) AS title FROM src GROUP BY url) SELECT n, '[' || n || '] ' || title || '. ' || url AS line FROM (SELECT row_number() OVER (ORDER BY lower(title), url) AS n, title, url FROM d)")
 def bibliography(spark, sf_dir):
     return S.bibliography(S.merge_by_url(_found(spark, sf_dir)))
 

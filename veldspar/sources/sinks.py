@@ -8,7 +8,8 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from veldspar.operators.relational import ordinal
 
 
 class VectorTable:
@@ -54,8 +55,7 @@ def misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:
 def evict(cache: DataFrame, most: int, share: float = 0.2) -> DataFrame:
     """Beyond `most` rows, the share least recently used goes."""
     n = cache.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    place = F.row_number().over(Window.orderBy("used", "key"))
-    return cache.withColumn("__n", place).where((n <= most) | (F.col("__n") > F.floor(n * share))).drop("__n")
+    return ordinal(cache, ["used", "key"], "__n").where((n <= most) | (F.col("__n") > F.floor(n * share))).drop("__n")
 
 
 def markdown_report(sections: DataFrame) -> DataFrame:
