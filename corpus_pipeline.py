@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.llm import language_id, mixing, pieces, quality, simhash
-from veldspar.llm._shared import read, scratch_path
+from veldspar.llm._shared import materialise, read, scratch_path
 from veldspar.llm.queries import piece_model
 
 
@@ -23,20 +23,23 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the least id, of each near-duplicate group."""
-    groups = simhash.components(docs.select("doc_id", "text"), keep=["doc_id"])
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    left = docs.join(stay.select(F.col("doc_id").alias("__stay")).distinct(), F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
-    repeated = stay.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
-    return left if repeated else _first_rows(left)
-
-
-def _first_rows(left: DataFrame) -> DataFrame:
-    """One row of each fingerprint group among rows that share an id; of rows without one, one a group."""
-    again = simhash.components(left, keep=left.columns)
-    rest = [c for c in left.columns if c != "doc_id"]
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("c"), F.col("component").cast("string")))
-    return again.groupBy(key.alias("__key")).agg(F.min(F.struct("doc_id", *rest)).alias("row")).select(*(F.col(f"row.{c}").alias(c) for c in left.columns))
+    """Keep one document, that of the least id, of each near-duplicate group.
+
+    Where every row has an id of its own, the ids that go are joined out, so that texts move only if those
+    ids are too many to broadcast. Otherwise rows are told apart by their content."""
+    groups = materialise(simhash.components(docs.select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "component_id"), "dedup-groups")
+    if not groups.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return _first_rows(docs)
+    gone = materialise(groups.where("doc_id <> component_id").select("doc_id"), "dedup-gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def _first_rows(docs: DataFrame) -> DataFrame:
+    """The row of the least id of each group, ties by the other columns; null ids come last."""
+    grouped = simhash.components(docs, keep=docs.columns)
+    rest = [c for c in docs.columns if c != "doc_id"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *rest)).alias("row")
+    return grouped.groupBy("component").agg(first).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,6 +129,17 @@ def test_pipeline_stages(spark, odd):
     assert docs.count() > 0
 
 
+def test_dedup_stage_by_ids_and_by_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(r[0] for r in simhash.components(docs, keep=["doc_id"]).select("component_id").distinct().collect())
+    made = corpus_pipeline.keep_one_of_each_group(spark, docs, sf)
+    assert sorted(r.doc_id for r in made.collect()) == want and made.columns == docs.columns
+    twice = docs.unionByName(docs.where("doc_id < 9").withColumn("text", F.concat("text", F.lit(" and a tail of other words that belongs to no other text at all" * 9))))
+    made = corpus_pipeline.keep_one_of_each_group(spark, twice, sf)
+    groups = simhash.components(twice, keep=["doc_id"]).select("component").distinct().count()
+    assert made.count() == groups > len(want)
+
+
 def test_compare_blocks_against_plain_distances():
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
