@@ -38,6 +38,8 @@ from veldspar.llm._shared import materialise
 MIN_REVISIT = 1000
 #: Bytes of a range that one task scans.
 RANGE = 8 << 20
+#: Tasks that ranges are dealt to, at most.
+TASKS = 20_000
 _MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 16
 _MOST_HEADER = 1 << 20
@@ -219,4 +221,7 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE, payl
 
     types = {"id": T.LongType(), "url": T.StringType(), "record_type": T.StringType(), "size": T.LongType(), "digest": T.StringType(), "refers_to": T.LongType(), "payload": T.BinaryType()}
     schema = T.StructType([T.StructField(n, types[n]) for n in names])
-    return cut.repartition(F.col("path"), F.col("start")).mapInArrow(run, schema)
+    # A row stands for megabytes to read, so a number of tasks is asked for: by the rows' own few bytes, all
+    # ranges would be gathered in one.
+    ranges = cut.count()
+    return cut.repartition(max(1, min(ranges, TASKS))).mapInArrow(run, schema)
