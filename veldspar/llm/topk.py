@@ -29,8 +29,10 @@ from pyspark.sql.window import Window
 from veldspar.llm._shared import materialise
 
 SCALE = 256
-BLOCK = 4096
+BLOCK = 16384
 QUERIES = 1024
+#: Tasks that blocks of candidates are dealt to, at most.
+TASKS = 20_000
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -41,7 +43,7 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCA
 
 
 def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """(block, ids, lengths, values): the rows in blocks of about size, by a hash of the id."""
+    """(block, ids, lengths, data): the rows in blocks of about size, by a hash; values as narrow as they fit."""
     n = rows.count()
     blocks = max(1, -(-n // size))
     salted = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
@@ -49,7 +51,9 @@ def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
     def pack(table: pa.Table) -> pa.Table:
         v = table["v"].combine_chunks()
         lengths = np.array(v.value_lengths().to_numpy(zero_copy_only=False), "<i4")
-        values = v.flatten().to_numpy(zero_copy_only=False).astype("<i8")
+        values = v.flatten().to_numpy(zero_copy_only=False)
+        most = int(np.abs(values).max(initial=0))
+        values = values.astype("<i2" if 0 <= most < 1 << 15 else "<i4" if 0 <= most < 1 << 31 else "<i8")
         ids = table["id"].to_numpy().astype("<i8")
         return pa.table({"block": table["block"][:1], "ids": pa.array([ids.tobytes()], pa.binary()), "lengths": pa.array([lengths.tobytes()], pa.binary()), "data": pa.array([values.tobytes()], pa.binary())})
 
@@ -58,7 +62,8 @@ def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
 
 def _unpacked(ids: bytes, lengths: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Ids and a dense matrix of a block, in order of the id."""
-    key, n, v = np.frombuffer(ids, "<i8"), np.frombuffer(lengths, "<i4"), np.frombuffer(data, "<i8")
+    key, n = np.frombuffer(ids, "<i8"), np.frombuffer(lengths, "<i4")
+    v = np.frombuffer(data, f"<i{len(data) // max(1, int(n.sum()))}" if data else "<i8")
     out = np.zeros((len(key), int(n.max(initial=0))), np.int64)
     row = np.repeat(np.arange(len(key)), n)
     out[row, np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)] = v
@@ -101,7 +106,9 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 5, id_col: str = "vec_id",
     rows = materialise(quantised(vectors.withColumn("__asks", asks), id_col, vector_col, scale), "topk-rows")
     asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
     rows = rows.select("id", "v")
+    # Each block of candidates is a task of its own; by their bytes, many would be read by one.
     found = _packed(rows, BLOCK, "topk-candidates")
+    found = found.repartition(max(1, min(found.count(), TASKS)))
     queries = _packed(asked, QUERIES, "topk-queries")
     numbers = found.agg(F.max("block")).first()[0]
     if numbers is None:
