@@ -5,8 +5,6 @@ Character classes are written out (\\p{L}, \\p{N}), because Java's \\w and \\s a
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,9 +94,15 @@ def longest_first(suffixes: list[str]) -> list[str]:
     return sorted(suffixes, key=len, reverse=True)
 
 
+def let(value: Column, body) -> Column:
+    """body of value, which is evaluated once even where body mentions it many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hits(c: Column, keywords: list[str]) -> Column:
-    """How many keywords the text contains."""
-    return reduce(lambda a, b: a + b, [c.contains(k).cast("int") for k in keywords])
+    """How many keywords the text contains. A list keeps the generated code small, where a sum of so many
+    terms would be too large for the JVM to compile."""
+    return F.size(F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(c, k)))
 
 
 def best_named(scores: list[tuple[str, Column]], field: str = "name") -> Column:
@@ -108,23 +112,30 @@ def best_named(scores: list[tuple[str, Column]], field: str = "name") -> Column:
 
 def category(c: Column) -> Column:
     """(name, confidence) of the best category; genel with 0.5 if no keyword is found."""
-    low = F.lower(c)
-    best = best_named([(n, hits(low, k) / F.lit(float(len(k))) * F.lit(w)) for n, (w, k) in K.CATEGORIES.items()])
-    found = best["score"] > 0
-    return F.struct(F.when(found, best["name"]).otherwise("genel").alias("name"), F.when(found, F.least(best["score"] * 2, F.lit(1.0))).otherwise(0.5).alias("confidence"))
+    best = lambda low: best_named([(n, hits(low, k) / F.lit(float(len(k))) * F.lit(w)) for n, (w, k) in K.CATEGORIES.items()])
+
+    def named(b: Column) -> Column:
+        found = b["score"] > 0
+        return F.struct(F.when(found, b["name"]).otherwise("genel").alias("name"), F.when(found, F.least(b["score"] * 2, F.lit(1.0))).otherwise(0.5).alias("confidence"))
+
+    return let(let(F.lower(c), best), named)
 
 
 def subcategory(c: Column, main: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, subs in K.SUBCATEGORIES.items():
-        best = best_named([(n, hits(F.lower(c), k)) for n, k in subs.items()])
-        out = F.when(main == name, F.when(best["score"] > 0, best["name"])).otherwise(out)
+        out = F.when(main == name, _best_hit(c, subs)).otherwise(out)
     return out
 
 
+def _best_hit(c: Column, sets: dict[str, list[str]]) -> Column:
+    """The first of the sets with most hits, null without any."""
+    best = let(F.lower(c), lambda low: best_named([(n, hits(low, k)) for n, k in sets.items()]))
+    return let(best, lambda b: F.when(b["score"] > 0, b["name"]))
+
+
 def chunk_category(c: Column) -> Column:
-    best = best_named([(n, hits(F.lower(c), k)) for n, k in K.CHUNK_CATEGORIES.items()])
-    return F.when(best["score"] > 0, best["name"])
+    return _best_hit(c, K.CHUNK_CATEGORIES)
 
 
 def content_type(c: Column) -> Column:
