@@ -58,6 +58,13 @@ def materialise_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return out
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once a row: a generator of one row stands between them and what
+    follows, so that filters on them are not moved below, where each mention would be computed anew."""
+    held = df.select("*", F.struct(*(c.alias(n) for n, c in columns.items())).alias("__once"))
+    return held.select(*df.columns, F.inline(F.array("__once")))
+
+
 def carried(docs: DataFrame, keep: list[str] | None, new) -> list[str]:
     """The columns that an operator carries along: those asked for (all if None) without its own results,
     whose names are told apart as Spark does, without regard to case."""

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.llm._shared import carried, words_of
+from veldspar.llm._shared import carried, once, words_of
 
 #: Words of a window whose repeats count.
 WINDOW = 8
@@ -89,11 +89,14 @@ def _positions(windows: Column) -> Column:
     return fold["words"]
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """The counts of a text, without its words array being built more than once a projection."""
+def lines_of(text: Column) -> Column:
+    """The lines of a text that hold a word."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
+    """The counts of a text. words and lines are columns, so that neither is built once for each count."""
     text = F.coalesce(text, F.lit(""))
-    words = F.col("__words")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
@@ -135,10 +138,10 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
 
 def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None) -> DataFrame:
     """docs with the counts, base_failed (a rule of BASE_RULES is broken) and kept."""
-    found = measures(F.col("__text"))
+    found = measures(F.col("__text"), F.col("__words"), F.col("__lines"))
     new = [*found, "base_failed", "kept"]
     kept = carried(docs, keep, new)
-    x = docs.select(*kept, F.col(text_col).alias("__text"), words_of(F.col(text_col)).alias("__words"))
-    x = x.select(*kept, *(v.alias(k) for k, v in found.items()))
+    x = docs.select(*kept, F.col(text_col).alias("__text"), words_of(F.col(text_col)).alias("__words"), lines_of(F.col(text_col)).alias("__lines"))
+    x = once(x, found).select(*kept, *found)
     x = x.withColumn("base_failed", ~compile_rules(BASE_RULES))
     return x.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
