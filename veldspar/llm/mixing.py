@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veldspar.llm._shared import carried, materialise, words_of
+from veldspar.llm._shared import carried, materialise, once, words_of
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -69,7 +69,8 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", key
     def keyed(columns: list[str]) -> DataFrame:
         # Carried columns travel as one, so that no name of theirs clashes with the plan's.
         row = [F.struct(*columns).alias("__row")] if columns else []
-        return docs.select(*row, F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size"), drawn.alias("__u"))
+        x = docs.select(*row, F.col(source_col).alias("__source"), F.col(text_col).alias("__text"), drawn.alias("__u"))
+        return once(x, {"size": word_count(F.col("__text"))}).drop("__text")
 
     slim = keep is not None and text_col not in kept
     rows = materialise(keyed(kept), "mix") if slim else keyed(kept)
