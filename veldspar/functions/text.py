@@ -66,11 +66,13 @@ def sentences_before_letters(c: Column) -> Column:
 
 
 def stem_first(c: Column, suffixes: list[str], least: int) -> Column:
-    """Cut the first suffix, in the given order, that leaves more than least characters."""
-    out = c
-    for s in reversed(suffixes):
-        out = F.when(c.endswith(s) & (F.length(c) > len(s) + least), F.left(c, F.length(c) - len(s))).otherwise(out)
-    return out
+    """Cut the first suffix, in the given order, that leaves more than `least` characters.
+
+    Suffixes come longest first, so the first that fits is the longest: one expression with a shortest
+    possible stem finds it. A chain of conditions would be too large a method for the JVM to compile."""
+    if suffixes != longest_first(suffixes):
+        raise ValueError("suffixes must be given longest first")
+    return F.regexp_replace(c, rf"^(.{{{least + 1},}}?)(?:{'|'.join(suffixes)})$", "$1")
 
 
 def lexical_words(c: Column) -> Column:
@@ -86,8 +88,9 @@ def is_term(w: Column, least: int, stop: list[str]) -> Column:
 
 
 def keyword_words(c: Column) -> Column:
-    """Words of keyword extraction: letters alone."""
-    return words(F.regexp_replace(F.lower(c), r"[^a-zçğıöşü\s]", " "))
+    """Words of keyword extraction: runs of letters. Java matches this class many times faster than its
+    complement, which could be replaced instead."""
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-zçğıöşü]+"), F.lit(0))
 
 
 def longest_first(suffixes: list[str]) -> list[str]:
@@ -149,7 +152,7 @@ def is_turkish(c: Column) -> Column:
     """tr by the share of Turkish letters in the first 1000 characters, or by three of seven words."""
     sample = F.substring(c, 1, 1000)
     letters = F.length(F.regexp_replace(sample, r"[^\p{L}]", ""))
-    turkish = F.length(F.regexp_replace(sample, "[^çğıöşüÇĞİÖŞÜ]", ""))
+    turkish = F.length(sample) - F.length(F.regexp_replace(sample, "[çğıöşüÇĞİÖŞÜ]", ""))
     known = hits(F.lower(sample), [f" {w} " for w in ("ve", "bir", "için", "ile", "bu", "da", "de")])
     return F.when((letters > 0) & (turkish / letters > 0.01), "tr").when(known >= 3, "tr").otherwise("en")
 

@@ -23,8 +23,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Tables of texts, whose rows cost much more than their bytes.
+TEXTS = ("documents", "pages")
+#: Bytes up to which a table may be a single row group, and so a single task.
+SMALL = 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. A small table of texts is dealt out to all cores first; larger ones are split as they are read."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXTS and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SMALL:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def quoted(values) -> str:
@@ -34,5 +44,5 @@ def quoted(values) -> str:
 
 def value_rows(rows) -> str:
     """SQL rows for VALUES."""
-    one = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else quoted([v])
+    one = lambda v: "NULL" if v is None else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else quoted([v])
     return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)

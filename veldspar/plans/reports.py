@@ -233,12 +233,12 @@ def missing_sections(spark, sf_dir):
     return V.missing_sections(_reports(spark), _sections(spark))
 
 
-@query("SELECT * FROM (VALUES (1, 2, 1, 0, 55), (2, 0, 1, 0, 95), (3, 3, 1, 2, 33), (4, 1, 0, 0, 80)) t(report_id, errors, warnings, infos, score)")
+@query("SELECT report_id, errors::BIGINT AS errors, warnings::BIGINT AS warnings, infos::BIGINT AS infos, score::BIGINT AS score FROM (VALUES (1, 2, 1, 0, 55), (2, 0, 1, 0, 95), (3, 3, 1, 2, 33), (4, 1, 0, 0, 80)) t(report_id, errors, warnings, infos, score)")
 def report_score(spark, sf_dir):
     return V.report_scores(_reports(spark), _sections(spark))
 
 
-@query("SELECT * FROM (VALUES (1, 2, 1, 65, false), (2, 1, 0, 85, false)) t(report_id, errors, warnings, score, is_valid)")
+@query("SELECT report_id, errors::BIGINT AS errors, warnings::BIGINT AS warnings, score::BIGINT AS score, is_valid FROM (VALUES (1, 2, 1, 65, false), (2, 1, 0, 85, false)) t(report_id, errors, warnings, score, is_valid)")
 def fin_score(spark, sf_dir):
     return V.issue_scores(V.cross_reference(_sections(spark)))
 

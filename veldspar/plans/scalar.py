@@ -81,7 +81,7 @@ def sentences_before_letters(spark, sf_dir):
 SELECT doc_id, len(t) AS n_tokens, list_sort(list_distinct(t))[:5] AS first_terms
 FROM (SELECT doc_id, list_filter({WORDS.format(_LETTERS_ONLY)}, lambda w: length(w) >= 2) AS t FROM documents)""")
 def tokenize_letters(spark, sf_dir):
-    t = F.filter(X.words(F.regexp_replace(F.lower("text"), r"[^a-zçğıöşü\s]", " ")), lambda w: F.length(w) >= 2)
+    t = F.filter(X.keyword_words(F.col("text")), lambda w: F.length(w) >= 2)
     return _docs(spark, sf_dir).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.slice(F.array_sort(F.array_distinct(t)), 1, 5).alias("first_terms"))
 
 
