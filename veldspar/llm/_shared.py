@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,13 @@ def materialise_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written: its cleaner works on what the
+    driver's garbage collection finds, which may otherwise not run for as long as the disk fills."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """df with columns that are computed once a row: a generator of one row stands between them and what
     follows, so that filters on them are not moved below, where each mention would be computed anew."""

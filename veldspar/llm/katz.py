@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.llm._shared import materialise, materialise_bucketed
+from veldspar.llm._shared import materialise, materialise_bucketed, release
 
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a block.
-BLOCK = 1_000_000
+BLOCK = 1_500_000
 #: Distinct entries that one partition of a table receives, about.
 PART = 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -185,9 +185,10 @@ def _pair_order(words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.nd
     return h[order], order
 
 
-def _count_tables(packed: DataFrame, kind: str, bits: int) -> DataFrame:
-    """Answers to each block, and the table's own rows with block null: sorted hashes, counts, and in
-    stats the sums that the discounts need (n-grams of count 1 to DISCOUNTED + 1, of any, and their counts)."""
+def _count_tables(packed: DataFrame, kind: str, bits: int, keys: bool = False) -> DataFrame:
+    """A partitioned table of counts: the counts of each block's entries in order, and rows with block null
+    that hold in stats the sums that the discounts need (n-grams of count 1 to DISCOUNTED + 1, of any, and
+    their counts) and, if keys are asked for, the sorted hashes and counts of all entries."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +218,7 @@ def _count_tables(packed: DataFrame, kind: str, bits: int) -> DataFrame:
                 out[k].append(v)
         seen = counts[counts > 0]
         sums = [int((seen == r).sum()) for r in range(1, DISCOUNTED + 2)] + [len(seen), int(seen.sum())]
-        for k, v in {"kind": kind, "block": None, "part": rows[0]["part"], "a": pack_sorted(known), "b": pack(counts.astype(np.uint32)), "stats": sums}.items():
+        for k, v in {"kind": kind, "block": None, "part": rows[0]["part"], "a": pack_sorted(known) if keys else None, "b": pack(counts.astype(np.uint32)) if keys else None, "stats": sums}.items():
             out[k].append(v)
         schema = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("stats", pa.list_(pa.int64()))])
         return pa.table(out, schema=schema)
@@ -260,8 +261,9 @@ def _pair_view(r: dict, rows: list[dict]) -> tuple:
     return words, _answers(rows, "word", "a", np.uint32).astype(np.int64), pairs, counts, own
 
 
-def _context_tables(packed: DataFrame, answers: DataFrame, unigram: Unigrams, d: np.ndarray, bits: int) -> DataFrame:
-    """Backoff weights: answers to each block (a: denominator, b: weight), and the table's rows."""
+def _context_tables(packed: DataFrame, answers: DataFrame, unigram: Unigrams, d: np.ndarray, bits: int, keys: bool = False) -> DataFrame:
+    """A partitioned table of backoff weights: those of each block's words (a: denominator, b: weight) and, if
+    keys are asked for, rows with block null of all sorted hashes and weights."""
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -291,23 +293,26 @@ def _context_tables(packed: DataFrame, answers: DataFrame, unigram: Unigrams, d:
             at = place[end - n : end]
             out["a"].append(pack(over[at].astype(np.uint32)))
             out["b"].append(pack(weight[at]))
-        out["a"].append(pack_sorted(known))
-        out["b"].append(pack(weight))
+        out["a"].append(pack_sorted(known) if keys else None)
+        out["b"].append(pack(weight) if keys else None)
         return pa.Table.from_batches([_rows(out, _ANSWER)])
 
     return materialise(asked.groupBy("part").applyInArrow(answer, _ANSWER), "katz-contexts")
 
 
-def learn_and_score(docs: DataFrame, tokens: int = BLOCK) -> DataFrame:
-    """docs(key long, text string, train boolean) to (key, train, n_tokens, n_known, train_tokens,
+def learn_and_score(docs: DataFrame, tokens: int = BLOCK, keys: bool = False) -> DataFrame:
+    """docs(key long, text string, train boolean), (with keys, the tables also keep their sorted hashes, to answer other documents) to (key, train, n_tokens, n_known, train_tokens,
     base_score, score): log10 probabilities of whole texts under the add-one unigram and the Katz model."""
     packed = materialise_bucketed(blocks(docs, tokens), "katz-blocks", "block")
     n_words, n_pairs = (int(x or 0) for x in packed.agg(F.sum("n_words"), F.sum("n_pairs")).first())
     word_bits, pair_bits = _bits(n_words), _bits(n_pairs)
-    word_tables, pair_tables = _count_tables(packed, "word", word_bits), _count_tables(packed, "pair", pair_bits)
+    word_tables = _count_tables(packed, "word", word_bits, keys)
+    pair_tables = _count_tables(packed, "pair", pair_bits, keys)
+    release(docs.sparkSession)
     unigram, d = Unigrams(_stats(word_tables)), discounts(_stats(pair_tables)[: DISCOUNTED + 1])
     counted = word_tables.drop("stats").unionByName(pair_tables.drop("stats"))
-    contexts = _context_tables(packed, counted, unigram, d, word_bits)
+    contexts = _context_tables(packed, counted, unigram, d, word_bits, keys)
+    release(docs.sparkSession)
     total, distinct = unigram.total, unigram.distinct
     schema = "key long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
