@@ -301,8 +301,9 @@ def _context_tables(packed: DataFrame, answers: DataFrame, unigram: Unigrams, d:
 
 
 def learn_and_score(docs: DataFrame, tokens: int = BLOCK, keys: bool = False) -> DataFrame:
-    """docs(key long, text string, train boolean), (with keys, the tables also keep their sorted hashes, to answer other documents) to (key, train, n_tokens, n_known, train_tokens,
-    base_score, score): log10 probabilities of whole texts under the add-one unigram and the Katz model."""
+    """docs(key long, text string, train boolean) to (key, train, n_tokens, n_known, train_tokens,
+    base_score, score): log10 probabilities of whole texts under the add-one unigram and the Katz model. With keys, the
+    tables also keep their sorted hashes, so that they can answer for other documents."""
     packed = materialise_bucketed(blocks(docs, tokens), "katz-blocks", "block")
     n_words, n_pairs = (int(x or 0) for x in packed.agg(F.sum("n_words"), F.sum("n_pairs")).first())
     word_bits, pair_bits = _bits(n_words), _bits(n_pairs)
