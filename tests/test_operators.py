@@ -1,6 +1,7 @@
 """Operators against fixed values and plain models."""
 
 import io
+import re
 import zipfile
 
 import pytest
@@ -94,6 +95,29 @@ def test_greedy_dedup_matches_a_pass_in_order(spark):
     assert got == [i for i, _ in kept]
 
 
+def test_jaccard_pairs_whole_takes_all_sources(spark, sf):
+    from veldspar.plans import catalogue
+
+    words = {r.doc_id: frozenset([w for w in re.split(r"\s+", r.text.lower()) if w][:100]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = {}
+    for a in words:
+        for b in words:
+            n = len(words[a] & words[b])
+            if a < b and n and n / len(words[a] | words[b]) >= 0.5:
+                want[a, b] = n / len(words[a] | words[b])
+    got = {(r.a, r.b): r.similarity for r in catalogue.queries()["jaccard_pairs_whole"](spark, sf).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+    assert len(got) > catalogue.queries()["jaccard_pairs"](spark, sf).count()
+
+
+def test_all_similar_pairs_folds_equal_sets(spark):
+    rows = [(5, ["a", "b", "c"]), (2, ["c", "a", "b"]), (9, ["b", "a", "c"]), (3, ["a", "b"]), (7, ["b", "a"]), (8, ["z"]), (4, []), (6, [])]
+    got = sorted(tuple(r) for r in C.all_similar_pairs(spark.createDataFrame(rows, "doc_id long, w array<string>"), 0.5).collect())
+    sets = sorted((k, set(w)) for k, w in rows if w)
+    want = [(a, b, round(len(v & w) / len(v | w), 6)) for a, v in sets for b, w in sets if a < b and len(v & w) / len(v | w) >= 0.5]
+    assert got == want and len(got) == 10
+
+
 def test_merge_overlaps(spark):
     whole = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(200))
     rows = [(1, i, whole[s : s + 300]) for i, s in enumerate(range(0, len(whole) - 100, 200))]

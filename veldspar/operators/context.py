@@ -41,6 +41,20 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
     return x.where(F.col("s") >= least).select("a", "b", F.round("s", 6).alias("similarity"))
 
 
+def all_similar_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """As similar_pairs, for whole tables: equal sets are folded to one class first, so a set that many rows
+    share meets the others once. Empty sets are similar to nothing."""
+    folded = sets.where((F.size("w") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.array_sort("w").alias("w"))
+    classes = folded.groupBy("w").agg(F.min("doc_id").alias("class"))
+    members = folded.join(classes, "w").select("class", "doc_id")
+    # Each class is similar to itself; rows of two classes pair in either order of their ids.
+    met = similar_pairs(classes.select(F.col("class").alias("doc_id"), "w"), least).select(F.col("a").alias("class"), F.col("b").alias("met"), "similarity")
+    met = met.unionByName(classes.select("class", F.col("class").alias("met"), F.lit(1.0).alias("similarity")))
+    x = met.join(members.withColumnRenamed("doc_id", "x"), "class").join(members.select(F.col("class").alias("met"), F.col("doc_id").alias("y")), "met")
+    x = x.where((F.col("x") < F.col("y")) | ((F.col("class") != F.col("met")) & (F.col("x") > F.col("y"))))
+    return x.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
 def greedy_dedup(docs: DataFrame, least: float = 0.8, first_words: int = 100) -> DataFrame:
     """(doc_id) of the rows that a pass in order of the id keeps: similar to no row kept before.
 

@@ -188,10 +188,18 @@ _W100 = "list_distinct(" + WORDS.format("lower(text)") + "[:100])"
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) AS total FROM w a JOIN w b ON a.doc_id < b.doc_id)
 SELECT a, b, round(n / (total - n), 6) AS similarity FROM p WHERE n > 0 AND n / (total - n) >= 0.5""")
 def jaccard_pairs(spark, sf_dir):
+    """Pairs within two sources, as the SQL has it; jaccard_pairs_whole takes all documents."""
     docs = table(spark, sf_dir, "documents").where("source in ('src1', 'src2')")
     return C.similar_pairs(docs.select("doc_id", F.array_distinct(F.slice(X.lower_words(F.col("text")), 1, 100)).alias("w")), 0.5)
 
 
+@query()
+def jaccard_pairs_whole(spark, sf_dir):
+    """Similar pairs among all documents (the SQL of that would be quadratic, so without SQL)."""
+    docs = table(spark, sf_dir, "documents")
+    return C.all_similar_pairs(docs.select("doc_id", F.array_distinct(F.slice(X.lower_words(F.col("text")), 1, 100)).alias("w")), 0.5)
+
+
 @query()
 def dedup_greedy(spark, sf_dir):
     """Greedy removal of documents similar to a kept earlier one (sequential, so without SQL)."""
