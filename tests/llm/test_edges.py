@@ -235,6 +235,15 @@ def test_character_map_takes_the_longest_prefix():
     assert m.longest(b"abx", 0) == (2, b"2") and m.longest(b"ax", 0) == (1, b"1") and m.longest(b"x", 0) is None
 
 
+def test_quality_stage_drops_texts_full_of_symbols(spark):
+    clean = "we went to the market in the town and bought bread for all of the people who were at home with us"
+    words = clean.split()
+    rows = [(1, clean), (2, " | ".join(words)), (3, " ".join(w + " |" if i % 3 == 0 else w for i, w in enumerate(words))), (4, clean + " for 5 % less")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_good_quality(spark, docs, "").collect()) == [1, 4]
+    assert sorted(r.doc_id for r in quality.judge(docs, rules=quality.SQL_RULES).where("kept").collect()) == [1, 2, 3, 4]
+
+
 def test_quality_rules_compile(spark):
     rules = (quality.Rule("n_words", low=3), quality.Rule("mean_word_length", 2, 5))
     got = quality.judge(spark.createDataFrame([(1, "aa bb " * 12), (2, "a"), (3, "abcdefg " * 30)], "doc_id int, text string"), rules=rules)

@@ -44,15 +44,17 @@ class Rule:
 
 #: Hard rules of the contract: too few words, too many repeated words.
 BASE_RULES = (Rule("n_words", low=20), Rule("repeat_percent", high=30))
-#: Rules beyond those. They are wide, so that odd but clean texts pass.
+#: Rules beyond those. They are wide, so that odd but clean texts pass; a symbol in ten words is the usual limit.
 RULES = (
     Rule("mean_word_length", 2.0, 25.0),
-    Rule("symbol_ratio", high=0.5),
+    Rule("symbol_ratio", high=0.1),
     Rule("dup_line_ratio", high=0.5),
     Rule("ellipsis_line_ratio", high=0.9),
     Rule("bullet_line_ratio", high=0.95),
     Rule("stop_word_ratio", high=0.98),
 )
+#: The rules as op9's SQL spells them: up to a symbol every other word.
+SQL_RULES = tuple(Rule("symbol_ratio", high=0.5) if r.ratio == "symbol_ratio" else r for r in RULES)
 
 
 def _part(top: Column, of: Column) -> Column:

@@ -62,7 +62,7 @@ def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judge(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    found = quality.judge(read(spark, sf_dir, "documents"), rules=quality.SQL_RULES, keep=["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
