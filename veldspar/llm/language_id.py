@@ -34,8 +34,13 @@ CENTROIDS = 4
 ITERATIONS = 12
 #: Characters that are turned into features at a time.
 PIECE = 1 << 19
-#: A text is rejected if its cosine is below this share of the lowest cosine in the learning sample.
-REJECT_SHARE = 0.25
+#: A text is rejected if its cosine is below this share of a low percentile of the cosines in its language's
+#: learning sample, so that no single odd row sets the limit.
+REJECT_SHARE = 0.5
+REJECT_PERCENTILE = 1
+#: Texts of fewer n-grams (about five words) lie far from any centroid; they are held to a part of the limit.
+SHORT = 100
+SHORT_SHARE = 0.5
 
 _LETTERS: np.ndarray | None = None
 
@@ -132,7 +137,8 @@ class Centroids:
         best = cosine.argmax(axis=1)
         top = cosine[np.arange(len(texts)), best].astype(float)
         langs = [self.languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
-        return langs, np.where(letters, top.clip(0, 1), 0.0), ~letters | (top < self.limits[best])
+        limit = self.limits[best] * np.where(counts.sum(axis=1) < SHORT, SHORT_SHARE, 1.0)
+        return langs, np.where(letters, top.clip(0, 1), 0.0), ~letters | (top < limit)
 
 
 def cluster(x: np.ndarray, k: int) -> np.ndarray:
@@ -188,7 +194,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
         own = x[langs == lang]
         own = own[np.lexsort(own[:, :64].T)]
         c = cluster(own, centroids)
-        low = float((own @ c.T).max(axis=1).min())
+        low = float(np.percentile((own @ c.T).max(axis=1), REJECT_PERCENTILE))
         names += [lang] * len(c)
         vectors.append(c)
         limits += [REJECT_SHARE * low] * len(c)
