@@ -118,6 +118,15 @@ def test_all_similar_pairs_folds_equal_sets(spark):
     assert got == want and len(got) == 10
 
 
+def test_vector_queries_ask_with_every_fiftieth_row(spark, sf):
+    from veldspar.plans import catalogue
+
+    want = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r.vec_id % 50 == 0}
+    got = catalogue.queries()["vector_topk_asks"](spark, sf).collect()
+    assert {r.query_id for r in got} == want and len(want) > 5 and len(got) == 10 * len(want)
+    assert {r.query_id for r in catalogue.queries()["vector_threshold_asks"](spark, sf).collect()} == want
+
+
 def test_merge_overlaps(spark):
     whole = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(200))
     rows = [(1, i, whole[s : s + 300]) for i, s in enumerate(range(0, len(whole) - 100, 200))]

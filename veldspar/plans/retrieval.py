@@ -75,9 +75,13 @@ def bm25_stats(spark, sf_dir):
 _VEC = "SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 5"
 
 
-def _vectors(spark, sf_dir):
+#: The same with the rows that op10 asks with.
+_VEC_ASKS = _VEC.replace("q.vec_id < 5", "q.vec_id % 50 = 0")
+
+
+def _vectors(spark, sf_dir, asks="vec_id < 5"):
     v = table(spark, sf_dir, "embeddings")
-    return v, v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return v, v.where(asks).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 @query(f"SELECT query_id, id, score, rank, 1 - score AS distance FROM {_cut(f'({_VEC})', 10)}")
@@ -92,6 +96,20 @@ def vector_threshold(spark, sf_dir):
     return R.vector_search(v, q, 5, "vec_id", min_score=0.3)
 
 
+@query(f"SELECT query_id, id, score, rank, 1 - score AS distance FROM {_cut(f'({_VEC_ASKS})', 10)}")
+def vector_topk_asks(spark, sf_dir):
+    """vector_topk asked with every row whose id is divisible by 50."""
+    v, q = _vectors(spark, sf_dir, "vec_id % 50 = 0")
+    return R.vector_search(v, q, 10, "vec_id").withColumn("distance", 1 - F.col("score"))
+
+
+@query(f"SELECT query_id, id, score, rank FROM {_cut(f'({_VEC_ASKS})', 5)} WHERE score >= 0.3")
+def vector_threshold_asks(spark, sf_dir):
+    """vector_threshold asked with every row whose id is divisible by 50."""
+    v, q = _vectors(spark, sf_dir, "vec_id % 50 = 0")
+    return R.vector_search(v, q, 5, "vec_id", min_score=0.3)
+
+
 _EMB = "[" + ", ".join(f"('0x' || h[{2 * i + 1}:{2 * i + 2}])::INT / 255::DOUBLE" for i in range(32)) + "]"
 _LEGS = f"""{_BM25}, lex AS (SELECT query_id, id, score, rank FROM {_cut('bs', 30)} WHERE score > 0),
 de AS (SELECT doc_id AS id, {_EMB} AS v FROM (SELECT doc_id, sha256(text) AS h FROM documents)), qe AS (SELECT query_id, {_EMB} AS v FROM (SELECT query_id, sha256(text) AS h FROM {_Q})),
