@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from veldspar.llm import language_id, license_scan, mixing, pieces, quality, simhash, token_counts, topk, warc
+from veldspar.llm import katz, language_id, license_scan, mixing, pieces, quality, simhash, token_counts, topk, warc
 from veldspar.llm import queries as Q
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -235,6 +235,24 @@ def test_character_map_takes_the_longest_prefix():
     assert m.longest(b"abx", 0) == (2, b"2") and m.longest(b"ax", 0) == (1, b"1") and m.longest(b"x", 0) is None
 
 
+def test_katz_tables_with_keys(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("key"), "text", (F.col("doc_id") % 7 != 2).alias("train"))
+    scores = lambda keys: sorted(tuple(r) for r in katz.learn_and_score(docs, keys=keys).collect())
+    assert scores(True) == scores(False)
+    packed = katz.materialise_bucketed(katz.blocks(docs, 1 << 14), "katz-test", "block")
+    for keys in (True, False):
+        for kind in ("word", "pair"):
+            own = katz._count_tables(packed, kind, 2, keys).where("block is null").collect()
+            if not keys:
+                assert own and all(r.a is None and r.b is None for r in own)
+                continue
+            found = np.concatenate([katz.unpack_sorted(r.a, np.uint64) for r in own])
+            counts = np.concatenate([katz.unpack(r.b, np.uint32) for r in own])
+            stats = np.sum([r.stats for r in own], axis=0)
+            assert len(found) == len(set(found.tolist())) == len(counts)
+            assert (counts > 0).sum() == stats[-2] and counts.sum() == stats[-1] > 0
+
+
 def test_language_limit_rejects_other_languages_and_random_letters(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(language_id.learned_rows(docs, F.col("doc_id")))
