@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, and clashing extra columns."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -194,6 +195,56 @@ def test_warc_ranges_own_each_record_once(spark, odd, tmp_path):
     assert texts[8] == ("<b>é" * 50_000).encode()
 
 
+def test_warc_long_headers_and_archives_within_payloads(spark, tmp_path):
+    inner = b"".join(warc._record(k, None, b"inner" * 9, hashlib.sha1(b"inner" * 9).hexdigest(), 45, None) for k in (70, 71))  # an archive of two records
+    r = np.random.default_rng(2)
+    # Bytes that deflate stores as they are, so that the inner records stand in the archive as such.
+    nested = r.bytes(100_000) + inner + r.bytes(100_000) + inner[: len(inner) // 3] + r.bytes(50_000)
+    rows = [(1, "http://a", b"one"), (2, "http://b/" + "x" * 2_000_000, b"two"), (3, "http://c", nested), (4, "http://d", b"four" * 400), (5, "http://e", nested[::-1])]
+    where = f"file://{tmp_path}/w"
+    warc.write_archives(warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html binary").coalesce(1)), where)
+    stored = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("part-*"))
+    assert stored.count(inner) == 1
+    want = sorted((k, u, h) for k, u, h in rows)
+    for size in (331, 4001, 1 << 20):
+        got = warc.read_archives(spark, where, size)
+        assert sorted((x.id, x.url, bytes(x.payload)) for x in got.collect()) == want
+    assert warc.read_archives(spark, where, 4001, payloads=False).count() == 5
+
+
+def test_warc_long_members_in_linear_time(tmp_path):
+    import time
+
+    def seconds(n):
+        body = np.random.default_rng(n).integers(0, 64, n, dtype=np.uint8).tobytes()
+        path = tmp_path / str(n)
+        path.write_bytes(warc._record(1, "http://a", body, hashlib.sha1(body).hexdigest(), n, None))
+        began = time.process_time()
+        [(_, end, head, block)] = warc.read_range(str(path), 0, 1, keep=False)
+        assert end == path.stat().st_size and block.size == n and block.sha.digest() == hashlib.sha1(body).digest()
+        return time.process_time() - began
+
+    short = seconds(16 << 20)
+    assert seconds(128 << 20) < 20 * max(short, 0.05)
+
+
+def test_warc_damage_fails_the_read(spark, tmp_path):
+    body = b"some text " * 50
+    members = [warc._record(k, None, body, hashlib.sha1(body).hexdigest(), len(body), None) for k in range(3)]
+    (tmp_path / "a.warc.gz").write_bytes(members[0] + members[1][:-20])
+    with pytest.raises(ValueError, match="cut-off|damaged"):
+        warc.read_archives(spark, f"file://{tmp_path}").count()
+
+
+def test_warc_hot_digests_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 5)
+    rows = [(k, f"http://{k}", "long text " * 200 if k % 3 else f"other {k // 6} " * 200) for k in range(60)] + [(None, None, None), (None, "x", "")]
+    got = {r.id: r.refers_to for r in warc.plan_records(spark.createDataFrame(rows, PAGES)).collect()}
+    for k in range(60):
+        last = 59 if k % 3 else k // 6 * 6 + 3
+        assert got[k] == (None if k == last else last)
+
+
 def test_license_regions():
     s = license_scan.Scanner((license_scan.Template("x", "grant <<opt>> of <<opt>> full <</opt>> use <</opt>> by <<var 2>> here"),))
     for text, ok in [("grant by here", 1), ("Grant, of use by me here", 1), ("grant of full use by a b here", 1), ("grant of full by here", 0), ("grant by a b c here", 0), ("grants by here", 0)]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.llm import katz, language_id, license_scan, mixing, pieces, quality, simhash, token_counts, topk, warc
-from veldspar.llm._shared import id_remainder, read, scratch_path
+from veldspar.llm._shared import id_remainder, read
 
 
 def piece_model() -> str:
@@ -30,9 +30,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch_path(spark, "warc")
-    warc.write_archives(warc.plan_records(read(spark, sf_dir, "pages")), folder)
-    found = warc.read_archives(spark, folder, payloads=False)
+    found = warc.round_trip(read(spark, sf_dir, "pages"))
     return found.select(F.col("id").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
