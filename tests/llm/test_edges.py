@@ -305,19 +305,6 @@ def test_katz_tables_with_keys(spark, sf):
             assert (counts > 0).sum() == stats[-2] and counts.sum() == stats[-1] > 0
 
 
-def test_language_limit_rejects_other_languages_and_random_letters(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = language_id.fit(language_id.learned_rows(docs, F.col("doc_id")))
-    r = np.random.default_rng(3)
-    odd = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz     "), n)) for n in (300, 1000, 5000)]
-    odd.append("Suomi on tasavalta Pohjois-Euroopassa ja sen naapurimaita ovat Ruotsi, Norja ja Venäjä. Maan pääkaupunki on Helsinki, ja siellä asuu yli kuusisataatuhatta ihmistä. Kesällä päivät ovat pitkiä ja valoisia.")
-    odd.append("Polska jest państwem w Europie Środkowej, położonym między Morzem Bałtyckim a Sudetami i Karpatami. Stolicą kraju jest Warszawa, w której mieszka prawie dwa miliony ludzi.")
-    assert model.predict(odd)[2].all()
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1")
-    clean = [x.text for x in docs.join(labels, "doc_id").collect()]
-    assert len(clean) > 300 and not model.predict(clean)[2].any()
-
-
 def test_quality_stage_drops_texts_full_of_symbols(spark):
     clean = "we went to the market in the town and bought bread for all of the people who were at home with us"
     words = clean.split()
