@@ -30,15 +30,17 @@ def plain_quality(text):
     return all(r.low <= ratio[r.ratio] <= r.high for r in quality.BASE_RULES + quality.RULES)
 
 
-def plain_uniform(key, text):
+def plain_uniform(row):
     h = xxhash.xxh64_intdigest(mixing.SEED.to_bytes(4, "little"), 42)
-    h = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), h)
-    h = xxhash.xxh64_intdigest(text.encode(), h)
+    for v in row:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True) if isinstance(v, int) else v.encode(), h)
     return ((h & ((1 << 52) - 1)) + 0.5) / (1 << 52)
 
 
 def plain_mix(docs):
-    """Copies of each document: targets by repeated capping, certain copies, then Pareto's order to the cut."""
+    """Copies of each document: targets by repeated capping, certain copies, then Pareto's order to the cut. The
+    draws are of whole rows, as their columns stand in the table."""
     size = {d.doc_id: len(SPACES.findall(d.text)) for d in docs}
     total = Counter()
     for d in docs:
@@ -60,22 +62,25 @@ def plain_mix(docs):
         own = [d for d in docs if d.source == s]
         whole = int(target[s] // total[s])
         missing = target[s] - whole * total[s]
-        squares = sum(size[d.doc_id] ** 2 for d in own)
-        order = []
-        for d in own:
-            out[d.doc_id] = whole
-            p = min(1.0, missing * size[d.doc_id] / squares)
-            if p > 0:
-                u = plain_uniform(d.doc_id, d.text)
-                order.append((u / (1 - u) * (1 - p) / p, d.doc_id))
+        ranked = sorted((d for d in own if size[d.doc_id]), key=lambda d: -size[d.doc_id])
         words = 0
+        # The largest are taken for certain until the rest's inclusion probabilities are below one.
+        while missing > 0 and ranked and (missing - words) / sum(size[d.doc_id] ** 2 for d in ranked) * size[ranked[0].doc_id] >= 1:
+            most = size[ranked[0].doc_id]
+            words += sum(size[d.doc_id] for d in ranked if size[d.doc_id] == most)
+            ranked = [d for d in ranked if size[d.doc_id] < most]
+        level = (missing - words) / max(1, sum(size[d.doc_id] ** 2 for d in ranked))
+        for d in own:
+            out[d.doc_id] = whole + (missing > 0 and size[d.doc_id] > 0 and d not in ranked)
+        order = []
+        for d in ranked if missing > 0 else ():
+            p, u = level * size[d.doc_id], plain_uniform(d)
+            order.append((u / (1 - u) * (1 - p) / p, d.doc_id))
         for _, k in sorted(order):
-            words += size[k]
-            if words - size[k] / 2 > missing:
+            if words + size[k] / 2 > missing:
                 break
             out[k] += 1
-            if words >= missing:
-                break
+            words += size[k]
     return out
 
 
