@@ -246,6 +246,28 @@ def test_warc_hot_digests_without_a_shuffle(spark, monkeypatch):
         assert got[k] == (None if k == last else last)
 
 
+def test_postings_of_sparse_and_full_vectors():
+    r = np.random.default_rng(4)
+    m = r.integers(-9, 9, (300, 12)) * (r.random((300, 12)) < np.linspace(0.01, 1, 12))
+    queries = r.integers(-9, 9, (40, 14)) * (r.random((40, 14)) < 0.5)
+    lists = topk.postings(m)
+    assert all(len(at) == np.count_nonzero(m[:, d]) and (w != 0).all() for d, (at, w) in enumerate(lists))
+    for at in range(0, 40, 16):
+        assert (topk.accumulate(300, lists, queries[at : at + 16]) == queries[at : at + 16, :12] @ m.T).all()
+
+
+def test_long_vectors_of_few_weights(spark):
+    rows = [(k, [0.0] * (997 * (k % 5)) + [float(k % 7), 1.0]) for k in range(60)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 3).collect()
+    width = max(len(v) for _, v in rows)
+    m = np.zeros((60, width), np.int64)
+    for k, v in rows:
+        m[k, : len(v)] = np.floor(256 * np.array(v))
+    for q in (0, 20, 40):
+        best = sorted((-int(m[q] @ m[k]), k) for k in range(60) if k != q)[:3]
+        assert [(-s, k) for s, k in best] == [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+
+
 def test_license_regions():
     s = license_scan.Scanner((license_scan.Template("x", "grant <<opt>> of <<opt>> full <</opt>> use <</opt>> by <<var 2>> here"),))
     for text, ok in [("grant by here", 1), ("Grant, of use by me here", 1), ("grant of full use by a b here", 1), ("grant of full by here", 0), ("grant by a b c here", 0), ("grants by here", 0)]:
@@ -311,7 +333,6 @@ def test_quality_stage_drops_texts_full_of_symbols(spark):
     rows = [(1, clean), (2, " | ".join(words)), (3, " ".join(w + " |" if i % 3 == 0 else w for i, w in enumerate(words))), (4, clean + " for 5 % less")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.keep_good_quality(spark, docs, "").collect()) == [1, 4]
-    assert sorted(r.doc_id for r in quality.judge(docs, rules=quality.SQL_RULES).where("kept").collect()) == [1, 2, 3, 4]
 
 
 def test_quality_rules_compile(spark):

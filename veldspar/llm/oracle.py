@@ -24,7 +24,7 @@ m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_tra
       FROM w LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND word_chars / n_words BETWEEN 2 AND 25 AND n_symbols / n_words <= 0.5 AND n_stops / n_words <= 0.98
+  NOT base_failed AND word_chars / n_words BETWEEN 2 AND 25 AND n_symbols / n_words <= 0.1 AND n_stops / n_words <= 0.98
   AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5 AND coalesce(n_ellipsis / nullif(n_lines, 0), 0) <= 0.9
   AND coalesce(n_bullets / nullif(n_lines, 0), 0) <= 0.95 AS kept
 FROM b"""

@@ -53,8 +53,6 @@ RULES = (
     Rule("bullet_line_ratio", high=0.95),
     Rule("stop_word_ratio", high=0.98),
 )
-#: The rules as op9's SQL spells them: up to a symbol every other word.
-SQL_RULES = tuple(Rule("symbol_ratio", high=0.5) if r.ratio == "symbol_ratio" else r for r in RULES)
 
 
 def _part(top: Column, of: Column) -> Column:

@@ -1,14 +1,13 @@
 """Exact top-k by inner product, term at a time.
 
-Candidates are stored as postings: for each dimension the candidates with a weight in it. A query is a
-sparse row of (dimension, weight); each of its terms scatters weighted postings into a dense array of
-scores, one slot a candidate. The k best are selected in each partition of candidates and merged over
-partitions.
+Candidates are stored as postings: for each dimension the candidates with a weight in it, and the weights.
+Queries are sparse rows of (dimension, weight). Term at a time, a dimension's weighted postings are scattered
+into dense arrays of scores, one slot a candidate, of the queries that have the term: GROUP of them at once,
+side by side, so that one walk over a list serves all. The k best are selected in each partition of candidates
+and merged over partitions.
 
 Candidates are packed into blocks of at most BLOCK rows and queries into blocks of at most QUERIES, so a
 task holds one of each; every query block meets every candidate block through a join on block numbers.
-A list whose dimension is set in most candidates is stored in full, zeros included, so that it is added
-without a scatter.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part; nor do rows
 with a null id. Vectors of different lengths count as zero beyond their end. Ties go to the smaller id. A
@@ -31,7 +30,9 @@ from veldspar.llm._shared import materialise
 SCALE = 256
 BLOCK = 16384
 QUERIES = 1024
-#: Tasks that blocks of candidates are dealt to, at most.
+#: Queries whose scores are added up side by side.
+GROUP = 16
+#: Tasks that blocks of candidates are dealt to, at most: a layout, results are the same for any number.
 TASKS = 20_000
 
 
@@ -71,24 +72,30 @@ def _unpacked(ids: bytes, lengths: bytes, data: bytes) -> tuple[np.ndarray, np.n
     return key[order], out[order]
 
 
-def postings(matrix: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
-    """For each dimension the candidates and weights; candidates None where the list is stored in full."""
-    out: list[tuple[np.ndarray | None, np.ndarray]] = []
+def postings(matrix: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each dimension the candidates that have a weight in it, and their weights."""
+    out = []
     for column in np.ascontiguousarray(matrix.T):
         at = np.flatnonzero(column)
-        out.append((None, column) if 2 * len(at) > len(column) else (at, column[at]))
+        out.append((at, column[at]))
     return out
 
 
-def search_block(ids: np.ndarray, lists: list[tuple[np.ndarray | None, np.ndarray]], query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best candidates of a block (ids ascending) for one query: ids and scores, ties to smaller ids."""
-    scores = np.zeros(len(ids), np.int64)
-    for d in np.flatnonzero(query[: len(lists)]):
+def accumulate(n: int, lists: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray) -> np.ndarray:
+    """Scores of n candidates for a few queries, a row each, term by term over their non-zero weights."""
+    scores = np.zeros((n, len(queries)), np.int64)
+    for d in np.flatnonzero(queries[:, : len(lists)].any(axis=0)):
         at, weights = lists[d]
-        if at is None:
-            scores += weights * query[d]
+        asking = np.flatnonzero(queries[:, d])
+        if len(asking) == len(queries):
+            scores[at] += weights[:, None] * queries[:, d]
         else:
-            scores[at] += weights * query[d]
+            scores[at[:, None], asking] += weights[:, None] * queries[asking, d]
+    return np.ascontiguousarray(scores.T)
+
+
+def select(ids: np.ndarray, scores: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best candidates of a block (ids ascending) for one query: ids and scores, ties to smaller ids."""
     own = slice(int(np.searchsorted(ids, query_id)), int(np.searchsorted(ids, query_id, side="right")))
     if own.stop > own.start:
         ids, scores = np.delete(ids, own), np.delete(scores, own)
@@ -101,6 +108,15 @@ def search_block(ids: np.ndarray, lists: list[tuple[np.ndarray | None, np.ndarra
     return ids[best], scores[best]
 
 
+def search_block(ids: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, ids, scores) of the k best of a block of candidates for each of a block of queries."""
+    out = []
+    for at in range(0, len(query_ids), GROUP):
+        rows = accumulate(len(ids), lists, queries[at : at + GROUP])
+        out += [(int(q), *select(ids, row, int(q), k)) for q, row in zip(query_ids[at : at + GROUP], rows, strict=True)]
+    return out
+
+
 def top_k(vectors: DataFrame, asks: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, id, score) of the k best rows for each row where asks holds."""
     rows = materialise(quantised(vectors.withColumn("__asks", asks), id_col, vector_col, scale), "topk-rows")
@@ -124,7 +140,7 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 5, id_col: str = "vec_id",
                 if last is None or last[0] != r["ids"]:
                     ids, matrix = _unpacked(r["ids"], r["lengths"], r["data"])
                     last = (r["ids"], ids, postings(matrix))
-                out = [(q, *search_block(last[1], last[2], int(q), row, k)) for q, row in zip(*_unpacked(r["q_ids"], r["q_lengths"], r["q_data"]), strict=True)]
+                out = search_block(last[1], last[2], *_unpacked(r["q_ids"], r["q_lengths"], r["q_data"]), k)
                 yield pa.record_batch({"query_id": pa.array(np.repeat([q for q, _, _ in out], [len(x) for _, x, _ in out]).astype(np.int64)), "vec_id": pa.array(np.concatenate([x for _, x, _ in out]) if out else np.zeros(0, np.int64)), "score": pa.array(np.concatenate([s for _, _, s in out]) if out else np.zeros(0, np.int64))})
 
     best = met.mapInArrow(run, "query_id long, vec_id long, score long")
