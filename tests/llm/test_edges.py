@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -276,6 +277,20 @@ def test_license_regions():
         license_scan.Automaton(license_scan.Template("x", "<<var 2>> open"))
 
 
+def test_whole_licenses_need_all_their_wording():
+    scanner = license_scan.Scanner()
+    for label in ("mit", "bsd", "isc", "apache", "gpl"):
+        markup = max((t.markup for t in license_scan.TEMPLATES if t.label == label), key=len)
+        named = re.sub(r"<<var \d+>>", "Holder,", markup)
+        text = re.sub(r"<</?opt>>", " ", named)
+        words = text.split()
+        assert label in scanner.scan("Copyright 2020\n" + text.upper().replace("AS IS", '"AS IS"') + ". More")["labels"]
+        assert label == "bsd" or label in scanner.scan(re.sub(r"<<opt>>.*?<</opt>>", " ", named))["labels"]
+        changed = " ".join([*words[:-9], "changed", *words[-9:]])
+        # A statement of the license is enough for the last two.
+        assert (label in scanner.scan(changed)["labels"]) == (label in ("apache", "gpl")) and label + "-opening" in scanner.scan(changed)["labels"]
+
+
 def test_longest_match_with_byte_fallback():
     a = token_counts.LongestMatch(["ab", "abc", "abcd", "cde", "d", "xyz", "e"])
     assert [a.count(w) for w in ("abcde", "abcdf", "xyq", "", "é", "cd", "abab")] == [2, 2, 3, 0, 2, 2, 2]

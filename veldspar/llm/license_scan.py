@@ -46,20 +46,58 @@ BASE = (
     Template("apache", "apache license", True),
     Template("gpl", "general public license", True),
 )
-#: Notices and license openings as their publishers word them.
+#: Whole licenses and notices as their publishers word them. Names of holders, numbers of list items and the wordings
+#: that publishers vary are regions; all other words are mandatory. A license's first sentence alone has a label of
+#: its own, since what follows it may have been changed.
 TEMPLATES = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<opt>> the software <</opt>> to deal in the software without restriction"),
-    Template("apache", "licensed under the apache license <<opt>> version 2 0 <</opt>> <<opt>> the license <</opt>> you may not use this file except in compliance with the license"),
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<opt>> the software <</opt>> to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice <<opt>> including the next paragraph <</opt>> shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and <<opt>> non <</opt>> <<var 1>> "
+        "in no event shall <<var 12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    Template(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "<<opt>> 1 <</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "<<opt>> 2 <</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "<<opt>> <<opt>> 3 <</opt>> neither the name of <<var 12>> nor the names of <<var 4>> contributors may be used to endorse or promote products derived from this software without specific prior written permission <</opt>> "
+        "this software is provided by <<var 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall <<var 12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+        "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and <<opt>> or <</opt>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and <<var 12>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall <<var 12>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    Template(
+        "apache",
+        "licensed under the apache license version 2 0 <<opt>> the license <</opt>> you may not use this file except in compliance with the license you may obtain a copy of the license at <<var 8>> "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
     Template("apache", "licensed under the apache license version 2 0"),
+    Template(
+        "gpl",
+        "free software you can redistribute it and or modify it under the terms of the gnu <<opt>> lesser <</opt>> <<opt>> affero <</opt>> general public license as published by the free software foundation "
+        "either version <<var 2>> of the license or at your option any later version",
+    ),
     Template("gpl", "licensed under the gnu <<opt>> lesser <</opt>> <<opt>> affero <</opt>> general public license <<opt>> version <<var 1>> <</opt>>"),
-    Template("gpl", "free software you can redistribute it and or modify it under the terms of the gnu <<opt>> lesser <</opt>> general public license as published by the free software foundation"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     Template("mpl", "subject to the terms of the mozilla public license <<opt>> v 2 0 <</opt>>"),
     Template("cc-by-nc", "licensed under <<opt>> a <</opt>> <<opt>> the <</opt>> cc by nc <<opt>> 4 0 <</opt>>"),
     Template("cc-by-sa", "licensed under <<opt>> a <</opt>> <<opt>> the <</opt>> cc by sa <<opt>> 4 0 <</opt>>"),
     Template("cc-by", "licensed under a creative commons attribution <<var 3>> international license"),
     Template("all-rights-reserved", "copyright <<var 8>> all rights reserved"),
+    Template("mit-opening", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<opt>> the software <</opt>> to deal in the software without restriction"),
+    Template("bsd-opening", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    Template("isc-opening", "permission to use copy modify and <<opt>> or <</opt>> distribute this software for any purpose with or without fee is hereby granted"),
+    Template("apache-opening", "licensed under the apache license <<opt>> version 2 0 <</opt>> <<opt>> the license <</opt>> you may not use this file except in compliance with the license"),
+    Template("gpl-opening", "free software you can redistribute it and or modify it under the terms of the gnu <<opt>> lesser <</opt>> <<opt>> affero <</opt>> general public license as published by the free software foundation"),
 )
 
 
