@@ -1,7 +1,6 @@
 """Every registered query against a plain Python version of its contract, on whole small tables."""
 
 import hashlib
-import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,6 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from tests.llm.test_katz import PlainKatz
+from veldspar.llm import katz
 from veldspar.llm import queries as Q
 from veldspar.llm._shared import read
 
@@ -100,16 +101,16 @@ def test_license_scan(spark, sf, docs):
     assert any(r.labels for r in got.values())
 
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, shingle=4):
     w = SPACES.findall((text or "").translate(LOWER))
     if not w:
         return 0
-    sh = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
+    sh = [" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))]
     hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
     return sum(1 << k for k in range(64) if sum(h >> k & 1 for h in hs) > len(hs) / 2)
 
 
-def plain_components(fps):
+def plain_components(fps, radius=4):
     ids = sorted(fps)
     parent = {i: i for i in ids}
 
@@ -120,7 +121,7 @@ def plain_components(fps):
 
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: root(i) for i in ids}
@@ -170,56 +171,13 @@ def test_token_counts(spark, sf, docs):
         assert (got[d.doc_id].n_words, got[d.doc_id].n_tokens) == (len(w), sum(greedy(BEGIN + x) for x in w))
 
 
-def plain_katz(texts, train):
-    """Probabilities of a Katz bigram model, from dictionaries."""
-    tokens = {k: SPACES.findall((t or "").translate(LOWER)) + ["\n"] for k, t in texts.items()}
-    uni, bi = Counter(), Counter()
-    for k in train:
-        uni.update(tokens[k])
-        bi.update(zip([" ", *tokens[k]], tokens[k], strict=False))
-
-    def factors(counts):
-        n = Counter(counts.values())
-        d = {r: 1.0 for r in range(1, 6)}
-        rest = 6 * n[6] / n[1] if n[1] else 1
-        if rest < 1:
-            for r in d:
-                if n[r]:
-                    x = ((r + 1) * n[r + 1] / (r * n[r]) - rest) / (1 - rest)
-                    d[r] = x if 0 < x <= 1 else 1.0
-        return d
-
-    du, db, total = factors(uni), factors(bi), sum(uni.values())
-    freed = sum((1 - du.get(c, 1)) * c for c in uni.values())
-    over, spare = (total, freed) if freed > 1e-9 else (total + 1, 1)
-    p1 = lambda w: du.get(uni[w], 1) * uni[w] / over if uni[w] else spare / over
-    seen, mass, lower = Counter(), Counter(), Counter()
-    for (v, w), c in bi.items():
-        seen[v] += c
-        mass[v] += db.get(c, 1) * c
-        lower[v] += p1(w)
-    denominator = {v: n if n - mass[v] > 1e-9 * n else n + 1 for v, n in seen.items()}
-
-    def p2(v, w):
-        if (c := bi[v, w]) > 0:
-            return db.get(c, 1) * c / denominator[v]
-        return p1(w) * ((denominator[v] - mass[v]) / denominator[v] / (1 - lower[v]) if v in seen else 1)
-
-    base = lambda w: math.log10((uni[w] + 1) / (total + len(uni) + 1))
-    scores = {k: (len(t), sum(uni[w] > 0 for w in t), total, sum(map(base, t)), sum(math.log10(p2(v, w)) for v, w in zip([" ", *t], t, strict=False))) for k, t in tokens.items()}
-    return scores, p1, p2, uni, spare / over
-
-
 def test_katz(spark, sf, docs):
     got = rows(Q.op8_katz(spark, sf), "doc_id")
-    train = [d.doc_id for d in docs.itertuples() if crc(d.doc_id, 7) != 2]
-    want, p1, p2, uni, unknown = plain_katz({d.doc_id: d.text for d in docs.itertuples()}, train)
-    for k, r in got.items():
-        assert r.held_out == (crc(k, 7) == 2) and tuple(r)[2:5] == want[k][:3]
-        assert (r.base_score, r.score) == pytest.approx(want[k][3:], rel=1e-9)
-    assert sum(map(p1, uni)) + unknown == pytest.approx(1)
-    for v in (" ", *list(uni)[:20]):
-        assert sum(p2(v, w) for w in uni) + p2(v, "\t") == pytest.approx(1)
+    plain = PlainKatz({d.doc_id: d.text for d in docs.itertuples() if crc(d.doc_id, 7) != 2}.values(), katz.ORDER)
+    for d in docs.itertuples():
+        r = got[d.doc_id]
+        assert r.held_out == (crc(d.doc_id, 7) == 2)
+        assert tuple(r)[2:] == pytest.approx(plain.score(d.text), rel=1e-9)
 
 
 def test_quality(spark, sf, docs):

@@ -3,15 +3,18 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import corpus_pipeline
-from veldspar.llm import katz, language_id, license_scan, mixing, pieces, quality, simhash, token_counts, topk, warc
+from tests.llm.test_contracts import plain_components
+from veldspar.llm import _shared, language_id, license_scan, mixing, pieces, quality, simhash, token_counts, topk, warc
+from veldspar.llm import pipeline as corpus_pipeline
 from veldspar.llm import queries as Q
+from veldspar.llm._shared import materialise
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PAGES = "page_id long, url string, html string"
@@ -117,29 +120,87 @@ def test_extra_columns_with_clashing_names(spark, odd):
     assert warc.plan_records(paged).count() == 10
 
 
+CLASHING = {"copy": "a", "copies": "b", "n_words": "c", "kept": "d", "size": "e", "target": "f", "taken": "g", "lang_pred": "h", "lang_rejected": "i", "component": "j", "fp": "k", "__text": "l", "a": "m", "row": "n", "first": "o"}
+
+
 def test_pipeline_stages(spark, odd):
-    docs = spark.read.parquet(f"{odd}/documents.parquet")
-    columns = docs.columns
+    docs = spark.read.parquet(f"{odd}/documents.parquet").withColumns({n: F.lit(v) for n, v in CLASHING.items()})
+    columns, before = docs.columns, {tuple(r) for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES:
-        made = stage(spark, docs, odd).persist()
+        made = materialise(stage(spark, docs, odd), f"stage-{name}")
         if name != "piece_encoding":
-            assert made.columns == columns
+            assert made.columns == columns and {tuple(r) for r in made.collect()} <= before
         if name == "simhash_dedup":
-            groups = simhash.components(docs, keep=["doc_id"]).select("component").distinct().count()
-            assert made.count() == groups
+            d = corpus_pipeline.DEDUP
+            assert made.count() == simhash.components(docs, keep=["doc_id"], **d).select("component").distinct().count()
         docs = made
     assert docs.count() > 0
 
 
-def test_dedup_stage_by_ids_and_by_rows(spark, sf):
+def test_stages_of_empty_tables(spark, empty):
+    docs = spark.read.parquet(f"{empty}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, empty).count() == 0
+
+
+def test_dedup_keeps_the_least_row_of_each_group(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    want = sorted(r[0] for r in simhash.components(docs, keep=["doc_id"]).select("component_id").distinct().collect())
+    groups = lambda x: simhash.components(x, keep=["doc_id"], **corpus_pipeline.DEDUP)
+    want = sorted(r[0] for r in groups(docs).select("component_id").distinct().collect())
     made = corpus_pipeline.keep_one_of_each_group(spark, docs, sf)
     assert sorted(r.doc_id for r in made.collect()) == want and made.columns == docs.columns
-    twice = docs.unionByName(docs.where("doc_id < 9").withColumn("text", F.concat("text", F.lit(" and a tail of other words that belongs to no other text at all" * 9))))
-    made = corpus_pipeline.keep_one_of_each_group(spark, twice, sf)
-    groups = simhash.components(twice, keep=["doc_id"]).select("component").distinct().count()
-    assert made.count() == groups > len(want)
+    # Rows of one id with different texts, rows repeated whole, and null ids.
+    tail = F.concat("text", F.lit(" and a tail of other words that belongs to no other text at all" * 9))
+    odd = docs.unionByName(docs.where("doc_id < 9").withColumn("text", tail)).unionByName(docs.where("doc_id < 30"))
+    odd = odd.unionByName(docs.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.where("doc_id = 5").withColumns({"doc_id": F.lit(None).cast("long"), "text": F.reverse("text")}))
+    made = corpus_pipeline.keep_one_of_each_group(spark, odd, sf)
+    assert made.count() == groups(odd).select("component").distinct().count() > len(want)
+    assert made.where("doc_id is null").count() == 1
+    assert {r.doc_id for r in made.collect()} >= set(want)
+
+
+def test_near_copies_of_five_word_shingles(spark):
+    r = random.Random(11)
+    words = [f"word{i}" for i in range(4000)]
+    rows, pairs = [], []
+    for i in range(300):
+        text = [r.choice(words) for _ in range(r.randint(80, 400))]
+        rows.append((2 * i, " ".join(text)))
+        changed = text[:]
+        for at in r.sample(range(len(text)), max(1, len(text) // r.choice([40, 60, 100]))):
+            changed[at] = r.choice(words)
+        rows.append((2 * i + 1, " ".join(changed)))
+        a, b = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (text, changed))
+        pairs.append(len(a & b) / len(a | b))
+    found = {x.doc_id: x.component_id for x in simhash.components(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"], **corpus_pipeline.DEDUP).collect()}
+    assert all(found[2 * i] == 2 * i and found[2 * i + 1] in (2 * i, 2 * i + 1) for i in range(300))
+    caught = lambda low, high: [found[2 * i] == found[2 * i + 1] for i, s in enumerate(pairs) if low <= s < high]
+    near, close = caught(0.8, 0.9), caught(0.9, 1.1)
+    assert len(near) > 50 and sum(near) >= 0.7 * len(near) and sum(close) >= 0.97 * len(close)
+
+
+@pytest.mark.parametrize("hot", [3, 10**9])
+def test_hot_fingerprints_components_and_labels(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+    monkeypatch.setattr(_shared, "HOT_ROWS", hot)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "FAN", 2)
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [(i, base) for i in range(20)] + [(100 + i, base + f" x{i}") for i in range(60)] + [(200 + i, f"a{i} b{i} c{i} d{i}") for i in range(20)] + [(None, base), (None, None), (300, "")]
+    got = simhash.components(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect()
+    assert Counter(r.component_id for r in got) == Counter({0: 81, 300: 2} | {200 + i: 1 for i in range(20)})
+
+
+@pytest.mark.parametrize("agree", [2, 3, 4])
+def test_links_are_the_same_for_any_choice_of_bands(spark, agree):
+    r = random.Random(5)
+    fps = [r.getrandbits(64) for _ in range(200)]
+    fps += [f ^ sum(1 << b for b in r.sample(range(64), k)) for f in fps for k in (1, 4, 7, 8)]
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in dict.fromkeys(fps)]
+    for radius in (4, 7):
+        labels = {x.node: x.label for x in simhash.connected(simhash.links(spark.createDataFrame(signed, "fp long"), radius, agree=agree)).collect()}
+        plain = plain_components({f: f % (1 << 64) for (f,) in signed}, radius)
+        assert {f: labels.get(f, f) for (f,) in signed} == plain
 
 
 def test_compare_blocks_against_plain_distances():
@@ -324,24 +385,6 @@ def test_character_map_takes_the_longest_prefix():
     assert m.longest(b"abx", 0) == (2, b"2") and m.longest(b"ax", 0) == (1, b"1") and m.longest(b"x", 0) is None
 
 
-def test_katz_tables_with_keys(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("key"), "text", (F.col("doc_id") % 7 != 2).alias("train"))
-    scores = lambda keys: sorted(tuple(r) for r in katz.learn_and_score(docs, keys=keys).collect())
-    assert scores(True) == scores(False)
-    packed = katz.materialise_bucketed(katz.blocks(docs, 1 << 14), "katz-test", "block")
-    for keys in (True, False):
-        for kind in ("word", "pair"):
-            own = katz._count_tables(packed, kind, 2, keys).where("block is null").collect()
-            if not keys:
-                assert own and all(r.a is None and r.b is None for r in own)
-                continue
-            found = np.concatenate([katz.unpack_sorted(r.a, np.uint64) for r in own])
-            counts = np.concatenate([katz.unpack(r.b, np.uint32) for r in own])
-            stats = np.sum([r.stats for r in own], axis=0)
-            assert len(found) == len(set(found.tolist())) == len(counts)
-            assert (counts > 0).sum() == stats[-2] and counts.sum() == stats[-1] > 0
-
-
 def test_quality_stage_drops_texts_full_of_symbols(spark):
     clean = "we went to the market in the town and bought bread for all of the people who were at home with us"
     words = clean.split()

@@ -8,9 +8,9 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from tests.llm.test_contracts import SPACES, plain_components, plain_fingerprint
+from tests.llm.test_contracts import LOWER, SPACES
 from veldspar.llm import language_id, mixing, quality
+from veldspar.llm import pipeline as corpus_pipeline
 from veldspar.llm import queries as Q
 
 
@@ -30,6 +30,43 @@ def plain_quality(text):
     return all(r.low <= ratio[r.ratio] <= r.high for r in quality.BASE_RULES + quality.RULES)
 
 
+def plain_prints(text, shingle, prints):
+    """Fingerprints of the shingles' hashes and of their further mixes."""
+    out, mask = [], (1 << 64) - 1
+    w = SPACES.findall((text or "").translate(LOWER))
+    hs = [xxhash.xxh64_intdigest(" ".join(w[i : i + shingle]).encode(), 42) for i in range(max(1, len(w) - shingle + 1))]
+    for k in range(prints):
+        mixed = hs
+        if k:
+            mixed = [(h + k * 0x9E3779B97F4A7C15) & mask for h in hs]
+            mixed = [(h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask for h in mixed]
+            mixed = [(h ^ h >> 27) * 0x94D049BB133111EB & mask for h in mixed]
+            mixed = [h ^ h >> 31 for h in mixed]
+        out.append(sum(1 << b for b in range(64) if sum(h >> b & 1 for h in mixed) > len(mixed) / 2) if w else 0)
+    return out
+
+
+def plain_near(texts):
+    """Component of each text: links by one print within the radius, and all together within their share."""
+    d = corpus_pipeline.DEDUP
+    prints = {k: plain_prints(t, d["shingle"], d["prints"]) for k, t in texts.items()}
+    parent = {k: k for k in prints}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    ids = sorted(prints)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            far = [(a ^ b).bit_count() for a, b in zip(prints[i], prints[j], strict=True)]
+            if min(far) <= d["radius"] and sum(far) <= d["most"] * 64 * d["prints"]:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {k: root(k) for k in ids}
+
+
 def plain_uniform(row):
     h = xxhash.xxh64_intdigest(mixing.SEED.to_bytes(4, "little"), 42)
     for v in row:
@@ -92,7 +129,7 @@ def test_run_equals_a_plain_version(spark, sf):
     rejected = [bool(model.predict([d.text])[2][0]) for d in docs]
     docs = [d for d, no in zip(docs, rejected, strict=True) if not no]
     docs = [d for d in docs if plain_quality(d.text)]
-    parts = plain_components({d.doc_id: plain_fingerprint(d.text) for d in docs})
+    parts = plain_near({d.doc_id: d.text for d in docs})
     docs = [d for d in docs if parts[d.doc_id] == d.doc_id]
     copies = plain_mix(docs)
     p = sentencepiece.SentencePieceProcessor(model_file=Q.piece_model())

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that separates words: U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -39,31 +39,56 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, and survives
-    the loss of any executor because no copy lives on one."""
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder, in a folder for each value of `by`, and read it back: cuts
+    lineage, and survives the loss of any executor because no copy lives on one."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialise_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As materialise, laid out in as many buckets of key as a shuffle has partitions, so that grouping by
-    key later moves nothing. The table's name is dropped at once; its files stay for the frame."""
+def materialise_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As materialise, laid out in buckets of key, so that grouping by key later moves nothing. The table's name is
+    dropped at once; its files stay for the frame."""
     spark = df.sparkSession
     table, path = f"veldspar_{uuid.uuid4().hex}", scratch_path(spark, name)
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(table)
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
     out = spark.table(table).select(*df.columns)
     spark.sql(f"DROP TABLE {table}")
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written: its cleaner works on what the
-    driver's garbage collection finds, which may otherwise not run for as long as the disk fills."""
-    gc.collect()
-    spark._jvm.System.gc()
+#: Rows of one key from which it is looked up without a shuffle.
+HOT_ROWS = 100_000
+
+
+def hot_keys(rows: DataFrame, key: str, hot: int | None = None) -> DataFrame:
+    """The keys that more than hot rows have: no more than rows / hot."""
+    return rows.groupBy(key).count().where(F.col("count") > (HOT_ROWS if hot is None else hot)).select(key)
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, columns: list[str], spread: Column, hot: DataFrame) -> DataFrame:
+    """rows with columns of table, which has one row a key (null where it has none). Keys in hot, whose number
+    is bounded by the rows they have, are broadcast; their rows then take part in the join by a key of their own,
+    made of spread, so that no task gets all rows of a key."""
+    near = table.join(F.broadcast(hot), key, "left_semi").select(F.col(key), F.struct(*columns).alias("__near"))
+    x = rows.join(F.broadcast(near), key, "left")
+    own = F.when(F.col("__near").isNull(), F.col(key)).otherwise(F.xxhash64(spread))
+    far = table.select(F.col(key).alias("__own"), F.struct(*columns).alias("__far"))
+    x = x.withColumn("__own", own).join(far, "__own", "left").withColumn("__found", F.coalesce("__near", "__far"))
+    return x.select(*rows.columns, *(F.col("__found")[c].alias(c) for c in columns))
+
+
+def row_key(df: DataFrame) -> Column:
+    """A struct of two 64-bit hashes (a, b) over all columns of a row; columns that hold maps, which have no hash,
+    count by their text, and nulls by their place."""
+    def part(f: T.StructField) -> list[Column]:
+        c = F.col(f"`{f.name}`")
+        return [c.cast("string") if "map<" in f.dataType.simpleString() else c, c.isNull()]
+
+    values = [x for f in df.schema.fields for x in part(f)]
+    return F.struct(F.xxhash64(F.lit(1), *values).alias("a"), F.xxhash64(F.lit(2), *values).alias("b"))
 
 
 def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -59,9 +59,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     return x.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * first["level"]).alias("target"))
 
 
-def row_hash(docs: DataFrame, seed: int) -> Column:
-    """A hash of all columns of a row; columns that hold maps, which have no hash, count by their text."""
-    plain = [F.col(f"`{f.name}`") if "map" not in f.dataType.simpleString() else F.col(f"`{f.name}`").cast("string") for f in docs.schema.fields]
+def row_hash(docs: DataFrame, seed: int, of: list[str] | None = None) -> Column:
+    """A hash of the columns of a row, all if None; columns that hold maps, which have no hash, count by their text."""
+    fields = docs.select(*(f"`{c}`" for c in (docs.columns if of is None else of))).schema.fields
+    plain = [F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in fields]
     return F.xxhash64(F.lit(seed), *plain)
 
 
@@ -94,11 +95,12 @@ def _repeated(rows: DataFrame, times: str) -> DataFrame:
     return x.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(SLICES), F.col(times) - F.col("__nth") * SLICES))))
 
 
-def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
-    """docs with size, source_size, target, copies (times the document is taken) and taken (words)."""
+def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED, keep: list[str] | None = None, drawn_by: list[str] | None = None) -> DataFrame:
+    """docs with size, source_size, target, copies (times the document is taken) and taken (words). drawn_by
+    names the columns that a row's random number depends on, all if None."""
     new = ["size", "source_size", "target", "copies", "taken"]
     kept = carried(docs, keep, new)
-    drawn = row_hash(docs, seed)
+    drawn = row_hash(docs, seed, drawn_by)
 
     def keyed(columns: list[str]) -> DataFrame:
         # Carried columns travel as one, so that no name of theirs clashes with the plan's.

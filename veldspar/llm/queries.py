@@ -55,7 +55,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     learned = F.coalesce(id_remainder(F.col("doc_id"), 7) != 2, F.lit(True))
-    found = katz.learn_and_score(docs.select(F.col("doc_id").alias("key"), "text", learned.alias("train")))
+    _, found = katz.learn_and_score(docs.select(F.col("doc_id").alias("key"), "text", learned.alias("train")))
     return found.select(F.col("key").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -69,9 +69,9 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+    from veldspar.llm import pipeline as stages
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict:

@@ -1,23 +1,28 @@
 """SimHash near-duplicates, compared on bit planes.
 
 A text's fingerprint has bit k set if over half of its word shingles' hashes have it. Fingerprints link if
-they differ in at most RADIUS bits; components are the connected parts of all links.
-
-Candidates are exact: 64 bits are cut into RADIUS + 2 bands, and two fingerprints within the radius agree
-in at least two of them, so they share the key of some pair of bands. Distinct fingerprints that share a
-key are compared block by block: a block's bits are stored vertically, one plane per bit, and one pass over
-the planes adds up 64 distances per word with carry-save counters. (query, word) blocks whose 64
+they differ in at most `radius` bits; components are the connected parts of all links. With several prints (of
+further mixes of the same hashes) texts link if any one of them is within the radius and all of them together
+differ in at most a share `most` of their bits, which chance cannot bring about at any number of texts.
+
+Candidates are exact: 64 bits are cut into radius + agree bands, and two fingerprints within the radius agree
+in at least `agree` of them, so they share the key of some choice of so many bands. agree is 2 until keys would
+have more than MEET fingerprints on average, and then larger; links are the same for any. Fingerprints that
+share a key are compared block by block: a block's bits are stored vertically, one plane per bit, and one pass
+over the planes adds up 64 distances per word with carry-save counters. (query, word) blocks whose 64
 distances all exceed the radius are abandoned on the way. A block returns a spanning forest of its links,
-not its pairs. A key with more rows than BLOCK is split into blocks by a hash, and each pair of its blocks
-is a task of its own, so no key meets in one task.
+not its pairs, in which no node has more than FAN others below it. A key with more rows than BLOCK is split into
+blocks by a hash, and each pair of its blocks is a task of its own, so no key meets in one task.
 
 Components are found by least labels passed along links, with pointer jumping, each round written to the
-shared folder.
+shared folder. Where rows look up a label, component or fingerprint that more than HOT of them share, they do so
+without a shuffle (`look_up`).
 
 Defined results: a text without words (null, empty) has fingerprint 0, which links like any other. A text
 of fewer words than a shingle is one shingle. Equal texts share a fingerprint and thus a component. Null ids
 take part; a component of null ids alone has id null. Extra columns are kept by `components`, and columns of
-docs named like a result are replaced.
+docs named like a result are replaced. `first_rows` tells rows apart by a 128-bit hash of all their columns;
+rows that are equal in all of them are one.
 """
 
 from __future__ import annotations
@@ -32,45 +37,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldspar.llm._shared import carried, materialise
+from veldspar.llm._shared import HOT_ROWS, carried, hot_keys, look_up, materialise, row_key
 
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
 #: Rows of a key that are compared in one block; a task holds two blocks at most.
-BLOCK = 1024
+BLOCK = 4096
+#: Rows of several small keys that share a comparison.
+SHARED = 1024
+#: Fingerprints that share a key by chance, on average, at most.
+MEET = 4096
+#: Links down from a node of a block's forest, at most.
+FAN = 32
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned 64-bit fingerprint of a whole text."""
+def _mixed(h: np.ndarray, nth: int) -> np.ndarray:
+    """Further hashes from 64-bit ones; the first are the hashes themselves."""
+    if not nth:
+        return h
+    x = h + np.uint64(nth * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def prints_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1) -> list[int]:
+    """The unsigned 64-bit fingerprints of a whole text."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return [0] * prints
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
     n = max(1, len(words) - shingle + 1)
     begins, ends = (ends - sizes + 1)[:n].tolist(), ends[len(words) - n :].tolist()
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((prints, 64), np.int64)
     for at in range(0, n, 1 << 14):
         parts = [joined[b:e] for b, e in zip(begins[at : at + (1 << 14)], ends[at : at + (1 << 14)], strict=True)]
         h = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, len(parts))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+        for k in range(prints):
+            counts[k] += np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """docs with fp, the fingerprint's bits as a signed long."""
-    kept = carried(docs, keep, ["fp"])
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned 64-bit fingerprint of a whole text."""
+    return prints_of(text, shingle, seed)[0]
+
+
+def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1) -> DataFrame:
+    """docs with fp, the fingerprint's bits as a signed long, and fp_2, fp_3, ... of further prints."""
+    names = ["fp", *(f"fp_{k}" for k in range(2, prints + 1))]
+    kept = carried(docs, keep, names)
     source = docs.select(*kept, docs[text_col].alias("__text"))
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("fp", T.LongType())])
+    schema = T.StructType([*docs.select(*kept).schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(len(kept))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], names=[*kept, "fp"])
+            fp = np.array([prints_of(t.as_py(), shingle, seed, prints) for t in batch.column(len(kept))], np.uint64).reshape(-1, prints).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(prints))], names=[*kept, *names])
 
     return source.mapInArrow(run, schema)
 
@@ -142,29 +170,47 @@ def _above(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -
     return out
 
 
-def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Positions (root, other) that span the linked parts of a block."""
+def forest(fps: np.ndarray, radius: int = RADIUS, prints: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
+    """Positions (above, below) that span the linked parts of a block. With prints (a row of words each), links
+    need at most `most` different bits in all of them."""
     masks = close_masks(fps, radius)
+    if prints is not None:
+        masks = _near_in_all(masks, prints, most)
     links = [int.from_bytes(m.tobytes(), "little") for m in masks]
     left, out = (1 << len(fps)) - 1, []
     while left:
         root = (left & -left).bit_length() - 1
         left &= left - 1
-        todo = [root]
-        while todo and left:
-            new = links[todo.pop()] & left
+        part, at = [root], 0
+        while at < len(part) and left:
+            new = links[part[at]] & left
             left &= ~new
+            at += 1
             while new:
-                at = (new & -new).bit_length() - 1
-                new &= new - 1
-                todo.append(at)
-                out.append((root, at))
+                low = new & -new
+                new ^= low
+                part.append(low.bit_length() - 1)
+        out += [(part[(i - 1) // FAN], part[i]) for i in range(1, len(part))]
     return out
 
 
-def bands(radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 2 bands that cover 64 bits."""
-    n, out, at = radius + 2, [], 0
+def _near_in_all(masks: np.ndarray, prints: np.ndarray, most: int) -> np.ndarray:
+    """The links of masks between rows that differ in at most `most` bits of all prints."""
+    out, n = np.zeros_like(masks), len(prints)
+    step = max(1, (1 << 21) // n)
+    for at in range(0, n, step):
+        linked = np.unpackbits(masks[at : at + step].view(np.uint8), axis=1, bitorder="little")[:, :n]
+        i, j = np.nonzero(linked)
+        far = np.bitwise_count(prints[at + i] ^ prints[j]).sum(axis=1, dtype=np.int64) > most
+        linked[i[far], j[far]] = 0
+        packed = np.packbits(linked, axis=1, bitorder="little")
+        out[at : at + step].view(np.uint8)[:, : packed.shape[1]] = packed
+    return out
+
+
+def bands(radius: int = RADIUS, agree: int = 2) -> list[tuple[int, int]]:
+    """(shift, width) of radius + agree bands that cover 64 bits."""
+    n, out, at = radius + agree, [], 0
     for i in range(n):
         width = 64 // n + (i < 64 % n)
         out.append((at, width))
@@ -172,47 +218,74 @@ def bands(radius: int = RADIUS) -> list[tuple[int, int]]:
     return out
 
 
-def _keys(fp: Column, radius: int) -> Column:
-    """One key for each pair of bands: its number above the two bands' bits."""
+def agreeing(n: int, radius: int = RADIUS) -> int:
+    """Bands that a key is made of: so many that n fingerprints leave no more than MEET to a key by chance."""
+    agree = 2
+    while agree < 6 and n > MEET << (64 // (radius + agree) * agree):
+        agree += 1
+    return agree
+
+
+def _keys(fp: Column, radius: int, agree: int) -> list[Column]:
+    """One key for each choice of bands: its number above the bands' bits."""
     out = []
-    for t, ((s1, w1), (s2, w2)) in enumerate(combinations(bands(radius), 2)):
-        low = F.shiftrightunsigned(fp, s1).bitwiseAND(F.lit((1 << w1) - 1))
-        high = F.shiftleft(F.shiftrightunsigned(fp, s2).bitwiseAND(F.lit((1 << w2) - 1)), w1)
-        out.append(F.lit(t << (w1 + w2)).cast("long").bitwiseOR(low.bitwiseOR(high).cast("long")))
-    return F.array(*out)
-
-
-def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that join all of distinct(fp) within the radius: enough to span each component."""
-    keyed = distinct.select("fp", F.explode(_keys(F.col("fp"), radius)).alias("key"))
-    shared = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")
-    rows = keyed.join(shared, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    for t, chosen in enumerate(combinations(bands(radius, agree), agree)):
+        key, at = F.lit(0).cast("long"), 0
+        for shift, width in chosen:
+            part = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("long")
+            key, at = key.bitwiseOR(F.shiftleft(part, at)), at + width
+        out.append(key.bitwiseOR(F.lit(t << at).cast("long")))
+    return out
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, prints: int = 1, most: float = 0.25, agree: int | None = None) -> DataFrame:
+    """Edges (a, b) between the fps of distinct(fp, fp_2, ...) that join all within the radius: enough to span
+    each component."""
+    agree = agree or agreeing(distinct.count(), radius)
+    names = ["fp", *(f"fp_{k}" for k in range(2, prints + 1))]
+    keys = [F.struct(F.lit(k).cast("byte").alias("nth"), key.alias("key")) for k, n in enumerate(names) for key in _keys(F.col(n), radius, agree)]
+    keyed = distinct.select(*names, F.inline(F.array(*keys)))
+    large = materialise(keyed.groupBy("nth", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "simhash-keys")
+    rows = keyed.join(large, ["nth", "key"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    rows = rows.select("fp", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"))
+    rows = rows.select(*names, "nth", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select(*names, "nth", F.xxhash64("nth", "key", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"))
+    limit = int(most * 64 * prints)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_fp, held_at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, held_at = np.zeros((0, prints + 1), np.uint64), np.zeros(0, np.int64)
 
-        def found(fps: np.ndarray) -> pa.RecordBatch:
-            fps = np.unique(fps)
-            pairs = np.array(forest(fps, radius), np.int64).reshape(-1, 2)
-            return pa.record_batch({"a": fps[pairs[:, 0]].view(np.int64), "b": fps[pairs[:, 1]].view(np.int64)})
+        def found(rows: np.ndarray) -> pa.RecordBatch:
+            # One row of each fingerprint and print that it is compared by.
+            rows = np.unique(rows, axis=0)
+            fps = rows[np.arange(len(rows)), rows[:, -1].astype(np.int64)]
+            pairs = forest(fps, radius, rows[:, :-1] if prints > 1 else None, limit)
+            ends = rows[np.array(pairs, np.int64).reshape(-1, 2), 0].view(np.int64)
+            ends = ends[ends[:, 0] != ends[:, 1]]
+            return pa.record_batch({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
         for batch in batches:
-            held_fp = np.concatenate((held_fp, batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64)))
+            columns = [batch[n].to_numpy(zero_copy_only=False).view(np.uint64) for n in names]
+            columns.append(batch["nth"].to_numpy(zero_copy_only=False).astype(np.uint64))
+            held = np.concatenate((held, np.stack(columns, axis=1)))
             held_at = np.concatenate((held_at, batch["meeting"].to_numpy(zero_copy_only=False)))
-            # Meetings that end within what is held; several small ones share a comparison.
+            # Meetings that end within what is held, without those of one row; several small ones share a comparison.
             ends = np.flatnonzero(held_at[1:] != held_at[:-1]) + 1
-            at = 0
-            while len(later := ends[ends > at]):
-                fit = later[later <= at + block]
-                end = int(fit[-1] if len(fit) else later[0])
-                yield found(held_fp[at:end])
+            if not len(ends):
+                continue
+            whole, whole_at = held[: ends[-1]], held_at[: ends[-1]]
+            held, held_at = held[ends[-1] :], held_at[ends[-1] :]
+            same = whole_at[1:] == whole_at[:-1]
+            met = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            whole, whole_at = whole[met], whole_at[met]
+            ends, at = np.append(np.flatnonzero(whole_at[1:] != whole_at[:-1]) + 1, len(whole_at)), 0
+            while at < len(whole):
+                fit = ends[(ends > at) & (ends <= at + SHARED)]
+                end = int(fit[-1]) if len(fit) else int(ends[np.searchsorted(ends, at, side="right")])
+                yield found(whole[at:end])
                 at = end
-            held_fp, held_at = held_fp[at:], held_at[at:]
-        if len(held_fp):
-            yield found(held_fp)
+        if len(held) > 1:
+            yield found(held)
 
     met = rows.repartition("meeting").sortWithinPartitions("meeting")
     return met.mapInArrow(compare, "a long, b long").distinct()
@@ -222,29 +295,64 @@ def connected(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of edges(a, b): the least node of its component."""
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "simhash-edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "simhash-labels")
+    hubs = materialise(hot_keys(both, "a"), "simhash-hubs")
     while True:
-        told = both.join(labels.select(F.col("node").alias("a"), "label"), "a").select(F.col("b").alias("node"), "label")
+        told = look_up(both, labels.withColumnRenamed("node", "a"), "a", ["label"], F.col("b"), hubs).select(F.col("b").alias("node"), "label")
         least = materialise(labels.unionByName(told).groupBy("node").agg(F.min("label").alias("label")), "simhash-labels")
-        jumped = least.join(least.select(F.col("node").alias("label"), F.col("label").alias("further")), "label").select("node", F.col("further").alias("label"))
-        new = materialise(jumped, "simhash-labels")
+        further = least.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        new = materialise(look_up(least, further, "label", ["further"], F.col("node"), hot_keys(least, "label")).select("node", F.col("further").alias("label")), "simhash-labels")
         same = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty()
         labels = new
         if same:
             return labels
 
 
-def components(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS, keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def _named(small: DataFrame, least: Column, radius: int, prints: int, most: float) -> DataFrame:
+    """(fp, component, n, first): of small(fp, fp_2, ...) with the rows of a fingerprint and the least of its component."""
+    more = [f"fp_{k}" for k in range(2, prints + 1)]
+    # Texts of one fingerprint are one node; of their further prints those of the least row stand for it.
+    entry = F.min(F.struct(least.alias("least"), *more)).alias("m")
+    nodes = materialise(small.groupBy("fp").agg(entry, F.count(F.lit(1)).alias("n")).select("fp", "n", "m.*"), "simhash-distinct")
+    labels = connected(links(nodes.select("fp", *more), radius, prints=prints, most=most))
+    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("label", "fp"))
+    named = materialise(named.select("fp", "n", "least", "component"), "simhash-named")
+    of = materialise(named.groupBy("component").agg(F.min("least").alias("first")), "simhash-firsts")
+    return materialise(look_up(named, of, "component", ["first"], F.col("fp"), hot_keys(named, "component")).select("fp", "component", "n", "first"), "simhash-components")
+
+
+def components(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS, keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1, most: float = 0.25) -> DataFrame:
     """docs with fingerprint (16 hex digits), component_id (least key reachable) and component (its least
     fingerprint, which tells components apart even where keys are null)."""
     kept = carried(docs, keep, ["fingerprint", "component_id", "component", "fp"])
+    row = [F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row")] if kept else []
     slim = keep is not None and text_col not in kept
-    small = materialise(fingerprints(docs.select(F.col(key_col).alias("__key"), F.col(text_col).alias("__text"), *(kept if slim else [])), "__text", ["__key", *(kept if slim else [])], shingle, seed), "simhash-fp")
-    first = materialise(small.groupBy("fp").agg(F.min("__key").alias("least")), "simhash-distinct")
-    labels = connected(links(first.select("fp"), radius))
-    named = first.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("label", "fp"))
-    named = materialise(named.select("fp", "least", "component"), "simhash-named")
-    of = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = materialise(named.select("fp", "component").join(of, "component"), "simhash-components")
-    rows = small if slim else fingerprints(docs, text_col, kept, shingle, seed)
+    source = lambda own: docs.select(F.col(key_col).alias("__key"), F.col(text_col).alias("__text"), *own)
+    small = materialise(fingerprints(source(row if slim else []), "__text", ["__key", *(["__row"] if row and slim else [])], shingle, seed, prints), "simhash-fp")
+    # Null keys come last.
+    order = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"))
+    found = _named(small, order, radius, prints, most)
+    rows = small if slim else fingerprints(source(row), "__text", ["__key", *(["__row"] if row else [])], shingle, seed)
+    hot = found.where(F.col("n") > HOT_ROWS).select("fp")
+    told = look_up(rows, found.select("fp", "component", F.col("first.key").alias("component_id")), "fp", ["component", "component_id"], F.col("__key"), hot)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(found, "fp").select(*kept, hexed.alias("fingerprint"), "component_id", "component")
+    return told.select(*(["__row.*"] if row else []), hexed.alias("fingerprint"), "component_id", "component")
+
+
+def first_rows(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1, most: float = 0.25) -> DataFrame:
+    """The row of the least key of each component, ties by the hash of the whole row; null keys come last. Texts
+    stay where they are unless the rows that go are too many to broadcast; of equal rows one stays."""
+    key = row_key(docs)
+    small = materialise(fingerprints(docs.select(F.col(text_col).alias("__text"), F.struct(F.col(key_col).isNull().alias("none"), F.col(key_col).alias("key"), key.alias("row")).alias("__key")), "__text", ["__key"], shingle, seed, prints), "simhash-fp")
+    found = _named(small, F.col("__key"), radius, prints, most)
+    hot = found.where(F.col("n") > HOT_ROWS).select("fp")
+    told = look_up(small, found.select("fp", "first"), "fp", ["first"], F.col("__key"), hot)
+    counted = told.groupBy(F.col("__key.row").alias("row"), (~F.col("__key").eqNullSafe(F.col("first"))).alias("goes")).agg(F.count(F.lit(1)).alias("n"))
+    # Rows that go, and rows that stay but stand there more than once; of all others nothing is asked.
+    ruled = materialise(counted.where("goes or n > 1").select("row.a", "row.b", "goes"), "simhash-ruled")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__docs"), key.alias("__row"))
+    keyed = keyed.select("__docs", F.col("__row.a").alias("a"), F.col("__row.b").alias("b"))
+    single = keyed.join(ruled, ["a", "b"], "left_anti")
+    if ruled.where("not goes").isEmpty():
+        return single.select("__docs.*")
+    repeated = keyed.join(ruled.where("not goes"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("__docs").alias("__docs"))
+    return single.select("__docs").unionByName(repeated.select("__docs")).select("__docs.*")
