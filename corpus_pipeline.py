@@ -1,75 +1,5 @@
-"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: its stages (name, function), the SQL of its rows, and run(spark, sf_dir)."""
 
-from __future__ import annotations
+from veldspar.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from veldspar.llm import language_id, mixing, pieces, quality, simhash
-from veldspar.llm._shared import materialise, read, scratch_path
-from veldspar.llm.queries import piece_model
-
-
-def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that language identification rejects."""
-    model = language_id.fit(language_id.learned_rows(docs, F.col("doc_id")))
-    found = language_id.identify(docs, model)
-    return found.where(~F.col("lang_rejected")).select(*docs.columns)
-
-
-def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that break a quality rule."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
-
-
-def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the least id, of each near-duplicate group.
-
-    Where every row has an id of its own, the ids that go are joined out, so that texts move only if those
-    ids are too many to broadcast. Otherwise rows are told apart by their content."""
-    groups = materialise(simhash.components(docs.select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "component_id"), "dedup-groups")
-    if not groups.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        return _first_rows(docs)
-    gone = materialise(groups.where("doc_id <> component_id").select("doc_id"), "dedup-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
-def _first_rows(docs: DataFrame) -> DataFrame:
-    """The row of the least id of each group, ties by the other columns; null ids come last."""
-    grouped = simhash.components(docs, keep=docs.columns)
-    rest = [c for c in docs.columns if c != "doc_id"]
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *rest)).alias("row")
-    return grouped.groupBy("component").agg(first).select(*(F.col("row")[c].alias(c) for c in docs.columns))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    found = mixing.mix(docs).where("copies > 0")
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
-
-
-def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the ids, the byte spans of their pieces, and the decoded text."""
-    return pieces.encode(docs, piece_model())
-
-
-STAGES = [
-    ("language_id", keep_known_languages),
-    ("quality_rules", keep_good_quality),
-    ("simhash_dedup", keep_one_of_each_group),
-    ("mix_sources", mix_sources),
-    ("piece_encoding", encode_pieces),
-]
-
-#: Stages 1, 3 and 5 cannot be put in SQL; tests hold the rows against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each materialised before the next."""
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
