@@ -366,23 +366,80 @@ def test_normaliser_keeps_alignment():
     assert text.decode() == "▁a▁b" and starts.tolist()[-1] == 7 and starts.tolist()[3] == 2
 
 
-def test_character_map_takes_the_longest_prefix():
-    # A double array of the keys "a" -> "1" and "ab" -> "2", built by hand.
-    units = [0] * 1024
-    unit = lambda offset, leaf, label: (offset << 10) | (256 if leaf else 0) | label
-    value = lambda v: v | 0x80000000
-    units[0] = unit(256, False, 0)
-    a = 256 ^ ord("a")
-    units[a] = unit(a ^ 512, True, ord("a"))
-    units[512] = value(0)
-    b = 512 ^ ord("b")
-    units[b] = unit(b ^ 768, True, ord("b"))
-    units[768] = value(2)
-    import struct
-
-    blob = struct.pack("<1024I", *units)
-    m = pieces.CharacterMap(struct.pack("<I", len(blob)) + blob + b"1\x002\x00")
-    assert m.longest(b"abx", 0) == (2, b"2") and m.longest(b"ax", 0) == (1, b"1") and m.longest(b"x", 0) is None
+def character_map(rules):
+    """A compiled map of prefixes and replacements, its double array placed unit by unit."""
+    texts, tree = b"", {}
+    for key, new in sorted(rules.items()):
+        node = tree
+        for b in key:
+            node = node.setdefault(b, {})
+        node[None] = len(texts)
+        texts += new + b"\0"
+    units, taken, offsets, todo = {}, {0}, set(), [(0, tree, 0)]
+    while todo:
+        at, node, label = todo.pop(0)
+        base = 1
+        # No two nodes have one offset, or a label would not tell whose child a unit is.
+        while (at ^ base) in offsets or any((at ^ base ^ (0 if b is None else b)) in taken for b in node):
+            base += 1
+        offsets.add(at ^ base)
+        units[at] = base << 10 | (256 if None in node else 0) | label
+        for b, child in node.items():
+            place = at ^ base ^ (0 if b is None else b)
+            taken.add(place)
+            if b is None:
+                units[place] = 0x80000000 | child
+            else:
+                todo.append((place, child, b))
+    blob = b"".join(units.get(i, 0).to_bytes(4, "little") for i in range(max(units) + 1))
+    return len(blob).to_bytes(4, "little") + blob + texts
+
+
+def plain_normalised(rules, data, prefix, squeeze, escape):
+    """Character by character: the longest rule, or the character itself."""
+    mark = "▁".encode() if escape else b" "
+    out, starts, at, blank = b"", [], 0, True
+    while at < len(data):
+        keys = [k for k in rules if data.startswith(k, at)]
+        n = len(max(keys, key=len)) if keys else 1 if data[at] < 128 else 2 if data[at] >> 5 == 6 else 3 if data[at] >> 4 == 14 else 4
+        new = rules[max(keys, key=len)] if keys else data[at : at + n]
+        places = [at] * len(new) if keys else list(range(at, at + n))
+        if squeeze and blank:
+            cut = len(new) - len(new.lstrip(b" "))
+            new, places = new[cut:], places[cut:]
+        if new:
+            blank = new.endswith(b" ")
+            out, starts = out + new, starts + places
+        at += n
+    end = len(data)
+    while squeeze and out.endswith(b" "):
+        out, end = out[:-1], starts.pop()
+    if prefix and out:
+        out, starts = b" " + out, [starts[0], *starts]
+    places = [p for b, p in zip(out, starts, strict=True) for _ in range(len(mark) if b == 32 else 1)]
+    return out.replace(b" ", mark), [*places, end]
+
+
+@pytest.mark.parametrize("switches", [(1, 1, 1), (1, 0, 1), (0, 1, 1), (0, 0, 0), (1, 1, 0), (1, 0, 0)])
+def test_normaliser_takes_the_longest_prefix(switches):
+    r = random.Random(6)
+    rules = {"ﬁ".encode(): b"fi", "①".encode(): b"1", b"ab": b"X", b"abc": "ÿy".encode(), b"\t": b" ", "\u3000".encode(): b" ", "½".encode(): b" 1/2 ", b"q": b"", b"zz": b"  z", "é".encode(): "e\u0301".encode()}
+    for known in (rules, {}):
+        compiled = character_map(known) if known else b""
+        spec = (bytes([2 << 3 | 2]) + _varint(len(compiled)) + compiled if known else b"") + bytes([3 << 3, switches[0], 4 << 3, switches[1], 5 << 3, switches[2]])
+        normalise = pieces.Normaliser(spec)
+        for _ in range(300):
+            data = "".join(r.choice(["a", "b", "c", "ab", "abc", "z", "zz", " ", "  ", "\t", "q", "ﬁ", "①", "½", "é", "日", "😀", "\u3000"]) for _ in range(r.randint(0, 12))).encode()
+            text, starts = normalise(data)
+            want, places = plain_normalised(known, data, *switches)
+            assert (text, starts.tolist()) == (want, places), data
+
+
+def _varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
 
 
 def test_quality_stage_drops_texts_full_of_symbols(spark):

@@ -2,9 +2,11 @@
 
 Normalisation is done here: longest-prefix matches through the model's compiled character map (a
 double-array trie of UTF-8 prefixes and their replacements), white-space rules and the word-begin prefix,
-recording for each normalised byte the bytes of the original it stands for. The model's own segmentation is
+recording for each normalised byte the bytes of the original it stands for. Places at which no prefix can begin are
+passed over in one sweep, whatever the map. The model's own segmentation is
 then applied to the normalised text, with the model's normaliser overridden by the identity, and every piece
-is projected to a span of original bytes.
+is projected to a span of original bytes. Models with user-defined symbols are refused: their symbols pass the
+normaliser unchanged, which the identity could not tell.
 
 Defined results: null and empty texts have no pieces and decode to an empty text. Whole texts are encoded.
 Repeated rows are encoded one by one; extra columns are kept, and columns of docs named like a result are
@@ -13,6 +15,7 @@ replaced.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -60,6 +63,10 @@ class CharacterMap:
         size = struct.unpack("<I", compiled[:4])[0] if compiled else 0
         self.units = np.frombuffer(compiled[4 : 4 + size], "<u4").tolist()
         self.texts = compiled[4 + size :]
+        root = self._offset(self.units[0]) if self.units else 0
+        #: Finds the bytes with which a prefix can begin; None if there are none.
+        leads = [b for b in range(1, 256) if (at := root ^ b) < len(self.units) and (self.units[at] & 0x800000FF) == b]
+        self.leads = re.compile(b"[" + b"".join(re.escape(bytes([b])) for b in leads) + b"]") if leads else None
 
     @staticmethod
     def _offset(unit: int) -> int:
@@ -93,52 +100,64 @@ class Normaliser:
 
     def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them and the end the original byte it starts at."""
-        if not self.map.units and not self.squeeze:
-            return self._plain(data)
-        out, starts, at, space = bytearray(), [], 0, MARK if self.escape else b" "
-        begun = False
-        blank = self.squeeze
-        while at < len(data):
-            n, new = self._step(data, at)
-            if blank and new == b" " and self.squeeze:
-                at += n
-                continue
-            if not begun and self.prefix:
-                out += space
-                starts += [at] * len(space)
-            begun = True
-            new = new.lstrip(b" ") if blank and self.squeeze else new
-            blank = new.endswith(b" ") if new else blank
-            new = new.replace(b" ", space)
-            out += new
-            starts += [at] * len(new)
-            at += n
-        end = at
-        while self.squeeze and out.endswith(space) and len(out) > 0:
-            end = starts[len(out) - len(space)]
-            del out[len(out) - len(space) :]
-            del starts[len(out) :]
-        return bytes(out), np.array([*starts, end], np.int64)
-
-    def _step(self, data: bytes, at: int) -> tuple[int, bytes]:
-        found = self.map.longest(data, at)
-        if found:
-            return found
-        lead = data[at]
-        n = 1 if lead < 0x80 else 2 if lead >> 5 == 6 else 3 if lead >> 4 == 14 else 4
-        return n, data[at : at + n]
-
-    def _plain(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        """Without a map, only spaces change."""
-        if not data:
-            return b"", np.zeros(1, np.int64)
-        grown = np.ones(len(data), np.int64)
+        text, starts = self._mapped(data)
+        end = len(data)
+        if self.squeeze:
+            last = len(text)
+            while last and text[last - 1] == 32:
+                last -= 1
+                end = int(starts[last])
+            text, starts = text[:last], starts[:last]
+        grown = np.ones(len(text), np.int64)
         if self.escape:
-            grown[np.frombuffer(data, np.uint8) == 32] = len(MARK)
+            grown[text == 32] = len(MARK)
         space = MARK if self.escape else b" "
-        front = len(space) if self.prefix else 0
-        starts = np.concatenate((np.zeros(front, np.int64), np.repeat(np.arange(len(data)), grown), [len(data)]))
-        return (space if self.prefix else b"") + data.replace(b" ", space), starts
+        front = len(space) if self.prefix and len(text) else 0
+        first = int(starts[0]) if len(starts) else 0
+        out = text.tobytes().replace(b" ", space)
+        return (space if front else b"") + out, np.concatenate((np.full(front, first, np.int64), np.repeat(starts, grown), [end]))
+
+    def _mapped(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The text with prefixes replaced and, if the model squeezes white space, without spaces after a space or in
+        front, and the original byte of each byte."""
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        at, blank = 0, True
+
+        def copied(upto: int) -> None:
+            """What no prefix replaces, each byte as it is."""
+            nonlocal blank
+            if upto == at:
+                return
+            text, starts = np.frombuffer(data, np.uint8, upto - at, at), np.arange(at, upto)
+            if self.squeeze:
+                spaces = text == 32
+                stays = ~(spaces & np.concatenate(([blank], spaces[:-1])))
+                blank = bool(spaces[-1])
+                text, starts = text[stays], starts[stays]
+            parts.append((text, starts))
+
+        while self.map.leads is not None and (lead := self.map.leads.search(data, at)) is not None:
+            place = lead.start()
+            # From one possible place to the next, until a prefix is found.
+            while (found := self.map.longest(data, place)) is None:
+                step = self.map.leads.search(data, place + 1)
+                if step is None:
+                    break
+                place = step.start()
+            if found is None:
+                break
+            copied(place)
+            n, new = found
+            if self.squeeze and blank:
+                new = new.lstrip(b" ")
+            if new:
+                parts.append((np.frombuffer(new, np.uint8), np.full(len(new), place)))
+                blank = new.endswith(b" ")
+            at = place + n
+        copied(len(data))
+        if not parts:
+            return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+        return np.concatenate([t for t, _ in parts]), np.concatenate([p for _, p in parts])
 
 
 class PieceModel:
