@@ -308,14 +308,16 @@ def test_warc_hot_digests_without_a_shuffle(spark, monkeypatch):
         assert got[k] == (None if k == last else last)
 
 
-def test_postings_of_sparse_and_full_vectors():
+def test_postings_of_sparse_and_full_vectors(monkeypatch):
     r = np.random.default_rng(4)
     m = r.integers(-9, 9, (300, 12)) * (r.random((300, 12)) < np.linspace(0.01, 1, 12))
     queries = r.integers(-9, 9, (40, 14)) * (r.random((40, 14)) < 0.5)
-    lists = topk.postings(m)
-    assert all(len(at) == np.count_nonzero(m[:, d]) and (w != 0).all() for d, (at, w) in enumerate(lists))
-    for at in range(0, 40, 16):
-        assert (topk.accumulate(300, lists, queries[at : at + 16]) == queries[at : at + 16, :12] @ m.T).all()
+    monkeypatch.setattr(topk, "SLICE", 128)
+    for scale in (1, 1 << 20):
+        lists = topk.postings(m * scale)
+        assert [sum(len(part[d][0]) for part in lists) for d in range(12)] == np.count_nonzero(m, axis=0).tolist()
+        for at in range(0, 40, 16):
+            assert (topk.accumulate(300, lists, queries[at : at + 16] * scale) == (queries[at : at + 16, :12] * scale) @ (m * scale).T).all()
 
 
 def test_long_vectors_of_few_weights(spark):

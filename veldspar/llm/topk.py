@@ -3,8 +3,9 @@
 Candidates are stored as postings: for each dimension the candidates with a weight in it, and the weights.
 Queries are sparse rows of (dimension, weight). Term at a time, a dimension's weighted postings are scattered
 into dense arrays of scores, one slot a candidate, of the queries that have the term: GROUP of them at once,
-side by side, so that one walk over a list serves all. The k best are selected in each partition of candidates
-and merged over partitions.
+side by side, so that one walk over a list serves all, and SLICE candidates at a time, so that their scores stay
+in a core's cache. Scores are as narrow as the largest possible one allows. The k best are selected in each
+partition of candidates and merged over partitions.
 
 Candidates are packed into blocks of at most BLOCK rows and queries into blocks of at most QUERIES, so a
 task holds one of each; every query block meets every candidate block through a join on block numbers.
@@ -30,8 +31,8 @@ from veldspar.llm._shared import materialise
 SCALE = 256
 BLOCK = 16384
 QUERIES = 1024
-#: Queries whose scores are added up side by side.
-GROUP = 16
+#: Queries whose scores are added up side by side, and candidates that they are added up for at a time.
+GROUP, SLICE = 64, 1024
 #: Tasks that blocks of candidates are dealt to, at most: a layout, results are the same for any number.
 TASKS = 20_000
 
@@ -72,26 +73,33 @@ def _unpacked(ids: bytes, lengths: bytes, data: bytes) -> tuple[np.ndarray, np.n
     return key[order], out[order]
 
 
-def postings(matrix: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each dimension the candidates that have a weight in it, and their weights."""
+def postings(matrix: np.ndarray) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each slice of candidates and each dimension the candidates that have a weight in it, and their weights."""
     out = []
-    for column in np.ascontiguousarray(matrix.T):
-        at = np.flatnonzero(column)
-        out.append((at, column[at]))
+    for at in range(0, len(matrix), SLICE):
+        columns = np.ascontiguousarray(matrix[at : at + SLICE].T)
+        held = [np.flatnonzero(c) for c in columns]
+        out.append([(h, c[h]) for h, c in zip(held, columns, strict=True)])
     return out
 
 
-def accumulate(n: int, lists: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray) -> np.ndarray:
+def accumulate(n: int, lists: list[list[tuple[np.ndarray, np.ndarray]]], queries: np.ndarray) -> np.ndarray:
     """Scores of n candidates for a few queries, a row each, term by term over their non-zero weights."""
-    scores = np.zeros((n, len(queries)), np.int64)
-    for d in np.flatnonzero(queries[:, : len(lists)].any(axis=0)):
-        at, weights = lists[d]
-        asking = np.flatnonzero(queries[:, d])
-        if len(asking) == len(queries):
-            scores[at] += weights[:, None] * queries[:, d]
-        else:
-            scores[at[:, None], asking] += weights[:, None] * queries[asking, d]
-    return np.ascontiguousarray(scores.T)
+    out = np.zeros((len(queries), n), np.int64)
+    for at, part in zip(range(0, n, SLICE), lists, strict=True):
+        terms = [d for d in np.flatnonzero(queries[:, : len(part)].any(axis=0)) if len(part[d][0])]
+        most = sum(int(np.abs(part[d][1]).max()) * int(np.abs(queries[:, d]).max()) for d in terms)
+        kind = np.int32 if most < 1 << 31 else np.int64
+        scores = np.zeros((min(SLICE, n - at), len(queries)), kind)
+        for d in terms:
+            held, weights = part[d]
+            asking = np.flatnonzero(queries[:, d])
+            if len(asking) == len(queries):
+                scores[held] += weights.astype(kind)[:, None] * queries[:, d].astype(kind)
+            else:
+                scores[held[:, None], asking] += weights.astype(kind)[:, None] * queries[asking, d].astype(kind)
+        out[:, at : at + SLICE] = scores.T
+    return out
 
 
 def select(ids: np.ndarray, scores: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +116,7 @@ def select(ids: np.ndarray, scores: np.ndarray, query_id: int, k: int) -> tuple[
     return ids[best], scores[best]
 
 
-def search_block(ids: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def search_block(ids: np.ndarray, lists: list[list[tuple[np.ndarray, np.ndarray]]], query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(query, ids, scores) of the k best of a block of candidates for each of a block of queries."""
     out = []
     for at in range(0, len(query_ids), GROUP):
