@@ -95,36 +95,107 @@ def test_greedy_dedup_matches_a_pass_in_order(spark):
     assert got == [i for i, _ in kept]
 
 
-def test_jaccard_pairs_whole_takes_all_sources(spark, sf):
+def word_sets(spark, sf):
+    return {r.doc_id: frozenset([w for w in re.split(r"\s+", r.text.lower()) if w][:100]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+@pytest.mark.parametrize("split", [4, 4096])
+def test_jaccard_pairs_and_links_take_all_documents(spark, sf, monkeypatch, split):
     from veldspar.plans import catalogue
 
-    words = {r.doc_id: frozenset([w for w in re.split(r"\s+", r.text.lower()) if w][:100]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    want = {}
-    for a in words:
-        for b in words:
-            n = len(words[a] & words[b])
-            if a < b and n and n / len(words[a] | words[b]) >= 0.5:
-                want[a, b] = n / len(words[a] | words[b])
-    got = {(r.a, r.b): r.similarity for r in catalogue.queries()["jaccard_pairs_whole"](spark, sf).collect()}
-    assert got == pytest.approx(want, abs=1e-6)
-    assert len(got) > catalogue.queries()["jaccard_pairs"](spark, sf).count()
+    monkeypatch.setattr(C, "SPLIT", split)
+    words, first = word_sets(spark, sf), {}
+    for k in sorted(words):
+        first.setdefault(words[k], k)
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    classes = {k: w for w, k in first.items() if w}
+    want = {(a, b): alike(classes[a], classes[b]) for a in classes for b in classes if a < b and alike(classes[a], classes[b]) >= 0.5}
+    got = {(r.a, r.b): r.similarity for r in catalogue.queries()["jaccard_pairs"](spark, sf).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and len(got) > 1
+    links = {r.doc_id: (r["class"], r.n_links) for r in catalogue.queries()["jaccard_links"](spark, sf).collect()}
+    assert links == {k: (first[w], sum(alike(w, v) >= 0.5 for j, v in words.items() if j != k)) for k, w in words.items() if w}
 
 
-def test_all_similar_pairs_folds_equal_sets(spark):
+def test_similar_classes_fold_equal_sets(spark):
     rows = [(5, ["a", "b", "c"]), (2, ["c", "a", "b"]), (9, ["b", "a", "c"]), (3, ["a", "b"]), (7, ["b", "a"]), (8, ["z"]), (4, []), (6, [])]
-    got = sorted(tuple(r) for r in C.all_similar_pairs(spark.createDataFrame(rows, "doc_id long, w array<string>"), 0.5).collect())
-    sets = sorted((k, set(w)) for k, w in rows if w)
-    want = [(a, b, round(len(v & w) / len(v | w), 6)) for a, v in sets for b, w in sets if a < b and len(v & w) / len(v | w) >= 0.5]
-    assert got == want and len(got) == 10
+    pairs, links = C.similar_classes(spark.createDataFrame(rows, "doc_id long, w array<string>"), 0.5)
+    assert [tuple(r) for r in pairs.collect()] == [(2, 3, round(2 / 3, 6))]
+    assert {r.doc_id: (r["class"], r.n_links) for r in links.collect()} == {5: (2, 4), 2: (2, 4), 9: (2, 4), 3: (3, 4), 7: (3, 4), 8: (8, 0)}
+
 
+def test_vector_queries_ask_with_every_fiftieth_row(spark, sf, monkeypatch):
+    import numpy as np
 
-def test_vector_queries_ask_with_every_fiftieth_row(spark, sf):
     from veldspar.plans import catalogue
 
-    want = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r.vec_id % 50 == 0}
-    got = catalogue.queries()["vector_topk_asks"](spark, sf).collect()
-    assert {r.query_id for r in got} == want and len(want) > 5 and len(got) == 10 * len(want)
-    assert {r.query_id for r in catalogue.queries()["vector_threshold_asks"](spark, sf).collect()} == want
+    monkeypatch.setattr(R, "VECTORS", 64)
+    monkeypatch.setattr(R, "ASKS", 3)
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    got = catalogue.queries()["vector_topk"](spark, sf).collect()
+    asked = [i for i in ids.tolist() if i % 50 == 0]
+    assert {r.query_id for r in got} == set(asked) and len(got) == 10 * len(asked) > 50
+    for q in asked:
+        scores = (v @ v[ids == q][0]).round(6)
+        want = sorted(zip((-scores).tolist(), ids.tolist(), strict=True))[:10]
+        assert [(r.id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, pytest.approx(-s, abs=2e-6)) for s, i in want]
+
+
+def test_vector_search_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [2.0, 0.0, 5.0]), (6, [-1.0, 0.0]), (7, [])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = spark.createDataFrame([(9, [1.0, 0.0]), (8, [0.0])], "query_id int, query_vector array<double>")
+    got = [(r.query_id, r.id, r.score) for r in R.vector_search(v, q, 9).orderBy("query_id", "rank").collect()]
+    assert got == [(8, i, 0.0) for i in (1, 2, 5, 6, 7)] + [(9, 1, 1.0), (9, 5, 0.371391), (9, 2, 0.0), (9, 7, 0.0), (9, 6, -1.0)]
+    assert R.vector_search(v, q.limit(0), 3).count() == 0 == R.vector_search(v.limit(0), q, 3).count()
+
+
+def test_an_index_grows(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    asks = spark.createDataFrame([("x", "licensed under the license"), ("y", "clown thing")], "query_id string, text string")
+    whole = [tuple(r) for r in R.LexicalIndex.build(docs, str(tmp_path / "a")).search(asks, 9).orderBy("query_id", "rank").collect()]
+    index = R.LexicalIndex.build(docs.where("doc_id < 50"), str(tmp_path / "b"))
+    index = index.add(docs.where("doc_id >= 50 and doc_id < 60")).add(docs.where("doc_id >= 60"))
+    assert [tuple(r) for r in index.search(asks, 9).orderBy("query_id", "rank").collect()] == whole
+    assert index.stats().first() == R.LexicalIndex(spark, str(tmp_path / "a")).stats().first()
+    few = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"))
+    assert all(r.id % 2 == 0 for r in index.search(asks, 9, few).collect())
+    index.drop()
+    assert not (tmp_path / "b").exists()
+
+
+def test_plans_of_greedy_rounds_do_not_grow(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i, i + 9))) for i in range(40)]
+    made = C.greedy_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 0.6)
+    assert sorted(r.doc_id for r in made.collect()) == list(range(0, 40, 3))
+    assert made._jdf.queryExecution().toString().count("FileScan") < 40
+
+
+def test_diverse_reranking(spark):
+    rows = [(1, 1, "a b c d", 0.9), (1, 2, "a b c d", 0.8), (1, 3, "x y z", 0.7), (2, 4, "q", 0.1)]
+    found = spark.createDataFrame(rows, "query_id int, id long, text string, score double").withColumn("rank", F.lit(0))
+    got = [(r.query_id, r.id, r["rank"]) for r in R.rerank_diverse(found, F.lit(1.0), 2).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 1), (1, 3, 2), (2, 4, 1)]
+
+
+def test_candidates_for_diversity_against_a_plain_pass(spark, sf):
+    """mmr_select: the order of each query's candidates, from their texts and scores alone."""
+    from veldspar.plans import catalogue
+    from veldspar.plans import retrieval as plans
+
+    found = R.fuse_rrf(*plans._legs(spark, sf), k=R.FETCH).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {(r.query_id, r.id): r.mmr_rank for r in catalogue.queries()["mmr_select"](spark, sf).collect()}
+    for q in {r.query_id for r in found}:
+        left, picked = sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"]), []
+        words = {r.id: set(texts[r.id].lower().split()[:50]) for r in left}
+        near = lambda a, b: len(words[a] & words[b]) / len(words[a] | words[b]) if words[a] | words[b] else 0.0  # noqa: E731, B023
+        while left:
+            best = max(left, key=lambda r: (0.7 * r.score - 0.3 * max((near(r.id, p) for p in picked), default=0.0), -r["rank"]))
+            left.remove(best)
+            picked.append(best.id)
+            assert got[q, best.id] == len(picked)
 
 
 def test_merge_overlaps(spark):
@@ -140,9 +211,21 @@ def test_corroboration_counts_equal_sets(spark):
     assert got == {1: (2, True), 2: (2, True), 3: (2, True), 4: (0, False), 5: (0, False)}
 
 
-def test_citation_markers():
-    assert S.insert_markers("Satış %15 oldu", 3) == "Satış %15 [3] oldu"
-    assert S.insert_markers("no claim", 3) == "no claim"
+def test_citation_markers(spark):
+    rows = spark.createDataFrame([(1, "Satış %15 oldu", 3), (2, "no claim", 3), (3, "toplam 5 milyon TL", None)], "id int, text string, s int")
+    got = {r.id: r.text for r in S.insert_citations(rows, F.col("s")).collect()}
+    assert got == {1: "Satış %15 [3] oldu", 2: "no claim", 3: "toplam 5 milyon TL"}
+
+
+def test_truncated_texts_hold_as_many_tokens_as_they_may(spark):
+    words = lambda n: " ".join(f"w{i}" for i in range(n))
+    texts = ["", "a", words(30), "  " + words(200), "x" * 900, "long " * 3 + "y" * 500, "a  b   c " * 60, "one two three."]
+    count = lambda t: max(int(len(t.split()) * 1.5), int(len(t) / 3.5)) if t else 0
+    for most in (1, 2, 5, 10, 31, 100):
+        got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(X.truncate_tokens(F.col("t"), most)).collect()]
+        for t, g in zip(texts, got, strict=True):
+            fits = [n for n in range(len(t) + 1) if count(t[:n] + "...") <= most]
+            assert g == (t if count(t) <= most else t[: max(fits)] + "..." if fits else "..."), (most, t[:20])
 
 
 def xlsx(path):
@@ -172,7 +255,7 @@ def test_files(spark, tmp_path):
     assert [r.cells for r in sheets if r.error is None] == [["ad", "", "tutar"], ["5"]] and sum(r.error is not None for r in sheets) == 1
     paragraphs = files.read_docx(spark, str(tmp_path))
     assert [(r.heading, r.text) for r in files.text_by_heading(paragraphs).collect()] == [("Giriş", "bir\niki")]
-    assert files.csv_encoding(spark, str(tmp_path / "c.csv")) == "cp1254"
+    assert [r.encoding for r in files.csv_encodings(spark, str(tmp_path / "c.csv")).collect()] == ["cp1254"]
     assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "c.csv")).collect()] == [("çay", 5)]
 
 

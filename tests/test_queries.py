@@ -41,7 +41,8 @@ def test_query(spark, sf, duck, name):
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str)
     sql = catalogue.oracle_sql().get(name)
     if sql is None:
-        assert columns
+        # No SQL says these; their operators are held against plain versions in test_operators.
+        assert got and all(any(v is not None for v in row) for row in got)
         return
     found = duck.execute(sql)
     names = [d[0] for d in found.description]

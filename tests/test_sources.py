@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veldspar.operators import providers as P
 from veldspar.operators import rewriting as W
 from veldspar.operators import validation as V
-from veldspar.sources import dims, files, media, rules, sinks
+from veldspar.sources import dims, files, media, rendering, rules, sinks
 
 
 def pdf(*pages: bytes, compress: bool = False) -> bytes:
@@ -73,10 +73,56 @@ def test_rules(spark, tmp_path):
 
 
 def test_settings():
-    s = rules.settings({"chunking": {"chunk_size": 500, "unknown": 1}, "reranking": {"lambda": 0.5}}, {"RAG_SEMANTIC_WEIGHT": "0.7", "RAG_RERANKING_ENABLED": "0"})
-    assert (s.chunking.chunk_size, s.reranking.lambda_param, s.hybrid_search.semantic_weight, s.reranking.enabled) == (500, 0.5, 0.7, False)
+    s = rules.settings({"chunking": {"chunk_size": 500, "unknown": 1}, "mmr": {"lambda": 0.5}}, {"RAG_SEMANTIC_WEIGHT": "0.7", "RAG_RERANKING_ENABLED": "0"})
+    assert (s.chunking.chunk_size, s.mmr.lambda_param, s.hybrid_search.semantic_weight, s.reranking.enabled) == (500, 0.5, 0.7, False)
     assert rules.check_settings(s) == ["search weights do not add up to 1"]
-    assert rules.budget(rules.Settings()) == 9500
+    assert rules.budget(rules.settings({}, {})) == 9500 and rules.check_settings(rules.settings({}, {})) == []
+
+
+def test_pdf_fonts_and_object_streams():
+    page = b"BT /F1 12 Tf <00410042> Tj /F2 9 Tf (\\360\\376x) Tj ET"
+    cmap = b"2 beginbfchar <0041> <015F> <0043> <00000041> endbfchar 1 beginbfrange <0042> <0044> <0131> endbfrange"
+    inner = [b"<< /Type /Font /Subtype /Type0 /ToUnicode 9 0 R >>", b"<< /Type /Font /Encoding << /Differences [240 /gbreve 254 /scedilla] >> >>"]
+    head = b"5 0 6 %d " % len(inner[0])
+    packed = zlib.compress(head + inner[0] + inner[1])
+    out = b"%PDF-1.5\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /Resources << /Font << /F1 5 0 R /F2 6 0 R >> >> >> endobj\n"
+    out += b"3 0 obj << /Type /Page /Parent 2 0 R /Contents 4 0 R >> endobj\n4 0 obj << /Length %d >> stream\n%s\nendstream endobj\n" % (len(page), page)
+    out += b"8 0 obj << /Type /ObjStm /N 2 /First %d /Filter /FlateDecode /Length %d >> stream\n%s\nendstream endobj\n" % (len(head), len(packed), packed)
+    out += b"9 0 obj << /Length %d >> stream\n%s\nendstream endobj\n" % (len(cmap), cmap)
+    assert media.pdf_pages(out) == ["şığşx"]
+    for broken, message in ((b"text", "not a PDF"), (b"%PDF-1.4 trailer << /Encrypt 4 0 R >>", "encrypted"), (b"%PDF-1.4\n", "no pages"), (out.replace(b"/Length %d >> stream\nBT" % len(page), b"/Filter /LZWDecode >> stream\nBT"), "LZWDecode")):
+        with pytest.raises(ValueError, match=message):
+            media.pdf_pages(broken)
+
+
+def test_reports_as_pdf_with_charts(spark):
+    sections = spark.createDataFrame([(1, 1, "Özet", 1, "Çok ığşİĞŞ güzel (evet) \\ bitti.\n" * 80), (1, 2, "Sonuç", 2, None)], "report_id int, ord int, title string, level int, content string")
+    charts = spark.createDataFrame([(1, "Özet", "bar", [1.0, 3.0])], "report_id int, title string, kind string, values array<double>")
+    made = bytes(rendering.pdf_reports(sections, charts).first().content)
+    pages = media.pdf_pages(made)
+    assert len(pages) > 1 and pages[0].startswith("Rapor 1\n1. Özet\nÇok ığşİĞŞ güzel (evet) \\ bitti.") and "2. Sonuç" in pages[-1]
+    assert media.pdf_pictures(made) == [(480, 300)]
+    assert media.pdf_pictures(bytes(rendering.pdf_reports(sections).first().content)) == []
+
+
+def test_registered_readers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(media, "READERS", dict(media.READERS))
+    (tmp_path / "a.note").write_text("hello")
+    (tmp_path / "b.doc").write_bytes(b"old")
+    assert [r.error for r in media.read_any(spark, str(tmp_path)).collect()] == ["no reader for files of this extension"]
+    media.register(".NOTE", lambda content: (content.decode().upper(), 1))
+    assert ".note" in media.supported_extensions()
+    assert {r.path.rpartition("/")[2]: r.text for r in media.read_any(spark, str(tmp_path)).collect()} == {"a.note": "HELLO", "b.doc": None}
+
+
+def test_charts():
+    bars = rendering.chart_pixels("bar", [1.0, 2.0, 0.0])
+    painted = [(bars[:, 160 * i + 80] != 255).any(axis=1).sum() for i in range(3)]
+    assert painted[1] == 280 and painted[0] == 140 and painted[2] == 0
+    pie = rendering.chart_pixels("pie", [1.0, 3.0])
+    share = (pie.reshape(-1, 3) == rendering.COLOURS[0]).all(axis=1).sum() / (pie.reshape(-1, 3) != 255).any(axis=1).sum()
+    assert abs(share - 0.25) < 0.01
+    assert (rendering.chart_pixels("pie", []) == 255).all() and media.picture(rendering.chart_png("pie", [1.0])) == ("PNG", 480, 300)
 
 
 def test_providers(spark):

@@ -70,6 +70,26 @@ def format_size(c: Column) -> Column:
     return F.when(c < 1024, F.concat(c.cast("long").cast("string"), F.lit(" B"))).when(c < 1024**2, rest(1024.0, " KB")).when(c < 1024**3, rest(1024.0**2, " MB")).otherwise(rest(1024.0**3, " GB"))
 
 
+def format_duration(seconds: Column) -> Column:
+    """Seconds, minutes or hours with one decimal."""
+    shown = lambda x, unit: F.concat(F.format_string("%.1f", F.bround(x, 1)), F.lit(unit))
+    x = seconds.cast("double")
+    return F.when(x < 60, shown(x, "s")).when(x < 3600, shown(x / 60, "m")).otherwise(shown(x / 3600, "h"))
+
+
+def clamp(score: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), score))
+
+
+def weighted_average(scores: Column, weights: Column | None = None) -> Column:
+    """Of two arrays of one length; 0 for no scores or no weight, null if the lengths differ."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    if weights is None:
+        return F.when(F.size(scores) == 0, 0.0).otherwise(total(scores) / F.size(scores))
+    share = total(F.zip_with(scores, weights, lambda a, b: a * b)) / F.nullif(total(weights), F.lit(0.0))
+    return F.when(F.size(scores) == 0, 0.0).when(F.size(scores) == F.size(weights), F.coalesce(share, F.lit(0.0)))
+
+
 def recency(age_days: Column) -> Column:
     """Score of an age in days; 0.5 if unknown."""
     out = F.when(age_days.isNull(), 0.5)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from veldspar.functions import constants as K
 
 SPACE = r"(?U)\s+"
+#: Before the fixed patterns: without regard to case, and with the character classes of Unicode.
+CASELESS = "(?iU)"
 
 
 def clean_text(c: Column) -> Column:
@@ -159,7 +161,7 @@ def is_turkish(c: Column) -> Column:
 
 def entities(c: Column, kind: str, most: int = 10) -> Column:
     """Distinct full matches of a class of entities, sorted, at most ten."""
-    found = F.concat(*[F.regexp_extract_all(c, F.lit("(?iu)" + p), F.lit(0)) for p in K.ENTITY_PATTERNS[kind]])
+    found = F.concat(*[F.regexp_extract_all(c, F.lit(CASELESS + p), F.lit(0)) for p in K.ENTITY_PATTERNS[kind]])
     return F.slice(F.array_sort(F.array_distinct(found)), 1, most)
 
 
@@ -194,6 +196,32 @@ def token_estimate(c: Column) -> Column:
     return F.when(F.length(c) == 0, 0).otherwise(F.greatest((n * F.lit(1.5)).cast("int"), (F.length(c) / F.lit(3.5)).cast("int")))
 
 
+def truncate_tokens(c: Column, most: int, suffix: str = "...") -> Column:
+    """The longest beginning of a text that, with the suffix, has at most so many tokens by `token_estimate`; a text that
+    fits is left as it is.
+
+    Of n characters and w words an estimate has (int) max(1.5 * w, n / 3.5) tokens, so both are bounded; the cut never
+    falls behind the space after the last word that fits, where the suffix would be a word of its own."""
+    chars = -int(-3.5 * (most + 1) // 1) - 1 - len(suffix)
+    words_left = -int(-(most + 1) / 1.5 // 1) - 1
+    if chars <= 0 or words_left <= 0:
+        return F.when(token_estimate(c) <= most, c).otherwise(F.lit(suffix))
+    # Possessive, so that no place is tried twice.
+    head = F.regexp_extract(c, rf"(?U)^\s*+(?:\S++\s++){{{words_left - 1}}}\S++", 0)
+    fits = F.when(F.length(head) > 0, F.least(F.length(head), F.lit(chars))).otherwise(F.lit(chars))
+    return F.when(token_estimate(c) <= most, c).otherwise(F.concat(F.substring(c, F.lit(1), fits), F.lit(suffix)))
+
+
+def sanitize_filename(c: Column) -> Column:
+    """Characters that file names cannot hold become underscores."""
+    return F.translate(c, K.FILENAME_INVALID, "_" * len(K.FILENAME_INVALID))
+
+
+def timed_filename(base: str, time: Column, extension: str) -> Column:
+    """A file name with the second it was made in."""
+    return F.concat(F.lit(base + "_"), F.date_format(time, "yyyyMMdd_HHmmss"), F.lit(extension))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two word arrays; 0 if either is empty."""
     a, b = F.array_distinct(a), F.array_distinct(b)
@@ -211,3 +239,14 @@ def hash_embedding(c: Column) -> Column:
     """32 numbers in 0 to 1: the bytes of the text's SHA-256."""
     digest = F.sha2(c.cast("binary"), 256)
     return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255)
+
+
+def path_problem(c: Column, extensions: Column | None = None, base: str | None = None) -> Column:
+    """What is wrong with a path that a user gave: empty, traversal, outside of a folder, or an extension that is not
+    among those allowed; null if nothing is."""
+    path = F.trim(c)
+    bad = F.exists(F.array(*map(F.lit, K.FORBIDDEN_PATH_PATTERNS)), lambda p: F.contains(path, p))
+    out = F.when(F.coalesce(path, F.lit("")) == "", "empty").when(bad, "traversal")
+    if base is not None:
+        out = out.when(~path.startswith(base.rstrip("/") + "/"), "outside")
+    return out if extensions is None else out.when(~F.array_contains(extensions, F.lower(F.regexp_extract(path, r"\.[^./]*$", 0))), "extension")

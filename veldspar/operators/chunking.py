@@ -165,6 +165,11 @@ def parent_child(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return parents.select("id", "parent_pos", "parent", F.posexplode(packed("parent")).alias("pos", "chunk"))
 
 
+def parent_context(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """(id, parent_pos, pos, chunk, parent): children with the text of their parent, null where it is missing."""
+    return children.select("id", "parent_pos", "pos", "chunk").join(parents.select("id", "parent_pos", "parent"), ["id", "parent_pos"], "left")
+
+
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, path, chunk) of Markdown heading blocks."""
 

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veldspar.functions import text as X
+from veldspar.operators.providers import Provider, generate
+from veldspar.operators.scratch import materialise
+
+#: Rows of a word that meet in one task; more are split, and each pair of splits is a task of its own.
+SPLIT = 4096
 
 
 def first_by(rows: DataFrame, key: Column, order: str) -> DataFrame:
@@ -25,59 +30,84 @@ def first_by_prefix(rows: DataFrame, text_col: str, order: str, chars: int = 200
     return first_by(rows, F.substring(F.lower(F.trim(text_col)), 1, chars), order)
 
 
+def meetings(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Pairs of rows that share a key, (a_..., b_...) in both orders and of a row with itself. A key of more than SPLIT
+    rows is cut into parts by a hash, so that no key meets in one task."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > SPLIT)
+    x = rows.join(materialise(sizes, "meeting-sizes"), key, "left").withColumn("__parts", F.coalesce(F.ceil(F.col("__n") / SPLIT), F.lit(1)).cast("int"))
+    x = x.withColumn("__own", F.pmod(F.xxhash64(*columns), F.col("__parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
+    left = x.select(key, F.col("__own").alias("__p"), every.alias("__q"), *(F.col(c).alias(f"a_{c}") for c in columns))
+    right = x.select(key, every.alias("__p"), F.col("__own").alias("__q"), *(F.col(c).alias(f"b_{c}") for c in columns))
+    return left.join(right, [key, "__p", "__q"])
+
+
 def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of sets(doc_id, w) with a Jaccard similarity of at least least.
 
     Prefix filtering: words are ordered from rare to frequent, and two sets this similar share a word
-    among the first size - ceil(least * size) + 1 of each, so frequent words rarely reach the join."""
-    words = sets.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    rare = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = words.join(rare, "word").withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "word")))
-    prefix = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("doc_id", "word", "n")
-    a, b = prefix.select(F.col("doc_id").alias("a"), "word", F.col("n").alias("na")), prefix.select(F.col("doc_id").alias("b"), "word", F.col("n").alias("nb"))
-    met = a.join(b, "word").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
+    among the first size - ceil(least * size) + 1 of each, so frequent words rarely reach the join. At the first word
+    that they share, what follows in either must be enough for the words in common that the similarity asks for."""
+    words = materialise(sets.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("word")), "words")
+    rare = words.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # A word of one set alone comes before all others and joins with nothing.
+    ranked = words.join(rare, "word", "left").withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("df").asc_nulls_first(), "word")))
+    prefix = ranked.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * least) + 1) & F.col("df").isNotNull()).select("doc_id", "word", "n", "at")
+    both = F.ceil(least / (1 + least) * (F.col("a_n") + F.col("b_n")) - 1e-9)
+    follow = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) + 1
+    near = (F.col("a_doc_id") < F.col("b_doc_id")) & (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")) & (follow >= both)
+    met = meetings(materialise(prefix, "prefixes"), "word", ["doc_id", "n", "at"]).where(near).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
     x = met.join(sets.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b")
     x = x.withColumn("s", X.jaccard(F.col("wa"), F.col("wb")))
     return x.where(F.col("s") >= least).select("a", "b", F.round("s", 6).alias("similarity"))
 
 
-def all_similar_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """As similar_pairs, for whole tables: equal sets are folded to one class first, so a set that many rows
-    share meets the others once. Empty sets are similar to nothing."""
-    folded = sets.where((F.size("w") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.array_sort("w").alias("w"))
-    classes = folded.groupBy("w").agg(F.min("doc_id").alias("class"))
-    members = folded.join(classes, "w").select("class", "doc_id")
-    # Each class is similar to itself; rows of two classes pair in either order of their ids.
-    met = similar_pairs(classes.select(F.col("class").alias("doc_id"), "w"), least).select(F.col("a").alias("class"), F.col("b").alias("met"), "similarity")
-    met = met.unionByName(classes.select("class", F.col("class").alias("met"), F.lit(1.0).alias("similarity")))
-    x = met.join(members.withColumnRenamed("doc_id", "x"), "class").join(members.select(F.col("class").alias("met"), F.col("doc_id").alias("y")), "met")
-    x = x.where((F.col("x") < F.col("y")) | ((F.col("class") != F.col("met")) & (F.col("x") > F.col("y"))))
-    return x.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+def word_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(class, w, n) of each distinct set of words in sets(doc_id, w), named by its least id, and (doc_id, class) of all
+    rows that have words. A set that many rows share is compared once."""
+    folded = materialise(sets.where(F.size("w") > 0).select("doc_id", F.array_sort("w").alias("w")), "word-sets")
+    classes = materialise(folded.groupBy("w").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("n")), "word-classes")
+    return classes, folded.join(classes.select("w", "class"), "w").select("doc_id", "class")
+
+
+def similar_classes(sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, similarity) between classes of rows with equal sets of words, and (doc_id, class, n_links): each
+    row's class and how many other rows are similar to it. Rows without words are similar to nothing and have none."""
+    classes, members = word_classes(sets)
+    pairs = materialise(similar_pairs(classes.select(F.col("class").alias("doc_id"), "w"), least), "similar-pairs")
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(classes.select(F.col("class").alias("b"), "n"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
+    counted = classes.select("class", "n").join(linked, "class", "left").select("class", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    return pairs, members.join(counted, "class").select("doc_id", "class", "n_links")
 
 
 def greedy_dedup(docs: DataFrame, least: float = 0.8, first_words: int = 100) -> DataFrame:
     """(doc_id) of the rows that a pass in order of the id keeps: similar to no row kept before.
 
     A row is removed if a kept earlier neighbour exists, so only rows with a similar earlier row are looked
-    at: rounds settle every row all of whose earlier neighbours are settled, until none is left."""
+    at: a round settles every row all of whose earlier neighbours are settled, until none is left. Each round is a table
+    in the shared folder, so plans do not grow; a round joins the links that are still open alone."""
     # Equal word sets resolve to the least id first, so one set that many rows share makes no pairs.
-    sets = docs.select("doc_id", F.array_sort(F.array_distinct(F.slice(X.lower_words(F.col("text")), 1, first_words))).alias("w"))
-    unique = sets.where(F.size("w") > 0).groupBy("w").agg(F.min("doc_id").alias("doc_id"))
-    empty = sets.where(F.size("w") == 0).select("doc_id")
-    earlier = similar_pairs(unique.select("doc_id", "w"), least).select(F.col("a").alias("before"), F.col("b").alias("doc_id")).persist()
-    open_rows = earlier.select("doc_id").distinct()
-    kept = unique.select("doc_id").join(open_rows, "doc_id", "left_anti")
-    removed = None
-    while not open_rows.isEmpty():
-        out = earlier.join(kept.select(F.col("doc_id").alias("before")), "before", "left_semi").select("doc_id").distinct()
-        removed = out if removed is None else removed.unionByName(out).distinct()
-        gone = earlier.join(removed.select(F.col("doc_id").alias("before")), "before", "left_anti").join(removed, "doc_id", "left_anti")
-        waiting = gone.join(kept.select(F.col("doc_id").alias("before")), "before", "left_anti").select("doc_id").distinct()
-        settled = open_rows.join(removed, "doc_id", "left_anti").join(waiting, "doc_id", "left_anti")
-        kept = kept.unionByName(settled).persist()
-        removed = removed.persist()
-        open_rows = waiting.persist()
-    return kept.unionByName(empty)
+    sets = materialise(docs.select("doc_id", F.array_sort(F.array_distinct(F.slice(X.lower_words(F.col("text")), 1, first_words))).alias("w")), "dedup-sets")
+    unique = materialise(sets.where(F.size("w") > 0).groupBy("w").agg(F.min("doc_id").alias("doc_id")), "dedup-unique")
+    links = materialise(similar_pairs(unique.select("doc_id", "w"), least).select(F.col("a").alias("before"), F.col("b").alias("doc_id")), "dedup-links")
+    removed = []
+    while True:
+        # Rows that no open link leads to are kept; what they lead to goes, with all links from and to it.
+        heads = links.select(F.col("before").alias("doc_id")).distinct().join(links.select("doc_id").distinct(), "doc_id", "left_anti")
+        out = materialise(links.join(heads.select(F.col("doc_id").alias("before")), "before", "left_semi").select("doc_id").distinct(), "dedup-out")
+        if out.isEmpty():
+            break
+        removed.append(out)
+        left = links.join(out, "doc_id", "left_anti").join(out.select(F.col("doc_id").alias("before")), "before", "left_anti")
+        links = materialise(left.select("before", "doc_id"), "dedup-links")
+    kept = unique.select("doc_id")
+    if removed:
+        gone = removed[0]
+        for out in removed[1:]:
+            gone = gone.unionByName(out)
+        kept = kept.join(gone, "doc_id", "left_anti")
+    return kept.unionByName(sets.where(F.size("w") == 0).select("doc_id"))
 
 
 def rank_by_query(rows: DataFrame, query: str, k: int) -> DataFrame:
@@ -115,6 +145,40 @@ def pack_budget(rows: DataFrame, budget: int, group: str, order: str, least: int
     return x.select(order, group, "tokens", "upto", used.alias("used"), (F.col("upto") > budget).alias("truncated"))
 
 
+def styled_context(rows: DataFrame, group: str, order: str, style: str = "numbered", metadata: bool = True) -> DataFrame:
+    """(group, context) of rows(source, text, score, tokens) in order: numbered, markdown or simple, with sources, scores
+    and a line of totals if metadata are wanted."""
+    ordered = F.array_sort(F.collect_list(F.struct(order, "source", "text", "score")))
+    score = lambda r: F.format_string("%.2f", F.coalesce(r["score"].cast("double"), F.lit(0.0)))
+    source = lambda r: F.coalesce(r["source"], F.lit("Bilinmeyen"))
+    text = lambda r: F.concat(F.coalesce(r["text"], F.lit("")), F.lit("\n"))
+
+    def part(r: Column, i: Column) -> Column:
+        n = (i + 1).cast("string")
+        if style == "numbered":
+            about = [F.lit("(Kaynak: "), source(r), F.lit(", Skor: "), score(r), F.lit(")")] if metadata else []
+            return F.concat(F.lit("["), n, F.lit("] "), *about, F.lit("\n"), text(r))
+        if style == "markdown":
+            about = [F.lit("\n*Kaynak: "), source(r), F.lit(" | Skor: "), score(r), F.lit("*\n")] if metadata else []
+            return F.concat(F.lit("### Kaynak "), n, *about, F.lit("\n"), text(r))
+        return text(r)
+
+    parts = F.transform(ordered, part)
+    parts = F.concat(F.array(F.lit("## Ilgili Dokumanlar\n")), parts) if style == "markdown" else parts
+    total = F.concat(F.lit("\n---\nToplam: "), F.count(F.lit(1)).cast("string"), F.lit(" dokuman, "), F.coalesce(F.sum("tokens"), F.lit(0)).cast("string"), F.lit(" token"))
+    return rows.groupBy(group).agg(F.array_join(F.concat(parts, F.array(total)) if metadata else parts, "\n").alias("context"))
+
+
+def compress_with(rows: DataFrame, group: str, order: str, query: Column, provider: Provider | None = None, most_words: int = 500, most_chars: int = 2000) -> DataFrame:
+    """(group, text): the texts of a group made one by a provider, or, without one, their beginning."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce("text", F.lit("")).alias("text")))), lambda r: r["text"])
+    joined = rows.groupBy(group).agg(F.array_join(ordered, "\n\n").alias("joined"), F.array_join(ordered, "\n\n---\n\n").alias("parts"), F.first(query).alias("query"))
+    if provider is None:
+        return joined.select(group, F.substring("joined", 1, most_chars).alias("text"))
+    told = F.concat(F.lit(f"Shorten the passages to what answers the question, with all numbers, in at most {most_words} words.\nQuestion: "), "query", F.lit("\n"), "parts")
+    return generate(joined, told, provider).select(group, F.col("answer").alias("text"))
+
+
 def format_context(rows: DataFrame, group: str, order: str) -> DataFrame:
     """One numbered text a group: [n] source, then the text."""
     ordered = F.array_sort(F.collect_list(F.struct(order, "source", "text")))

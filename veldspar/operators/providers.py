@@ -93,3 +93,44 @@ def critique(answer: Column) -> Column:
 def improved(score: Column, issues: Column, limit: int = 85) -> Column:
     """Whether a text should be written again."""
     return (score < limit) | (F.size(issues) > 0)
+
+
+def improvement_summary(results: DataFrame) -> DataFrame:
+    """One row of results(section, score, improved, issues): sections, those improved, the mean score, and a line for each
+    section with its first two issues."""
+    line = F.concat("section", F.lit(": "), F.col("score").cast("string"), F.lit("/100"), F.when(F.col("improved"), " +").otherwise(""), F.when(F.size("issues") > 0, F.concat(F.lit(" ("), F.array_join(F.slice("issues", 1, 2), ", "), F.lit(")"))).otherwise(""))
+    return results.agg(F.count(F.lit(1)).alias("sections"), F.count_if("improved").alias("improved"), F.round(F.avg("score"), 6).alias("mean_score"), F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+
+
+def write_sections(plan: DataFrame, context: DataFrame, provider: Provider, least_share: float = 0.8) -> DataFrame:
+    """(section, content, words) of plan(section, title, target_words, queries) with the context(section, context) found for
+    each; a text of fewer words than least_share of its target is written once more with what there is."""
+    rows = plan.join(context, "section", "left").withColumn("context", F.coalesce("context", F.lit("")))
+    told = F.concat(F.lit("Write the section "), "title", F.lit(" in "), F.col("target_words").cast("string"), F.lit(" words.\n"), F.coalesce("queries", F.lit("")), F.lit("\n"), "context")
+    first = generate(rows, told, provider).withColumnRenamed("answer", "content")
+    short = F.size(X.words(F.col("content"))) < least_share * F.col("target_words")
+    longer = generate(first.where(short), F.concat(F.lit("Lengthen this to "), F.col("target_words").cast("string"), F.lit(" words:\n"), "content"), provider)
+    done = first.where(~short).select("section", "content").unionByName(longer.select("section", F.col("answer").alias("content")))
+    return done.withColumn("words", F.size(X.words(F.col("content"))))
+
+
+#: From queries to results (title, url, snippet) of each, in order.
+Search = Callable[[list[str]], list[list[tuple[str, str, str]]]]
+
+
+def search(queries: DataFrame, provider: Search, most: int = 10) -> DataFrame:
+    """(query, pos, title, url, snippet): the first results of a search provider for each of queries(query)."""
+
+    @F.pandas_udf("array<struct<title string, url string, snippet string>>")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for asked in batches:
+            yield pd.Series([[{"title": t, "url": u, "snippet": s} for t, u, s in found[:most]] for found in provider([q or "" for q in asked])])
+
+    return queries.select("query", F.posexplode(ask("query")).alias("pos", "r")).select("query", "pos", "r.*")
+
+
+def research_summary(found: DataFrame, most: int = 5) -> DataFrame:
+    """(query, text): a line for each of a query's first results."""
+    ordered = F.slice(F.array_sort(F.collect_list(F.struct("pos", "title", "url", "snippet"))), 1, most)
+    lines = F.transform(ordered, lambda r: F.concat(F.lit("- "), r["title"], F.lit(" ("), r["url"], F.lit("): "), F.coalesce(r["snippet"], F.lit(""))))
+    return found.groupBy("query").agg(F.array_join(lines, "\n").alias("text"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veldspar.operators.scratch import materialise
+
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
     """Each left row with the values of the last right row of its key that is not later. Both sides are put
@@ -42,7 +44,7 @@ def top_per_group(rows: DataFrame, group: str, order: list[Column], k: int) -> D
 def ordinal(rows: DataFrame, order: list[Column | str], name: str = "n") -> DataFrame:
     """rows numbered 1, 2, ... in the given total order, without one task seeing them all: rows are split by
     ranges of the order, numbered within their range, and moved up by the sizes of the ranges before."""
-    split = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
+    split = materialise(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ordinal")
     sizes = split.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
     before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))

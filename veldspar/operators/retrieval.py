@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veldspar.functions import constants as K
 from veldspar.functions import text as X
+from veldspar.operators.scratch import materialise, scratch_path
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Rows that each search leg hands to fusion.
@@ -36,14 +41,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "doc_id
     """(query_id, id, score, rank) of the k best documents of queries(query_id, text), ties to smaller ids.
 
     Rare-term weights are ln(N - df + .5) - ln(df + .5); negative ones become a quarter of the mean over all
-    terms. A query term that is repeated counts again. Only postings of query terms reach the shuffle by
-    document. where filters documents before they are ranked."""
-    post = postings(docs, id_col, text_col)
-    lengths = post.groupBy("id").agg(F.sum("tf").alias("dl"))
-    n = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    tokens = lengths.agg(F.sum("dl").alias("s")).select("s").scalar()
-    kept = post if where is None else post.join(docs.where(where).select(F.col(id_col).alias("id")), "id", "left_semi")
-    return score_bm25(kept, lengths, term_df(post), n, tokens, queries, k)
+    terms. A query term that is repeated counts again. Texts are tokenised once, into an index in the shared
+    folder. where filters documents before they are ranked."""
+    index = LexicalIndex.build(docs, scratch_path(docs.sparkSession, "index"), id_col, text_col)
+    return index.search(queries, k, None if where is None else docs.where(where).select(F.col(id_col).alias("id")))
 
 
 def score_bm25(kept: DataFrame, lengths: DataFrame, frequencies: DataFrame, n: Column, tokens: Column, queries: DataFrame, k: int, mean_idf: Column | None = None) -> DataFrame:
@@ -62,34 +63,54 @@ def score_bm25(kept: DataFrame, lengths: DataFrame, frequencies: DataFrame, n: C
 
 class LexicalIndex:
     """An inverted index in a Parquet folder: postings sorted by term, document lengths, document
-    frequencies, and one row of corpus counts. Row groups without a query's terms are skipped when read."""
+    frequencies, and corpus counts. Row groups without a query's terms are skipped when read. Documents can be
+    added: each time adds files to the four tables, whose rows are added up when they are read."""
 
-    #: Query terms up to which the postings' filter is a list that reaches the scan.
+    #: Query terms up to which the postings' filter is a list that reaches the scan; results are the same without.
     PUSHED = 1000
 
     def __init__(self, spark: SparkSession, path: str):
-        self.post, self.lengths, self.frequencies = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms"))
-        self.corpus = spark.read.parquet(f"{path}/corpus").first()
+        self.spark, self.path = spark, path
+        self.post, self.lengths, parts = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms"))
+        self.corpus = spark.read.parquet(f"{path}/corpus").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("times")).first()
+        self.frequencies = parts if self.corpus.times == 1 else parts.groupBy("term").agg(F.sum("df").alias("df"))
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> LexicalIndex:
+        return cls._write(docs, path, id_col, text_col, "overwrite")
+
+    @classmethod
+    def _write(cls, docs: DataFrame, path: str, id_col: str, text_col: str, mode: str) -> LexicalIndex:
         spark = docs.sparkSession
-        postings(docs, id_col, text_col).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        post = spark.read.parquet(f"{path}/postings")
-        post.groupBy("id").agg(F.sum("tf").alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
-        term_df(post).write.mode("overwrite").parquet(f"{path}/terms")
-        n = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-        idf = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        sums = spark.read.parquet(f"{path}/terms").agg(n.alias("n"), F.avg(idf).alias("mean_idf"))
-        tokens = spark.read.parquet(f"{path}/lengths").agg(F.sum("dl").alias("tokens")).select("tokens").scalar()
-        sums.select("n", "mean_idf", tokens.alias("tokens")).write.mode("overwrite").parquet(f"{path}/corpus")
+        made = materialise(postings(docs, id_col, text_col), "postings")
+        made.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
+        lengths = materialise(made.groupBy("id").agg(F.sum("tf").alias("dl")), "lengths")
+        lengths.write.mode(mode).parquet(f"{path}/lengths")
+        term_df(made).write.mode(mode).parquet(f"{path}/terms")
+        tokens = lengths.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).select("tokens").scalar()
+        docs.agg(F.count(F.lit(1)).alias("n")).select("n", tokens.alias("tokens")).write.mode(mode).parquet(f"{path}/corpus")
         return cls(spark, path)
 
-    def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LexicalIndex:
+        """The index with further documents, whose ids must be new."""
+        return self._write(docs, self.path, id_col, text_col, "append")
+
+    def stats(self) -> DataFrame:
+        """One row: documents, tokens, mean length, terms."""
+        c = self.corpus
+        return self.frequencies.agg(F.count(F.lit(1)).alias("terms")).select(F.lit(c.n).alias("documents"), F.lit(c.tokens).alias("tokens"), F.lit(c.tokens / c.n if c.n else 0.0).alias("mean_length"), "terms")
+
+    def drop(self) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def search(self, queries: DataFrame, k: int = 20, among: DataFrame | None = None) -> DataFrame:
+        """The ranking of bm25; among(id) holds the documents that may be ranked, all if None."""
         asked = postings(queries, "query_id", "text").select("term").distinct().limit(self.PUSHED + 1).collect()
         kept = self.post.where(F.col("term").isin([r.term for r in asked])) if len(asked) <= self.PUSHED else self.post
+        kept = kept if among is None else kept.join(among, "id", "left_semi")
         c = self.corpus
-        return score_bm25(kept, self.lengths, self.frequencies, F.lit(c.n), F.lit(c.tokens), queries, k, F.lit(c.mean_idf))
+        return score_bm25(kept, self.lengths, self.frequencies, F.lit(c.n), F.lit(c.tokens), queries, k)
 
 
 def best(scored: DataFrame, k: int, by: str, group: str = "query_id", tie: str = "id") -> DataFrame:
@@ -98,27 +119,81 @@ def best(scored: DataFrame, k: int, by: str, group: str = "query_id", tie: str =
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product of two arrays; extra components are ignored."""
-    return F.aggregate(F.zip_with(a, b, lambda p, q: F.coalesce(p * q, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
-
-
-def normed(rows: DataFrame, vector_col: str) -> DataFrame:
-    """rows with the vector as doubles (v) and its length (norm), both computed once a row."""
-    x = rows.withColumn("v", F.col(vector_col).cast("array<double>"))
-    return x.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-
-
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", min_score: float | None = None) -> DataFrame:
-    """(query_id, id, score, rank): exact cosine search of queries(query_id, query_vector) against all vectors.
-    The score threshold applies after the cut, so fewer than k rows can remain. The plan joins on no key, so
-    queries should be few; Spark broadcasts them if they are below its threshold."""
-    asked = normed(queries, "query_vector").select("query_id", F.col("v").alias("qv"), F.col("norm").alias("qn"))
-    pairs = normed(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("x")), "x").select("id", "v", "norm").join(asked)
-    size = F.col("norm") * F.col("qn")
-    scored = pairs.select("query_id", "id", F.round(F.when(size == 0, 0.0).otherwise(dot(F.col("qv"), F.col("v")) / size), 6).alias("score"))
-    found = best(scored, k, "score")
-    return found if min_score is None else found.where(F.col("score") >= min_score)
+#: Vectors of a block that one task compares with a block of queries.
+VECTORS, ASKS = 16_384, 1024
+
+
+def _blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """(block, ids, lengths, data) of rows(id, v), in blocks of about size by a hash, and how many."""
+    rows = materialise(rows, "vectors")
+    n = max(1, -(-rows.count() // size))
+
+    def pack(table: pa.Table) -> pa.Table:
+        v = table["v"].combine_chunks()
+        lengths = v.value_lengths().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+        values = v.flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()
+        return pa.table({"block": table["block"][:1], "ids": pa.array([table["id"].to_numpy().astype("<i8").tobytes()], pa.binary()), "lengths": pa.array([lengths], pa.binary()), "data": pa.array([values], pa.binary())})
+
+    salted = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    return materialise(salted.groupBy("block").applyInArrow(pack, "block int, ids binary, lengths binary, data binary"), "vector-blocks"), n
+
+
+def _matrix(ids: bytes, lengths: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and unit vectors, zero beyond their end."""
+    key, n, v = np.frombuffer(ids, "<i8"), np.frombuffer(lengths, "<i4"), np.frombuffer(data, "<f8")
+    out = np.zeros((len(key), int(n.max(initial=0))))
+    out[np.repeat(np.arange(len(key)), n), np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)] = v
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    out = np.divide(out, size, out=np.zeros_like(out), where=size > 0)
+    order = np.argsort(key, kind="stable")
+    return key[order], out[order]
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", min_score: float | None = None, where: Column | None = None) -> DataFrame:
+    """(query_id, id, score, rank): exact cosine search of queries(query_id, query_vector) against all vectors, ties to
+    smaller ids. where filters vectors before they are ranked; the score threshold applies after the cut, so fewer than
+    k rows can remain. Null vectors take no part, and those of length zero are similar to nothing.
+
+    Vectors and queries meet in blocks, each pair of blocks in a product of two matrices of which the k best of each
+    query leave the task, so neither side is ever broadcast or multiplied out row by row."""
+    vectors = vectors if where is None else vectors.where(where)
+    rows = lambda df, i, v: df.select(F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")).where("id is not null and v is not null and not exists(v, x -> x is null)")
+    found, _ = _blocks(rows(vectors, id_col, vector_col), VECTORS)
+    asked, n = _blocks(rows(queries, "query_id", "query_vector"), ASKS)
+    spread = found.select("ids", "lengths", "data", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("ask"))
+    spread = spread.join(asked.select(F.col("block").alias("ask"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "lengths", "data"))), "ask")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, m = _matrix(r["ids"], r["lengths"], r["data"])
+                asks, q = _matrix(r["q_ids"], r["q_lengths"], r["q_data"])
+                width = min(m.shape[1], q.shape[1])
+                at, best = [], []
+                for row in q[:, :width]:
+                    score = m[:, :width] @ row
+                    score = np.copysign(np.floor(np.abs(score) * 1e6 + 0.5), score) / 1e6
+                    top = np.arange(len(ids))
+                    if len(ids) > k:
+                        least = np.partition(score, len(ids) - k)[len(ids) - k]
+                        above = np.flatnonzero(score > least)
+                        top = np.concatenate((above, np.flatnonzero(score == least)[: k - len(above)]))
+                    at.append(ids[top])
+                    best.append(score[top])
+                sizes = [len(x) for x in at]
+                yield pa.record_batch({"query_id": pa.array(np.repeat(asks, sizes)), "id": pa.array(np.concatenate(at)), "score": pa.array(np.concatenate(best) + 0.0)})
+
+    scored = spread.repartition(max(1, found.count() * n)).mapInArrow(run, "query_id long, id long, score double")
+    kind = dict(queries.dtypes)["query_id"]
+    ranked = best(scored.select(F.col("query_id").cast(kind).alias("query_id"), F.col("id").cast(dict(vectors.dtypes)[id_col]).alias("id"), "score"), k, "score")
+    return ranked if min_score is None else ranked.where(F.col("score") >= min_score)
+
+
+def vectors_where(vectors: DataFrame, meta: dict | None = None, text: str | None = None, meta_col: str = "meta", text_col: str = "text") -> DataFrame:
+    """Rows of a vector table whose metadata have all given values and whose text has a phrase."""
+    for key, value in (meta or {}).items():
+        vectors = vectors.where(F.col(meta_col)[key] == F.lit(str(value)))
+    return vectors if text is None else vectors.where(F.contains(F.col(text_col), F.lit(text)))
 
 
 def fuse_rrf(semantic: DataFrame, lexical: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:
@@ -166,6 +241,20 @@ def mmr(found: DataFrame, weight: float = 0.7, first_words: int | None = 50, pic
     return found.groupBy("query_id").applyInPandas(order, "query_id int, id long, score double, mmr_rank int")
 
 
+def rerank_diverse(found: DataFrame, relevance: Column, k: int = 5, weight: float = 0.7) -> DataFrame:
+    """found(query_id, id, text, score) reranked and, where a query has more than k rows, the k picked for relevance and
+    against likeness to those picked before; likeness is of whole texts. (query_id, id, score, rank)."""
+    x = rerank(found, relevance, 2**31 - 1).select("query_id", "id", "text", F.col("combined").alias("score"), "rank")
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank").reset_index(drop=True)
+        sets = [set((t or "").lower().split()) for t in rows["text"]]
+        at = mmr_order(rows["score"].tolist(), sets, weight, k) if len(rows) > k else list(range(len(rows)))
+        return pd.DataFrame({"query_id": rows["query_id"][at].values, "id": rows["id"][at].values, "score": rows["score"][at].values, "rank": range(1, len(at) + 1)})
+
+    return x.groupBy("query_id").applyInPandas(pick, "query_id int, id long, score double, rank int")
+
+
 def rerank(found: DataFrame, relevance: Column, k: int = 5, min_score: float | None = None) -> DataFrame:
     """combined = .7 * relevance + .3 * score. Ranks are given before the threshold, so they can have gaps."""
     x = best(found.drop("rank").withColumn("combined", F.round(0.7 * relevance + 0.3 * F.col("score"), 6)), k, "combined")
@@ -176,6 +265,7 @@ def keywords(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str
     """(id, term, score, rank): (1 + ln tf) * ln(N / df), ties in order of the term."""
     raw = docs.select(F.col(id_col).alias("id"), F.explode(X.keyword_words(F.col(text_col))).alias("raw")).where(X.is_term(F.col("raw"), 3, K.STOP_KEYWORDS))
     tf = raw.select("id", X.stem_first(F.col("raw"), X.longest_first(K.SUFFIXES_KEYWORDS), 2).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = materialise(tf, "terms")  # texts are tokenised once, for terms and for their frequencies
     n = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     x = tf.join(term_df(tf), "term").withColumn("score", F.round((1 + F.log("tf")) * F.log(F.greatest(n, F.lit(1)) / F.col("df")), 6))
     return best(x, k, "score", group="id", tie="term").select("id", "term", "score", "rank")

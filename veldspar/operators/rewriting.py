@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from veldspar.functions import constants as K
 from veldspar.functions import text as X
+from veldspar.operators.providers import Provider, generate
 from veldspar.sources.files import markdown_tables
 
 
@@ -85,3 +86,61 @@ def top_charts(charts: DataFrame, per_section: int = 2, most: int = 10) -> DataF
     """At most two charts a section and ten in all."""
     w = Window.partitionBy("doc_id").orderBy("labels")
     return charts.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_section).orderBy("doc_id", "n").limit(most).drop("n")
+
+
+def hypothetical(queries: DataFrame, provider: Provider, most_words: int = 150, context: Column | None = None) -> DataFrame:
+    """(query_id, text, variant): an ideal answer to each query, to search with in its place; the query itself where the
+    provider has none."""
+    told = F.concat(F.lit(f"Write a paragraph of at most {most_words} words that answers the question.\nQuestion: "), "text", *([] if context is None else [F.lit("\nContext: "), context]))
+    answer = F.trim(F.coalesce(F.col("answer"), F.lit("")))
+    return generate(queries, told, provider).select("query_id", "text", F.when(answer == "", F.col("text")).otherwise(answer).alias("variant"))
+
+
+def multiple(queries: DataFrame, provider: Provider, count: int = 3) -> DataFrame:
+    """(query_id, variant, n): the query and up to count - 1 rewordings, a line of the provider's answer each."""
+    told = F.concat(F.lit(f"Reword the query in {count} ways, one a line.\nQuery: "), "text")
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col("answer"), F.lit("")), "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    made = F.concat(F.array("text"), F.slice(lines, 1, count - 1))
+    return generate(queries, told, provider).select("query_id", F.posexplode(made).alias("n", "variant")).select("query_id", "variant", (F.col("n") + 1).alias("n"))
+
+
+def optimise(queries: DataFrame, provider: Provider | None = None, chosen: str = "auto") -> DataFrame:
+    """(query_id, strategy, variant, n): each query by its strategy. Those that want a provider, and any unknown one, leave
+    the query as it is where there is none."""
+    asked = queries.select("query_id", "text", (strategy(F.col("text"), provider is not None) if chosen == "auto" else F.lit(chosen)).alias("strategy"))
+    of = lambda name: asked.where(F.col("strategy") == name)
+    parts = of("decomposition").select("query_id", F.posexplode(decompose(F.col("text"))).alias("n", "variant")).select("query_id", "variant", (F.col("n") + 1).alias("n"))
+    made = [("decomposition", parts), ("expansion", expand(of("expansion")))]
+    if provider is not None:
+        made += [("hyde", hypothetical(of("hyde"), provider).select("query_id", "variant", F.lit(1).alias("n"))), ("multi_query", multiple(of("multi_query"), provider))]
+    made.append(("none", asked.where(~F.col("strategy").isin([n for n, _ in made])).select("query_id", F.col("text").alias("variant"), F.lit(1).alias("n"))))
+    return reduce(DataFrame.unionByName, [x.select("query_id", F.lit(n).alias("strategy"), "variant", "n") for n, x in made])
+
+
+def title(kind: Column, notes: Column, year: int) -> Column:
+    """The title of a report: the first five words of its notes, if it has any, its type and the year."""
+    name = F.lit("Rapor")
+    for k, v in K.REPORT_NAMES.items():
+        name = F.when(kind == k, v).otherwise(name)
+    topic = F.array_join(F.slice(X.words(F.coalesce(notes, F.lit(""))), 1, 5), " ")
+    return F.concat(F.when(topic == "", "").otherwise(F.concat(topic, F.lit(" - "))), name, F.lit(f" {year}"))
+
+
+def research_topics(kind: Column, notes: Column, text: Column) -> Column:
+    """Up to five topics: two of the report's type, the notes, and what the files are about."""
+    base = F.array(F.lit("iş analizi"))
+    for k, v in K.REPORT_TOPICS.items():
+        base = F.when(kind == k, F.array(*map(F.lit, v[:2]))).otherwise(base)
+    note = F.trim(F.substring(F.coalesce(notes, F.lit("")), 1, 100))
+    more = F.array_compact(F.array(F.when(note != "", note), F.when(F.length(text) > 0, F.concat(F.substring(text, 1, 100), F.lit(" sektör analizi")))))
+    return F.slice(F.concat(base, more), 1, 5)
+
+
+def plan_warnings(plan: DataFrame, least_total: int = 2000, least: int = 300, sourced: tuple[str, ...] = ("pazar_analizi", "finansal_projeksiyonlar")) -> DataFrame:
+    """(section, warning) of plan(section, target_words, required, n_points, n_sources); section is null for the whole."""
+    total = plan.agg(F.sum("target_words").alias("n")).where(F.coalesce("n", F.lit(0)) < least_total).select(F.lit(None).cast("string").alias("section"), F.lit("few_words_in_all").alias("warning"))
+    found = F.array_compact(F.array(
+        F.when(F.col("required") & (F.col("target_words") < least), "few_words"), F.when(F.col("n_points") == 0, "no_key_points"),
+        F.when(F.col("section").isin(*sourced) & (F.col("n_sources") == 0), "no_sources"),
+    ))
+    return total.unionByName(plan.select("section", F.explode(found).alias("warning")))

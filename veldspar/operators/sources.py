@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veldspar.functions import constants as K
 from veldspar.functions import text as X
+from veldspar.functions.text import CASELESS
+from veldspar.operators.context import meetings
 from veldspar.operators.relational import ordinal
+from veldspar.operators.scratch import materialise
 
 
 def merge_by_url(found: DataFrame) -> DataFrame:
@@ -48,16 +50,25 @@ def for_sections(sources: DataFrame, sections: list[str], least: int = 3, min_cr
 def corroborated(sources: DataFrame, id_col: str, text_col: str, shared: int = 3, partners: int = 2, word: str = r"[\p{L}]{4,}") -> DataFrame:
     """(id, n_partners, verified): sources that share at least `shared` words of four letters with others.
 
-    The join runs on words. Frequent words make long lists, so pairs are counted through groups of equal word
-    sets first: sources with one set are one row that stands for all of them."""
+    Sources with one set of words are one group, which is compared once. Words are ordered from rare to frequent:
+    groups that share so many words share one among all but the last shared - 1 of each, so the most frequent
+    words of a group never reach the join, and words of many groups are split."""
     x = sources.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(word), F.lit(0)))).alias("w"))
-    groups = x.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.xxhash64("w"))
-    words = groups.select("g", F.explode("w").alias("word"))
-    met = words.join(words.withColumnRenamed("g", "h"), "word").where("g <> h").groupBy("g", "h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= shared)
-    others = met.join(groups.select(F.col("g").alias("h"), "n"), "h").groupBy("g").agg(F.sum("n").alias("other"))
+    x = materialise(x.withColumn("g", F.xxhash64("w")), "source-words")
+    groups = materialise(x.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n")), "source-groups")
+    words = groups.where(F.size("w") >= shared).select("g", F.size("w").alias("size"), F.explode("w").alias("word"))
+    rare = words.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = words.join(rare, "word", "left").withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy(F.col("df").asc_nulls_first(), "word")))
+    prefix = materialise(ranked.where((F.col("at") <= F.col("size") - shared + 1) & F.col("df").isNotNull()).select("word", "g"), "source-prefixes")
+    pairs = meetings(prefix, "word", ["g"]).where("a_g < b_g").select(F.col("a_g").alias("a"), F.col("b_g").alias("b")).distinct()
+    sets = lambda side: groups.select(F.col("g").alias(side), F.col("w").alias(f"w_{side}"))
+    met = pairs.join(sets("a"), "a").join(sets("b"), "b").where(F.size(F.array_intersect("w_a", "w_b")) >= shared).select("a", "b")
+    met = materialise(met, "source-pairs")
+    both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(groups.select(F.col("g").alias("b"), "n"), "b").groupBy(F.col("a").alias("g")).agg(F.sum("n").alias("other"))
     own = F.when(F.size("w") >= shared, F.col("n") - 1).otherwise(0)
     known = groups.join(others, "g", "left").select("g", (own + F.coalesce("other", F.lit(0))).alias("n_partners"))
-    return x.withColumn("g", F.xxhash64("w")).join(known, "g").select("id", "n_partners", (F.col("n_partners") >= partners).alias("verified"))
+    return x.join(known, "g").select("id", "n_partners", (F.col("n_partners") >= partners).alias("verified"))
 
 
 def number_citations(citations: DataFrame) -> DataFrame:
@@ -82,27 +93,18 @@ def bibliography(sources: DataFrame) -> DataFrame:
     return ordinal(sources.select("title", "url"), [F.lower("title"), F.col("url")]).select("n", F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), "title", F.lit(". "), "url").alias("line"))
 
 
-def insert_markers(text: str, source_id: int) -> str:
-    """A marker after every claim, pattern by pattern, from the end so that places stay right."""
-    for pattern in K.CITATION_PATTERNS:
-        for end in reversed([m.end() for m in re.finditer(pattern, text, re.IGNORECASE)]):
-            text = f"{text[:end]} [{source_id}]{text[end:]}"
-    return text
-
-
 def insert_citations(texts: DataFrame, best: Column) -> DataFrame:
-    """texts(id, text) with markers of the best source; unchanged where there is none."""
-
-    @F.pandas_udf("string")
-    def mark(text: pd.Series, source: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None or pd.isna(s) else insert_markers(t or "", int(s)) for t, s in zip(text, source, strict=True)])
-
-    return texts.select("id", mark("text", best).alias("text"))
+    """texts(id, text) with a marker of the best source after every claim, pattern by pattern; unchanged where there
+    is no source."""
+    marked = F.col("text")
+    for pattern in K.CITATION_PATTERNS:
+        marked = F.regexp_replace(marked, F.lit(CASELESS + pattern), F.concat(F.lit("$0 ["), best.cast("string"), F.lit("]")))
+    return texts.select("id", F.when(best.isNull(), F.col("text")).otherwise(marked).alias("text"))
 
 
 def claims(text: Column) -> Column:
     """All wordings of a text that want a citation, pattern by pattern."""
-    return F.concat(*[F.regexp_extract_all(text, F.lit("(?iu)" + p), F.lit(0)) for p in K.CITATION_PATTERNS])
+    return F.concat(*[F.regexp_extract_all(text, F.lit(CASELESS + p), F.lit(0)) for p in K.CITATION_PATTERNS])
 
 
 def best_source(scored: DataFrame, group: str, least: float = 0.4) -> DataFrame:
@@ -121,3 +123,16 @@ def validity(excerpt: Column, content: Column, credibility: Column, recency: Col
 def numbers_in_context(text: Column) -> Column:
     """Numbers with a unit and up to 30 characters before and after."""
     return F.regexp_extract_all(text, F.lit(r"(?is).{0,30}?[0-9]+[.,]?[0-9]*\s*(?:%|milyon|milyar|TL|USD|EUR).{0,30}"), F.lit(0))
+
+
+def citations_json(citations: DataFrame) -> DataFrame:
+    """One row: citations(pos, n, url, section, text) as JSON, in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "n", "url", "section", "text")))
+    return citations.agg(F.to_json(ordered).alias("json"))
+
+
+def citations_markdown(citations: DataFrame, most: int = 100) -> DataFrame:
+    """(section, text): a heading for each section, and a line for each of its citations in order."""
+    line = F.concat(F.lit("- ["), F.col("n").cast("string"), F.lit("] "), F.substring(F.coalesce("text", F.lit("")), 1, most), F.lit("... ("), "url", F.lit(")"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda r: r["l"])
+    return citations.groupBy("section").agg(F.concat(F.lit("## "), F.col("section").cast("string"), F.lit("\n\n"), F.array_join(ordered, "\n")).alias("text"))

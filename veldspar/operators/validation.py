@@ -20,7 +20,7 @@ def metric_value(text: Column, metric: str) -> Column:
     """The first parsable hit of a metric's patterns, times a million or billion if the hit says so."""
     hits = []
     for p in K.METRIC_PATTERNS[metric]:
-        whole, digits = F.regexp_extract(text, "(?iu)" + p, 0), F.regexp_extract(text, "(?iu)" + p, 1)
+        whole, digits = F.regexp_extract(text, X.CASELESS + p, 0), F.regexp_extract(text, X.CASELESS + p, 1)
         low = F.lower(whole)
         scale = F.when(low.contains("milyar"), 1e9).when(low.contains("milyon"), 1e6).otherwise(1.0)
         hits.append(F.when(whole != "", N.simple_number(digits) * scale))
@@ -166,3 +166,39 @@ def issue_scores(issues: DataFrame) -> DataFrame:
     x = issues.groupBy("report_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
     score = F.greatest(F.lit(0), 100 - 15 * F.col("errors") - 5 * F.col("warnings"))
     return x.select("*", score.alias("score"), (F.col("errors") == 0).alias("is_valid"))
+
+
+def growth_rates(sections: DataFrame, high: float = 200.0, most: float = 500.0) -> DataFrame:
+    """(report_id, section_id, value, severity) of rates that a growth word stands before: warnings above `high`, errors
+    above `most`."""
+    found = F.regexp_extract_all("content", F.lit(X.CASELESS + K.GROWTH_PATTERN), F.lit(2))
+    x = sections.select("report_id", "section_id", F.explode(F.transform(found, lambda d: N.simple_number(F.regexp_replace(d, "[.,]$", "")))).alias("value"))
+    return x.where(F.col("value") > high).select("report_id", "section_id", "value", F.when(F.col("value") > most, "error").otherwise("warning").alias("severity"))
+
+
+def margins_out_of_range(sections: DataFrame, sector: str = "default") -> DataFrame:
+    """(report_id, ratio, value, low, high) of margins outside of what is usual in a sector."""
+    usual = K.SECTOR_BENCHMARKS.get(sector, K.SECTOR_BENCHMARKS["default"])
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "content")))
+    x = sections.groupBy("report_id").agg(F.array_join(F.transform(ordered, lambda r: r["content"]), " ").alias("text"))
+    rows = [F.struct(F.lit(name).alias("ratio"), margin(F.col("text"), words).alias("value"), *(F.lit(float(v)).alias(k) for k, v in zip(("low", "high"), usual[name], strict=True))) for name, words in (("gross_margin", K.GROSS_MARGIN), ("net_margin", K.NET_MARGIN))]
+    return x.select("report_id", F.inline(F.array(*rows))).where((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")))
+
+
+def consistency_report(sections: DataFrame) -> DataFrame:
+    """(report_id, text): all metrics with the value of each section, then what differs."""
+    values = metrics(sections)
+    line = F.concat(F.lit("  - "), "section_id", F.lit(": "), F.format_number("value", 2))
+    by = values.groupBy("report_id", "metric").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda r: r["l"]), "\n").alias("lines"))
+    by = by.groupBy("report_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("metric", F.lit(":\n"), "lines"))), "\n\n").alias("known"))
+    odd = cross_reference(sections).select("report_id", F.concat("severity", F.lit(": "), "metric", F.lit(" "), "section_id", F.lit(" "), F.format_number("value", 2), F.lit(" / "), F.format_number("expected", 2)).alias("l"))
+    odd = odd.groupBy("report_id").agg(F.array_join(F.array_sort(F.collect_list("l")), "\n").alias("odd"))
+    return by.join(odd, "report_id", "left").select("report_id", F.concat_ws("\n\n", "known", "odd").alias("text"))
+
+
+def disagreements(sections: DataFrame) -> DataFrame:
+    """(report_id, metric, values): figures for which the sections of a report state different digits."""
+    found = [F.struct(F.lit(m).alias("metric"), F.regexp_extract_all("content", F.lit(X.CASELESS + p), F.lit(1)).alias("digits")) for m, p in K.AGREED_PATTERNS.items()]
+    x = sections.select("report_id", F.inline(F.array(*found))).select("report_id", "metric", F.explode("digits").alias("d"))
+    x = x.select("report_id", "metric", F.regexp_replace("d", "[.,]", "").try_cast("double").alias("v")).where("v is not null")
+    return x.groupBy("report_id", "metric").agg(F.array_sort(F.collect_set("v")).alias("values")).where(F.size("values") > 1)

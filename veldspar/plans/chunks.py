@@ -53,12 +53,16 @@ def parent_child_chunks(spark, sf_dir):
     return H.parent_child(_docs(spark, sf_dir))
 
 
-@query()
+_WINDOWS = "(SELECT doc_id, text, unnest(range(greatest(0, ceil((length(text) - {size}) / {size}.0))::BIGINT + 1)) AS pos FROM documents WHERE length(text) > 0)"
+
+
+@query(f"""WITH c AS (SELECT doc_id AS id, pos // 4 AS parent_pos, pos, substr(text, (pos * 500 + 1)::INT, 500) AS chunk FROM {_WINDOWS.format(size=500)}), p AS (SELECT doc_id AS id, pos AS parent_pos, substr(text, (pos * 2000 + 1)::INT, 2000) AS parent FROM {_WINDOWS.format(size=2000)})
+SELECT c.id, c.parent_pos::INT AS parent_pos, c.pos::INT AS pos, chunk, parent FROM c LEFT JOIN p ON p.id = c.id AND p.parent_pos = c.parent_pos AND trim(parent) <> '' WHERE trim(chunk) <> ''""")
 def parent_context(spark, sf_dir):
     """Each child chunk with its parent's text, by a left join on the parent's key."""
-    made = H.parent_child(_docs(spark, sf_dir))
-    parents = made.select("id", "parent_pos", "parent").distinct()
-    return made.select("id", "parent_pos", "pos", "chunk").join(parents, ["id", "parent_pos"], "left")
+    children = H.windows(_docs(spark, sf_dir), 500, 500).withColumn("parent_pos", F.floor(F.col("pos") / 4).cast("int"))
+    parents = H.windows(_docs(spark, sf_dir), 2000, 2000).select("id", F.col("pos").alias("parent_pos"), F.col("chunk").alias("parent"))
+    return H.parent_context(children, parents)
 
 
 @query(r"""WITH l AS (SELECT doc_id, generate_subscripts(s, 1) AS n, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
@@ -69,7 +73,11 @@ def markdown_sections(spark, sf_dir):
     return H.sections(_docs(spark, sf_dir)).groupBy("id").agg(F.count(F.lit(1)).alias("n_sections"), F.max(F.length("chunk")).cast("long").alias("longest"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT doc_id AS id, substr(text, (pos * 200 + 1)::INT, 300) AS chunk, pos FROM (SELECT doc_id, text, unnest(range(greatest(0, ceil((length(text) - 300) / 200.0))::BIGINT + 1)) AS pos FROM documents WHERE length(text) > 0)),
+c AS (SELECT id, chunk, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM w WHERE trim(chunk) <> ''),
+f AS (SELECT id, n, 0::BIGINT AS pos, chunk AS cur FROM c WHERE n = 1 UNION ALL
+  SELECT c.id, c.n, CASE WHEN contains(substr(chunk, 1, 200), right(cur, 100)) THEN pos ELSE pos + 1 END, CASE WHEN contains(substr(chunk, 1, 200), right(cur, 100)) THEN cur || substr(chunk, 101) ELSE chunk END FROM f JOIN c ON c.id = f.id AND c.n = f.n + 1)
+SELECT id, pos, max_by(cur, n) AS text FROM f GROUP BY id, pos""")
 def merge_overlapping(spark, sf_dir):
     """Overlapping windows folded back together."""
     made = H.windows(_docs(spark, sf_dir), 300, 200)

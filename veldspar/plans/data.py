@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veldspar.functions import text as X
 from veldspar.operators import chunking as H
@@ -113,16 +112,11 @@ def markdown_table_sink(spark, sf_dir):
     return x.select(lines[0].alias("head"), (F.size(lines) - 2).cast("long").alias("n"))
 
 
-@query()
+@query(f"SELECT report_id, to_json(list({{ord: ord, section_id: section_id, title: title, level: level, content: content}} ORDER BY ord))::VARCHAR AS json FROM {_SEC} GROUP BY report_id")
 def json_report(spark, sf_dir):
     return Z.json_report(_sections(spark))
 
 
-@query()
-def docx_reports(spark, sf_dir):
-    return Z.docx_reports(_sections(spark)).select("report_id", F.length("content").alias("bytes"))
-
-
 @query("SELECT source AS key, max_by(doc_id, doc_id) AS value FROM documents WHERE doc_id % 48 < 24 GROUP BY source")
 def cache_fresh(spark, sf_dir):
     """Cache rows younger than a day; the age of a row is its id modulo 48, in hours."""
@@ -133,10 +127,10 @@ def cache_fresh(spark, sf_dir):
     return alive.groupBy("key").agg(F.max_by("value", "doc_id").alias("value"))
 
 
-@query("SELECT DISTINCT source AS key FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id < 15)")
+@query("SELECT doc_id AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def cache_misses(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return Z.misses(d.select(F.col("source").alias("key")).distinct(), d.where("doc_id < 15").select(F.col("source").alias("key")).distinct())
+    """Documents that no label was made for yet."""
+    return Z.misses(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key")))
 
 
 @query("SELECT key, used FROM (SELECT doc_id AS key, n_chars AS used, row_number() OVER (ORDER BY n_chars, doc_id) AS n FROM documents) WHERE n > floor((SELECT count(*) FROM documents) * 0.2)")
@@ -147,16 +141,17 @@ def cache_evict(spark, sf_dir):
 @query(f"""WITH s AS (SELECT doc_id, generate_subscripts(x, 1) AS n, unnest(x) AS s FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS x FROM documents)),
 w AS (SELECT doc_id, n, s, regexp_matches(s, '[0-9]') AS num, length(s) < 200 AND len(list_intersect(list_distinct({WORDS.format('lower(s)')}), ['and', 'of', 'the', 'thing'])) >= 2 AS hit FROM s),
 a AS (SELECT doc_id, s, 0 AS kind, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM w WHERE num) WHERE r <= 2 UNION ALL SELECT doc_id, s, 1, n FROM w WHERE hit),
-d AS (SELECT doc_id, s, min(kind * 1000000 + n) AS o FROM a GROUP BY ALL) SELECT w.doc_id, coalesce(m, 0) AS n_points FROM (SELECT DISTINCT doc_id FROM documents) w LEFT JOIN (SELECT doc_id, least(count(*), 5) AS m FROM d GROUP BY doc_id) USING (doc_id)""")
+d AS (SELECT doc_id, s, min(kind * 1000000 + n) AS o FROM a GROUP BY ALL), t AS (SELECT doc_id, string_agg(s, ' | ' ORDER BY o) AS points FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS r FROM d) WHERE r <= 5 GROUP BY doc_id)
+SELECT w.doc_id, coalesce(points, '') AS points FROM (SELECT DISTINCT doc_id FROM documents) w LEFT JOIN t USING (doc_id)""")
 def key_points(spark, sf_dir):
-    return C.key_points(table(spark, sf_dir, "documents"), "the thing and of").select("doc_id", F.size("points").cast("long").alias("n_points"))
+    return C.key_points(table(spark, sf_dir, "documents"), "the thing and of").select("doc_id", F.array_join("points", " | ").alias("points"))
 
 
-@query("SELECT source, string_agg('[' || n || '] ' || source || chr(10) || t, chr(10) || chr(10) ORDER BY n) AS context FROM (SELECT source, text[:100] AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 3 GROUP BY source")
+@query("SELECT g, string_agg('[' || n || '] ' || source || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context FROM (SELECT doc_id // 5 AS g, source, text, row_number() OVER (PARTITION BY doc_id // 5 ORDER BY doc_id) AS n FROM documents) GROUP BY g")
 def context_format(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 100).alias("text"))
-    first = d.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 3")
-    return C.format_context(first.select(F.col("source").alias("g"), "n", "source", "text"), "g", "n").withColumnRenamed("g", "source")
+    """Whole texts, five documents to a context."""
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 5).alias("g"), "doc_id", "source", "text")
+    return C.format_context(d, "g", "doc_id")
 
 
 @query()

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +9,7 @@ from veldspar.functions import constants as K
 from veldspar.functions import text as X
 from veldspar.operators import context as C
 from veldspar.operators import retrieval as R
+from veldspar.operators.scratch import scratch_path
 from veldspar.plans.registry import query, quoted, table, value_rows
 from veldspar.plans.scalar import _CLEAN, _CAT_SQL, _SENTENCES, _TOKENS, _TR, WORDS, _stem_sql
 
@@ -46,9 +44,10 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"WITH {_BM25} SELECT query_id, id, score, rank FROM {_cut('bs', 10)} WHERE score > 0")
 def bm25_index(spark, sf_dir):
-    """The same ranking from an index that is built once and read by term."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/veldspar/index-{uuid.uuid4().hex}"
-    return R.LexicalIndex.build(table(spark, sf_dir, "documents"), path).search(_queries(spark), 10)
+    """The same ranking from an index to which a third of the documents was added later."""
+    docs = table(spark, sf_dir, "documents")
+    index = R.LexicalIndex.build(docs.where("doc_id % 3 > 0"), scratch_path(spark, "index"))
+    return index.add(docs.where("doc_id % 3 = 0")).search(_queries(spark), 10)
 
 
 @query(f"WITH {_BM25} SELECT query_id, id, score, rank FROM {_cut('(SELECT * FROM bs WHERE id IN (SELECT doc_id FROM documents WHERE lang = ' + chr(39) + 'en' + chr(39) + '))', 10)} WHERE score > 0")
@@ -68,20 +67,16 @@ def bm25_top_terms(spark, sf_dir):
 
 @query(f"WITH {_POST} SELECT (SELECT count(*) FROM documents) AS documents, sum(tf)::BIGINT AS tokens, sum(tf) / (SELECT count(*) FROM documents) AS mean_length, count(DISTINCT term) AS terms FROM post")
 def bm25_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return R.index_stats(docs, R.postings(docs))
-
+    return R.LexicalIndex.build(table(spark, sf_dir, "documents"), scratch_path(spark, "index")).stats()
 
-_VEC = "SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 5"
 
+_VEC = "SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0"
 
-#: The same with the rows that op10 asks with.
-_VEC_ASKS = _VEC.replace("q.vec_id < 5", "q.vec_id % 50 = 0")
 
-
-def _vectors(spark, sf_dir, asks="vec_id < 5"):
+def _vectors(spark, sf_dir):
+    """All vectors, and as queries every row whose id is divisible by 50."""
     v = table(spark, sf_dir, "embeddings")
-    return v, v.where(asks).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 @query(f"SELECT query_id, id, score, rank, 1 - score AS distance FROM {_cut(f'({_VEC})', 10)}")
@@ -96,18 +91,19 @@ def vector_threshold(spark, sf_dir):
     return R.vector_search(v, q, 5, "vec_id", min_score=0.3)
 
 
-@query(f"SELECT query_id, id, score, rank, 1 - score AS distance FROM {_cut(f'({_VEC_ASKS})', 10)}")
-def vector_topk_asks(spark, sf_dir):
-    """vector_topk asked with every row whose id is divisible by 50."""
-    v, q = _vectors(spark, sf_dir, "vec_id % 50 = 0")
-    return R.vector_search(v, q, 10, "vec_id").withColumn("distance", 1 - F.col("score"))
+@query(f"SELECT query_id, id, score, rank FROM {_cut(f'({_VEC} AND v.label = 3)', 5)}")
+def vector_filtered(spark, sf_dir):
+    """Search among the vectors whose metadata have a value."""
+    v, q = _vectors(spark, sf_dir)
+    v = v.withColumn("meta", F.create_map(F.lit("label"), F.col("label").cast("string")))
+    return R.vector_search(R.vectors_where(v, {"label": 3}), q, 5, "vec_id")
 
 
-@query(f"SELECT query_id, id, score, rank FROM {_cut(f'({_VEC_ASKS})', 5)} WHERE score >= 0.3")
-def vector_threshold_asks(spark, sf_dir):
-    """vector_threshold asked with every row whose id is divisible by 50."""
-    v, q = _vectors(spark, sf_dir, "vec_id % 50 = 0")
-    return R.vector_search(v, q, 5, "vec_id", min_score=0.3)
+@query("SELECT doc_id FROM documents WHERE source = 'src1' AND lang = 'en' AND contains(text, 'license')")
+def vector_where_document(spark, sf_dir):
+    """Rows of a vector table by metadata and by a phrase of their text."""
+    d = table(spark, sf_dir, "documents").withColumn("meta", F.create_map(F.lit("source"), "source", F.lit("lang"), "lang"))
+    return R.vectors_where(d, {"source": "src1", "lang": "en"}, "license").select("doc_id")
 
 
 _EMB = "[" + ", ".join(f"('0x' || h[{2 * i + 1}:{2 * i + 2}])::INT / 255::DOUBLE" for i in range(32)) + "]"
@@ -202,25 +198,34 @@ def dedup_prefix(spark, sf_dir):
 _W100 = "list_distinct(" + WORDS.format("lower(text)") + "[:100])"
 
 
-@query(f"""WITH w AS (SELECT doc_id, {_W100} AS w FROM documents WHERE source IN ('src1', 'src2')),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) AS total FROM w a JOIN w b ON a.doc_id < b.doc_id)
-SELECT a, b, round(n / (total - n), 6) AS similarity FROM p WHERE n > 0 AND n / (total - n) >= 0.5""")
+_CLASSES = f"""w AS (SELECT doc_id, list_sort({_W100}) AS w FROM documents), c AS (SELECT w, min(doc_id) AS class, count(*) AS n FROM w WHERE len(w) > 0 GROUP BY w)"""
+_ALIKE = """p AS (SELECT a.class AS a, b.class AS b, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) AS total FROM c a JOIN c b ON a.class < b.class AND least(len(a.w), len(b.w)) >= {least} * greatest(len(a.w), len(b.w)))"""
+
+
+@query(f"""WITH {_CLASSES}, {_ALIKE.format(least=0.5)} SELECT a, b, round(n / (total - n), 6) AS similarity FROM p WHERE n / (total - n) >= 0.5""")
 def jaccard_pairs(spark, sf_dir):
-    """Pairs within two sources, as the SQL has it; jaccard_pairs_whole takes all documents."""
-    docs = table(spark, sf_dir, "documents").where("source in ('src1', 'src2')")
-    return C.similar_pairs(docs.select("doc_id", F.array_distinct(F.slice(X.lower_words(F.col("text")), 1, 100)).alias("w")), 0.5)
+    """Similar pairs among all documents; those of equal words are one class, named by its least id."""
+    return C.similar_classes(_word_sets(spark, sf_dir), 0.5)[0]
 
 
-@query()
-def jaccard_pairs_whole(spark, sf_dir):
-    """Similar pairs among all documents (the SQL of that would be quadratic, so without SQL)."""
-    docs = table(spark, sf_dir, "documents")
-    return C.all_similar_pairs(docs.select("doc_id", F.array_distinct(F.slice(X.lower_words(F.col("text")), 1, 100)).alias("w")), 0.5)
+@query(f"""WITH {_CLASSES}, {_ALIKE.format(least=0.5)}, s AS (SELECT a, b FROM p WHERE n / (total - n) >= 0.5), e AS (SELECT a, b FROM s UNION ALL SELECT b, a FROM s),
+l AS (SELECT a AS class, sum(n) AS others FROM e JOIN c ON c.class = e.b GROUP BY a)
+SELECT doc_id, c.class, (coalesce(others, 0) + n - 1)::BIGINT AS n_links FROM w JOIN c ON c.w = w.w LEFT JOIN l ON l.class = c.class""")
+def jaccard_links(spark, sf_dir):
+    """Each document's class and how many others are similar to it."""
+    return C.similar_classes(_word_sets(spark, sf_dir), 0.5)[1]
 
 
-@query()
+def _word_sets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.slice(X.lower_words(F.col("text")), 1, 100)).alias("w"))
+
+
+@query(f"""WITH RECURSIVE {_CLASSES}, {_ALIKE.format(least=0.8)}, s AS (SELECT b AS class, list(a) AS before, row_number() OVER (ORDER BY b) AS i FROM p WHERE n / (total - n) >= 0.8 GROUP BY b),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL SELECT s.i, CASE WHEN len(list_filter(before, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, class) ELSE gone END FROM r JOIN s ON s.i = r.i + 1),
+g AS (SELECT unnest(gone) AS class FROM (SELECT gone FROM r ORDER BY i DESC LIMIT 1))
+SELECT class AS doc_id FROM c WHERE class NOT IN (SELECT class FROM g) UNION ALL SELECT doc_id FROM w WHERE len(w) = 0""")
 def dedup_greedy(spark, sf_dir):
-    """Greedy removal of documents similar to a kept earlier one (sequential, so without SQL)."""
+    """Greedy removal of documents similar to a kept earlier one."""
     return C.greedy_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), 0.8)
 
 

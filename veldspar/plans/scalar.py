@@ -257,9 +257,21 @@ def number_spans(spark, sf_dir):
     return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_numbers"), F.min("raw").alias("first_raw"), F.max(F.length("raw")).cast("long").alias("longest"))
 
 
-@query()
+_PLAIN_NUMBER = r"-?[0-9]{1,3}(?:[.,][0-9]{3})*[.,][0-9]+|-?[0-9]{1,3}(?:[.,][0-9]{3})+|-?[0-9]+[.,][0-9]+|-?[0-9]+"
+_SIMPLE = f"""CASE WHEN regexp_matches(r, '{N.TURKISH}') THEN replace(replace(r, '.', ''), ',', '.')::DOUBLE WHEN regexp_matches(r, '{N.US}') THEN replace(r, ',', '')::DOUBLE
+  WHEN regexp_matches(r, '{N.WHOLE_TURKISH}') THEN replace(r, '.', '')::DOUBLE WHEN regexp_matches(r, '{N.WHOLE_US}') THEN replace(r, ',', '')::DOUBLE WHEN regexp_matches(r, '{N.COMMA}') THEN replace(r, ',', '.')::DOUBLE
+  WHEN regexp_matches(r, '{N.PLAIN}') THEN r::DOUBLE ELSE TRY_CAST(regexp_replace(r, '[., ]', '', 'g') AS DOUBLE) END"""
+_SCALE = "CASE " + " ".join(f"WHEN u = '{u}' THEN {m!r}::DOUBLE" for u, m in K.MULTIPLIERS.items()) + " END"
+_SCALED_NUMBER = rf"(?i)-?[0-9]+(?:[.,][0-9]+)?\s*(?:{N._UNITS})\b"
+
+
+@query(rf"""WITH a AS (SELECT doc_id, 0 AS kind, generate_subscripts(x, 1) AS i, lower(unnest(x)) AS r FROM (SELECT doc_id, regexp_extract_all(text, '{_SCALED_NUMBER}') AS x FROM documents)),
+s AS (SELECT doc_id, kind, i, replace(regexp_extract(r, '^(-?[0-9]+(?:[.,][0-9]+)?)', 1), ',', '.')::DOUBLE * {_SCALE} AS v FROM (SELECT *, regexp_extract(r, '({N._UNITS})$', 1) AS u FROM a)),
+b AS (SELECT doc_id, 1 AS kind, generate_subscripts(x, 1) AS i, unnest(x) AS r FROM (SELECT doc_id, regexp_extract_all(text, '{_PLAIN_NUMBER}') AS x FROM documents)),
+u AS (SELECT * FROM s UNION ALL SELECT doc_id, kind, i, {_SIMPLE} FROM b), f AS (SELECT doc_id, v, min(kind * 1000000 + i) AS o FROM u GROUP BY doc_id, v)
+SELECT doc_id, list(v ORDER BY o) AS numbers FROM f GROUP BY doc_id""")
 def extract_numbers(spark, sf_dir):
-    """All parsed numbers of a text: no SQL, the parser has too many cases."""
+    """All parsed numbers of a text, those with a unit first."""
     return _docs(spark, sf_dir).select("doc_id", N.extract_numbers(F.col("text")).alias("numbers")).where(F.size("numbers") > 0)
 
 

@@ -94,6 +94,23 @@ def docx_paragraphs(content: bytes) -> list[tuple[str, str, int]]:
         return out
 
 
+def docx_tables(content: bytes) -> list[list[list[str]]]:
+    """The tables of a text document, as rows of cell texts."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        out = []
+        for table in (e for e in _xml(archive, "word/document.xml").iter() if _tag(e) == "tbl"):
+            cell = lambda c: " ".join(x for p in c.iter() if _tag(p) == "p" if (x := "".join(t.text or "" for t in p.iter() if _tag(t) == "t").strip()))
+            out.append([[cell(c) for c in row if _tag(c) == "tc"] for row in table if _tag(row) == "tr"])
+        return out
+
+
+def docx_stats(content: bytes) -> tuple[int, int, int]:
+    """Paragraphs with text, tables and pictures of a text document."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        pictures = sum(n.startswith("word/media/") for n in archive.namelist())
+    return len(docx_paragraphs(content)), len(docx_tables(content)), pictures
+
+
 def _parsed(files: DataFrame, schema: str, rows) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -122,16 +139,41 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(files, "path string, pos long, text string, style string, level int, error string", lambda c: [(i, *p) for i, p in enumerate(docx_paragraphs(c))])
 
 
-def csv_encoding(spark: SparkSession, path: str) -> str:
-    """The first encoding that decodes the first file under path."""
-    head = spark.read.format("binaryFile").load(path).select("content").limit(1).first()
-    for encoding in ENCODINGS:
-        try:
-            bytes(head[0]).decode(encoding)
-            return encoding
-        except UnicodeDecodeError:
-            continue
-    return ENCODINGS[-1]
+def read_docx_tables(spark: SparkSession, path: str) -> DataFrame:
+    """(path, table, row, cells, error) of every table row."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
+    return _parsed(files, "path string, table long, row long, cells array<string>, error string", lambda c: [(t, i, r) for t, rows in enumerate(docx_tables(c)) for i, r in enumerate(rows)])
+
+
+def read_docx_stats(spark: SparkSession, path: str) -> DataFrame:
+    """(path, paragraphs, tables, pictures, error) of every text document."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
+    return _parsed(files, "path string, paragraphs long, tables long, pictures long, error string", lambda c: [docx_stats(c)])
+
+
+def workbook_summary(rows: DataFrame) -> DataFrame:
+    """(path, sheets, rows, columns, names) of the rows that read_xlsx gives; the first row of a sheet is its header."""
+    by = rows.where("error is null").groupBy("path", "sheet").agg((F.count(F.lit(1)) - 1).alias("rows"), F.max(F.size("cells")).alias("columns"))
+    return by.groupBy("path").agg(F.count(F.lit(1)).alias("sheets"), F.sum("rows").alias("rows"), F.max("columns").alias("columns"), F.array_sort(F.collect_list("sheet")).alias("names"))
+
+
+def csv_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """(path, encoding): of each file the first encoding that decodes it, found where the file is read."""
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for content in batch["content"]:
+                for encoding in ENCODINGS:
+                    try:
+                        bytes(content).decode(encoding)
+                        break
+                    except UnicodeDecodeError:
+                        continue
+                out.append(encoding)
+            yield pd.DataFrame({"path": batch["path"], "encoding": out})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(probe, "path string, encoding string")
 
 
 # Where Windows-1254 differs from Latin-1 in letters.
@@ -139,10 +181,24 @@ _LATIN, _TURKISH = "ÐÝÞðýþ", "ĞİŞğış"
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """A CSV file with a header and inferred types. Spark reads few encodings, so Windows-1254 is read as
-    Latin-1 and the six letters that differ are replaced."""
-    encoding = encoding or csv_encoding(spark, path)
-    df = spark.read.csv(path, header=True, inferSchema=True, encoding="UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1")
+    """CSV files with a header and inferred types, each by its own encoding unless one is given."""
+    if encoding:
+        return _read_csv(spark, [path], encoding)
+    found: dict[str, list[str]] = {}
+    for r in csv_encodings(spark, path).orderBy("path").collect():
+        found.setdefault(r.encoding, []).append(r.path)
+    parts = [_read_csv(spark, paths, e) for e, paths in found.items()]
+    if len({tuple(p.dtypes) for p in parts}) > 1:  # what one file's values are says nothing about another's
+        parts = [p.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in p.columns)) for p in parts]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def _read_csv(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
+    """Spark reads few encodings, so Windows-1254 is read as Latin-1 and the six letters that differ are replaced."""
+    df = spark.read.csv(paths, header=True, inferSchema=True, encoding="UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1")
     if encoding != "cp1254":
         return df
     letters = str.maketrans(_LATIN, _TURKISH)

@@ -12,6 +12,21 @@ from pyspark.sql import functions as F
 from veldspar.operators.relational import ordinal
 
 
+_SPACES = (
+    'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" '
+    'xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" '
+    'xmlns:pic="http://schemas.openxmlformats.org/drawingml/2006/picture"'
+)
+
+
+def put_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write one small file, such as a report, to any store that Spark writes to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(content))
+    out.close()
+
+
 class VectorTable:
     """Documents with vectors in a Parquet folder. Ids are hashes of the text, so adding a text again can be
     seen; add appends, as a store without upserts does."""
@@ -32,6 +47,10 @@ class VectorTable:
     def count(self) -> int:
         return self.read().count()
 
+    def stats(self) -> DataFrame:
+        """One row: documents, distinct ones, and the length of their vectors."""
+        return self.read().agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("id").alias("distinct_documents"), F.max(F.size("embedding")).alias("dimension"))
+
     def drop(self) -> None:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -52,6 +71,20 @@ def misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.join(cache.select("key"), "key", "left_anti")
 
 
+def cache_stats(cache: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row: entries of cache(key), and of the keys asked for how many it had, had not, and their share."""
+    found = asked.join(cache.select("key").distinct().withColumn("__hit", F.lit(1)), "key", "left")
+    entries = cache.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    x = found.agg(F.count("__hit").alias("hits"), F.count_if(F.col("__hit").isNull()).alias("misses"))
+    return x.select(entries.alias("entries"), "hits", "misses", F.coalesce(F.try_divide(F.col("hits"), F.col("hits") + F.col("misses")), F.lit(0.0)).alias("hit_rate"))
+
+
+def write_metrics(timings: DataFrame, path: str) -> None:
+    """(operation, seconds) as one JSON line an operation: calls, total, mean and longest."""
+    x = timings.groupBy("operation").agg(F.count(F.lit(1)).alias("calls"), F.sum("seconds").alias("total"), F.avg("seconds").alias("mean"), F.max("seconds").alias("longest"))
+    x.write.mode("overwrite").json(path)
+
+
 def evict(cache: DataFrame, most: int, share: float = 0.2) -> DataFrame:
     """Beyond `most` rows, the share least recently used goes."""
     n = cache.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
@@ -82,8 +115,18 @@ def markdown_table(rows: DataFrame, columns: list[str], order: str, most: int =
     return first.agg(F.concat(F.lit(head), body, more).alias("table"))
 
 
-def docx_bytes(title: str, sections: list[tuple[str, int, str]]) -> bytes:
-    """A DOCX file of (title, level, content) sections: headings, bullets, Markdown tables, paragraphs."""
+def docx_bytes(title: str, sections: list[tuple[str, int, str]], pictures: dict[str, bytes] | None = None) -> bytes:
+    """A DOCX file of (title, level, content) sections: headings, bullets, Markdown tables, paragraphs, and a PNG picture
+    after the section it is named by."""
+    held = {name: data for name, data in (pictures or {}).items() if any(name == s[0] for s in sections)}
+
+    def picture(n: int) -> str:
+        size = '<wp:extent cx="4572000" cy="2857500"/>'
+        fill = f'<pic:blipFill><a:blip r:embed="rIdP{n}"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill>'
+        shape = '<pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="4572000" cy="2857500"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr>'
+        about = f'<pic:nvPicPr><pic:cNvPr id="{n}" name="p{n}.png"/><pic:cNvPicPr/></pic:nvPicPr>'
+        graphic = f'<a:graphic><a:graphicData uri="http://schemas.openxmlformats.org/drawingml/2006/picture"><pic:pic>{about}{fill}{shape}</pic:pic></a:graphicData></a:graphic>'
+        return f'<w:p><w:r><w:drawing><wp:inline>{size}<wp:docPr id="{n}" name="p{n}"/>{graphic}</wp:inline></w:drawing></w:r></w:p>'
 
     def paragraph(text: str, style: str = "") -> str:
         style = f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else ""
@@ -104,20 +147,35 @@ def docx_bytes(title: str, sections: list[tuple[str, int, str]]) -> bytes:
             for x in lines:
                 level = len(x) - len(x.lstrip("#"))
                 body.append(paragraph(x[2:], "ListBullet") if x[:2] in ("- ", "* ", "• ") else paragraph(x[level:].strip(), f"Heading{level}") if 0 < level < 7 else paragraph(x))
+        if name in held:
+            body.append(picture(list(held).index(name) + 1))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>')
+        z.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="png" ContentType="image/png"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>')
         z.writestr("_rels/.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>')
-        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{"".join(body)}</w:body></w:document>')
+        z.writestr("word/document.xml", f'<w:document {_SPACES}><w:body>{"".join(body)}</w:body></w:document>')
+        links = "".join(f'<Relationship Id="rIdP{n}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/image" Target="media/p{n}.png"/>' for n in range(1, len(held) + 1))
+        z.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        for n, data in enumerate(held.values(), 1):
+            z.writestr(f"word/media/p{n}.png", data)
     return out.getvalue()
 
 
-def docx_reports(sections: DataFrame) -> DataFrame:
-    """(report_id, content): one DOCX file a report, made where its rows are."""
+def docx_reports(sections: DataFrame, charts: DataFrame | None = None) -> DataFrame:
+    """(report_id, content): one DOCX file a report, made where its rows are, with the charts(report_id, title, kind,
+    values) of its sections as pictures."""
     import pandas as pd
 
+    from veldspar.sources.rendering import chart_png
+
+    with_charts = charts is not None
+    if charts is not None:
+        first = charts.groupBy("report_id", "title").agg(F.min(F.struct("kind", "values")).alias("chart")).select("report_id", "title", "chart.*")
+        sections = sections.join(first, ["report_id", "title"], "left")
+
     def make(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord")
-        return pd.DataFrame({"report_id": [rows["report_id"].iloc[0]], "content": [docx_bytes(f"Rapor {rows['report_id'].iloc[0]}", list(zip(rows["title"], rows["level"], rows["content"], strict=True)))]})
+        drawn = {t: chart_png(k, list(v)) for t, k, v in zip(rows["title"], rows["kind"], rows["values"], strict=True) if k} if with_charts else {}
+        return pd.DataFrame({"report_id": [rows["report_id"].iloc[0]], "content": [docx_bytes(f"Rapor {rows['report_id'].iloc[0]}", list(zip(rows["title"], rows["level"], rows["content"], strict=True)), drawn)]})
 
     return sections.groupBy("report_id").applyInPandas(make, f"report_id {dict(sections.dtypes)['report_id']}, content binary")

@@ -5,12 +5,12 @@ The batch expressions are used unchanged; only reading, watermarks and sinks dif
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veldspar.functions import text as X
+from veldspar.operators.scratch import scratch_path
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -51,11 +51,22 @@ def enriched(docs: DataFrame) -> DataFrame:
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return its rows."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over what is there now and return its rows, which each batch writes to a table in the shared folder
+    by its number, so that a batch that is run again replaces what it wrote."""
+    spark = stream.sparkSession
+    path, marks = scratch_path(spark, "stream"), scratch_path(spark, "stream-marks")
+
+    def write(rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
+    made = spark.read.schema(schema).parquet(path)
+    if mode == "complete":  # the last batch has all rows
+        made = made.where(F.col("batch") == made.select(F.max("batch")).first()[0])
+    return made.drop("batch")
 
 
 def run_windows(spark: SparkSession, path: str, length: str) -> DataFrame:
