@@ -143,7 +143,9 @@ def test_stages_of_empty_tables(spark, empty):
         assert stage(spark, docs, empty).count() == 0
 
 
-def test_dedup_keeps_the_least_row_of_each_group(spark, sf):
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_dedup_keeps_the_least_row_of_each_group(spark, sf, monkeypatch, broadcast):
+    monkeypatch.setattr(simhash, "BROADCAST", broadcast)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     groups = lambda x: simhash.components(x, keep=["doc_id"], **corpus_pipeline.DEDUP)
     want = sorted(r[0] for r in groups(docs).select("component_id").distinct().collect())
@@ -184,7 +186,6 @@ def test_hot_fingerprints_components_and_labels(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT_ROWS", hot)
     monkeypatch.setattr(_shared, "HOT_ROWS", hot)
     monkeypatch.setattr(simhash, "BLOCK", 16)
-    monkeypatch.setattr(simhash, "FAN", 2)
     base = " ".join(f"w{i}" for i in range(300))
     rows = [(i, base) for i in range(20)] + [(100 + i, base + f" x{i}") for i in range(60)] + [(200 + i, f"a{i} b{i} c{i} d{i}") for i in range(20)] + [(None, base), (None, None), (300, "")]
     got = simhash.components(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect()

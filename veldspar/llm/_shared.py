@@ -2,50 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: White space that separates words: U+0020 and U+0009 to U+000D.
-SPACE = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a local one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="veldspar-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, deleted when the driver ends."""
-    path = f"{scratch_root(spark)}/veldspar/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
+from veldspar.operators.scratch import materialise, scratch_path
 
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended already; the folder is scratch space
-        pass
+__all__ = ["HOT_ROWS", "SPACE", "carried", "hot_keys", "id_remainder", "look_up", "materialise", "materialise_bucketed", "once", "read", "row_key", "scratch_path", "words_of"]
 
-
-def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write df as a Parquet table in the shared folder, in a folder for each value of `by`, and read it back: cuts
-    lineage, and survives the loss of any executor because no copy lives on one."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: White space that separates words: U+0020 and U+0009 to U+000D.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def materialise_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
@@ -105,11 +73,6 @@ def carried(docs: DataFrame, keep: list[str] | None, new) -> list[str]:
     return [c for c in (docs.columns if keep is None else keep) if c.lower() not in own]
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z alone; other letters keep their form."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def words_of(text: Column) -> Column:
     """The words of a text, an empty array for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

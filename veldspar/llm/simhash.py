@@ -11,11 +11,12 @@ have more than MEET fingerprints on average, and then larger; links are the same
 share a key are compared block by block: a block's bits are stored vertically, one plane per bit, and one pass
 over the planes adds up 64 distances per word with carry-save counters. (query, word) blocks whose 64
 distances all exceed the radius are abandoned on the way. A block returns a spanning forest of its links,
-not its pairs, in which no node has more than FAN others below it. A key with more rows than BLOCK is split into
-blocks by a hash, and each pair of its blocks is a task of its own, so no key meets in one task.
+not its pairs, as links to the least of each part, so that blocks that hold the same fingerprints return the same links. A
+key with more rows than BLOCK is split into blocks by a hash, and each pair of its blocks is a task of its own, so no key
+meets in one task.
 
-Components are found by least labels passed along links, with pointer jumping, each round written to the
-shared folder. Where rows look up a label, component or fingerprint that more than HOT of them share, they do so
+Components are found by joining nodes to their least neighbours and moving links to the roots, each round written to
+the shared folder. Where rows look up a label, component or fingerprint that more than HOT of them share, they do so
 without a shuffle (`look_up`).
 
 Defined results: a text without words (null, empty) has fingerprint 0, which links like any other. A text
@@ -45,11 +46,16 @@ SEED = 42
 #: Rows of a key that are compared in one block; a task holds two blocks at most.
 BLOCK = 4096
 #: Rows of several small keys that share a comparison.
-SHARED = 1024
+SHARED = 512
 #: Fingerprints that share a key by chance, on average, at most.
-MEET = 4096
+MEET = 1024
+#: One fingerprint in so many tells how many rows a key has, which decides into how many blocks it is split. Links are
+#: the same for any number of blocks.
+COUNTED = 64
 #: Links down from a node of a block's forest, at most.
 FAN = 32
+#: Rows of 17 bytes that are broadcast, at most.
+BROADCAST = 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -245,8 +251,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, prints:
     names = ["fp", *(f"fp_{k}" for k in range(2, prints + 1))]
     keys = [F.struct(F.lit(k).cast("byte").alias("nth"), key.alias("key")) for k, n in enumerate(names) for key in _keys(F.col(n), radius, agree)]
     keyed = distinct.select(*names, F.inline(F.array(*keys)))
-    large = materialise(keyed.groupBy("nth", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "simhash-keys")
-    rows = keyed.join(large, ["nth", "key"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
+    counted = distinct.where(F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(COUNTED)) == 0).select(F.inline(F.array(*keys)))
+    large = counted.groupBy("nth", "key").agg((F.count(F.lit(1)) * COUNTED).alias("n")).where(F.col("n") > block)
+    rows = keyed.join(materialise(large, "simhash-keys"), ["nth", "key"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     rows = rows.select(*names, "nth", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     rows = rows.select(*names, "nth", F.xxhash64("nth", "key", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"))
@@ -292,19 +299,35 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, prints:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of edges(a, b): the least node of its component."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "simhash-edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "simhash-labels")
-    hubs = materialise(hot_keys(both, "a"), "simhash-hubs")
+    """(node, label) of every node of edges(a, b): the least node of its component.
+
+    In each round every node joins its least neighbour, the trees that this makes are flattened, and links move to their
+    roots, where most become loops or equal to others and go; at least every second node goes with them."""
+    ends = lambda x: x.select("a", "b").unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels: DataFrame | None = None
     while True:
-        told = look_up(both, labels.withColumnRenamed("node", "a"), "a", ["label"], F.col("b"), hubs).select(F.col("b").alias("node"), "label")
-        least = materialise(labels.unionByName(told).groupBy("node").agg(F.min("label").alias("label")), "simhash-labels")
-        further = least.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = materialise(look_up(least, further, "label", ["further"], F.col("node"), hot_keys(least, "label")).select("node", F.col("further").alias("label")), "simhash-labels")
-        same = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty()
-        labels = new
-        if same:
-            return labels
+        roots = materialise(ends(edges).groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "simhash-roots")
+        if roots.isEmpty():
+            return roots.withColumnRenamed("root", "label") if labels is None else labels
+        while True:
+            above = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            new = materialise(look_up(roots, above, "root", ["above"], F.col("node"), hot_keys(roots, "root")).select("node", "root", "above"), "simhash-roots")
+            roots = new.select("node", F.col("above").alias("root"))
+            if new.where("root <> above").isEmpty():
+                break
+        moved = edges
+        for end in ("a", "b"):
+            other = "b" if end == "a" else "a"
+            at = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+            moved = look_up(moved, at, end, [f"root_{end}"], F.col(other), hot_keys(moved, end))
+        moved = moved.where("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct()
+        edges = materialise(moved, "simhash-edges")
+        if labels is None:
+            labels = roots.withColumnRenamed("root", "label")
+        else:
+            further = roots.select(F.col("node").alias("label"), F.col("root").alias("further"))
+            known = look_up(labels, further, "label", ["further"], F.col("node"), hot_keys(labels, "label"))
+            labels = materialise(known.select("node", F.coalesce("further", "label").alias("label")), "simhash-labels")
 
 
 def _named(small: DataFrame, least: Column, radius: int, prints: int, most: float) -> DataFrame:
@@ -313,7 +336,7 @@ def _named(small: DataFrame, least: Column, radius: int, prints: int, most: floa
     # Texts of one fingerprint are one node; of their further prints those of the least row stand for it.
     entry = F.min(F.struct(least.alias("least"), *more)).alias("m")
     nodes = materialise(small.groupBy("fp").agg(entry, F.count(F.lit(1)).alias("n")).select("fp", "n", "m.*"), "simhash-distinct")
-    labels = connected(links(nodes.select("fp", *more), radius, prints=prints, most=most))
+    labels = connected(materialise(links(nodes.select("fp", *more), radius, prints=prints, most=most), "simhash-edges"))
     named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("label", "fp"))
     named = materialise(named.select("fp", "n", "least", "component"), "simhash-named")
     of = materialise(named.groupBy("component").agg(F.min("least").alias("first")), "simhash-firsts")
@@ -340,7 +363,7 @@ def components(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id",
 
 def first_rows(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1, most: float = 0.25) -> DataFrame:
     """The row of the least key of each component, ties by the hash of the whole row; null keys come last. Texts
-    stay where they are unless the rows that go are too many to broadcast; of equal rows one stays."""
+    stay where they are up to BROADCAST rows that go; beyond, they move once. Of equal rows one stays."""
     key = row_key(docs)
     small = materialise(fingerprints(docs.select(F.col(text_col).alias("__text"), F.struct(F.col(key_col).isNull().alias("none"), F.col(key_col).alias("key"), key.alias("row")).alias("__key")), "__text", ["__key"], shingle, seed, prints), "simhash-fp")
     found = _named(small, F.col("__key"), radius, prints, most)
@@ -351,7 +374,7 @@ def first_rows(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id",
     ruled = materialise(counted.where("goes or n > 1").select("row.a", "row.b", "goes"), "simhash-ruled")
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__docs"), key.alias("__row"))
     keyed = keyed.select("__docs", F.col("__row.a").alias("a"), F.col("__row.b").alias("b"))
-    single = keyed.join(ruled, ["a", "b"], "left_anti")
+    single = keyed.join(F.broadcast(ruled) if ruled.count() <= BROADCAST else ruled, ["a", "b"], "left_anti")
     if ruled.where("not goes").isEmpty():
         return single.select("__docs.*")
     repeated = keyed.join(ruled.where("not goes"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("__docs").alias("__docs"))
