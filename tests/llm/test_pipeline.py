@@ -47,9 +47,10 @@ def plain_prints(text, shingle, prints):
 
 
 def plain_near(texts):
-    """Component of each text: links by one print within the radius, and all together within their share."""
+    """Component of each text: links by one print within the radius, its prints together within their share, and all
+    prints that are checked within theirs."""
     d = corpus_pipeline.DEDUP
-    prints = {k: plain_prints(t, d["shingle"], d["prints"]) for k, t in texts.items()}
+    prints = {k: plain_prints(t, d["shingle"], d["checks"]) for k, t in texts.items()}
     parent = {k: k for k in prints}
 
     def root(k):
@@ -61,7 +62,8 @@ def plain_near(texts):
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
             far = [(a ^ b).bit_count() for a, b in zip(prints[i], prints[j], strict=True)]
-            if min(far) <= d["radius"] and sum(far) <= d["most"] * 64 * d["prints"]:
+            first = far[: d["prints"]]
+            if min(first) <= d["radius"] and sum(first) <= d["most"] * 64 * d["prints"] and sum(far) <= int(d["near"] * 64 * d["checks"]):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {k: root(k) for k in ids}

@@ -3,7 +3,9 @@
 A text's fingerprint has bit k set if over half of its word shingles' hashes have it. Fingerprints link if
 they differ in at most `radius` bits; components are the connected parts of all links. With several prints (of
 further mixes of the same hashes) texts link if any one of them is within the radius and all of them together
-differ in at most a share `most` of their bits, which chance cannot bring about at any number of texts.
+differ in at most a share `most` of their bits, which chance cannot bring about at any number of texts. With `checks`
+the links that span a component are held against so many prints more closely: those stay that differ in at most a share
+`near` of all their bits.
 
 Candidates are exact: 64 bits are cut into radius + agree bands, and two fingerprints within the radius agree
 in at least `agree` of them, so they share the key of some choice of so many bands. agree is 2 until keys would
@@ -11,8 +13,8 @@ have more than MEET fingerprints on average, and then larger; links are the same
 share a key are compared block by block: a block's bits are stored vertically, one plane per bit, and one pass
 over the planes adds up 64 distances per word with carry-save counters. (query, word) blocks whose 64
 distances all exceed the radius are abandoned on the way. A block returns a spanning forest of its links,
-not its pairs, as links to the least of each part, so that blocks that hold the same fingerprints return the same links. A
-key with more rows than BLOCK is split into blocks by a hash, and each pair of its blocks is a task of its own, so no key
+not its pairs, found from the least of each part outwards, so that blocks that hold the same fingerprints return the same
+links. A key with more rows than BLOCK is split into blocks by a hash, and each pair of its blocks is a task of its own, so no key
 meets in one task.
 
 Components are found by joining nodes to their least neighbours and moving links to the roots, each round written to
@@ -52,8 +54,6 @@ MEET = 1024
 #: One fingerprint in so many tells how many rows a key has, which decides into how many blocks it is split. Links are
 #: the same for any number of blocks.
 COUNTED = 64
-#: Links down from a node of a block's forest, at most.
-FAN = 32
 #: Rows of 17 bytes that are broadcast, at most.
 BROADCAST = 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -94,17 +94,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return prints_of(text, shingle, seed)[0]
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1) -> DataFrame:
-    """docs with fp, the fingerprint's bits as a signed long, and fp_2, fp_3, ... of further prints."""
+def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1, checks: int = 0) -> DataFrame:
+    """docs with fp, the fingerprint's bits as a signed long, fp_2, fp_3, ... of further prints and, with checks, bits, an
+    array of so many prints."""
     names = ["fp", *(f"fp_{k}" for k in range(2, prints + 1))]
-    kept = carried(docs, keep, names)
+    kept = carried(docs, keep, [*names, "bits"])
     source = docs.select(*kept, docs[text_col].alias("__text"))
-    schema = T.StructType([*docs.select(*kept).schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
+    own = [*(T.StructField(n, T.LongType()) for n in names), *([T.StructField("bits", T.ArrayType(T.LongType()))] if checks else [])]
+    schema, most = T.StructType([*docs.select(*kept).schema.fields, *own]), max(prints, checks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([prints_of(t.as_py(), shingle, seed, prints) for t in batch.column(len(kept))], np.uint64).reshape(-1, prints).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(prints))], names=[*kept, *names])
+            fp = np.array([prints_of(t.as_py(), shingle, seed, most) for t in batch.column(len(kept))], np.uint64).reshape(-1, most).view(np.int64)
+            bits = [pa.array(list(fp[:, :checks]), pa.list_(pa.int64()))] if checks else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(prints)), *bits], names=[*kept, *names, *(["bits"] if checks else [])])
 
     return source.mapInArrow(run, schema)
 
@@ -177,7 +180,7 @@ def _above(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -
 
 
 def forest(fps: np.ndarray, radius: int = RADIUS, prints: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
-    """Positions (above, below) that span the linked parts of a block. With prints (a row of words each), links
+    """Positions (one, other) of links that span the linked parts of a block, each part from its least row outwards. With prints (a row of words each), links
     need at most `most` different bits in all of them."""
     masks = close_masks(fps, radius)
     if prints is not None:
@@ -191,12 +194,12 @@ def forest(fps: np.ndarray, radius: int = RADIUS, prints: np.ndarray | None = No
         while at < len(part) and left:
             new = links[part[at]] & left
             left &= ~new
-            at += 1
             while new:
                 low = new & -new
                 new ^= low
                 part.append(low.bit_length() - 1)
-        out += [(part[(i - 1) // FAN], part[i]) for i in range(1, len(part))]
+                out.append((part[at], part[-1]))
+            at += 1
     return out
 
 
@@ -330,30 +333,43 @@ def connected(edges: DataFrame) -> DataFrame:
             labels = materialise(known.select("node", F.coalesce("further", "label").alias("label")), "simhash-labels")
 
 
-def _named(small: DataFrame, least: Column, radius: int, prints: int, most: float) -> DataFrame:
+def alike(edges: DataFrame, nodes: DataFrame, checks: int, near: float) -> DataFrame:
+    """Those of edges(a, b) whose ends differ in at most a share `near` of the bits that nodes(fp, bits) has of them."""
+    x = edges
+    for end, other in (("a", "b"), ("b", "a")):
+        x = look_up(x, nodes.select(F.col("fp").alias(end), F.col("bits").alias(f"bits_{end}")), end, [f"bits_{end}"], F.col(other), hot_keys(edges, end))
+    far = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    return x.where(far <= int(near * 64 * checks)).select("a", "b")
+
+
+def _named(small: DataFrame, least: Column, radius: int, prints: int, most: float, checks: int, near: float) -> DataFrame:
     """(fp, component, n, first): of small(fp, fp_2, ...) with the rows of a fingerprint and the least of its component."""
     more = [f"fp_{k}" for k in range(2, prints + 1)]
+    bits = ["bits"] if checks else []
     # Texts of one fingerprint are one node; of their further prints those of the least row stand for it.
-    entry = F.min(F.struct(least.alias("least"), *more)).alias("m")
+    entry = F.min(F.struct(least.alias("least"), *more, *bits)).alias("m")
     nodes = materialise(small.groupBy("fp").agg(entry, F.count(F.lit(1)).alias("n")).select("fp", "n", "m.*"), "simhash-distinct")
-    labels = connected(materialise(links(nodes.select("fp", *more), radius, prints=prints, most=most), "simhash-edges"))
+    edges = materialise(links(nodes.select("fp", *more), radius, prints=prints, most=most), "simhash-edges")
+    if checks:
+        edges = materialise(alike(edges, nodes, checks, near), "simhash-edges")
+    labels = connected(edges)
     named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("label", "fp"))
     named = materialise(named.select("fp", "n", "least", "component"), "simhash-named")
     of = materialise(named.groupBy("component").agg(F.min("least").alias("first")), "simhash-firsts")
     return materialise(look_up(named, of, "component", ["first"], F.col("fp"), hot_keys(named, "component")).select("fp", "component", "n", "first"), "simhash-components")
 
 
-def components(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS, keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1, most: float = 0.25) -> DataFrame:
+def components(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS, keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1, most: float = 0.25, checks: int = 0, near: float = 0.0) -> DataFrame:
     """docs with fingerprint (16 hex digits), component_id (least key reachable) and component (its least
     fingerprint, which tells components apart even where keys are null)."""
     kept = carried(docs, keep, ["fingerprint", "component_id", "component", "fp"])
     row = [F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row")] if kept else []
     slim = keep is not None and text_col not in kept
     source = lambda own: docs.select(F.col(key_col).alias("__key"), F.col(text_col).alias("__text"), *own)
-    small = materialise(fingerprints(source(row if slim else []), "__text", ["__key", *(["__row"] if row and slim else [])], shingle, seed, prints), "simhash-fp")
+    small = materialise(fingerprints(source(row if slim else []), "__text", ["__key", *(["__row"] if row and slim else [])], shingle, seed, prints, checks), "simhash-fp")
     # Null keys come last.
     order = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"))
-    found = _named(small, order, radius, prints, most)
+    found = _named(small, order, radius, prints, most, checks, near)
     rows = small if slim else fingerprints(source(row), "__text", ["__key", *(["__row"] if row else [])], shingle, seed)
     hot = found.where(F.col("n") > HOT_ROWS).select("fp")
     told = look_up(rows, found.select("fp", "component", F.col("first.key").alias("component_id")), "fp", ["component", "component_id"], F.col("__key"), hot)
@@ -361,12 +377,12 @@ def components(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id",
     return told.select(*(["__row.*"] if row else []), hexed.alias("fingerprint"), "component_id", "component")
 
 
-def first_rows(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1, most: float = 0.25) -> DataFrame:
+def first_rows(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1, most: float = 0.25, checks: int = 0, near: float = 0.0) -> DataFrame:
     """The row of the least key of each component, ties by the hash of the whole row; null keys come last. Texts
     stay where they are up to BROADCAST rows that go; beyond, they move once. Of equal rows one stays."""
     key = row_key(docs)
-    small = materialise(fingerprints(docs.select(F.col(text_col).alias("__text"), F.struct(F.col(key_col).isNull().alias("none"), F.col(key_col).alias("key"), key.alias("row")).alias("__key")), "__text", ["__key"], shingle, seed, prints), "simhash-fp")
-    found = _named(small, F.col("__key"), radius, prints, most)
+    small = materialise(fingerprints(docs.select(F.col(text_col).alias("__text"), F.struct(F.col(key_col).isNull().alias("none"), F.col(key_col).alias("key"), key.alias("row")).alias("__key")), "__text", ["__key"], shingle, seed, prints, checks), "simhash-fp")
+    found = _named(small, F.col("__key"), radius, prints, most, checks, near)
     hot = found.where(F.col("n") > HOT_ROWS).select("fp")
     told = look_up(small, found.select("fp", "first"), "fp", ["first"], F.col("__key"), hot)
     counted = told.groupBy(F.col("__key.row").alias("row"), (~F.col("__key").eqNullSafe(F.col("first"))).alias("goes")).agg(F.count(F.lit(1)).alias("n"))
