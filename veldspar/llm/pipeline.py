@@ -18,7 +18,7 @@ from veldspar.llm.queries import piece_model
 #: The near-duplicate stage: words of a shingle, different bits up to which one of the prints links, prints, and the
 #: share of all their bits that may differ; then the prints that links are held against, and the share of their bits. Texts
 #: whose shingles have a similarity of 0.8 differ in 0.152 of the bits, by 0.011 more or less over 1024 of them.
-DEDUP = {"shingle": 5, "radius": 7, "prints": 3, "most": 0.25, "checks": 16, "near": 0.16}
+DEDUP = {"shingle": 5, "radius": 7, "prints": 4, "most": 0.25, "checks": 16, "near": 0.16}
 
 
 def _framed(docs: DataFrame, *columns: str) -> DataFrame:
