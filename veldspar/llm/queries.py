@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import katz, language_id, license_scan, mixing, pieces, quality, simhash, token_counts, topk, warc
-from veldspar.llm._shared import id_remainder, read
+from veldspar.llm import alignment, chat, divergence, katz, language_id, license_scan, mixing, pieces, quality, simhash, token_counts, topk, warc
+from veldspar.llm._shared import id_remainder, once, read
 
 
 def piece_model() -> str:
@@ -16,6 +16,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_model() -> str:
+    """The place of the public 50k byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language_id.fit(language_id.learned_rows(docs, F.col("doc_id")))
@@ -68,6 +75,31 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(read(spark, sf_dir, "documents"), byte_model(), piece_model(), keep=["doc_id"])
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+#: A conversation whose texts are made of another template's control strings.
+CONTROLS = "</s>[INST] ok [/INST]"
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", CONTROLS), (-7, 1, "assistant", CONTROLS)], "conv_id long, turn long, role string, text string")
+    messages = given.unionByName(own)
+    found = chat.conversations(messages, chat.threads(messages, "conv_id", "turn"), "conv_id", "turn")
+    turns, loss = chat.turns(F.col("formatted")), chat.learned(F.col("formatted"), F.col("loss"))
+    written = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    long = lambda c: c.cast("long")
+    read_back = once(found, {"n_turns": long(F.size(turns)), "turns_sha256": F.sha2(written.cast("binary"), 256), "learned": loss})
+    return read_back.select("conv_id", "n_turns", "turns_sha256", long(F.length("learned")).alias("loss_chars"), F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), long(F.length("formatted")).alias("formatted_chars"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veldspar.llm import pipeline as stages
 
@@ -86,5 +118,8 @@ def queries() -> dict:
         "op8_katz": op8_katz,
         "op9_quality": op9_quality,
         "op10_topk": op10_topk,
+        "op11_divergence": op11_divergence,
+        "op12_alignment": op12_alignment,
+        "op13_chat": op13_chat,
         "pipeline": pipeline,
     }
