@@ -28,6 +28,41 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return p.join(r, "__bin").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("__bin")
 
 
+#: Rows of a bin that are joined in one task, about.
+BIN_ROWS = 20_000
+
+
+def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, right_low: str, right_high: str, width: float, on: list[tuple[str, str]] | None = None, rows: int = BIN_ROWS) -> DataFrame:
+    """Pairs of left and right rows whose intervals [low, high) overlap, within equal keys `on` (left name, right name) if given.
+
+    Both sides are dealt to the bins of the given width that their intervals touch, and a pair comes out in the first bin that
+    both have, so each pair comes once. A bin of more than `rows` rows on a side is cut into parts by a hash of the row, and every part of one
+    side meets every part of the other, so no task gets a whole hot bin. Intervals that are empty, backward or null overlap with none; a width near the usual
+    length of an interval keeps the copies few. Columns of both sides must differ in name."""
+    on = on or []
+    number = lambda c: F.col(c).cast("timestamp").cast("double") if "timestamp" in kinds[c] or kinds[c] == "date" else F.col(c).cast("double")
+    kinds = dict([*left.dtypes, *right.dtypes])
+
+    def binned(x: DataFrame, a: str, b: str, keys: list[str], side: str) -> DataFrame:
+        x = x.where(F.col(a) < F.col(b)).withColumn(f"__{side}_first", F.floor(number(a) / width))
+        last = F.ceil(number(b) / width) - 1
+        x = x.withColumn("__bin", F.explode(F.sequence(F.col(f"__{side}_first"), F.greatest(F.col(f"__{side}_first"), last))))
+        return x.withColumns({f"__key{i}": F.col(k) for i, k in enumerate(keys)})
+
+    a, b = binned(left, low, high, [p[0] for p in on], "l"), binned(right, right_low, right_high, [p[1] for p in on], "r")
+    keys = ["__bin", *(f"__key{i}" for i in range(len(on)))]
+    parts = lambda x, n: x.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(n))
+    # Only bins that both sides have more than a part of rows in; what is not there has one part.
+    cut = materialise(parts(a, "__l").join(parts(b, "__r"), keys).where("__l > 1 or __r > 1"), "overlap-bins")
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), one(n) - 1))
+    salt = lambda x, n: F.pmod(F.xxhash64(*x.columns), one(n)).cast("int")
+    a = a.join(cut, keys, "left").withColumn("__lp", salt(left, "__l")).withColumn("__rp", spread("__r")).drop("__l", "__r")
+    b = b.join(cut, keys, "left").withColumn("__rp", salt(right, "__r")).withColumn("__lp", spread("__l")).drop("__l", "__r")
+    met = a.join(b, [*keys, "__lp", "__rp"]).where((F.col(low) < F.col(right_high)) & (F.col(right_low) < F.col(high)) & (F.col("__bin") == F.greatest("__l_first", "__r_first")))
+    return met.select(*left.columns, *right.columns)
+
+
 def sessions(events: DataFrame, key: str, time: str, gap_seconds: int) -> DataFrame:
     """(key, session_start, session_end, n): runs of events less than the gap apart."""
     w = Window.partitionBy(key).orderBy(time)

@@ -102,6 +102,17 @@ def price_range_join(spark, sf_dir):
     return R.range_join(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), bands, "o_totalprice", "low", "high", 3000.0).select("o_orderkey", "band")
 
 
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate AS low, max(l_shipdate) AS high FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT a.o_custkey, a.o_orderkey AS a, b.o_orderkey AS b FROM r a JOIN r b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.low < b.high AND b.low < a.high WHERE a.low < a.high AND b.low < b.high""")
+def order_overlaps(spark, sf_dir):
+    """Pairs of orders of a customer that were open at the same time, from the order to its last shipment."""
+    last = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("high"))
+    open_ = table(spark, sf_dir, "orders").join(last, "o_orderkey").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("low"), "high")
+    other = open_.select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
+    x = R.overlap_join(open_, other, "low", "high", "b_low", "b_high", 60.0 * 86400, [("o_custkey", "cust")])
+    return x.where("o_orderkey < b").select("o_custkey", F.col("o_orderkey").alias("a"), "b")
+
+
 @query("SELECT c_mktsegment, c_custkey, rank FROM (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey)::INT AS rank FROM customer) WHERE rank <= 3")
 def top_customers(spark, sf_dir):
     return R.top_per_group(table(spark, sf_dir, "customer"), "c_mktsegment", [F.desc("c_acctbal"), F.asc("c_custkey")], 3).select("c_mktsegment", "c_custkey", "rank")

@@ -50,11 +50,12 @@ def enriched(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(X.words(clean)).alias("words"), X.category(clean)["name"].alias("category"), X.is_turkish(clean).alias("language"))
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_once(stream: DataFrame, mode: str = "append", marks: str | None = None) -> DataFrame:
     """Run a stream over what is there now and return its rows, which each batch writes to a table in the shared folder
-    by its number, so that a batch that is run again replaces what it wrote."""
+    by its number, so that a batch that is run again replaces what it wrote. With the marks of an earlier run it goes on where that
+    ended, and returns the rows that are new."""
     spark = stream.sparkSession
-    path, marks = scratch_path(spark, "stream"), scratch_path(spark, "stream-marks")
+    path, marks = scratch_path(spark, "stream"), marks or scratch_path(spark, "stream-marks")
 
     def write(rows: DataFrame, n: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
