@@ -169,7 +169,7 @@ def test_only_chosen_folders_are_read(spark):
 
 
 def _metric(plan, name):
-    """The largest value of a metric in a plan that ran."""
+    """The largest value of a scan's metric in a plan that ran."""
     found = 0
     todo = [plan]
     while todo:
@@ -180,7 +180,7 @@ def _metric(plan, name):
         elif kind.endswith("QueryStageExec"):
             todo.append(p.plan())
         metric = p.metrics().get(name)
-        if metric.isDefined():
+        if kind == "FileSourceScanExec" and metric.isDefined():
             found = max(found, metric.get().value())
         children = p.children()
         todo += [children.apply(i) for i in range(children.size())]
