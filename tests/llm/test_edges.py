@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tests.llm.test_contracts import plain_components
-from veldspar.llm import _shared, language_id, license_scan, mixing, pieces, quality, simhash, token_counts, topk, warc
+from tests.llm.test_pipeline import plain_near
+from veldspar.llm import _shared, language_id, license_scan, mixing, near_copies, pieces, quality, simhash, token_counts, topk, warc
 from veldspar.llm import pipeline as corpus_pipeline
 from veldspar.llm import queries as Q
 from veldspar.llm._shared import materialise
@@ -131,8 +132,8 @@ def test_pipeline_stages(spark, odd):
         if name != "piece_encoding":
             assert made.columns == columns and {tuple(r) for r in made.collect()} <= before
         if name == "simhash_dedup":
-            d = corpus_pipeline.DEDUP
-            assert made.count() == simhash.components(docs, keep=["doc_id"], **d).select("component").distinct().count()
+            parts = plain_near({i: r.text for i, r in enumerate(docs.select("text").collect())})
+            assert made.count() == len(set(parts.values()))
         docs = made
     assert docs.count() > 0
 
@@ -145,9 +146,9 @@ def test_stages_of_empty_tables(spark, empty):
 
 @pytest.mark.parametrize("broadcast", [0, 10**6])
 def test_dedup_keeps_the_least_row_of_each_group(spark, sf, monkeypatch, broadcast):
-    monkeypatch.setattr(simhash, "BROADCAST", broadcast)
+    monkeypatch.setattr(near_copies, "BROADCAST", broadcast)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    groups = lambda x: simhash.components(x, keep=["doc_id"], **corpus_pipeline.DEDUP)
+    groups = near_copies.components
     want = sorted(r[0] for r in groups(docs).select("component_id").distinct().collect())
     made = corpus_pipeline.keep_one_of_each_group(spark, docs, sf)
     assert sorted(r.doc_id for r in made.collect()) == want and made.columns == docs.columns
@@ -161,27 +162,6 @@ def test_dedup_keeps_the_least_row_of_each_group(spark, sf, monkeypatch, broadca
     assert {r.doc_id for r in made.collect()} >= set(want)
 
 
-def test_near_copies_of_five_word_shingles(spark):
-    r = random.Random(11)
-    words = [f"word{i}" for i in range(4000)]
-    rows, pairs = [], []
-    for i in range(300):
-        text = [r.choice(words) for _ in range(r.randint(80, 400))]
-        rows.append((2 * i, " ".join(text)))
-        changed = text[:]
-        for at in r.sample(range(len(text)), max(1, len(text) // r.choice([40, 60, 100]))):
-            changed[at] = r.choice(words)
-        rows.append((2 * i + 1, " ".join(changed)))
-        a, b = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (text, changed))
-        pairs.append(len(a & b) / len(a | b))
-    found = {x.doc_id: x.component_id for x in simhash.components(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"], **corpus_pipeline.DEDUP).collect()}
-    assert all(found[2 * i] == 2 * i and found[2 * i + 1] in (2 * i, 2 * i + 1) for i in range(300))
-    caught = lambda low, high: [found[2 * i] == found[2 * i + 1] for i, s in enumerate(pairs) if low <= s < high]
-    near, close = caught(0.8, 0.9), caught(0.9, 1.1)
-    assert len(near) > 50 and sum(near) >= 0.7 * len(near) and sum(close) >= 0.97 * len(close)
-    assert sum(caught(0.0, 0.7)) <= 0.05 * max(1, len(caught(0.0, 0.7)))
-
-
 @pytest.mark.parametrize("hot", [3, 10**9])
 def test_hot_fingerprints_components_and_labels(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT_ROWS", hot)

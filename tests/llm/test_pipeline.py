@@ -30,40 +30,26 @@ def plain_quality(text):
     return all(r.low <= ratio[r.ratio] <= r.high for r in quality.BASE_RULES + quality.RULES)
 
 
-def plain_prints(text, shingle, prints):
-    """Fingerprints of the shingles' hashes and of their further mixes."""
-    out, mask = [], (1 << 64) - 1
+def shingles(text, n=5):
     w = SPACES.findall((text or "").translate(LOWER))
-    hs = [xxhash.xxh64_intdigest(" ".join(w[i : i + shingle]).encode(), 42) for i in range(max(1, len(w) - shingle + 1))]
-    for k in range(prints):
-        mixed = hs
-        if k:
-            mixed = [(h + k * 0x9E3779B97F4A7C15) & mask for h in hs]
-            mixed = [(h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask for h in mixed]
-            mixed = [(h ^ h >> 27) * 0x94D049BB133111EB & mask for h in mixed]
-            mixed = [h ^ h >> 31 for h in mixed]
-        out.append(sum(1 << b for b in range(64) if sum(h >> b & 1 for h in mixed) > len(mixed) / 2) if w else 0)
-    return out
+    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
 def plain_near(texts):
-    """Component of each text: links by one print within the radius, its prints together within their share, and all
-    prints that are checked within theirs."""
-    d = corpus_pipeline.DEDUP
-    prints = {k: plain_prints(t, d["shingle"], d["checks"]) for k, t in texts.items()}
-    parent = {k: k for k in prints}
+    """Component of each text: links between all pairs of texts whose five-word shingles have a similarity of 0.8 or more."""
+    sets = {k: shingles(t) for k, t in texts.items()}
+    parent = {k: k for k in sets}
 
     def root(k):
         while parent[k] != k:
             k = parent[k]
         return k
 
-    ids = sorted(prints)
+    ids = sorted(sets)
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
-            far = [(a ^ b).bit_count() for a, b in zip(prints[i], prints[j], strict=True)]
-            first = far[: d["prints"]]
-            if min(first) <= d["radius"] and sum(first) <= d["most"] * 64 * d["prints"] and sum(far) <= int(d["near"] * 64 * d["checks"]):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {k: root(k) for k in ids}

@@ -11,15 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import language_id, mixing, pieces, quality, simhash
+from veldspar.llm import language_id, mixing, near_copies, pieces, quality
 from veldspar.llm._shared import carried, read, scratch_path
 from veldspar.llm.queries import piece_model
 
-#: The near-duplicate stage: words of a shingle, different bits up to which one of the prints links, prints, and the
-#: share of all their bits that may differ; then the prints that links are held against, and the share of their bits. Texts
-#: whose shingles have a similarity of 0.8 differ in 0.152 of the bits, by 0.011 more or less over 1024 of them.
-DEDUP = {"shingle": 5, "radius": 7, "prints": 4, "most": 0.25, "checks": 16, "near": 0.16}
-
 
 def _framed(docs: DataFrame, *columns: str) -> DataFrame:
     """docs as one column, __docs, beside those that an operator reads."""
@@ -41,8 +36,8 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the least id, of each near-duplicate group; null ids come last, ties go by the
-    whole row. Null and empty texts are one group, and rows that are equal in all columns are one document."""
-    return simhash.first_rows(docs, **DEDUP)
+    whole row. Near copies have a similarity of 0.8 or more by words of five. Null and empty texts are one group, and rows that are equal in all columns are one document."""
+    return near_copies.first_rows(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,7 @@
 """SimHash near-duplicates, compared on bit planes.
 
 A text's fingerprint has bit k set if over half of its word shingles' hashes have it. Fingerprints link if
-they differ in at most `radius` bits; components are the connected parts of all links. With several prints (of
-further mixes of the same hashes) texts link if any one of them is within the radius and all of them together
-differ in at most a share `most` of their bits, which chance cannot bring about at any number of texts. With `checks`
-the links that span a component are held against so many prints more closely: those stay that differ in at most a share
-`near` of all their bits.
+they differ in at most `radius` bits; components are the connected parts of all links.
 
 Candidates are exact: 64 bits are cut into radius + agree bands, and two fingerprints within the radius agree
 in at least `agree` of them, so they share the key of some choice of so many bands. agree is 2 until keys would
@@ -24,8 +20,7 @@ without a shuffle (`look_up`).
 Defined results: a text without words (null, empty) has fingerprint 0, which links like any other. A text
 of fewer words than a shingle is one shingle. Equal texts share a fingerprint and thus a component. Null ids
 take part; a component of null ids alone has id null. Extra columns are kept by `components`, and columns of
-docs named like a result are replaced. `first_rows` tells rows apart by a 128-bit hash of all their columns;
-rows that are equal in all of them are one.
+docs named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldspar.llm._shared import HOT_ROWS, carried, hot_keys, look_up, materialise, row_key
+from veldspar.llm._shared import HOT_ROWS, carried, hot_keys, look_up, materialise
 
 RADIUS = 4
 SHINGLE = 4
@@ -54,60 +49,44 @@ MEET = 1024
 #: One fingerprint in so many tells how many rows a key has, which decides into how many blocks it is split. Links are
 #: the same for any number of blocks.
 COUNTED = 64
-#: Rows of 17 bytes that are broadcast, at most.
-BROADCAST = 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _mixed(h: np.ndarray, nth: int) -> np.ndarray:
-    """Further hashes from 64-bit ones; the first are the hashes themselves."""
-    if not nth:
-        return h
-    x = h + np.uint64(nth * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def prints_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1) -> list[int]:
-    """The unsigned 64-bit fingerprints of a whole text."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The XXH64 of each word shingle of a whole text, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return [0] * prints
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
     n = max(1, len(words) - shingle + 1)
-    begins, ends = (ends - sizes + 1)[:n].tolist(), ends[len(words) - n :].tolist()
-    counts = np.zeros((prints, 64), np.int64)
+    begins, ends, hashes = (ends - sizes + 1)[:n].tolist(), ends[len(words) - n :].tolist(), []
     for at in range(0, n, 1 << 14):
         parts = [joined[b:e] for b, e in zip(begins[at : at + (1 << 14)], ends[at : at + (1 << 14)], strict=True)]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, len(parts))
-        for k in range(prints):
-            counts[k] += np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
+        hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, len(parts)))
+    return np.concatenate(hashes)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The unsigned 64-bit fingerprint of a whole text."""
-    return prints_of(text, shingle, seed)[0]
+    h, counts = shingle_hashes(text, shingle, seed), np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 14):
+        counts += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1, checks: int = 0) -> DataFrame:
-    """docs with fp, the fingerprint's bits as a signed long, fp_2, fp_3, ... of further prints and, with checks, bits, an
-    array of so many prints."""
-    names = ["fp", *(f"fp_{k}" for k in range(2, prints + 1))]
-    kept = carried(docs, keep, [*names, "bits"])
+def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """docs with fp, the fingerprint's bits as a signed long."""
+    kept = carried(docs, keep, ["fp"])
     source = docs.select(*kept, docs[text_col].alias("__text"))
-    own = [*(T.StructField(n, T.LongType()) for n in names), *([T.StructField("bits", T.ArrayType(T.LongType()))] if checks else [])]
-    schema, most = T.StructType([*docs.select(*kept).schema.fields, *own]), max(prints, checks)
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([prints_of(t.as_py(), shingle, seed, most) for t in batch.column(len(kept))], np.uint64).reshape(-1, most).view(np.int64)
-            bits = [pa.array(list(fp[:, :checks]), pa.list_(pa.int64()))] if checks else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(prints)), *bits], names=[*kept, *names, *(["bits"] if checks else [])])
+            fp = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(len(kept))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], names=[*kept, "fp"])
 
     return source.mapInArrow(run, schema)
 
@@ -119,9 +98,11 @@ def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes of fingerprints: plane k holds bit k of 64 fingerprints a word, zero beyond the last."""
-    bits = np.zeros((-(-len(fps) // 64) * 64, 64), np.uint8)
-    bits[: len(fps)] = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes of fingerprints (one 64-bit word each, or a row of words): plane k holds bit k of 64 fingerprints a word, zero beyond
+    the last."""
+    wide = np.ascontiguousarray(fps).reshape(len(fps), -1)
+    bits = np.zeros((-(-len(fps) // 64) * 64, 64 * wide.shape[1]), np.uint8)
+    bits[: len(fps)] = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
@@ -154,7 +135,7 @@ def close_masks(fps: np.ndarray, radius: int = RADIUS, look: tuple[int, ...] = (
             over |= fours & f
             fours ^= f
             if k + 4 in look or k == 60:
-                far = over | _above(ones, twos, fours, radius)
+                far = over | _above([ones, twos, fours], radius)
                 alive = np.flatnonzero((~far & valid[w]) != 0)
                 if k == 60:
                     out[first + q[alive], w[alive]] = ~far[alive] & valid[w[alive]]
@@ -167,24 +148,64 @@ def close_masks(fps: np.ndarray, radius: int = RADIUS, look: tuple[int, ...] = (
     return out
 
 
-def _above(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit count is above the radius."""
-    out, same = np.zeros_like(ones), np.full_like(ones, _ALL)
-    for bit, lane in ((4, fours), (2, twos), (1, ones)):
-        if radius & bit:
-            same &= lane
+def _above(lanes: list[np.ndarray], limit: int) -> np.ndarray:
+    """Lanes whose count, lowest bit first, is above the limit."""
+    out, same = np.zeros_like(lanes[0]), np.full_like(lanes[0], _ALL)
+    for k in reversed(range(len(lanes))):
+        if limit >> k & 1:
+            same &= lanes[k]
         else:
-            out |= same & lane
-            same &= ~lane
+            out |= same & lanes[k]
+            same &= ~lanes[k]
+    return out
+
+
+def within(asked: np.ndarray, prints: np.ndarray, limit: int, look: int = 128) -> np.ndarray:
+    """For each of asked (a row of words each) a row of ceil(n / 64) words, whose bit j of word w is set if print 64 * w + j differs
+    from it in at most `limit` bits. Eight planes at a time go through a tree of carry-save adders into counters of as
+    many bits as the limit has; blocks are dropped every `look` planes once all their counts are above it."""
+    rows, n = planes(prints), len(prints)
+    width = rows.shape[1]
+    out = np.zeros((len(asked), width), np.uint64)
+    valid = np.full(width, _ALL)
+    if n % 64:
+        valid[-1] = np.uint64((1 << (n % 64)) - 1)
+    size = max(4, limit.bit_length())
+    step = max(1, (1 << 14) // width)
+    for first in range(0, len(asked), step):
+        part = asked[first : first + step]
+        q, w = (x.ravel() for x in np.meshgrid(np.arange(len(part)), np.arange(width), indexing="ij"))
+        counts, over = [np.zeros(len(q), np.uint64) for _ in range(size)], np.zeros(len(q), np.uint64)
+        for k in range(0, len(rows), 8):
+            want = np.where((part[:, k // 64, None] >> np.arange(k % 64, k % 64 + 8, dtype=np.uint64)) & np.uint64(1), _ALL, np.uint64(0))
+            a, b, c, d, e, f, g, h = (rows[k + i][w] ^ want[q, i] for i in range(8))
+            counts[0], t1 = _add(counts[0], a, b)
+            counts[0], t2 = _add(counts[0], c, d)
+            counts[1], f1 = _add(counts[1], t1, t2)
+            counts[0], t1 = _add(counts[0], e, f)
+            counts[0], t2 = _add(counts[0], g, h)
+            counts[1], f2 = _add(counts[1], t1, t2)
+            counts[2], carry = _add(counts[2], f1, f2)
+            for j in range(3, size):
+                counts[j], carry = counts[j] ^ carry, counts[j] & carry
+            over |= carry
+            last = k + 8 >= len(rows)
+            if last or (k + 8) % look == 0:
+                far = over | _above(counts, limit)
+                alive = np.flatnonzero((~far & valid[w]) != 0)
+                if last:
+                    out[first + q[alive], w[alive]] = ~far[alive] & valid[w[alive]]
+                elif len(alive) < len(q):
+                    q, w, over = q[alive], w[alive], over[alive]
+                    counts = [x[alive] for x in counts]
+                if not len(q):
+                    break
     return out
 
 
-def forest(fps: np.ndarray, radius: int = RADIUS, prints: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
-    """Positions (one, other) of links that span the linked parts of a block, each part from its least row outwards. With prints (a row of words each), links
-    need at most `most` different bits in all of them."""
+def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Positions (one, other) of links that span the linked parts of a block, each part from its least row outwards."""
     masks = close_masks(fps, radius)
-    if prints is not None:
-        masks = _near_in_all(masks, prints, most)
     links = [int.from_bytes(m.tobytes(), "little") for m in masks]
     left, out = (1 << len(fps)) - 1, []
     while left:
@@ -203,20 +224,6 @@ def forest(fps: np.ndarray, radius: int = RADIUS, prints: np.ndarray | None = No
     return out
 
 
-def _near_in_all(masks: np.ndarray, prints: np.ndarray, most: int) -> np.ndarray:
-    """The links of masks between rows that differ in at most `most` bits of all prints."""
-    out, n = np.zeros_like(masks), len(prints)
-    step = max(1, (1 << 21) // n)
-    for at in range(0, n, step):
-        linked = np.unpackbits(masks[at : at + step].view(np.uint8), axis=1, bitorder="little")[:, :n]
-        i, j = np.nonzero(linked)
-        far = np.bitwise_count(prints[at + i] ^ prints[j]).sum(axis=1, dtype=np.int64) > most
-        linked[i[far], j[far]] = 0
-        packed = np.packbits(linked, axis=1, bitorder="little")
-        out[at : at + step].view(np.uint8)[:, : packed.shape[1]] = packed
-    return out
-
-
 def bands(radius: int = RADIUS, agree: int = 2) -> list[tuple[int, int]]:
     """(shift, width) of radius + agree bands that cover 64 bits."""
     n, out, at = radius + agree, [], 0
@@ -247,37 +254,28 @@ def _keys(fp: Column, radius: int, agree: int) -> list[Column]:
     return out
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, prints: int = 1, most: float = 0.25, agree: int | None = None) -> DataFrame:
-    """Edges (a, b) between the fps of distinct(fp, fp_2, ...) that join all within the radius: enough to span
-    each component."""
+def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, agree: int | None = None) -> DataFrame:
+    """Edges (a, b) between the fps of distinct(fp) that join all within the radius: enough to span each component."""
     agree = agree or agreeing(distinct.count(), radius)
-    names = ["fp", *(f"fp_{k}" for k in range(2, prints + 1))]
-    keys = [F.struct(F.lit(k).cast("byte").alias("nth"), key.alias("key")) for k, n in enumerate(names) for key in _keys(F.col(n), radius, agree)]
-    keyed = distinct.select(*names, F.inline(F.array(*keys)))
-    counted = distinct.where(F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(COUNTED)) == 0).select(F.inline(F.array(*keys)))
-    large = counted.groupBy("nth", "key").agg((F.count(F.lit(1)) * COUNTED).alias("n")).where(F.col("n") > block)
-    rows = keyed.join(materialise(large, "simhash-keys"), ["nth", "key"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
+    keys = F.array(*_keys(F.col("fp"), radius, agree))
+    keyed = distinct.select("fp", F.explode(keys).alias("key"))
+    counted = distinct.where(F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(COUNTED)) == 0).select(F.explode(keys).alias("key"))
+    large = counted.groupBy("key").agg((F.count(F.lit(1)) * COUNTED).alias("n")).where(F.col("n") > block)
+    rows = keyed.join(materialise(large, "simhash-keys"), "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    rows = rows.select(*names, "nth", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.select(*names, "nth", F.xxhash64("nth", "key", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"))
-    limit = int(most * 64 * prints)
+    rows = rows.select("fp", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_at = np.zeros((0, prints + 1), np.uint64), np.zeros(0, np.int64)
-
-        def found(rows: np.ndarray) -> pa.RecordBatch:
-            # One row of each fingerprint and print that it is compared by.
-            rows = np.unique(rows, axis=0)
-            fps = rows[np.arange(len(rows)), rows[:, -1].astype(np.int64)]
-            pairs = forest(fps, radius, rows[:, :-1] if prints > 1 else None, limit)
-            ends = rows[np.array(pairs, np.int64).reshape(-1, 2), 0].view(np.int64)
-            ends = ends[ends[:, 0] != ends[:, 1]]
+        held, held_at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def found(fps: np.ndarray) -> pa.RecordBatch:
+            fps = np.unique(fps)
+            ends = fps[np.array(forest(fps, radius), np.int64).reshape(-1, 2)].view(np.int64)
             return pa.record_batch({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
         for batch in batches:
-            columns = [batch[n].to_numpy(zero_copy_only=False).view(np.uint64) for n in names]
-            columns.append(batch["nth"].to_numpy(zero_copy_only=False).astype(np.uint64))
-            held = np.concatenate((held, np.stack(columns, axis=1)))
+            held = np.concatenate((held, batch["fp"].to_numpy().view(np.uint64)))
             held_at = np.concatenate((held_at, batch["meeting"].to_numpy(zero_copy_only=False)))
             # Meetings that end within what is held, without those of one row; several small ones share a comparison.
             ends = np.flatnonzero(held_at[1:] != held_at[:-1]) + 1
@@ -333,65 +331,24 @@ def connected(edges: DataFrame) -> DataFrame:
             labels = materialise(known.select("node", F.coalesce("further", "label").alias("label")), "simhash-labels")
 
 
-def alike(edges: DataFrame, nodes: DataFrame, checks: int, near: float) -> DataFrame:
-    """Those of edges(a, b) whose ends differ in at most a share `near` of the bits that nodes(fp, bits) has of them."""
-    x = edges
-    for end, other in (("a", "b"), ("b", "a")):
-        x = look_up(x, nodes.select(F.col("fp").alias(end), F.col("bits").alias(f"bits_{end}")), end, [f"bits_{end}"], F.col(other), hot_keys(edges, end))
-    far = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
-    return x.where(far <= int(near * 64 * checks)).select("a", "b")
-
-
-def _named(small: DataFrame, least: Column, radius: int, prints: int, most: float, checks: int, near: float) -> DataFrame:
-    """(fp, component, n, first): of small(fp, fp_2, ...) with the rows of a fingerprint and the least of its component."""
-    more = [f"fp_{k}" for k in range(2, prints + 1)]
-    bits = ["bits"] if checks else []
-    # Texts of one fingerprint are one node; of their further prints those of the least row stand for it.
-    entry = F.min(F.struct(least.alias("least"), *more, *bits)).alias("m")
-    nodes = materialise(small.groupBy("fp").agg(entry, F.count(F.lit(1)).alias("n")).select("fp", "n", "m.*"), "simhash-distinct")
-    edges = materialise(links(nodes.select("fp", *more), radius, prints=prints, most=most), "simhash-edges")
-    if checks:
-        edges = materialise(alike(edges, nodes, checks, near), "simhash-edges")
-    labels = connected(edges)
-    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("label", "fp"))
-    named = materialise(named.select("fp", "n", "least", "component"), "simhash-named")
-    of = materialise(named.groupBy("component").agg(F.min("least").alias("first")), "simhash-firsts")
-    return materialise(look_up(named, of, "component", ["first"], F.col("fp"), hot_keys(named, "component")).select("fp", "component", "n", "first"), "simhash-components")
-
-
-def components(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS, keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1, most: float = 0.25, checks: int = 0, near: float = 0.0) -> DataFrame:
+def components(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS, keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """docs with fingerprint (16 hex digits), component_id (least key reachable) and component (its least
     fingerprint, which tells components apart even where keys are null)."""
     kept = carried(docs, keep, ["fingerprint", "component_id", "component", "fp"])
     row = [F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row")] if kept else []
     slim = keep is not None and text_col not in kept
     source = lambda own: docs.select(F.col(key_col).alias("__key"), F.col(text_col).alias("__text"), *own)
-    small = materialise(fingerprints(source(row if slim else []), "__text", ["__key", *(["__row"] if row and slim else [])], shingle, seed, prints, checks), "simhash-fp")
+    small = materialise(fingerprints(source(row if slim else []), "__text", ["__key", *(["__row"] if row and slim else [])], shingle, seed), "simhash-fp")
     # Null keys come last.
     order = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"))
-    found = _named(small, order, radius, prints, most, checks, near)
+    nodes = materialise(small.groupBy("fp").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    labels = connected(materialise(links(nodes.select("fp"), radius), "simhash-edges"))
+    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("label", "fp"))
+    named = materialise(named.select("fp", "n", "least", "component"), "simhash-named")
+    of = materialise(named.groupBy("component").agg(F.min("least").alias("first")), "simhash-firsts")
+    found = materialise(look_up(named, of, "component", ["first"], F.col("fp"), hot_keys(named, "component")).select("fp", "component", "n", "first"), "simhash-components")
     rows = small if slim else fingerprints(source(row), "__text", ["__key", *(["__row"] if row else [])], shingle, seed)
     hot = found.where(F.col("n") > HOT_ROWS).select("fp")
     told = look_up(rows, found.select("fp", "component", F.col("first.key").alias("component_id")), "fp", ["component", "component_id"], F.col("__key"), hot)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return told.select(*(["__row.*"] if row else []), hexed.alias("fingerprint"), "component_id", "component")
-
-
-def first_rows(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1, most: float = 0.25, checks: int = 0, near: float = 0.0) -> DataFrame:
-    """The row of the least key of each component, ties by the hash of the whole row; null keys come last. Texts
-    stay where they are up to BROADCAST rows that go; beyond, they move once. Of equal rows one stays."""
-    key = row_key(docs)
-    small = materialise(fingerprints(docs.select(F.col(text_col).alias("__text"), F.struct(F.col(key_col).isNull().alias("none"), F.col(key_col).alias("key"), key.alias("row")).alias("__key")), "__text", ["__key"], shingle, seed, prints, checks), "simhash-fp")
-    found = _named(small, F.col("__key"), radius, prints, most, checks, near)
-    hot = found.where(F.col("n") > HOT_ROWS).select("fp")
-    told = look_up(small, found.select("fp", "first"), "fp", ["first"], F.col("__key"), hot)
-    counted = told.groupBy(F.col("__key.row").alias("row"), (~F.col("__key").eqNullSafe(F.col("first"))).alias("goes")).agg(F.count(F.lit(1)).alias("n"))
-    # Rows that go, and rows that stay but stand there more than once; of all others nothing is asked.
-    ruled = materialise(counted.where("goes or n > 1").select("row.a", "row.b", "goes"), "simhash-ruled")
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__docs"), key.alias("__row"))
-    keyed = keyed.select("__docs", F.col("__row.a").alias("a"), F.col("__row.b").alias("b"))
-    single = keyed.join(F.broadcast(ruled) if ruled.count() <= BROADCAST else ruled, ["a", "b"], "left_anti")
-    if ruled.where("not goes").isEmpty():
-        return single.select("__docs.*")
-    repeated = keyed.join(ruled.where("not goes"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("__docs").alias("__docs"))
-    return single.select("__docs").unionByName(repeated.select("__docs")).select("__docs.*")
