@@ -8,7 +8,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.functions import constants as K
@@ -145,6 +145,28 @@ def chunks(docs: DataFrame, strategy: str = "semantic", id_col: str = "doc_id",
     return docs.select(F.col(id_col).alias("id"), F.posexplode(packed(F.col(text_col))).alias("pos", "chunk"))
 
 
+class TextChunks:
+    """The table function text_chunks(text, strategy, size, overlap): rows (pos, chunk). Null and blank texts have none."""
+
+    def eval(self, text: str, strategy: str, size: int, overlap: int):
+        pack = PACKERS.get(strategy, semantic_chunks)
+        yield from enumerate(pack(text or "", size=size, overlap=overlap))
+
+
+class MarkdownSections:
+    """The table function markdown_sections(text): rows (pos, path, chunk)."""
+
+    def eval(self, text: str):
+        for pos, (path, chunk) in enumerate(markdown_sections(text or "")):
+            yield pos, path, chunk
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make the chunkers table functions of the session, for SQL with LATERAL; rows travel in Arrow batches."""
+    spark.udtf.register("text_chunks", F.udtf(TextChunks, returnType="pos int, chunk string", useArrow=True))
+    spark.udtf.register("markdown_sections", F.udtf(MarkdownSections, returnType="pos int, path array<string>, chunk string", useArrow=True))
+
+
 def enrich(made: DataFrame) -> DataFrame:
     """Flags, category and counts of (id, pos, chunk)."""
     c = F.col("chunk")

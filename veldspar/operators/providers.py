@@ -6,7 +6,12 @@ The offline ones are deterministic; no verified result depends on another.
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+from typing import TypeVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +21,7 @@ from veldspar.functions import numbers as N
 from veldspar.functions import text as X
 
 Provider = Callable[[list[str]], list[str]]
+T = TypeVar("T")
 
 
 def echo(prompts: list[str]) -> list[str]:
@@ -23,25 +29,68 @@ def echo(prompts: list[str]) -> list[str]:
     return prompts
 
 
-def generate(rows: DataFrame, prompt: Column, provider: Provider = echo, batch: int = 32, attempts: int = 3) -> DataFrame:
-    """rows with the provider's answer to prompt; a batch is tried again before its task fails."""
-
-    @F.pandas_udf("string")
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+#: Waits between attempts: the first, the factor by which they grow, and the longest, in seconds.
+FIRST_WAIT, GROWTH, LONGEST_WAIT = 2.0, 1.5, 10.0
+
+
+def patiently(call: Callable[[], list], attempts: int, wait: Callable[[float], None] = time.sleep) -> tuple[list | None, str | None]:
+    """What a call returns, or the error of its last attempt; after each one that fails it waits, longer every time."""
+    pause = FIRST_WAIT
+    for left in reversed(range(attempts)):
+        try:
+            return call(), None
+        except Exception as e:
+            if not left:
+                return None, f"{type(e).__name__}: {e}"
+            wait(pause)
+            pause = min(pause * GROWTH, LONGEST_WAIT)
+    return None, "no attempt"
+
+
+def in_order(calls: Iterator[Callable[[], T]], workers: int) -> Iterator[T]:
+    """The results of calls in their order, of which so many run at a time and no more than that are started ahead."""
+    with ThreadPoolExecutor(workers) as pool:
+        held: deque = deque()
+        for call in calls:
+            held.append(pool.submit(call))
+            if len(held) >= workers:
+                yield held.popleft().result()
+        while held:
+            yield held.popleft().result()
+
+
+def generate(rows: DataFrame, prompt: Column, provider: Provider = echo, batch: int = 32, attempts: int = 3, workers: int = 4, errors: str | None = None, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """rows with the provider's answer to prompt, in batches of which `workers` are asked at a time in each task.
+
+    A batch that fails is asked again after a wait of 2 seconds, then 3, up to 10. After the last attempt its rows get a null answer and
+    the error in the column `errors`; without such a column the task fails. A provider that gives more or fewer answers than prompts is
+    an error, too. Answers stay with their rows, whatever order they come in."""
+
+    def asked(some: list[str]) -> tuple[list[str | None], list[str | None]]:
+        def call() -> list[str]:
+            answers = list(provider(some))
+            if len(answers) != len(some):
+                raise ValueError(f"{len(answers)} answers to {len(some)} prompts")
+            return answers
+
+        answers, error = patiently(call, attempts, wait)
+        if error and errors is None:
+            raise RuntimeError(error)
+        return ([None] * len(some) if answers is None else answers), [error] * len(some)
+
+    @F.pandas_udf("answer string, error string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for prompts in batches:
-            out: list[str] = []
-            for at in range(0, len(prompts), batch):
-                some = [p or "" for p in prompts[at : at + batch]]
-                for left in reversed(range(attempts)):
-                    try:
-                        out += provider(some)
-                        break
-                    except Exception:
-                        if not left:
-                            raise
-            yield pd.Series(out)
-
-    return rows.withColumn("answer", ask(prompt))
+            texts = [p or "" for p in prompts]
+            parts = in_order((partial(asked, texts[at : at + batch]) for at in range(0, len(texts), batch)), workers)
+            answers, said = [], []
+            for a, e in parts:
+                answers += a
+                said += e
+            yield pd.DataFrame({"answer": pd.Series(answers, dtype=object), "error": pd.Series(said, dtype=object)})
+
+    held = rows.withColumn("__asked", ask(prompt)).withColumn("answer", F.col("__asked.answer"))
+    return (held if errors is None else held.withColumn(errors, F.col("__asked.error"))).drop("__asked")
 
 
 def embed(rows: DataFrame, text: Column, query: bool = False, instructed: bool = True, model: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:

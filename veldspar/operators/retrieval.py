@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
@@ -41,9 +42,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "doc_id
     """(query_id, id, score, rank) of the k best documents of queries(query_id, text), ties to smaller ids.
 
     Rare-term weights are ln(N - df + .5) - ln(df + .5); negative ones become a quarter of the mean over all
-    terms. A query term that is repeated counts again. Texts are tokenised once, into an index in the shared
-    folder. where filters documents before they are ranked."""
-    index = LexicalIndex.build(docs, scratch_path(docs.sparkSession, "index"), id_col, text_col)
+    terms. A query term that is repeated counts again. The index is the one that the session holds for these documents, so texts
+    are tokenised once, however many searches there are. where filters documents before they are ranked."""
+    index = LexicalIndex.held(docs, id_col, text_col)
     return index.search(queries, k, None if where is None else docs.where(where).select(F.col(id_col).alias("id")))
 
 
@@ -75,15 +76,37 @@ class LexicalIndex:
         self.corpus = spark.read.parquet(f"{path}/corpus").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("times")).first()
         self.frequencies = parts if self.corpus.times == 1 else parts.groupBy("term").agg(F.sum("df").alias("df"))
 
+    #: Folders of the indexes that this driver has built, by session, plan, files and bytes.
+    HELD: ClassVar[dict[tuple, str]] = {}
+
+    @classmethod
+    def held(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LexicalIndex:
+        """The index of a frame of files, built when it is first asked for. It is found again by the frame's plan and the names of its
+        files; a table that is written anew has other files, and so another index. Postings aren't sorted, as whoever asks once
+        would pay for it and gain nothing."""
+        spark, files = docs.sparkSession, docs.inputFiles()
+        key = (spark.sparkContext.applicationId, docs.semanticHash(), hash(tuple(sorted(files))), id_col, text_col)
+        if not files or key not in cls.HELD:
+            index = cls._write(docs, scratch_path(spark, "index"), id_col, text_col, "overwrite", ordered=False)
+            if not files:
+                return index
+            cls.HELD[key] = index.path
+        return cls(spark, cls.HELD[key])
+
     @classmethod
     def build(cls, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> LexicalIndex:
         return cls._write(docs, path, id_col, text_col, "overwrite")
 
     @classmethod
-    def _write(cls, docs: DataFrame, path: str, id_col: str, text_col: str, mode: str) -> LexicalIndex:
+    def _write(cls, docs: DataFrame, path: str, id_col: str, text_col: str, mode: str, ordered: bool = True) -> LexicalIndex:
         spark = docs.sparkSession
-        made = materialise(postings(docs, id_col, text_col), "postings")
-        made.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
+        made = postings(docs, id_col, text_col)
+        if ordered:
+            made = materialise(made, "postings")
+            made.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
+        else:
+            made.write.mode(mode).parquet(f"{path}/postings")
+            made = spark.read.parquet(f"{path}/postings")
         lengths = materialise(made.groupBy("id").agg(F.sum("tf").alias("dl")), "lengths")
         lengths.write.mode(mode).parquet(f"{path}/lengths")
         term_df(made).write.mode(mode).parquet(f"{path}/terms")

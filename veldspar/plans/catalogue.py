@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veldspar.plans import chunks, data, inputs, relational, reports, retrieval, scalar, stores, streams, writing  # noqa: F401  registers
+from veldspar.plans import chunks, data, derived, inputs, relational, reports, retrieval, scalar, stores, streams, writing  # noqa: F401  registers
 from veldspar.plans.registry import QUERIES, SQL
 
 

@@ -53,6 +53,30 @@ def parent_child_chunks(spark, sf_dir):
     return H.parent_child(_docs(spark, sf_dir))
 
 
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(s, 1) AS n, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+g AS (SELECT *, sum(CASE WHEN regexp_full_match(line, '#{1,4}\s+.+') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM l),
+b AS (SELECT doc_id, block, trim(string_agg(line, chr(10) ORDER BY n), E' \n\r\t') AS chunk FROM g GROUP BY ALL)
+SELECT doc_id AS id, (row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1)::INT AS pos, sha256(chunk) AS digest FROM b WHERE chunk <> ''""")
+def sections_lateral(spark, sf_dir):
+    """Heading blocks by the table function, in SQL."""
+    H.register_functions(spark)
+    _docs(spark, sf_dir).createOrReplaceTempView("veldspar_documents")
+    return spark.sql("SELECT doc_id AS id, pos, sha2(CAST(chunk AS BINARY), 256) AS digest FROM veldspar_documents, LATERAL markdown_sections(text)")
+
+
+@query("""SELECT doc_id AS id, true AS in_order, true AS whole FROM documents WHERE regexp_matches(text, '\\S')""")
+def chunks_lateral(spark, sf_dir):
+    """Chunks by the table function, in SQL, with what must hold of them: positions are 0, 1, 2, ..., and the first chunk begins and the last one
+    ends as the text does."""
+    H.register_functions(spark)
+    _docs(spark, sf_dir).createOrReplaceTempView("veldspar_documents")
+    made = spark.sql("SELECT doc_id AS id, text, pos, chunk FROM veldspar_documents, LATERAL text_chunks(text, 'semantic', 1200, 240)")
+    plain = lambda c: F.regexp_replace(c, r"\s+", "")
+    x = made.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last"), F.min_by("chunk", "pos").alias("a"), F.max_by("chunk", "pos").alias("z"), F.first("text").alias("text"))
+    whole = F.startswith(plain("text"), plain("a")) & F.endswith(plain("text"), plain("z"))
+    return x.select("id", (F.col("n") == F.col("last") + 1).alias("in_order"), whole.alias("whole"))
+
+
 _WINDOWS = "(SELECT doc_id, text, unnest(range(greatest(0, ceil((length(text) - {size}) / {size}.0))::BIGINT + 1)) AS pos FROM documents WHERE length(text) > 0)"
 
 

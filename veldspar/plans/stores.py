@@ -13,6 +13,7 @@ from veldspar.plans.registry import query, table
 from veldspar.plans.retrieval import _VEC, _cut, _vectors
 from veldspar.sources.changes import ChangeTable
 from veldspar.sources.layout import read_by, write_by
+from veldspar.sources.listing import listed
 
 
 @query()
@@ -125,3 +126,33 @@ def events_of_days(spark, sf_dir):
     days = spark.read.parquet(path).groupBy("day").agg(of("purchase").alias("p"), of("click").alias("c")).where(F.col("p") > 1.1 * F.col("c"))
     rows = read_by(spark, path, days, "day")
     return rows.groupBy(F.col("day").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+def _listing(spark, sf_dir):
+    """A listing of the files of documents, which are written by source first."""
+    path = scratch_path(spark, "documents-by-source")
+    write_by(table(spark, sf_dir, "documents").select("doc_id", "source"), path, "source", F.coalesce("source", F.lit("none")))
+    return listed(spark, path)
+
+
+@query("SELECT 'source=' || coalesce(source, 'none') AS folder, 'unknown' AS category, ceil(count(*) / 1000000.0)::BIGINT AS files FROM documents GROUP BY ALL")
+def files_listed(spark, sf_dir):
+    """The files of a table in folders, listed by a data source of its own."""
+    return _listing(spark, sf_dir).where("extension = 'parquet' and size > 0").groupBy("folder", "category").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("SELECT 'source=src1' AS folder, count(DISTINCT source) AS files FROM documents WHERE source = 'src1' HAVING count(*) > 0")
+def files_of_folder(spark, sf_dir):
+    """The files of one folder; the filter is pushed down, so no other folder is listed."""
+    return _listing(spark, sf_dir).where("folder = 'source=src1' and extension in ('parquet', 'csv')").groupBy("folder").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query()
+def token_counts(spark, sf_dir):
+    """Tokens of every document by a public byte-level vocabulary (merging is sequential, so without SQL)."""
+    import public_tokenizers
+
+    from veldspar.functions.tokens import token_count
+
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", token_count(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken")).alias("tokens"))
