@@ -106,6 +106,16 @@ def test_odd_vectors(spark, odd):
     assert [g[0] for g in got] == [0] * 5 + [50] * 5 + [300] * 5
 
 
+def test_scores_that_do_not_fit(spark):
+    top = lambda rows: [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()]
+    for rows in ([(0, [4e9, 0.0]), (1, [4e9, 0.0])], [(0, [1.0, 1.0]), (1, [1e300, 1.0])], [(0, [1e8, 1e8]), (1, [-1e8, -1e8])]):
+        with pytest.raises(Exception, match="not fit in 64 bits"):
+            top(rows)
+    # Parts that are too large each, but not together, and the largest scores that fit.
+    assert top([(0, [2e7, 2e7, 1.0]), (1, [2e7, -2e7, 1.0]), (2, [0.0, 0.0, 3.0])]) == [(0, 1, 2, 3 * 65536), (0, 2, 1, 65536)]
+    assert top([(0, [float(1 << 20)]), (1, [float((1 << 26) - 1)])]) == [(0, 1, 1, (1 << 28) * ((1 << 34) - 256))]
+
+
 def test_extra_columns_with_clashing_names(spark, odd):
     base = spark.read.parquet(f"{odd}/documents.parquet").withColumns({"extra": F.lit(7), "SCORE": F.lit("s"), "N_Words": F.lit("w"), "target": F.lit(1), "fp": F.lit("f"), "Kept": F.lit("k"), "ids": F.lit("i")})
     model = language_id.fit(base)

@@ -13,7 +13,8 @@ task holds one of each; every query block meets every candidate block through a
 Defined results: vectors that are null, or hold a null or non-finite component, take no part; nor do rows
 with a null id. Vectors of different lengths count as zero beyond their end. Ties go to the smaller id. A
 query's own row is every row of its id; of repeated query ids the vector first in order asks. Components
-are floor(scale * x); sums are taken in 64-bit integers. Extra columns are ignored.
+are floor(scale * x) and scores 64-bit integers: sums that may not fit are taken in integers of any size, and the query fails if a
+component or a score does not fit, as no other result would be right. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCA
     """(id, v, asks): integer components of the rows that take part."""
     part = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"), F.coalesce(F.col("__asks"), F.lit(False)).alias("asks"))
     part = part.where(F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
-    return part.select("id", F.transform("x", lambda x: F.floor(F.lit(float(scale)) * x).cast("long")).alias("v"), "asks")
+    large = F.raise_error(F.lit("a component does not fit in 64 bits")).cast("long")
+    whole = lambda x: F.when(F.abs(F.lit(float(scale)) * x) < float(1 << 63), F.floor(F.lit(float(scale)) * x).cast("long")).otherwise(large)
+    return part.select("id", F.transform("x", whole).alias("v"), "asks")
 
 
 def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -54,8 +57,8 @@ def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
         v = table["v"].combine_chunks()
         lengths = np.array(v.value_lengths().to_numpy(zero_copy_only=False), "<i4")
         values = v.flatten().to_numpy(zero_copy_only=False)
-        most = int(np.abs(values).max(initial=0))
-        values = values.astype("<i2" if 0 <= most < 1 << 15 else "<i4" if 0 <= most < 1 << 31 else "<i8")
+        most = _largest(values) if len(values) else 0
+        values = values.astype("<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8")
         ids = table["id"].to_numpy().astype("<i8")
         return pa.table({"block": table["block"][:1], "ids": pa.array([ids.tobytes()], pa.binary()), "lengths": pa.array([lengths.tobytes()], pa.binary()), "data": pa.array([values.tobytes()], pa.binary())})
 
@@ -88,8 +91,8 @@ def accumulate(n: int, lists: list[list[tuple[np.ndarray, np.ndarray]]], queries
     out = np.zeros((len(queries), n), np.int64)
     for at, part in zip(range(0, n, SLICE), lists, strict=True):
         terms = [d for d in np.flatnonzero(queries[:, : len(part)].any(axis=0)) if len(part[d][0])]
-        most = sum(int(np.abs(part[d][1]).max()) * int(np.abs(queries[:, d]).max()) for d in terms)
-        kind = np.int32 if most < 1 << 31 else np.int64
+        most = sum(_largest(part[d][1]) * _largest(queries[:, d]) for d in terms)
+        kind = np.int32 if most < 1 << 31 else np.int64 if most < 1 << 63 else object
         scores = np.zeros((min(SLICE, n - at), len(queries)), kind)
         for d in terms:
             held, weights = part[d]
@@ -98,10 +101,17 @@ def accumulate(n: int, lists: list[list[tuple[np.ndarray, np.ndarray]]], queries
                 scores[held] += weights.astype(kind)[:, None] * queries[:, d].astype(kind)
             else:
                 scores[held[:, None], asking] += weights.astype(kind)[:, None] * queries[asking, d].astype(kind)
+        if kind is object:
+            out = out.astype(object)
         out[:, at : at + SLICE] = scores.T
     return out
 
 
+def _largest(x: np.ndarray) -> int:
+    """The largest absolute value, as an integer of any size."""
+    return max(abs(int(x.min())), abs(int(x.max())))
+
+
 def select(ids: np.ndarray, scores: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best candidates of a block (ids ascending) for one query: ids and scores, ties to smaller ids."""
     own = slice(int(np.searchsorted(ids, query_id)), int(np.searchsorted(ids, query_id, side="right")))
@@ -113,7 +123,9 @@ def select(ids: np.ndarray, scores: np.ndarray, query_id: int, k: int) -> tuple[
         best = np.concatenate((above, level[: k - len(above)]))
     else:
         best = np.arange(len(ids))
-    return ids[best], scores[best]
+    if scores.dtype == object and any(not -(1 << 63) <= x < 1 << 63 for x in scores[best]):
+        raise OverflowError("a score does not fit in 64 bits")
+    return ids[best], scores[best].astype(np.int64)
 
 
 def search_block(ids: np.ndarray, lists: list[list[tuple[np.ndarray, np.ndarray]]], query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
