@@ -68,18 +68,20 @@ def _rise(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Of nodes(tree, id, parent, score): (tree, id, depth, total) and, by round k, the (tree, id, up) whose ancestor 2^k steps up is up."""
     at = lambda x: x.select("tree", F.col("id").alias("up"), *(F.col(c).alias(f"up_{c}") for c in x.columns[2:]))
     there = nodes.join(at(nodes.select("tree", "id")).withColumnRenamed("up", "parent").withColumn("up", F.col("parent")), ["tree", "parent"], "left")
-    state = materialise(there.select("tree", "id", "up", F.col("up").isNotNull().cast("long").alias("depth"), F.col("score").alias("total")), "chat-nodes")
-    ups: list[DataFrame] = []
-    most = state.count().bit_length() + 1
-    while not (live := state.where("up is not null")).isEmpty():
+    live = materialise(there.select("tree", "id", "up", F.col("up").isNotNull().cast("long").alias("depth"), F.col("score").alias("total")), "chat-nodes")
+    ended, ups = live.where("up is null"), []
+    most = live.count().bit_length() + 1
+    # A round writes the nodes that are still on their way alone; those that have reached their root stay where they are.
+    while not (live := live.where("up is not null")).isEmpty():
         if len(ups) > most:
             ring = live.select("tree", "id", F.lit(True).alias("ring"))
             return _rise(nodes.join(ring, ["tree", "id"], "left").select("tree", "id", F.when(F.col("ring").isNull(), F.col("parent")).alias("parent"), "score"))
         ups.append(live.select("tree", "id", "up"))
-        above = at(state.withColumnRenamed("up", "next"))
+        above = at(ended.unionByName(live).withColumnRenamed("up", "next"))
         risen = live.join(above, ["tree", "up"]).select("tree", "id", F.col("up_next").alias("up"), (F.col("depth") + F.col("up_depth")).alias("depth"), (F.col("total") + F.col("up_total")).alias("total"))
-        state = materialise(state.where("up is null").unionByName(risen), "chat-nodes")
-    return state.drop("up"), ups
+        live = materialise(risen, "chat-nodes")
+        ended = ended.unionByName(live.where("up is null"))
+    return ended.drop("up"), ups
 
 
 def branches(links: DataFrame, best: int | None = None) -> DataFrame:
