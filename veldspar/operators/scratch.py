@@ -40,4 +40,18 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__[_PATH] = path
+    return out
+
+
+#: Where a frame that was materialised remembers its folder.
+_PATH = "_veldspar_scratch"
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the folders of materialised frames that nothing will read any more; other frames are passed over. For rounds that write a table
+    each, so that the shared folder holds one of them and not all."""
+    for df in frames:
+        if df is not None and _PATH in df.__dict__:
+            _delete(df.sparkSession, df.__dict__.pop(_PATH))
