@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldspar.operators.scratch import materialise, scratch_path
+from veldspar.operators.scratch import discard, materialise, scratch_path
 
-__all__ = ["HOT_ROWS", "SPACE", "carried", "hot_keys", "id_remainder", "look_up", "materialise", "materialise_bucketed", "once", "read", "row_key", "scratch_path", "words_of"]
+__all__ = ["HOT_ROWS", "SPACE", "carried", "discard", "hot_keys", "id_remainder", "look_up", "materialise", "materialise_bucketed", "once", "read", "row_key", "scratch_path", "words_of"]
 
 #: White space that separates words: U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.llm._shared import HOT_ROWS, hot_keys, look_up, materialise, row_key
+from veldspar.llm._shared import HOT_ROWS, discard, hot_keys, look_up, materialise, row_key
 from veldspar.llm.simhash import SEED, connected, shingle_hashes, within
 
 SHINGLE, LEAST = 5, 0.8
@@ -41,6 +41,7 @@ SHARED = 512
 #: Rows of 16 bytes that are broadcast, at most.
 BROADCAST = 1_000_000
 
+_EIGHTHS = np.uint64(0x0101010101010101)
 _GROWN = np.arange(1, 1 + max(PRINTS, BANDS * ROWS), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,14 +53,27 @@ def _mixes(h: np.ndarray, n: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bit_counts(words: np.ndarray) -> np.ndarray:
+    """For each row of 64-bit words how many of them have bit 0, 1, ..., 63. Every eighth bit is put into bytes of its own, which hold the
+    sums of 255 words."""
+    rows, n = words.shape
+    step = max(1, min(255, n))
+    if n % step:
+        words = np.concatenate((words, np.zeros((rows, -n % step), np.uint64)), axis=1)
+    out = np.empty((rows, 8, 8), np.int64)
+    for k in range(8):
+        sums = ((words >> np.uint64(k)) & _EIGHTHS).reshape(rows, -1, step).sum(axis=2, dtype=np.uint64)
+        out[:, :, k] = sums.view(np.uint8).reshape(rows, -1, 8).sum(axis=1, dtype=np.int64)
+    return out.reshape(rows, 64)
+
+
 def signature(words: np.ndarray) -> tuple[int, bytes, list[int]]:
     """Of a set of shingle hashes: the set's hash, its prints, and its keys."""
     sums, least = np.zeros((PRINTS, 64), np.int64), np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
     for at in range(0, len(words), 1 << 11):
         mixed = _mixes(words[at : at + (1 << 11)], BANDS * ROWS)
         least = np.minimum(least, mixed.min(axis=1))
-        bits = np.unpackbits(np.ascontiguousarray(mixed[:PRINTS]).view(np.uint8).reshape(PRINTS, -1, 8), axis=2, bitorder="little")
-        sums += bits.sum(axis=1, dtype=np.int64)
+        sums += bit_counts(mixed[:PRINTS])
     prints = np.packbits(2 * sums > len(words), axis=1, bitorder="little").tobytes()
     keys = [xxhash.xxh64_intdigest(row.tobytes(), nth) for nth, row in enumerate(least.reshape(BANDS, ROWS))]
     return xxhash.xxh64_intdigest(words.tobytes(), SEED), prints, keys
@@ -201,11 +215,10 @@ def again(met: DataFrame, labels: DataFrame, failed: DataFrame, forests: int) ->
     def search(texts: pa.Table, known: pa.Table) -> pa.Table:
         node, first = np.unique(texts["node"].to_numpy(), return_index=True)
         prints, label = _as_prints(texts["prints"])[first], np.unique(texts["label"].to_numpy()[first], return_inverse=True)[1]
-        bad = set(zip(known["a"].to_pylist(), known["b"].to_pylist(), strict=True))
+        a, b = (np.searchsorted(node, known[c].to_numpy()) for c in ("a", "b"))
         one, other = _set_bits(within(prints, prints, limit), len(node))
         some = (one < other) & (label[one] != label[other])
-        one, other = one[some], other[some]
-        some = np.array([(a, b) not in bad for a, b in zip(node[one].tolist(), node[other].tolist(), strict=True)], bool)
+        some[some] = ~np.isin(one[some] * len(node) + other[some], a * len(node) + b)
         one, other = one[some], other[some]
         order = np.argsort(np.bitwise_count(prints[one] ^ prints[other]).sum(axis=1, dtype=np.int64), kind="stable")
         one, other = one[order], other[order]
@@ -261,7 +274,9 @@ def groups(docs: DataFrame, text_col: str, key_col: str, shingle: int = SHINGLE,
     while True:
         told = materialise(links.join(alike(links.select("a", "b").distinct(), sets, least), ["a", "b"]), "near-told")
         good = told.where("holds").select("a", "b").distinct()
-        edges = materialise(good if edges is None else edges.unionByName(good).distinct(), "near-edges")
+        known = materialise(good if edges is None else edges.unionByName(good).distinct(), "near-edges")
+        discard(edges, links)
+        edges = known
         labels = connected(edges)
         new = told.where("not holds").select("meeting", "a", "b")
         if new.isEmpty():
@@ -269,6 +284,7 @@ def groups(docs: DataFrame, text_col: str, key_col: str, shingle: int = SHINGLE,
         failed = new if failed is None else new.unionByName(failed.join(new.select("meeting").distinct(), "meeting", "left_semi"))
         forests *= 4
         links = materialise(again(met, labels, failed, forests), "near-links")
+    discard(sets, asked)
     named = nodes.join(labels, "node", "left").select("node", "n", "least", F.coalesce("label", "node").alias("component"))
     named = materialise(named, "near-named")
     firsts = materialise(named.groupBy("component").agg(F.min("least").alias("first")), "near-firsts")

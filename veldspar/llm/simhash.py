@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldspar.llm._shared import HOT_ROWS, carried, hot_keys, look_up, materialise
+from veldspar.llm._shared import HOT_ROWS, carried, discard, hot_keys, look_up, materialise
 
 RADIUS = 4
 SHINGLE = 4
@@ -306,14 +306,18 @@ def connected(edges: DataFrame) -> DataFrame:
     roots, where most become loops or equal to others and go; at least every second node goes with them."""
     ends = lambda x: x.select("a", "b").unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels: DataFrame | None = None
+    given = edges
     while True:
-        roots = materialise(ends(edges).groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "simhash-roots")
+        held = materialise(ends(edges).groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "simhash-roots")
+        roots = held
         if roots.isEmpty():
+            discard(edges if edges is not given else None)
             return roots.withColumnRenamed("root", "label") if labels is None else labels
         while True:
             above = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
             new = materialise(look_up(roots, above, "root", ["above"], F.col("node"), hot_keys(roots, "root")).select("node", "root", "above"), "simhash-roots")
-            roots = new.select("node", F.col("above").alias("root"))
+            discard(held)
+            held, roots = new, new.select("node", F.col("above").alias("root"))
             if new.where("root <> above").isEmpty():
                 break
         moved = edges
@@ -322,13 +326,16 @@ def connected(edges: DataFrame) -> DataFrame:
             at = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
             moved = look_up(moved, at, end, [f"root_{end}"], F.col(other), hot_keys(moved, end))
         moved = moved.where("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct()
-        edges = materialise(moved, "simhash-edges")
+        moved = materialise(moved, "simhash-edges")
+        discard(edges if edges is not given else None)
+        edges = moved
         if labels is None:
             labels = roots.withColumnRenamed("root", "label")
         else:
             further = roots.select(F.col("node").alias("label"), F.col("root").alias("further"))
             known = look_up(labels, further, "label", ["further"], F.col("node"), hot_keys(labels, "label"))
             labels = materialise(known.select("node", F.coalesce("further", "label").alias("label")), "simhash-labels")
+            discard(held)
 
 
 def components(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS, keep: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
