@@ -9,7 +9,7 @@ the corpus.
 The prints of a block are compared as bit planes: one pass over the planes adds up 64 distances a word with carry-save counters, and
 blocks of which all distances are too large are abandoned on the way. A block gives a spanning forest of its candidates, not its
 pairs. Each of its links is then held against the sets themselves, and where one fails the block is asked again: for the links that join
-what is not joined yet, nearest first and without those that failed, four times as many forests in each round. It ends when no link
+what is not joined yet, nearest first and without those that failed, sixteen times as many forests in each round. It ends when no link
 fails; so a failing link never stands in the place of one that holds, and no third text has a say in whether two are linked.
 Keys of more than BLOCK texts are split by a hash, and each pair of parts is a block.
 
@@ -282,7 +282,7 @@ def groups(docs: DataFrame, text_col: str, key_col: str, shingle: int = SHINGLE,
         if new.isEmpty():
             break
         failed = new if failed is None else new.unionByName(failed.join(new.select("meeting").distinct(), "meeting", "left_semi"))
-        forests *= 4
+        forests *= 16
         links = materialise(again(met, labels, failed, forests), "near-links")
     discard(sets, asked)
     named = nodes.join(labels, "node", "left").select("node", "n", "least", F.coalesce("label", "node").alias("component"))
