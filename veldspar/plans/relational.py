@@ -40,7 +40,6 @@ WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING
     "customer_windows": """
 SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS rk, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS dr,
   lag(o_totalprice) OVER w AS previous, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving, first_value(o_orderkey) OVER w AS first_key FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
-    "price_buckets": "SELECT bucket, count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high FROM (SELECT o_totalprice, CAST(ntile(10) OVER (ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS bucket FROM orders) t GROUP BY bucket",
     "full_outer_nations": "SELECT a.k AS a, b.k AS b FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 15) a FULL OUTER JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey > 10) b ON a.k = b.k",
     "first_per_key": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) t WHERE n = 1",
     "success_rate": "SELECT event_type, count(*) AS n, sum(CASE WHEN value > 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS rate FROM events GROUP BY event_type",
@@ -66,6 +65,17 @@ def flag_pivot(spark, sf_dir):
     return x.withColumnsRenamed({"A": "a", "N": "n", "R": "r"})
 
 
+@query("SELECT bucket, count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high FROM (SELECT o_totalprice, CAST(ntile(10) OVER (ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS bucket FROM orders) t GROUP BY bucket")
+def price_buckets(spark, sf_dir):
+    """Ten buckets of equal numbers by price: ranks come from ranges of prices, so no task sees all rows; the first n % 10 buckets have one row more."""
+    ranked = R.ordinal(table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"], "nth")
+    n = ranked.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    size, more = F.floor(n / 10), n % 10
+    at, upto = F.col("nth") - 1, more * (size + 1)
+    bucket = F.when(at < upto, F.floor(at / (size + 1))).otherwise(more + F.floor((at - upto) / F.greatest(size, F.lit(1)))) + 1
+    return ranked.groupBy(bucket.cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+
+
 @query("SELECT p_partkey, k AS measure, v AS value FROM (SELECT p_partkey, unnest(['size', 'price']) AS k, unnest([p_size::DOUBLE, p_retailprice]) AS v FROM part)")
 def part_unpivot(spark, sf_dir):
     x = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))

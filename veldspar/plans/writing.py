@@ -86,11 +86,13 @@ def plan_warnings(spark, sf_dir):
     return W.plan_warnings(spark.createDataFrame(PLAN, "section string, target_words int, required boolean, n_points int, n_sources int"))
 
 
-_CHUNKS = "(SELECT doc_id % 10 AS g, doc_id AS pos, source, text[:80] AS text, doc_id % 100 / 100.0::DOUBLE AS score, 7 AS tokens FROM documents)"
+_CHUNKS = f"(SELECT doc_id // 5 AS g, doc_id AS pos, source, text, doc_id % 100 / 100.0::DOUBLE AS score, {_TOKENS} AS tokens FROM documents)"
 
 
 def _rows(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("g"), F.col("doc_id").alias("pos"), "source", F.substring("text", 1, 80).alias("text"), (F.col("doc_id") % 100 / 100).alias("score"), F.lit(7).alias("tokens"))
+    """Whole documents with their tokens, five to a context, so that contexts grow in number and not in length."""
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 5).alias("g"), F.col("doc_id").alias("pos"), "source", text, (F.col("doc_id") % 100 / 100).alias("score"), X.token_estimate(text).alias("tokens"))
 
 
 _TOTAL = "chr(10) || chr(10) || '---' || chr(10) || 'Toplam: ' || count(*) || ' dokuman, ' || sum(tokens) || ' token'"
