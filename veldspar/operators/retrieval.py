@@ -144,6 +144,8 @@ def best(scored: DataFrame, k: int, by: str, group: str = "query_id", tie: str =
 
 #: Vectors of a block that one task compares with a block of queries.
 VECTORS, ASKS = 16_384, 1024
+#: Queries of a block in one product, and tasks that pairs of blocks are dealt to at most.
+SIDE_BY_SIDE, TASKS = 64, 20_000
 
 
 def _blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
@@ -175,12 +177,12 @@ def _matrix(ids: bytes, lengths: bytes, data: bytes) -> tuple[np.ndarray, np.nda
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", min_score: float | None = None, where: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank): exact cosine search of queries(query_id, query_vector) against all vectors, ties to
     smaller ids. where filters vectors before they are ranked; the score threshold applies after the cut, so fewer than
-    k rows can remain. Null vectors take no part, and those of length zero are similar to nothing.
+    k rows can remain. Null vectors and those with null or non-finite components take no part; those of length zero are similar to nothing.
 
     Vectors and queries meet in blocks, each pair of blocks in a product of two matrices of which the k best of each
     query leave the task, so neither side is ever broadcast or multiplied out row by row."""
     vectors = vectors if where is None else vectors.where(where)
-    rows = lambda df, i, v: df.select(F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")).where("id is not null and v is not null and not exists(v, x -> x is null)")
+    rows = lambda df, i, v: df.select(F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")).where("id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
     found, _ = _blocks(rows(vectors, id_col, vector_col), VECTORS)
     asked, n = _blocks(rows(queries, "query_id", "query_vector"), ASKS)
     spread = found.select("ids", "lengths", "data", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("ask"))
@@ -193,9 +195,9 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
                 asks, q = _matrix(r["q_ids"], r["q_lengths"], r["q_data"])
                 width = min(m.shape[1], q.shape[1])
                 at, best = [], []
-                for row in q[:, :width]:
-                    score = m[:, :width] @ row
-                    score = np.copysign(np.floor(np.abs(score) * 1e6 + 0.5), score) / 1e6
+                products = (row for i in range(0, len(q), SIDE_BY_SIDE) for row in q[i : i + SIDE_BY_SIDE, :width] @ m[:, :width].T)
+                for product in products:
+                    score = np.copysign(np.floor(np.abs(product) * 1e6 + 0.5), product) / 1e6
                     top = np.arange(len(ids))
                     if len(ids) > k:
                         least = np.partition(score, len(ids) - k)[len(ids) - k]
@@ -206,7 +208,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
                 sizes = [len(x) for x in at]
                 yield pa.record_batch({"query_id": pa.array(np.repeat(asks, sizes)), "id": pa.array(np.concatenate(at)), "score": pa.array(np.concatenate(best) + 0.0)})
 
-    scored = spread.repartition(max(1, found.count() * n)).mapInArrow(run, "query_id long, id long, score double")
+    scored = spread.repartition(max(1, min(found.count() * n, TASKS))).mapInArrow(run, "query_id long, id long, score double")
     kind = dict(queries.dtypes)["query_id"]
     ranked = best(scored.select(F.col("query_id").cast(kind).alias("query_id"), F.col("id").cast(dict(vectors.dtypes)[id_col]).alias("id"), "score"), k, "score")
     return ranked if min_score is None else ranked.where(F.col("score") >= min_score)
