@@ -93,6 +93,24 @@ def generate(rows: DataFrame, prompt: Column, provider: Provider = echo, batch:
     return (held if errors is None else held.withColumn(errors, F.col("__asked.error"))).drop("__asked")
 
 
+def relevance_by(rows: DataFrame, ask: Column, text: Column, model: Callable[[list[tuple[str, str]]], list[float]], batch: int = 32, attempts: int = 3, workers: int = 4, name: str = "relevance") -> DataFrame:
+    """rows with the relevance that a model of pairs (a cross-encoder) gives to (ask, text), in batches as `generate` asks them. A model that
+    fails for good gives null, so a reranking falls back to the score that is there."""
+
+    def asked(pairs: list[tuple[str, str]]) -> list[float | None]:
+        scores, _ = patiently(lambda: [float(x) for x in model(pairs)], attempts)
+        return scores if scores is not None and len(scores) == len(pairs) else [None] * len(pairs)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for x in batches:
+            pairs = [(a or "", b or "") for a, b in zip(x["ask"], x["text"], strict=True)]
+            parts = in_order((partial(asked, pairs[at : at + batch]) for at in range(0, len(pairs), batch)), workers)
+            yield pd.Series([v for p in parts for v in p], dtype="float64")
+
+    return rows.withColumn(name, score(F.struct(ask.alias("ask"), text.alias("text"))))
+
+
 def embed(rows: DataFrame, text: Column, query: bool = False, instructed: bool = True, model: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
     """rows with an embedding: of a model, or the hash of the text. Instructed models want a prefix."""
     told = F.concat(F.lit("query: " if query else "passage: "), text) if instructed else text

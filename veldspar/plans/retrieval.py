@@ -9,6 +9,7 @@ from veldspar.functions import constants as K
 from veldspar.functions import text as X
 from veldspar.operators import context as C
 from veldspar.operators import retrieval as R
+from veldspar.operators.providers import relevance_by
 from veldspar.operators.scratch import scratch_path
 from veldspar.plans.registry import query, quoted, table, value_rows
 from veldspar.plans.scalar import _CLEAN, _CAT_SQL, _SENTENCES, _TOKENS, _TR, WORDS, _stem_sql
@@ -153,6 +154,24 @@ def rerank_overlap(spark, sf_dir):
     return R.rerank(x, X.keyword_overlap(F.col("a"), F.col("b")), 5).select("query_id", "id", "score", "combined", "rank")
 
 
+def shared_words(pairs: list[tuple[str, str]]) -> list[float]:
+    """A model of pairs without weights: the share of the query's words that the text has."""
+    sets = ((set(a.lower().split()), set(b.lower().split())) for a, b in pairs)
+    return [len(a & b) / len(a) if a else 0.0 for a, b in sets]
+
+
+@query(f"""{_RRF}, c AS (SELECT f.query_id, f.id, f.score, q.text AS ask, d.text AS body FROM {_cut('f', 20)} f JOIN documents d ON d.doc_id = f.id JOIN {_Q} ON q.query_id = f.query_id),
+w AS (SELECT query_id, id, score, list_distinct({WORDS.format('lower(ask)')}) AS a, list_distinct({WORDS.format('lower(body)')}) AS b FROM c),
+s AS (SELECT query_id, id, score, round(0.7 * (len(list_intersect(a, b)) / len(a)) + 0.3 * score, 6) AS combined FROM w) SELECT query_id, id, combined, rank FROM {_cut('s', 5, 'combined')} WHERE combined >= 0.3""")
+def rerank_model(spark, sf_dir):
+    """Reranking by a model that is given pairs of texts, and the relevant rows alone: ranks are given before the threshold."""
+    found = R.fuse_rrf(*_legs(spark, sf_dir), k=20).select("query_id", "id", "score")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    x = found.join(texts, "id").join(_queries(spark), "query_id")
+    judged = relevance_by(x, F.col("text"), F.col("body"), shared_words)
+    return R.rerank(judged, F.col("relevance"), 5, 0.3).select("query_id", "id", "combined", "rank")
+
+
 _KTOK = f"list_filter({WORDS.format(r'regexp_replace(lower(text), ' + chr(39) + r'[^a-zçğıöşü\s]' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, lambda w: length(w) >= 3 AND w NOT IN ({quoted(K.STOP_KEYWORDS)}))"
 _KEY = f"""ktf AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, {_stem_sql('raw', X.longest_first(K.SUFFIXES_KEYWORDS), 2)} AS term FROM (SELECT doc_id, unnest({_KTOK}) AS raw FROM documents)) GROUP BY ALL),
 kdf AS (SELECT term, count(*) AS df FROM ktf GROUP BY term), ks AS (SELECT id, term, round((1 + ln(tf)) * ln((SELECT count(*) FROM documents)::DOUBLE / df), 6) AS score FROM ktf JOIN kdf USING (term)),
