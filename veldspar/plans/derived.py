@@ -12,9 +12,11 @@ from veldspar.functions import constants as K
 from veldspar.functions import numbers as N
 from veldspar.functions import text as X
 from veldspar.operators import rewriting as W
+from veldspar.operators import sources as S
 from veldspar.operators import validation as V
 from veldspar.plans.chunks import _PARTS, _SYN
-from veldspar.plans.registry import query, quoted, table, value_rows
+from veldspar.plans.registry import SQL, query, quoted, table, value_rows
+from veldspar.plans.reports import _SOURCES
 from veldspar.plans.scalar import WORDS
 from veldspar.sources import sinks
 from veldspar.sources.files import markdown_tables
@@ -197,6 +199,53 @@ def page_credibility(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", host.alias("domain"), N.credibility(host).alias("credibility"))
 
 
+# Every part is a source: its title and snippet take turns among wordings, with numbers of the part.
+_PART_SOURCES = """(SELECT 'https://site' || (p_partkey % 50) || '.org/' || p_partkey AS url,
+  CASE p_partkey % 5 WHEN 0 THEN 'Pazar payı ve büyüme verisi' WHEN 1 THEN 'Genel bakış' WHEN 2 THEN 'Risk ve fırsat' WHEN 3 THEN 'Gelir ve gider' ELSE 'Üretim süreci' END AS title,
+  CASE p_partkey % 4 WHEN 0 THEN 'Sektör raporu: %' || p_size || ' artış' WHEN 1 THEN 'bütçe ' || p_size || ' milyon TL ' || p_name WHEN 2 THEN 'tehdit analizi ' || p_brand ELSE 'şirket hakkında ' || p_type END AS snippet,
+  CAST(p_partkey % 20 AS DOUBLE) / 20 AS credibility, CAST(p_partkey % 9 AS INT) AS pos FROM part) s"""
+_SECTIONS_ASKED = ["risk_analizi", "finansal_projeksiyonlar"]
+
+
+def _of_parts(name: str) -> str:
+    """The SQL of a query over sources, over parts."""
+    return SQL[name].replace(_SOURCES, _PART_SOURCES)
+
+
+def _part_sources(spark, sf_dir):
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return spark.sql(f"SELECT * FROM {_PART_SOURCES}")
+
+
+@query(_of_parts("source_sections"))
+def part_source_sections(spark, sf_dir):
+    return S.assign_sections(_part_sources(spark, sf_dir))
+
+
+@query(_of_parts("sources_for_section").replace("credibility DESC, pos)", "credibility DESC, pos, s_url)").replace("SELECT w.section, s.url,", "SELECT w.section, s.url AS s_url, s.url,"))
+def part_sources_for_section(spark, sf_dir):
+    rows = _part_sources(spark, sf_dir)
+    return S.for_sections(rows.withColumn("pos", F.struct("pos", "url")), _SECTIONS_ASKED)
+
+
+@query(_of_parts("statistics_sources"))
+def part_statistics_sources(spark, sf_dir):
+    low = F.lower(F.concat_ws(" ", "title", "snippet"))
+    return _part_sources(spark, sf_dir).where(low.rlike(r"[0-9]+[.,]?[0-9]*\s*(milyon|milyar|%|tl|usd)") | low.rlike("istatistik|veri|rakam|oran|rapor|araştırma")).select("url", "credibility")
+
+
+@query(_of_parts("high_credibility_sources"))
+def part_credible_sources(spark, sf_dir):
+    return _part_sources(spark, sf_dir).where("credibility >= 0.8").select("url", "credibility")
+
+
+@query(_of_parts("source_validation"))
+def part_source_validation(spark, sf_dir):
+    content = F.concat_ws(" ", "title", F.when(F.col("pos") % 2 == 0, F.col("snippet")).otherwise(""))
+    v = S.validity(F.col("snippet"), content, F.col("credibility"), F.when(F.col("pos") > 5, 0.2).otherwise(1.0))
+    return _part_sources(spark, sf_dir).select("url", F.round(v, 6).alias("validity"))
+
+
 # Query rewriting
 
 _BENCHMARK = "(SELECT item_id AS query_id, text FROM benchmark)"
