@@ -175,6 +175,15 @@ def report_charts(spark, sf_dir):
     return W.chart_data(_sections(spark, sf_dir).select((F.col("report_id") * 10_000 + F.col("ord")).alias("doc_id"), F.col("content").alias("text")))
 
 
+@query(f"""WITH {_Y}, {_APART}, l AS (SELECT report_id, metric, string_agg('  - ' || section_id || ': ' || format('{{:,.2f}}', value), chr(10) ORDER BY ord, section_id) AS lines FROM m GROUP BY ALL),
+k AS (SELECT report_id, string_agg(metric || ':' || chr(10) || lines, chr(10) || chr(10) ORDER BY metric) AS known FROM l GROUP BY report_id),
+o AS (SELECT report_id, severity || ': ' || metric || ' ' || section_id || ' ' || format('{{:,.2f}}', value) || ' / ' || format('{{:,.2f}}', expected) AS line FROM issues), x AS (SELECT report_id, string_agg(line, chr(10) ORDER BY line) AS odd FROM o GROUP BY report_id)
+SELECT k.report_id, sha256(concat_ws(chr(10) || chr(10), known, odd)) AS digest FROM k LEFT JOIN x ON x.report_id = k.report_id""")
+def report_consistency(spark, sf_dir):
+    """The consistency report of each report: all metrics by section, then what differs."""
+    return V.consistency_report(_sections(spark, sf_dir)).select("report_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
 # Numbers
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 4 THEN -round(o_totalprice, 2) WHEN 5 THEN (o_custkey || '.5')::DOUBLE * 1e6 ELSE round(o_totalprice, 2) END AS parsed,
@@ -275,6 +284,30 @@ def report_query_variants(spark, sf_dir):
     return W.expand(asks)
 
 
+_LINES = "(SELECT item_id AS query_id, trim(replace(text, chr(10), ' ')) AS text FROM benchmark)"
+
+
+def _lines(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.trim(F.replace("text", F.lit("\n"), F.lit(" "))).alias("text"))
+
+
+def reworded(prompts: list[str]) -> list[str]:
+    """A provider that answers with the prompt's last line in three ways, and a blank line between."""
+    last = [p.rpartition("\n")[2].partition(": ")[2] for p in prompts]
+    return [f"{x} what\n\n{x} why\n{x} where" for x in last]
+
+
+@query(f"SELECT query_id, text, text || ' what' || chr(10) || chr(10) || text || ' why' || chr(10) || text || ' where' AS variant FROM {_LINES}")
+def benchmark_hypothetical(spark, sf_dir):
+    """An ideal answer to each item, to search with."""
+    return W.hypothetical(_lines(spark, sf_dir), reworded)
+
+
+@query(f"SELECT query_id, text AS variant, 1 AS n FROM {_LINES} UNION ALL SELECT query_id, text || ' what', 2 FROM {_LINES} UNION ALL SELECT query_id, text || ' why', 3 FROM {_LINES}")
+def benchmark_rewordings(spark, sf_dir):
+    return W.multiple(_lines(spark, sf_dir), reworded)
+
+
 @query("SELECT doc_id, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {quoted([w])})' for w in ws)} THEN '{name}'" for name, ws in K.SECTORS.items()) + " END AS sector FROM documents")
 def document_sectors(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", W.sector(F.col("text")).alias("sector"))
