@@ -56,7 +56,7 @@ def test_pairs_by_similarity(spark):
     assert caught[16, True] >= 0.99 * (caught[16, True] + caught[16, False]) > 20 and not caught[17, False] and not caught[18, False] and caught[15, False] > 20
 
 
-@pytest.mark.parametrize(("block", "families"), [(8, 2), (2048, 6)])
+@pytest.mark.parametrize(("block", "families"), [(8, 2), (4096, 6)])
 def test_hot_families_and_third_texts(spark, block, families):
     """Families of texts around 0.8, in which most candidates fail and few hold: the components of all pairs, whatever the blocks."""
     r = random.Random(2)
@@ -72,7 +72,7 @@ def test_hot_families_and_third_texts(spark, block, families):
     sets = {k: shingles(t) for k, t in texts.items()}
     like = [len(a & b) / len(a | b) for i, a in sets.items() for j, b in sets.items() if i < j and (i - 1000) // 100 == (j - 1000) // 100]
     assert sum(0.6 < x < 0.8 for x in like) > 50 * families and len(set(want.values())) > 2 * families
-    if block == 2048:
+    if block == 4096:
         assert found(spark, texts, block=block) == want
     # Without the least of each component the others' links stay as they are.
     rest = {k: t for k, t in texts.items() if want[k] != k}

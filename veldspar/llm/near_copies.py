@@ -9,7 +9,7 @@ the corpus.
 The prints of a block are compared as bit planes: one pass over the planes adds up 64 distances a word with carry-save counters, and
 blocks of which all distances are too large are abandoned on the way. A block gives a spanning forest of its candidates, not its
 pairs. Each of its links is then held against the sets themselves, and where one fails the block is asked again: for the links that join
-what is not joined yet, nearest first and without those that failed, sixteen times as many forests in each round. It ends when no link
+what is not joined yet, nearest first and without those that failed, four times as many forests in each round. It ends when no link
 fails; so a failing link never stands in the place of one that holds, and no third text has a say in whether two are linked.
 Keys of more than BLOCK texts are split by a hash, and each pair of parts is a block.
 
@@ -35,7 +35,7 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 12, 4
 PRINTS, FAR = 16, 0.19
 #: Texts of a key that are compared in one block; a task holds two at most.
-BLOCK = 2048
+BLOCK = 4096
 #: Texts of several small keys that share a comparison.
 SHARED = 512
 #: Rows of 16 bytes that are broadcast, at most.
@@ -132,7 +132,7 @@ def forest(prints: np.ndarray, meetings: np.ndarray | None = None, limit: int =
 
 
 def _spanning(n: int, one: np.ndarray, other: np.ndarray) -> list[int]:
-    """Places of those links between n parts, in their order, that join what those before don't."""
+    """Places of those links between n parts, in their order, that join what those before don't; it ends once all are joined."""
     parent, out = list(range(n)), []
 
     def root(i: int) -> int:
@@ -146,6 +146,8 @@ def _spanning(n: int, one: np.ndarray, other: np.ndarray) -> list[int]:
         if a != b:
             parent[max(a, b)] = min(a, b)
             out.append(k)
+            if len(out) == n - 1:
+                break
     return out
 
 
@@ -216,9 +218,14 @@ def again(met: DataFrame, labels: DataFrame, failed: DataFrame, forests: int) ->
         node, first = np.unique(texts["node"].to_numpy(), return_index=True)
         prints, label = _as_prints(texts["prints"])[first], np.unique(texts["label"].to_numpy()[first], return_inverse=True)[1]
         a, b = (np.searchsorted(node, known[c].to_numpy()) for c in ("a", "b"))
-        one, other = _set_bits(within(prints, prints, limit), len(node))
-        some = (one < other) & (label[one] != label[other])
-        some[some] = ~np.isin(one[some] * len(node) + other[some], a * len(node) + b)
+        found = []
+        for at in range(0, len(node), 256):
+            bits = np.unpackbits(within(prints[at : at + 256], prints, limit).view(np.uint8), axis=1, bitorder="little")[:, : len(node)].astype(bool)
+            bits &= label[at : at + 256, None] != label[None, :]
+            i, j = np.nonzero(bits)
+            found.append(((i + at)[i + at < j], j[i + at < j]))
+        one, other = (np.concatenate(x) for x in zip(*found, strict=True))
+        some = ~np.isin(one * len(node) + other, a * len(node) + b)
         one, other = one[some], other[some]
         order = np.argsort(np.bitwise_count(prints[one] ^ prints[other]).sum(axis=1, dtype=np.int64), kind="stable")
         one, other = one[order], other[order]
@@ -226,7 +233,7 @@ def again(met: DataFrame, labels: DataFrame, failed: DataFrame, forests: int) ->
         for _ in range(forests):
             if not len(one):
                 break
-            picked = _spanning(len(node), label[one], label[other])
+            picked = _spanning(int(label.max()) + 1, label[one], label[other])
             out += [(int(node[one[k]]), int(node[other[k]])) for k in picked]
             stays = np.ones(len(one), bool)
             stays[picked] = False
@@ -237,11 +244,14 @@ def again(met: DataFrame, labels: DataFrame, failed: DataFrame, forests: int) ->
     return rows.groupBy("meeting").cogroup(failed.groupBy("meeting")).applyInArrow(search, "meeting long, a long, b long")
 
 
-def alike(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """links(a, b) with holds: whether the sets(node, words) of both ends have the similarity."""
-    end = lambda c: sets.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}"))
+def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """pairs(a, b) with holds: whether the sets(node, words) of both ends have the similarity. Up to BROADCAST pairs go to where the sets
+    are, so that only the sets of the pairs' ends move."""
+    near = F.broadcast if pairs.count() <= BROADCAST else lambda x: x
+    x = sets.select(F.col("node").alias("a"), F.col("words").alias("words_a")).join(near(pairs), "a")
+    ends = near(pairs.select(F.col("b").alias("node")).distinct())
+    x = x.join(sets.join(ends, "node", "left_semi").select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
     both = F.size(F.array_intersect("words_a", "words_b"))
-    x = links.join(end("a"), "a").join(end("b"), "b")
     return x.select("a", "b", (both >= F.lit(least) * (F.size("words_a") + F.size("words_b") - both)).alias("holds"))
 
 
@@ -272,17 +282,18 @@ def groups(docs: DataFrame, text_col: str, key_col: str, shingle: int = SHINGLE,
     sets = materialise(word_sets(texts, "text", shingle).dropDuplicates(["node"]), "near-sets")
     edges, failed, forests = None, None, 1
     while True:
-        told = materialise(links.join(alike(links.select("a", "b").distinct(), sets, least), ["a", "b"]), "near-told")
-        good = told.where("holds").select("a", "b").distinct()
+        pairs = materialise(links.select("a", "b").distinct(), "near-pairs")
+        told = materialise(alike(pairs, sets, least), "near-told")
+        good = told.where("holds").select("a", "b")
         known = materialise(good if edges is None else edges.unionByName(good).distinct(), "near-edges")
-        discard(edges, links)
+        new = materialise(links.join(told.where("not holds").select("a", "b"), ["a", "b"], "left_semi").select("meeting", "a", "b"), "near-failed")
+        discard(edges, links, pairs, told)
         edges = known
         labels = connected(edges)
-        new = told.where("not holds").select("meeting", "a", "b")
         if new.isEmpty():
             break
         failed = new if failed is None else new.unionByName(failed.join(new.select("meeting").distinct(), "meeting", "left_semi"))
-        forests *= 16
+        forests *= 4
         links = materialise(again(met, labels, failed, forests), "near-links")
     discard(sets, asked)
     named = nodes.join(labels, "node", "left").select("node", "n", "least", F.coalesce("label", "node").alias("component"))
