@@ -58,10 +58,18 @@ def test_vector_index_recall_and_exhaustive_search(spark, monkeypatch):
     monkeypatch.setattr(ann, "ASKS", 7)
     full = index.search(q, 10, probes=10**6).orderBy("query_id", "rank").collect()
     assert [g.id for g in full] == [i for k in sorted(want) for i in want[k]]
+    assert index.search(q, 10, probes=len(index.centroids) // 4).count() == 600
     judged = ann.recall(index.search(q, 10, probes=1), index.search(q, 10, probes=10**6))
     assert 0 < judged.agg(F.avg("recall")).first()[0] < 1
 
 
+def test_recall_of_the_given_vectors(spark, sf):
+    from veldspar.plans import catalogue
+
+    got = catalogue.queries()["vector_ann"](spark, sf.replace("sf0.001", "sf0.01")).select("query_id", "recall").distinct().collect()
+    assert len(got) == 10 and sum(r.recall for r in got) >= 0.9 * len(got)
+
+
 def test_vector_index_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [0.0, 0.0]), (9, [2.0, 0.0]), (None, [1.0, 1.0])]

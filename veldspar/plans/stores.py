@@ -18,7 +18,7 @@ from veldspar.sources.listing import listed
 
 @query()
 def vector_ann(spark, sf_dir):
-    """The ten nearest by an index that asks a quarter of its cells, with the share of the exact ten that each query found."""
+    """The ten nearest by an index that asks some of its cells, with the share of the exact ten that each query found."""
     v, q = _vectors(spark, sf_dir)
     found = A.VectorIndex.build(v, id_col="vec_id").search(q, 10)
     return A.recall(materialise(found, "vector-found"), R.vector_search(v, q, 10, "vec_id"))
