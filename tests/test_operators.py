@@ -288,3 +288,12 @@ def test_format_context(spark):
 @pytest.mark.parametrize("name", ["semantic", "recursive", "document", "unknown"])
 def test_chunks_of_nothing(spark, name):
     assert H.chunks(spark.createDataFrame([(1, ""), (2, None)], "doc_id int, text string"), name).count() == 0
+
+
+def test_amounts_are_no_years(spark):
+    from veldspar.operators import validation as V
+
+    texts = ["Toplam 2011 TL ve 2012.50 USD, €2013, $ 2014, 2036 milyon TL.", "Yıl 2010 için toplam 2011 TL. 2012, 2013. 01.05.2037", "2014 tl"]
+    sections = spark.createDataFrame(list(enumerate(texts)), "report_id int, content string")
+    got = sorted((r.report_id, r.year, r.severity) for r in V.odd_years(sections).collect())
+    assert got == [(1, 2010, "info"), (1, 2012, "info"), (1, 2013, "info"), (1, 2037, "warning")]

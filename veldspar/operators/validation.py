@@ -80,9 +80,13 @@ def value_spread(sections: DataFrame, most: float = 10_000.0) -> DataFrame:
     return x.where((F.col("smallest") > 1) & (F.col("largest") > most * F.col("smallest")))
 
 
+#: A year, unless it is an amount of money: after a currency's mark or before a unit, as `money` reads them.
+YEAR = r"(?i)(?<![$€₺])(?<![$€₺]\s)\b(20[1-3][0-9])\b(?!(?:[.,][0-9]+)*\s*(?:milyon|milyar|TL|USD|EUR|\$|€|₺))"
+
+
 def odd_years(sections: DataFrame, as_of: int = 2025) -> DataFrame:
-    """Years ten or more before or after as_of: information and warnings."""
-    x = sections.select("report_id", F.explode(F.regexp_extract_all("content", F.lit(r"\b(20[1-3][0-9])\b"), F.lit(1))).alias("year")).distinct()
+    """Years ten or more before or after as_of: information and warnings. An amount of money is no year."""
+    x = sections.select("report_id", F.explode(F.regexp_extract_all("content", F.lit(YEAR), F.lit(1))).alias("year")).distinct()
     year = F.col("year").cast("int")
     return x.where((year < as_of - 10) | (year > as_of + 10)).select("report_id", year.alias("year"), F.when(year < as_of - 10, "info").otherwise("warning").alias("severity"))
 
