@@ -297,3 +297,15 @@ def test_amounts_are_no_years(spark):
     sections = spark.createDataFrame(list(enumerate(texts)), "report_id int, content string")
     got = sorted((r.report_id, r.year, r.severity) for r in V.odd_years(sections).collect())
     assert got == [(1, 2010, "info"), (1, 2012, "info"), (1, 2013, "info"), (1, 2037, "warning")]
+
+
+def test_fixed_places_equal_printf(spark):
+    import random
+
+    r = random.Random(5)
+    given = [0.05, 0.15, 0.25, 0.35, 12.25, 12.35, 1.005, 2.675, 0.125, 0.375, 8.5, 9.5, 0.0, -0.04, -0.25, -12.35, 99.95, 999999.995, 1e12 + 0.5, 1e14, float("inf"), float("-inf"), float("nan")]
+    given += [r.randrange(10**7) / r.choice([20, 200, 2000, 10000, 64]) * r.choice([1, -1]) for _ in range(3000)]
+    rows = spark.createDataFrame([(x,) for x in [*given, None]], "x double")
+    got = rows.select("x", *(N.fixed(F.col("x"), p).alias(f"p{p}") for p in (0, 1, 2))).collect()
+    for g in got:
+        assert [g.p0, g.p1, g.p2] == ([None] * 3 if g.x is None else [f"{g.x:.{p}f}" for p in (0, 1, 2)])

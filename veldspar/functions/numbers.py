@@ -63,6 +63,28 @@ def extract_numbers(c: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(scaled, parse_number), F.transform(plain, parse_number)))
 
 
+#: A double is split at half its digits by a product with this, as Dekker's exact product does.
+_SPLIT = 134_217_729.0
+
+
+def fixed(c: Column, places: int) -> Column:
+    """A double with as many places as C's printf gives it: rounded by its exact binary value, a true tie to the even digit. Java's
+    formatter rounds the shortest decimal of a double, so that it takes 0.15 for a tie and every tie up. From 2^52 units of the last place on Java's is used."""
+    x, unit = F.abs(c.cast("double")), 10**places
+    scaled, high = x * float(unit), x * _SPLIT - (x * _SPLIT - x)
+    # What the product lost by rounding, exactly: both halves times the unit have no more than 53 bits.
+    lost = (high * float(unit) - scaled) + (x - high) * float(unit)
+    low = F.floor(scaled)
+    tie = scaled - low == 0.5
+    units = F.when(tie & (lost > 0), low + 1).when(tie & (lost < 0), low).otherwise(F.rint(scaled).cast("long"))
+    digits = F.lpad((units % unit).cast("string"), places, "0")
+    shown = F.concat(F.floor(units / unit).cast("string"), F.lit("."), digits) if places else units.cast("string")
+    sign = F.when(c.cast("string").startswith("-"), "-").otherwise("")
+    small = F.concat(sign, shown)
+    odd = F.when(x.isNull(), None).when(F.isnan(x), "nan").when(x == float("inf"), F.concat(sign, F.lit("inf")))
+    return odd.when(x < float(2**52 // unit), small).otherwise(F.format_string(f"%.{places}f", c.cast("double")))
+
+
 def format_size(c: Column) -> Column:
     """Bytes, KB, MB or GB with one decimal."""
     x = c.cast("double")
