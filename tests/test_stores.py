@@ -193,3 +193,16 @@ def _metric(plan, name):
         children = p.children()
         todo += [children.apply(i) for i in range(children.size())]
     return found
+
+
+def test_sketches_of_cells_are_exact_beyond_a_sketch(spark):
+    rows = spark.range(120_000).selectExpr("if(id < 60000, 'x', 'y') as g", "id % 4 as d", "if(id % 11 = 0, null, id % 80000) as k").unionAll(spark.sql("select 'z', 0L, 7L"))
+    n = sketches.cells_of(rows, "k")
+    assert n > 1
+    held = sketches.merged_cells(sketches.celled(rows, ["g"], F.col("d"), "k", n), ["g"])
+    want = {r.g: (r.n, r.k) for r in rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("k")).collect()}
+    assert {r.g: (r.n, r.distinct_theta) for r in sketches.distinct_in_cells(held, ["g"]).collect()} == want
+    keys = {g: {r.k for r in rows.where(F.col("g") == g).collect()} - {None} for g in "xyz"}
+    pairs = [("x", "y"), ("y", "x"), ("z", "y"), ("x", "z")]
+    got = sketches.overlaps_in_cells(held, spark.createDataFrame(pairs, "a string, b string"), "g").collect()
+    assert {(r.a, r.b): (r.both, r.either, r.only_a) for r in got} == {(a, b): (len(keys[a] & keys[b]), len(keys[a] | keys[b]), len(keys[a] - keys[b])) for a, b in pairs}

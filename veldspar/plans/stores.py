@@ -37,10 +37,16 @@ def _sketches(spark, sf_dir):
     return materialise(S.sketched(table(spark, sf_dir, "events"), ["event_type"], F.to_date("ts"), "user_id", "value"), "sketches")
 
 
+def _cells(spark, sf_dir):
+    """Sketches of each day and cell of users, from a table of them."""
+    events = table(spark, sf_dir, "events")
+    return materialise(S.celled(events, ["event_type"], F.to_date("ts"), "user_id", S.cells_of(events, "user_id")), "sketches")
+
+
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def sketch_distinct(spark, sf_dir):
-    """Distinct users from daily theta sketches: exact, as long as there are fewer than the sketch holds."""
-    found = S.answered(S.merged(_sketches(spark, sf_dir), ["event_type"]), ["event_type"])
+    """Distinct users from daily theta sketches of cells of users: exact, however many there are."""
+    found = S.distinct_in_cells(S.merged_cells(_cells(spark, sf_dir), ["event_type"]), ["event_type"])
     return found.select("event_type", "n", F.col("distinct_theta").alias("users"))
 
 
@@ -51,7 +57,7 @@ SELECT a, b, (SELECT count(*) FROM u x JOIN u y ON x.user_id = y.user_id WHERE x
 def sketch_overlap(spark, sf_dir):
     """Users that the steps of a funnel share, from their sketches alone."""
     steps = spark.createDataFrame([("view", "click"), ("click", "purchase"), ("signup", "purchase")], "a string, b string")
-    return S.overlaps(S.merged(_sketches(spark, sf_dir), ["event_type"]), steps, "event_type")
+    return S.overlaps_in_cells(materialise(S.merged_cells(_cells(spark, sf_dir), ["event_type"]), "sketch-cells"), steps, "event_type")
 
 
 @query("SELECT event_type, s AS share, true AS within, true AS near FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest([0.1, 0.5, 0.9]::DOUBLE[]) AS s)")
