@@ -309,3 +309,29 @@ def test_fixed_places_equal_printf(spark):
     got = rows.select("x", *(N.fixed(F.col("x"), p).alias(f"p{p}") for p in (0, 1, 2))).collect()
     for g in got:
         assert [g.p0, g.p1, g.p2] == ([None] * 3 if g.x is None else [f"{g.x:.{p}f}" for p in (0, 1, 2)])
+
+
+def test_meetings_are_dealt_to_all_tasks(spark):
+    rows = spark.range(3000).selectExpr("id as doc_id", "id % 40 as word")
+    met = C.meetings(rows, "word", ["doc_id"])
+    assert met.count() == 40 * 75 * 75
+    assert met.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_bits_lose_no_similar_pair(spark, monkeypatch, least):
+    import random
+
+    r, sets, asked = random.Random(9), [], []
+    for _ in range(40):
+        base = r.sample(range(400), r.choice([1, 2, 3, 20, 100]))
+        for _ in range(6):
+            sets.append(sorted({*(w for w in base if r.random() < r.choice([0.6, 0.8, 0.95])), *r.sample(range(400), r.choice([0, 1, len(base) // 5]))}))
+    rows = spark.createDataFrame([(i, [str(w) for w in s]) for i, s in enumerate(sets)], "doc_id long, w array<string>")
+    meet = C.meetings
+    monkeypatch.setattr(C, "meetings", lambda *a: asked.append(a[2]) or meet(*a))
+    got = {(x.a, x.b): x.similarity for x in C.similar_pairs(rows, least).collect()}
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+    want = {(i, j): alike(a, b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and alike(a, b) >= least}
+    assert got == pytest.approx(want, abs=1e-6) and len(want) > 50
+    assert len(asked[0]) == 3 + C.BITS
