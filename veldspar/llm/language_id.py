@@ -254,15 +254,17 @@ def identify(docs: DataFrame, model: Centroids, text_col: str = "text", keep: li
     Columns of docs by those names are replaced."""
     new = {"lang_pred": T.StringType(), "lang_score": T.DoubleType(), "lang_rejected": T.BooleanType()}
     kept = carried(docs, keep, new)
-    source = docs.select(*kept, F.col(text_col).alias("__text"))
+    # A text that is carried along goes to Python once.
+    place = kept.index(text_col) if text_col in kept else len(kept)
+    source = docs.select(*kept) if place < len(kept) else docs.select(*kept, F.col(text_col).alias("__text"))
     schema = T.StructType([*(f for f in docs.select(*kept).schema.fields), *(T.StructField(n, t) for n, t in new.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                lang, score, rejected = model.predict(part.column(len(kept)).to_pylist())
-                columns = [*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
+                lang, score, rejected = model.predict(part.column(place).to_pylist())
+                columns = [*part.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
 
     return source.mapInArrow(run, schema)

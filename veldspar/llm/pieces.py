@@ -204,7 +204,9 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[
     if spans:
         new |= {"begins": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.IntegerType())}
     kept = carried(docs, keep, new)
-    source = docs.select(*kept, docs[text_col].alias("__text"))
+    # A text that is carried along goes to Python once.
+    place = kept.index(text_col) if text_col in kept else len(kept)
+    source = docs.select(*kept) if place < len(kept) else docs.select(*kept, docs[text_col].alias("__text"))
     schema = T.StructType([*docs.select(*kept).schema.fields, *(T.StructField(n, t) for n, t in new.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,11 +219,11 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [model.encode(t.as_py()) for t in part.column(len(kept))]
+                found = [model.encode(t.as_py()) for t in part.column(place)]
                 decoded = [model.decode(ids.tolist()) if len(ids) else "" for ids, _, _ in found]
                 columns = [lists([x[0] for x in found]), pa.array(decoded, pa.string()), pa.array([int((e - b).sum()) for _, b, e in found], pa.int64())]
                 if spans:
                     columns += [lists([x[1] for x in found]), lists([x[2] for x in found])]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*kept, *new])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *columns], names=[*kept, *new])
 
     return source.mapInArrow(run, schema)

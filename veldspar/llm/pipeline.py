@@ -8,7 +8,7 @@ table stays empty; a null in any column but text and those a stage names below c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.llm import language_id, mixing, near_copies, pieces, quality
@@ -21,12 +21,22 @@ def _framed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__docs"), *columns)
 
 
+def _beside_text(docs: DataFrame) -> DataFrame:
+    """docs as their text and one column, __docs, of all others: what Python gets holds each text once."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("__docs"), "text")
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    """The columns of docs from _beside_text, in their order."""
+    return [F.col("text") if c == "text" else F.col("__docs")[c].alias(c) for c in docs.columns]
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that language identification rejects: those far from every learned language, those without a
     letter, and those with a null text. Learned from documents with a lang, which null ids are among."""
     model = language_id.fit(language_id.learned_rows(docs, F.col("doc_id")))
-    found = language_id.identify(_framed(docs, "text"), model, keep=["__docs"])
-    return found.where(~F.col("lang_rejected")).select("__docs.*")
+    found = language_id.identify(_beside_text(docs), model, keep=["__docs", "text"])
+    return found.where(~F.col("lang_rejected")).select(*_columns(docs))
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +58,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids, the byte spans of their pieces, and the decoded text; null texts have no pieces."""
-    found = pieces.encode(_framed(docs, "text"), piece_model(), keep=["__docs"])
-    new = found.columns[1:]
-    return found.select(*(F.col("__docs")[c].alias(c) for c in carried(docs, None, new)), *new)
+    found = pieces.encode(_beside_text(docs), piece_model(), keep=["__docs", "text"])
+    new = found.columns[2:]
+    return found.select(*_columns(docs.select(carried(docs, None, new))), *new)
 
 
 STAGES = [
