@@ -335,3 +335,17 @@ def test_bits_lose_no_similar_pair(spark, monkeypatch, least):
     want = {(i, j): alike(a, b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and alike(a, b) >= least}
     assert got == pytest.approx(want, abs=1e-6) and len(want) > 50
     assert len(asked[0]) == 3 + C.BITS
+
+
+@pytest.mark.parametrize("part", [3, 20_000])
+def test_range_join_of_hot_bins(spark, monkeypatch, part):
+    monkeypatch.setattr(rel, "POINTS", part)
+    monkeypatch.setattr(rel, "RANGES", part)
+    monkeypatch.setattr(rel, "POINTS_A_RANGE", 0)
+    points = [(i, float(i * 7 % 50)) for i in range(200)] + [(200, None), (201, -3.0)]
+    ranges = [(j, float(j % 40), float(j % 40 + j % 13)) for j in range(60)] + [(60, None, 4.0)]
+    x = rel.range_join(spark.createDataFrame(points, "i int, x double"), spark.createDataFrame(ranges, "j int, low double, high double"), "x", "low", "high", 10.0)
+    assert x.columns == ["i", "x", "j", "low", "high"]
+    want = sorted((i, j) for i, v in points for j, a, b in ranges if v is not None and a is not None and a <= v < b)
+    assert sorted((r.i, r.j) for r in x.collect()) == want
+    assert "ShuffledHashJoin" in x._jdf.queryExecution().executedPlan().toString()
