@@ -349,3 +349,28 @@ def test_range_join_of_hot_bins(spark, monkeypatch, part):
     want = sorted((i, j) for i, v in points for j, a, b in ranges if v is not None and a is not None and a <= v < b)
     assert sorted((r.i, r.j) for r in x.collect()) == want
     assert "ShuffledHashJoin" in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stems_are_cut_behind_a_look_at_the_end(spark):
+    import itertools
+
+    from veldspar.functions import constants as K
+
+    words = ["".join(w) + s for w in itertools.product("ab", repeat=3) for s in ["", "ler", "lerin", "in", "x", "n", "lerx", "çe", "larda", "ü"]] + ["in", "erin", "lerin", "", "abin", "a-b ler", "İin"]
+    for suffixes, least in ((K.SUFFIXES_LEXICAL, 2), (X.longest_first(K.SUFFIXES_KEYWORDS), 2), (["yor", "x"], 1)):
+        rows = spark.createDataFrame([(w,) for w in [*words, None]], "w string")
+        stem = X.stem_first(F.col("w"), suffixes, least)
+        assert "CASE WHEN" in str(stem._jc)
+        cut = lambda w: next((w[: -len(s)] for s in suffixes if w.endswith(s) and len(w) - len(s) > least), w)
+        assert [r.s for r in rows.select(stem.alias("s")).collect()] == [*map(cut, words), None]
+
+
+def test_data_context_leaves_no_text_out(spark, tmp_path):
+    from veldspar.plans import catalogue
+
+    texts = ["5. %", "12,5 TL ve 3 USD", "no unit 5", "7\n%", "a 5,% b", "TL 5", None, "", "1.5\t EUR."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = re.compile(r"[^.\n]{0,30}[0-9]+[.,]?[0-9]*\s*(?:%|TL|USD|EUR)[^.\n]{0,30}")
+    df = catalogue.queries()["data_context"](spark, str(tmp_path))
+    assert {r.doc_id: r.hits for r in df.collect()} == {i: n for i, t in enumerate(texts) if (n := len(found.findall(t or "")))}
+    assert "RLIKE" in df._jdf.queryExecution().optimizedPlan().toString()
