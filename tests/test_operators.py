@@ -374,3 +374,13 @@ def test_data_context_leaves_no_text_out(spark, tmp_path):
     df = catalogue.queries()["data_context"](spark, str(tmp_path))
     assert {r.doc_id: r.hits for r in df.collect()} == {i: n for i, t in enumerate(texts) if (n := len(found.findall(t or "")))}
     assert "RLIKE" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_metrics_look_through_a_text_twice_a_pattern(spark):
+    from veldspar.functions import constants as K
+    from veldspar.operators import validation as V
+
+    value = V.metric_value(F.col("c"), "hedef_gelir")
+    assert str(value._jc).count("regexp_extract(") == 2 * len(K.METRIC_PATTERNS["hedef_gelir"])
+    rows = spark.createDataFrame([("hedef gelir: 2,5 milyon",), ("gelir hedefi 7",), ("hedef ciro 3 milyar",), ("nichts",), (None,)], "c string")
+    assert [r.v for r in rows.select(value.alias("v")).collect()] == [2.5e6, 7.0, 3e9, None, None]

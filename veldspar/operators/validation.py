@@ -20,13 +20,18 @@ def metric_value(text: Column, metric: str) -> Column:
     """The first parsable hit of a metric's patterns, times a million or billion if the hit says so."""
     hits = []
     for p in K.METRIC_PATTERNS[metric]:
-        whole, digits = F.regexp_extract(text, X.CASELESS + p, 0), F.regexp_extract(text, X.CASELESS + p, 1)
-        low = F.lower(whole)
-        scale = F.when(low.contains("milyar"), 1e9).when(low.contains("milyon"), 1e6).otherwise(1.0)
-        hits.append(F.when(whole != "", N.simple_number(digits) * scale))
+        found = F.struct(F.regexp_extract(text, X.CASELESS + p, 0).alias("whole"), F.regexp_extract(text, X.CASELESS + p, 1).alias("digits"))
+        # Held, as each mention of an expression on the whole text would run it anew.
+        hits.append(X.let(found, _scaled))
     return F.coalesce(*hits)
 
 
+def _scaled(hit: Column) -> Column:
+    low = F.lower(hit["whole"])
+    scale = F.when(low.contains("milyar"), 1e9).when(low.contains("milyon"), 1e6).otherwise(1.0)
+    return F.when(hit["whole"] != "", N.simple_number(hit["digits"]) * scale)
+
+
 def metrics(sections: DataFrame) -> DataFrame:
     """(report_id, metric, section_id, ord, value) of all sections."""
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), metric_value(F.col("content"), m).alias("value")) for m in K.METRIC_PATTERNS])
