@@ -125,3 +125,13 @@ def test_run_equals_a_plain_version(spark, sf):
     got = corpus_pipeline.run(spark, sf).collect()
     assert sorted((r.doc_id, r.source, r.decoded, list(r.ids)) for r in got) == want
     assert all(r.begins[0] == 0 and r.ends[-1] == len(r.text.encode()) for r in got)
+
+
+def test_texts_go_to_python_once(spark):
+    from veldspar.llm import pieces
+
+    docs = spark.createDataFrame([(1, "ein Text"), (2, None)], "doc_id long, text string")
+    found = pieces.encode(corpus_pipeline._beside_text(docs), Q.piece_model(), keep=["__docs", "text"])
+    assert "__text" not in found._jdf.queryExecution().executedPlan().toString()
+    other = pieces.encode(docs, Q.piece_model(), keep=["doc_id"])
+    assert [(r.text, r.ids, r.decoded) for r in found.collect()] == [(t, r.ids, r.decoded) for t, r in zip(("ein Text", None), other.collect(), strict=True)]
