@@ -337,6 +337,17 @@ def test_bits_lose_no_similar_pair(spark, monkeypatch, least):
     assert len(asked[0]) == 3 + C.BITS
 
 
+def test_frequent_words_alone_bring_few_pairs_together(spark, monkeypatch):
+    """Words that all texts draw from meet as grams, of which two texts seldom share one."""
+    import random
+
+    r, met, meet = random.Random(3), [], C.meetings
+    rows = spark.createDataFrame([(i, [str(w) for w in r.sample(range(300), 60)]) for i in range(400)], "doc_id long, w array<string>")
+    monkeypatch.setattr(C, "meetings", lambda *a: met.append(meet(*a)) or met[-1])
+    assert C.similar_pairs(rows, 0.8).count() == 0
+    assert met[0].where("a_doc_id < b_doc_id").count() < 400 * 399 / 2 / 20
+
+
 @pytest.mark.parametrize("part", [3, 20_000])
 def test_range_join_of_hot_bins(spark, monkeypatch, part):
     monkeypatch.setattr(rel, "POINTS", part)
