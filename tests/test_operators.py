@@ -311,6 +311,13 @@ def test_fixed_places_equal_printf(spark):
         assert [g.p0, g.p1, g.p2] == ([None] * 3 if g.x is None else [f"{g.x:.{p}f}" for p in (0, 1, 2)])
 
 
+def test_overlaps_are_merged_many_groups_at_a_time(spark):
+    rows = [(g, i, "abcdefghij"[i : i + 6]) for g in (1, 2, None) for i in (4, 0, 2)] + [(3, 0, "")]
+    made = C.merge_overlaps(spark.createDataFrame(rows, "doc int, pos int, text string"), "doc", "pos", 2)
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc or 0, r.pos, r.text) for r in made.collect()) == [(0, 0, "abcdefefghghij"), (1, 0, "abcdefefghghij"), (2, 0, "abcdefefghghij"), (3, 0, "")]
+
+
 def test_meetings_are_dealt_to_all_tasks(spark):
     rows = spark.range(3000).selectExpr("id as doc_id", "id % 40 as word")
     met = C.meetings(rows, "word", ["doc_id"])
