@@ -206,3 +206,11 @@ def test_sketches_of_cells_are_exact_beyond_a_sketch(spark):
     pairs = [("x", "y"), ("y", "x"), ("z", "y"), ("x", "z")]
     got = sketches.overlaps_in_cells(held, spark.createDataFrame(pairs, "a string, b string"), "g").collect()
     assert {(r.a, r.b): (r.both, r.either, r.only_a) for r in got} == {(a, b): (len(keys[a] & keys[b]), len(keys[a] | keys[b]), len(keys[a] - keys[b])) for a, b in pairs}
+
+
+def test_long_intervals_of_keys_with_few_rows_are_not_copied(spark):
+    """Each would touch a trillion bins."""
+    a = spark.createDataFrame([(1, 7, 0.0, 1e12), (2, 7, 5.0, 6.0), (3, 8, 0.0, 1e12)], "i int, k int, low double, high double")
+    b = spark.createDataFrame([(1, 7, 1e11, 1e12), (2, 7, 5.5, 5.6), (3, 9, 0.0, 1e12)], "j int, m int, from_ double, upto double")
+    got = relational.overlap_join(a, b, "low", "high", "from_", "upto", 1.0, [("k", "m")])
+    assert sorted((r.i, r.j) for r in got.collect()) == [(1, 1), (1, 2), (2, 2)]

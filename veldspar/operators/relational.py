@@ -57,21 +57,31 @@ def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, right_l
     """Pairs of left and right rows whose intervals [low, high) overlap, within equal keys `on` (left name, right name) if given.
 
     Both sides are dealt to the bins of the given width that their intervals touch, and a pair comes out in the first bin that
-    both have, so each pair comes once. A bin of more than `rows` rows on a side is cut into parts by a hash of the row, and every part of one
+    both have, so each pair comes once. Keys with no more than `rows` pairs of rows have a single bin. A bin of more than `rows` rows on a side is cut into parts by a hash of the row, and every part of one
     side meets every part of the other, so no task gets a whole hot bin. Intervals that are empty, backward or null overlap with none; a width near the usual
     length of an interval keeps the copies few. Columns of both sides must differ in name."""
     on = on or []
     number = lambda c: F.col(c).cast("timestamp").cast("double") if "timestamp" in kinds[c] or kinds[c] == "date" else F.col(c).cast("double")
     kinds = dict([*left.dtypes, *right.dtypes])
 
-    def binned(x: DataFrame, a: str, b: str, keys: list[str], side: str) -> DataFrame:
-        x = x.where(F.col(a) < F.col(b)).withColumn(f"__{side}_first", F.floor(number(a) / width))
-        last = F.ceil(number(b) / width) - 1
-        x = x.withColumn("__bin", F.explode(F.sequence(F.col(f"__{side}_first"), F.greatest(F.col(f"__{side}_first"), last))))
-        return x.withColumns({f"__key{i}": F.col(k) for i, k in enumerate(keys)})
-
-    a, b = binned(left, low, high, [p[0] for p in on], "l"), binned(right, right_low, right_high, [p[1] for p in on], "r")
-    keys = ["__bin", *(f"__key{i}" for i in range(len(on)))]
+    equal = [f"__key{i}" for i in range(len(on))]
+    keyed = lambda x, a, b, names: x.where(F.col(a) < F.col(b)).withColumns(dict(zip(equal, map(F.col, names), strict=True)))
+
+    def binned(x: DataFrame, a: str, b: str, side: str) -> DataFrame:
+        first, last = F.floor(number(a) / width), F.ceil(number(b) / width) - 1
+        if on:
+            x = x.join(hot, equal, "left")
+            first, last = (F.when(F.col("__hot"), c).otherwise(0) for c in (first, last))
+        x = x.withColumn(f"__{side}_first", first)
+        return x.withColumn("__bin", F.explode(F.sequence(F.col(f"__{side}_first"), F.greatest(F.col(f"__{side}_first"), last)))).drop("__hot")
+
+    a, b = keyed(left, low, high, [p[0] for p in on]), keyed(right, right_low, right_high, [p[1] for p in on])
+    if on:
+        # Keys of few pairs have one bin, so their rows aren't copied.
+        count = lambda x, n: x.groupBy(*equal).agg(F.count(F.lit(1)).alias(n))
+        hot = materialise(count(a, "__l").join(count(b, "__r"), equal).where(F.col("__l") * F.col("__r") > rows).select(*equal, F.lit(True).alias("__hot")), "overlap-keys")
+    a, b = binned(a, low, high, "l"), binned(b, right_low, right_high, "r")
+    keys = ["__bin", *equal]
     parts = lambda x, n: x.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(n))
     # Only bins that both sides have more than a part of rows in; what is not there has one part.
     cut = materialise(parts(a, "__l").join(parts(b, "__r"), keys).where("__l > 1 or __r > 1"), "overlap-bins")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veldspar.operators import relational as R
+from veldspar.operators.scratch import materialise
 from veldspar.plans.registry import QUERIES, SQL, query, table
 
 # Queries whose text both engines read alike.
@@ -117,7 +118,7 @@ SELECT a.o_custkey, a.o_orderkey AS a, b.o_orderkey AS b FROM r a JOIN r b ON a.
 def order_overlaps(spark, sf_dir):
     """Pairs of orders of a customer that were open at the same time, from the order to its last shipment."""
     last = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("high"))
-    open_ = table(spark, sf_dir, "orders").join(last, "o_orderkey").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("low"), "high")
+    open_ = materialise(table(spark, sf_dir, "orders").join(last, "o_orderkey").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("low"), "high"), "open-orders")
     other = open_.select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
     x = R.overlap_join(open_, other, "low", "high", "b_low", "b_high", 60.0 * 86400, [("o_custkey", "cust")])
     return x.where("o_orderkey < b").select("o_custkey", F.col("o_orderkey").alias("a"), "b")
