@@ -53,3 +53,16 @@ def test_query(spark, sf, duck, name):
     for a, b in zip(got, want, strict=True):
         for x, y in zip(a, b, strict=True):
             assert x == y or (isinstance(x, float) and y == pytest.approx(x, rel=1e-8))
+
+
+def test_regional_volume_is_dealt_out_by_lines(spark, sf, monkeypatch):
+    from veldspar.operators import relational as operators
+    from veldspar.plans import relational as plans
+    from veldspar.plans.registry import SQL
+
+    monkeypatch.setattr(plans, "LINES", 500)
+    made = plans.regional_volume(spark, sf)
+    tasks = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
+    assert f", {tasks})" in made._jdf.queryExecution().executedPlan().toString()
+    operators.tables(spark, sf)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, spark.sql(SQL["regional_volume"]).collect()))
