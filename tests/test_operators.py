@@ -318,6 +318,13 @@ def test_overlaps_are_merged_many_groups_at_a_time(spark):
     assert sorted((r.doc or 0, r.pos, r.text) for r in made.collect()) == [(0, 0, "abcdefefghghij"), (1, 0, "abcdefefghghij"), (2, 0, "abcdefefghghij"), (3, 0, "")]
 
 
+def test_report_context_cuts_chunks_once(spark, sf):
+    from veldspar.plans import data
+
+    made = data.report_context(spark, sf)
+    assert any("context-chunks" in f for f in made.inputFiles()) and made.count() > 0
+
+
 def test_meetings_are_dealt_to_all_tasks(spark):
     rows = spark.range(3000).selectExpr("id as doc_id", "id % 40 as word")
     met = C.meetings(rows, "word", ["doc_id"])

@@ -9,6 +9,7 @@ from veldspar.operators import chunking as H
 from veldspar.operators import context as C
 from veldspar.operators import providers as P
 from veldspar.operators import retrieval as R
+from veldspar.operators.scratch import materialise
 from veldspar.plans.registry import query, table, value_rows
 from veldspar.plans.retrieval import _queries, WORDS
 from veldspar.plans.reports import _SEC, _sections
@@ -159,7 +160,8 @@ def report_context(spark, sf_dir):
     """From documents to a context for each query: chunks, both search legs, fusion, one of each prefix,
     ranking, the token budget and the numbered text."""
     made = H.chunks(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "semantic")
-    made = made.select((F.col("id") * 100_000 + F.col("pos")).alias("chunk_id"), F.col("id").alias("doc_id"), F.col("chunk").alias("text"))
+    # Chunks are cut once, for both legs and for the texts of what they find.
+    made = materialise(made.select((F.col("id") * 100_000 + F.col("pos")).alias("chunk_id"), F.col("id").alias("doc_id"), F.col("chunk").alias("text")), "context-chunks")
     asks = _queries(spark)
     vectors = P.embed(made, F.col("text")).select("chunk_id", "embedding")
     wanted = P.embed(asks, F.col("text"), query=True).select("query_id", F.col("embedding").alias("query_vector"))
