@@ -84,3 +84,39 @@ def test_texts_that_repeat_one_shingle(spark):
     texts = {i: "spam " * 200 + " ".join(f"{w}{i}" for w in "abcdefghij") for i in range(6)} | {10: None, 11: "", 12: "one two", 13: "ONE  two", 14: "one two three"}
     assert found(spark, texts) == plain_near(texts) == {**{i: i for i in range(6)}, 10: 10, 11: 10, 12: 12, 13: 12, 14: 14}
     assert near_copies.first_rows(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_what_fails_is_not_asked_again(spark, monkeypatch):
+    """A family of which most pairs are candidates that fail: no table of the stage has more rows than its texts have keys."""
+    r, texts, rows = random.Random(7), {}, {}
+    words = [f"w{i}" for i in range(900)]
+    base = [r.choice(words) for _ in range(150)]
+    for i in range(90):
+        own = base[:]
+        for at in r.sample(range(150), 3):
+            own[at] = r.choice(words)
+        texts[i] = " ".join(own)
+    held = near_copies.materialise
+
+    def counted(df, name, *how):
+        made = held(df, name, *how)
+        rows[name] = max(rows.get(name, 0), made.count())
+        return made
+
+    monkeypatch.setattr(near_copies, "materialise", counted)
+    want = plain_near(texts)
+    assert found(spark, texts) == want and 1 < len(set(want.values())) < 90
+    assert max(rows.values()) <= near_copies.BANDS * len(texts), rows
+
+
+def test_large_parts_of_small_keys(spark):
+    """A chain of texts, each near the next alone: its parts are dealt out by keys, a family's as pairs of pieces."""
+    words = [f"w{i}" for i in range(2600)]
+    chain = {i: " ".join(words[12 * i : 12 * i + 200]) for i in range(200)}
+    family = {1000 + i: " ".join(words[:150] + [f"end{i}"]) for i in range(40)}
+    assert found(spark, chain | family, block=8) == {k: min(k // 1000 * 1000, k) for k in chain | family}
+    docs = spark.createDataFrame([(k, 0, k, [k], 10) for k in range(40)] + [(k, 1, k, [0], 10) for k in range(40, 60)], "node long, label long, at long, keys array<long>, size long")
+    nodes = docs.selectExpr("node", "keys", "size", "struct(struct(at as a, at as b) as row) as least")
+    asked, large = near_copies.units(nodes, docs.select("node", "label"), 8)
+    assert {(x.label, x.by_key) for x in asked.collect()} == {(0, True), (1, False)} and asked.count() == 60
+    assert [tuple(x) for x in large.collect()] == [(1, 3)]

@@ -8,10 +8,11 @@ the corpus.
 
 The prints of a block are compared as bit planes: one pass over the planes adds up 64 distances a word with carry-save counters, and
 blocks of which all distances are too large are abandoned on the way. A block gives a spanning forest of its candidates, not its
-pairs. Each of its links is then held against the sets themselves, and where one fails the block is asked again: for the links that join
-what is not joined yet, nearest first and without those that failed, four times as many forests in each round. It ends when no link
-fails; so a failing link never stands in the place of one that holds, and no third text has a say in whether two are linked.
-Keys of more than BLOCK texts are split by a hash, and each pair of parts is a block.
+pairs. The parts that all forests join hold every pair that is to be compared. The sets of such a part move to one place, once,
+and are searched there from one text outwards: pairs that share a key and are candidates are held against the sets, and each link found is one
+that holds. So nothing is asked twice, a failing link never stands in the place of one that holds, and no third text has a say in whether two are linked.
+Keys of more than BLOCK texts, and parts of more than TESTED texts or WORDS shingles, are split by a hash, and each pair of the pieces is a block. A large
+part of small keys is dealt out by its keys instead, if that moves less.
 
 Defined results: texts of equal sets are one node (texts without words among them), told apart by 64-bit hashes of the sets. A text of fewer
 words than a shingle is one shingle. Null ids come last. `first_rows` tells rows apart by a 128-bit hash of all their columns;
@@ -36,6 +37,8 @@ BANDS, ROWS = 12, 4
 PRINTS, FAR = 16, 0.19
 #: Texts of a key that are compared in one block; a task holds two at most.
 BLOCK = 4096
+#: Texts whose sets are held against each other in one block, and their shingles; a task holds twice as many at most.
+TESTED, WORDS = 2048, 1 << 20
 #: Texts of several small keys that share a comparison.
 SHARED = 512
 #: Rows of 16 bytes that are broadcast, at most.
@@ -79,30 +82,28 @@ def signature(words: np.ndarray) -> tuple[int, bytes, list[int]]:
     return xxhash.xxh64_intdigest(words.tobytes(), SEED), prints, keys
 
 
-def signatures(docs: DataFrame, text_col: str, kept: list[str], shingle: int = SHINGLE) -> DataFrame:
-    """docs with node, prints (binary) and keys."""
+def signatures(docs: DataFrame, text_col: str, kept: list[str], shingle: int = SHINGLE, sets: bool = False) -> DataFrame:
+    """docs with node, prints (binary), keys, and size, that of the set; with sets also with words, the set, and then each task
+    gives each node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            found = [signature(np.unique(shingle_hashes(t.as_py(), shingle))) for t in batch.column(len(kept))]
+            words = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(len(kept))]
+            found = [signature(x) for x in words]
             node, keys = (np.array([x[k] for x in found], np.uint64).view(np.int64) for k in (0, 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(node), pa.array([x[1] for x in found], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=[*kept, "node", "prints", "keys"])
-
+            columns = [*batch.columns[:-1], pa.array(node), pa.array([x[1] for x in found], pa.binary()), pa.array(list(keys), pa.list_(pa.int64())), pa.array([len(x) for x in words], pa.int64())]
+            if sets:
+                columns.append(pa.array([x.view(np.int64) for x in words], pa.list_(pa.int64())))
+            out = pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
+            if sets:
+                out = out.filter(pa.array([x not in seen and not seen.add(x) for x in node.tolist()], pa.bool_()))
+            yield out
+
+    new = ["node", "prints", "keys", "size", *(["words"] if sets else [])]
     source = docs.select(*kept, F.col(text_col).alias("__text"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.select(*kept).schema.fields)
-    return source.mapInArrow(run, f"{fields}, node long, prints binary, keys array<long>")
-
-
-def word_sets(docs: DataFrame, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """(node, words): the sets of texts, one row for each node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(0)]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pa.record_batch({"node": pa.array(nodes), "words": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
-
-    return docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "node long, words array<long>")
+    return source.mapInArrow(run, f"{fields}, node long, prints binary, keys array<long>, size long" + ", words array<long>" * sets)
 
 
 def _set_bits(masks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,18 +156,23 @@ def _as_prints(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
+def dealt(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """rows(unit, node, ...) under a meeting: their unit, or, of those in large(unit, parts), which are few, each pair of their part
+    with another."""
+    x = rows.join(F.broadcast(large), "unit", "left").withColumn("parts", F.coalesce("parts", F.lit(1)).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    x = x.select(*rows.columns, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return x.select(F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"), *(c for c in rows.columns if c != "unit"))
+
+
 def meetings(nodes: DataFrame, block: int) -> DataFrame:
     """(meeting, node, prints): every node under each of its keys, large keys split into blocks that meet in pairs."""
-    keyed = nodes.select("node", "prints", F.explode("keys").alias("key"))
-    counted = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rows = keyed.join(materialise(counted.where(F.col("n") > block), "near-keys"), "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    rows = rows.select("node", "prints", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"), "node", "prints")
+    counted = nodes.select(F.explode("keys").alias("unit")).groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    return dealt(nodes.select("node", "prints", F.explode("keys").alias("unit")), materialise(counted.where("parts > 1"), "near-keys"))
 
 
 def candidates(met: DataFrame) -> DataFrame:
-    """(meeting, a, b): links that span the candidates of each meeting, by estimate."""
+    """(a, b): links that span the candidates of each meeting, by estimate."""
 
     def found(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         at, node, prints = (np.concatenate(x) for x in zip(*rows, strict=True))
@@ -175,7 +181,7 @@ def candidates(met: DataFrame) -> DataFrame:
         at, node, prints = at[order], node[order], prints[order]
         links = np.array(forest(prints, at if len(node) <= SHARED else None), np.int64).reshape(-1, 2)
         ends = node[links]
-        return pa.record_batch({"meeting": at[links[:, 0]], "a": ends.min(axis=1), "b": ends.max(axis=1)})
+        return pa.record_batch({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # whole meetings that share the next comparison
@@ -205,54 +211,74 @@ def candidates(met: DataFrame) -> DataFrame:
         if held:
             yield found(held)
 
-    return met.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(compare, "meeting long, a long, b long")
-
+    return met.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(compare, "a long, b long").distinct()
+
+
+def linked(prints: np.ndarray, keys: np.ndarray, words: np.ndarray, sizes: np.ndarray, least: float, limit: int = int(FAR * 64 * PRINTS)) -> list[tuple[int, int]]:
+    """Links (one, other) that span the parts of a block whose texts share a key, are candidates, and have the similarity. words: the sets one
+    after the other. Each text is asked once, and only for texts that are not reached yet."""
+    begins = np.cumsum(sizes) - sizes
+    places = np.unique(words, return_inverse=True)[1].astype(np.int32)
+    marked, left, out = np.zeros(len(words), bool), np.ones(len(sizes), bool), []
+    for start in range(len(sizes)):
+        if not left[start]:
+            continue
+        left[start], queue = False, [start]
+        for i in queue:
+            js = np.flatnonzero(left)
+            js = js[(keys[js] == keys[i]).any(axis=1)]
+            js = js[np.bitwise_count(prints[js] ^ prints[i]).sum(axis=1, dtype=np.int64) <= limit]
+            js = js[np.minimum(sizes[js], sizes[i]) >= least * np.maximum(sizes[js], sizes[i])]
+            if not len(js):
+                continue
+            ends = np.cumsum(sizes[js])
+            at = np.arange(ends[-1]) + np.repeat(begins[js] - ends + sizes[js], sizes[js])
+            own = places[begins[i] : begins[i] + sizes[i]]
+            marked[own] = True
+            both = np.add.reduceat(marked[places[at]], ends - sizes[js], dtype=np.int64)
+            marked[own] = False
+            js = js[both >= least * (sizes[i] + sizes[js] - both)]
+            left[js] = False
+            queue += js.tolist()
+            out += [(i, j) for j in js.tolist()]
+    return out
 
-def again(met: DataFrame, labels: DataFrame, failed: DataFrame, forests: int) -> DataFrame:
-    """(meeting, a, b) of the meetings with failed(meeting, a, b) links: further candidates between parts that are not joined by
-    labels(node, label) yet, nearest first, as many forests of them as asked for."""
-    rows = met.join(failed.select("meeting").distinct(), "meeting", "left_semi").join(labels, "node", "left").select("meeting", "node", "prints", F.coalesce("label", "node").alias("label"))
-    limit = int(FAR * 64 * PRINTS)
 
-    def search(texts: pa.Table, known: pa.Table) -> pa.Table:
+def units(nodes: DataFrame, parts: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """How the sets of parts(node, label) meet: (a, b, label, by_key) of a row with the text of each node, by_key where a part is dealt out by its
+    keys and not as a whole, and large(unit, parts) of what is then split."""
+    pieces = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / WORDS)).alias("parts")
+    near = F.broadcast(parts) if parts.count() <= BROADCAST else parts
+    held = materialise(nodes.join(near, "node").select("node", "label", "keys", "size", "least.row.a", "least.row.b"), "near-held")
+    large = materialise(held.groupBy("label").agg(pieces, F.count(F.lit(1)).alias("n")).where("parts > 1"), "near-large")
+    keyed = held.join(F.broadcast(large.select("label")), "label", "left_semi").select("label", "size", F.explode("keys").alias("key"))
+    keyed = materialise(keyed.groupBy("label", "key").agg(pieces, F.count(F.lit(1)).alias("n")), "near-keyed")
+    moved = keyed.groupBy("label").agg(F.sum(F.col("n") * F.col("parts")).alias("moved"))
+    by_key = materialise(large.join(moved, "label").where(F.col("moved") < F.col("n") * F.col("parts")).select("label", F.lit(True).alias("by_key")), "near-by-key")
+    split = large.join(F.broadcast(by_key), "label", "left_anti").select(F.col("label").alias("unit"), "parts")
+    split = split.unionByName(keyed.where("parts > 1").join(F.broadcast(by_key), "label", "left_semi").select(F.xxhash64("label", "key").alias("unit"), "parts"))
+    asked = held.join(F.broadcast(by_key), "label", "left").select("a", "b", "label", F.coalesce("by_key", F.lit(False)).alias("by_key"))
+    made = materialise(asked, "near-asked"), materialise(split, "near-split")
+    discard(held, large, keyed, by_key)
+    return made
+
+
+def links(sets: DataFrame, large: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that hold, of sets(label, by_key, node, prints, keys, words), which span all that hold."""
+
+    def search(texts: pa.Table) -> pa.Table:
         node, first = np.unique(texts["node"].to_numpy(), return_index=True)
-        prints, label = _as_prints(texts["prints"])[first], np.unique(texts["label"].to_numpy()[first], return_inverse=True)[1]
-        a, b = (np.searchsorted(node, known[c].to_numpy()) for c in ("a", "b"))
-        found = []
-        for at in range(0, len(node), 256):
-            bits = np.unpackbits(within(prints[at : at + 256], prints, limit).view(np.uint8), axis=1, bitorder="little")[:, : len(node)].astype(bool)
-            bits &= label[at : at + 256, None] != label[None, :]
-            i, j = np.nonzero(bits)
-            found.append(((i + at)[i + at < j], j[i + at < j]))
-        one, other = (np.concatenate(x) for x in zip(*found, strict=True))
-        some = ~np.isin(one * len(node) + other, a * len(node) + b)
-        one, other = one[some], other[some]
-        order = np.argsort(np.bitwise_count(prints[one] ^ prints[other]).sum(axis=1, dtype=np.int64), kind="stable")
-        one, other = one[order], other[order]
-        out: list[tuple[int, int]] = []
-        for _ in range(forests):
-            if not len(one):
-                break
-            picked = _spanning(int(label.max()) + 1, label[one], label[other])
-            out += [(int(node[one[k]]), int(node[other[k]])) for k in picked]
-            stays = np.ones(len(one), bool)
-            stays[picked] = False
-            one, other = one[stays], other[stays]
-        ends = np.array(out, np.int64).reshape(-1, 2)
-        return pa.table({"meeting": np.full(len(ends), texts["meeting"][0].as_py(), np.int64), "a": ends[:, 0], "b": ends[:, 1]})
-
-    return rows.groupBy("meeting").cogroup(failed.groupBy("meeting")).applyInArrow(search, "meeting long, a long, b long")
-
+        texts = texts.take(pa.array(first))
+        words = texts["words"].combine_chunks()
+        sizes = np.array(words.value_lengths(), np.int64)
+        keys = texts["keys"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        pairs = linked(_as_prints(texts["prints"]), keys, words.flatten().to_numpy(), sizes, least)
+        ends = node[np.array(pairs, np.int64).reshape(-1, 2)]
+        return pa.table({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
-def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """pairs(a, b) with holds: whether the sets(node, words) of both ends have the similarity. Up to BROADCAST pairs go to where the sets
-    are, so that only the sets of the pairs' ends move."""
-    near = F.broadcast if pairs.count() <= BROADCAST else lambda x: x
-    x = sets.select(F.col("node").alias("a"), F.col("words").alias("words_a")).join(near(pairs), "a")
-    ends = near(pairs.select(F.col("b").alias("node")).distinct())
-    x = x.join(sets.join(ends, "node", "left_semi").select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
-    both = F.size(F.array_intersect("words_a", "words_b"))
-    return x.select("a", "b", (both >= F.lit(least) * (F.size("words_a") + F.size("words_b") - both)).alias("holds"))
+    of = F.when(F.col("by_key"), F.transform("keys", lambda k: F.xxhash64("label", k))).otherwise(F.array("label"))
+    met = dealt(sets.select(F.explode(of).alias("unit"), "node", "prints", "keys", "words"), large)
+    return met.groupBy("meeting").applyInArrow(search, "a long, b long").distinct()
 
 
 def _with_rows(docs: DataFrame, key: Column) -> DataFrame:
@@ -272,35 +298,21 @@ def groups(docs: DataFrame, text_col: str, key_col: str, shingle: int = SHINGLE,
     row = row_key(docs)
     key = F.struct(F.col(f"`{key_col}`").isNull().alias("none"), F.col(f"`{key_col}`").alias("key"), row.alias("row"))
     small = materialise(signatures(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), "text", ["key"], shingle), "near-signatures")
-    entry = [F.min("key").alias("least"), F.first("prints").alias("prints"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")]
+    entry = [F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("prints", "keys", "size")), F.count(F.lit(1)).alias("n")]
     nodes = materialise(small.groupBy("node").agg(*entry), "near-nodes")
-    met = meetings(nodes, block)
-    links = materialise(candidates(met), "near-links")
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = materialise(nodes.join(ends, "node", "left_semi").select("least.row.a", "least.row.b"), "near-asked")
-    texts = _beside(_with_rows(docs, row), "left_semi", asked).select(F.col("__docs")[text_col].alias("text"))
-    sets = materialise(word_sets(texts, "text", shingle).dropDuplicates(["node"]), "near-sets")
-    edges, failed, forests = None, None, 1
-    while True:
-        pairs = materialise(links.select("a", "b").distinct(), "near-pairs")
-        told = materialise(alike(pairs, sets, least), "near-told")
-        good = told.where("holds").select("a", "b")
-        known = materialise(good if edges is None else edges.unionByName(good).distinct(), "near-edges")
-        new = materialise(links.join(told.where("not holds").select("a", "b"), ["a", "b"], "left_semi").select("meeting", "a", "b"), "near-failed")
-        discard(edges, links, pairs, told)
-        edges = known
-        labels = connected(edges)
-        if new.isEmpty():
-            break
-        failed = new if failed is None else new.unionByName(failed.join(new.select("meeting").distinct(), "meeting", "left_semi"))
-        forests *= 4
-        links = materialise(again(met, labels, failed, forests), "near-links")
-    discard(sets, asked)
+    found = materialise(candidates(meetings(nodes, block)), "near-candidates")
+    asked, large = units(nodes, connected(found), min(block, TESTED))
+    texts = _beside(_with_rows(docs, row), "inner", asked).select("label", "by_key", F.col("__docs")[text_col].alias("text"))
+    edges = materialise(links(signatures(texts, "text", ["label", "by_key"], shingle, sets=True), large, least), "near-edges")
+    labels = connected(edges)
+    discard(found)
     named = nodes.join(labels, "node", "left").select("node", "n", "least", F.coalesce("label", "node").alias("component"))
     named = materialise(named, "near-named")
     firsts = materialise(named.groupBy("component").agg(F.min("least").alias("first")), "near-firsts")
     found = look_up(named, firsts, "component", ["first"], F.col("node"), hot_keys(named, "component"))
-    return small.select("key", "node"), materialise(found.select("node", "component", "n", "first"), "near-groups")
+    made = materialise(found.select("node", "component", "n", "first"), "near-groups")
+    discard(asked, large, edges, nodes, named, firsts)
+    return small.select("key", "node"), made
 
 
 def _told(small: DataFrame, found: DataFrame) -> DataFrame:
