@@ -198,6 +198,14 @@ def test_candidates_for_diversity_against_a_plain_pass(spark, sf):
             assert got[q, best.id] == len(picked)
 
 
+def test_diversity_is_of_whole_texts(spark):
+    """Texts that begin alike and go on apart, and one that begins apart and goes on like the first."""
+    same, a, b = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("s", 60), ("a", 600), ("b", 600)))
+    rows = [(1, 1, f"{same} {a}", 0.9, 1), (1, 2, f"x {a}", 0.89, 2), (1, 3, f"{same} {b}", 0.88, 3), (1, 4, None, 0.1, 4)]
+    made = R.mmr(spark.createDataFrame(rows, "query_id int, id long, text string, score double, rank int"))
+    assert [r.id for r in made.orderBy("mmr_rank").collect()] == [1, 3, 2, 4]
+
+
 def test_merge_overlaps(spark):
     whole = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(200))
     rows = [(1, i, whole[s : s + 300]) for i, s in enumerate(range(0, len(whole) - 100, 200))]

@@ -253,13 +253,13 @@ def mmr_order(scores: list[float], word_sets: list[set[str]], weight: float = 0.
     return out
 
 
-def mmr(found: DataFrame, weight: float = 0.7, first_words: int | None = 50, picks: int | None = None) -> DataFrame:
-    """found(query_id, id, text, score, rank) reordered by MMR, with mmr_rank. A group is one query's
+def mmr(found: DataFrame, weight: float = 0.7, picks: int | None = None) -> DataFrame:
+    """found(query_id, id, text, score, rank) reordered by MMR, with mmr_rank; likeness is of whole texts. A group is one query's
     candidates, which the search before has cut to FETCH rows."""
 
     def order(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rank").reset_index(drop=True)
-        sets = [set((t or "").lower().split()[:first_words]) for t in rows["text"]]
+        sets = [set((t or "").lower().split()) for t in rows["text"]]
         at = mmr_order(rows["score"].tolist(), sets, weight, picks)
         return pd.DataFrame({"query_id": rows["query_id"][at].values, "id": rows["id"][at].values, "score": rows["score"][at].values, "mmr_rank": range(1, len(at) + 1)})
 
