@@ -95,6 +95,48 @@ def test_greedy_dedup_matches_a_pass_in_order(spark):
     assert got == [i for i, _ in kept]
 
 
+def test_first_words_are_those_of_the_whole_text(spark):
+    texts = ["a b  c d", "  A\tB c", "", " ", None, "x", "a\u00a0b\nc ", "İ Σ aΣ b", "a b c"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(X.first_lower_words(F.col("t"), 3).alias("a"), F.slice(X.lower_words(F.col("t")), 1, 3).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and rows[0].a == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("least", [0.5, 0.6, 0.8])
+def test_similar_pairs_of_all_sizes(spark, monkeypatch, least):
+    """Long sets, whose bits are folded, hot words that are cut into parts, groups of few rows and pairs, and words that are not ranked."""
+    import random
+
+    for name, n in (("SPLIT", 16), ("GROUPED", 40), ("COMPARED", 30), ("LOOKED", 50), ("LISTED", 200), ("MET", 500)):
+        monkeypatch.setattr(C, name, n)
+    r, sets = random.Random(4), [[], ["1"], ["1"]]
+    for size in (2, 5, 30, 100, 300, 1500):
+        base = r.sample(range(4000), size)
+        for _ in range(12):
+            sets.append([str(w) for w in {*(w for w in base if r.random() < r.choice([0.7, 0.9, 0.97])), *r.sample(range(4000), r.choice([0, 1, size // 6]))}])
+    rows = spark.createDataFrame(list(enumerate(sets)), "doc_id long, w array<string>")
+    got = {(x.a, x.b): x.similarity for x in C.similar_pairs(rows, least).collect()}
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+    want = {(i, j): alike(a, b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and alike(a, b) >= least}
+    assert got == pytest.approx(want, abs=1e-6) and len(want) > 20
+
+
+def test_similar_sets_are_moved_once(spark):
+    """Sets of one family go to one place, not to one for each pair."""
+    import random
+
+    r, families = random.Random(6), 5
+    sets = [[f"{k}-{w}" for w in r.sample(range(100), 95)] for k in range(families) for _ in range(20)]
+    rows = spark.createDataFrame(list(enumerate(sets)), "doc_id long, w array<string>")
+    made = C.similar_pairs(rows, 0.5)
+    assert made.count() == families * 190
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "array_intersect" not in plan
+    x = rows.select("doc_id", F.size("w").alias("n"), C.hashed(F.col("w")).alias("h"))
+    # What compare is given in a task: as many sets as there are, and not two for each pair.
+    held = C.side_by_side(made.select("a", "b"), x, lambda flat, start, in_a, in_b: [len(start) - 1] * len(in_a))
+    assert sum(r.found for r in held.select("found", F.spark_partition_id().alias("t")).distinct().collect()) <= len(sets)
+
+
 def word_sets(spark, sf):
     return {r.doc_id: frozenset([w for w in re.split(r"\s+", r.text.lower()) if w][:100]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
 
