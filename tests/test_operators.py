@@ -95,6 +95,15 @@ def test_greedy_dedup_matches_a_pass_in_order(spark):
     assert got == [i for i, _ in kept]
 
 
+def test_greedy_dedup_looks_at_whole_texts(spark):
+    """Texts that begin alike for more than a hundred words and go on apart, one that is near the first, and no texts."""
+    same = [f"s{i}" for i in range(150)]
+    tail = lambda c, n: [f"{c}{i}" for i in range(n)]
+    words = [same + tail("a", 900), same + tail("b", 900), same[:100] + tail("a", 900), tail("x", 50) + tail("b", 900), [], None, []]
+    rows = [(i, None if w is None else " ".join(w)) for i, w in enumerate(words)]
+    assert sorted(r.doc_id for r in C.greedy_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 1, 4, 5, 6]
+
+
 def test_first_words_are_those_of_the_whole_text(spark):
     texts = ["a b  c d", "  A\tB c", "", " ", None, "x", "a\u00a0b\nc ", "İ Σ aΣ b", "a b c"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(X.first_lower_words(F.col("t"), 3).alias("a"), F.slice(X.lower_words(F.col("t")), 1, 3).alias("b")).collect()
