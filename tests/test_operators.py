@@ -435,6 +435,27 @@ def test_range_join_of_hot_bins(spark, monkeypatch, part):
     assert "ShuffledHashJoin" in x._jdf.queryExecution().executedPlan().toString()
 
 
+def test_range_join_gives_pairs_in_order(spark, tmp_path):
+    """Of a bin, points come out in order, and each with its ranges in one order, so that what is written is small."""
+    import random
+
+    r = random.Random(8)
+    points = [(i, r.uniform(0, 60)) for i in range(6000)]
+    ranges = [(j, low := r.uniform(0, 50), low + 10) for j in range(300)]
+    x = rel.range_join(spark.createDataFrame(points, "i int, x double"), spark.createDataFrame(ranges, "j int, low double, high double"), "x", "low", "high", 10.0)
+    rows = x.collect()
+    assert len(rows) == sum(a <= v < b for _, v in points for _, a, b in ranges)
+    for k in range(6):
+        of_bin = [r for r in rows if r.x // 10 == k]
+        assert [r.x for r in of_bin] == sorted(r.x for r in of_bin) and len(of_bin) > 1000
+        lows = {}
+        for r in of_bin:
+            lows.setdefault(r.i, []).append(r.low)
+        assert all(v == sorted(v) for v in lows.values()) or all(v == sorted(v, reverse=True) for v in lows.values())
+    x.select("i", "j").write.parquet(f"{tmp_path}/a")
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < len(rows) * 0.6
+
+
 def test_stems_are_cut_behind_a_look_at_the_end(spark):
     import itertools
 
